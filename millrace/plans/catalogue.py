@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ["retrieval"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _queries: dict[str, Query] = {}
@@ -20,13 +23,23 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
         _oracles[name] = sql
 
 
+def _load() -> None:
+    """The modules below register their queries when they are first imported."""
+    for name in MODULES:
+        importlib.import_module(f"{__package__}.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_oracles)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """BM25 and sparse recall of every benchmark item, fused, reranked and put in one numbered context."""
+    _load()
+    return _queries["p12_context_string"](spark, sf_dir)
