@@ -139,7 +139,7 @@ def numbered_context(texts: Column | str, style: str = "【{}】") -> Column:
 def keyword_list(raw: Column | str, answer: Column | str, banned: Sequence[str] = ("无", "SU7", "")) -> Column:
     """Comma-separated keywords that occur in the answer; '无' is none."""
     raw, answer = F.trim(_c(raw)), _c(answer)
-    words = F.filter(F.transform(F.split(raw, ","), F.trim), lambda k: (k != "") & answer.contains(k) & ~k.isin(*banned))
+    words = F.filter(F.transform(F.split(raw, ","), lambda k: F.trim(k)), lambda k: (k != "") & answer.contains(k) & ~k.isin(*banned))
     return F.when(raw == "无", F.array().cast("array<string>")).otherwise(words)
 
 
@@ -157,8 +157,7 @@ def fuzzy_match(keyword: Column, text: Column, share: float = 0.6) -> Column:
 
 def has_any(text: Column | str, words: Sequence[str]) -> Column:
     """Whether one of the words occurs in the text."""
-    text = _c(text)
-    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    return _c(text).rlike("|".join(rf"\Q{w}\E" for w in words))
 
 
 def filled(template: str, **slots: Column | str) -> Column:

@@ -163,7 +163,7 @@ def grouped_text(rows: DataFrame, keys: list[str], order: str, text: str, joiner
 
 def title_scores(blocks: DataFrame, typical_size: str = "typical_size") -> DataFrame:
     """blocks (text, size, bold, lines, above, typical_size) with score and is_title (3 or more; never a text that ends a sentence)."""
-    text = F.trim("text")
+    text = F.regexp_replace("text", r"^\s+|\s+$", "")
     score = (
         F.when(F.col("size") > F.col(typical_size), 2.0).otherwise(0.0)
         + F.when(F.col("bold"), 1.0).otherwise(0.0)

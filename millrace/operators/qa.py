@@ -211,9 +211,10 @@ def drawn(items: Column, *key: Column | str) -> Column:
 def rerank_triples(records: DataFrame, seed: str = "42") -> DataFrame:
     """(query, content, label): 2 the first context, 1 one of the last two, 0 one that is not context; a refusal gives 0 only."""
     cited = X.cited_answer("response") != X.NO_ANSWER
+    query = _trim("query")
     last = F.slice("context", F.greatest(F.size("context") - 1, F.lit(1)), 2)
-    wrong = drawn(negative_docs("merged_docs", "context"), "query", F.lit(seed))
-    any_ = drawn(F.col("merged_docs"), "query", F.lit(seed))
+    wrong = drawn(negative_docs("merged_docs", "context"), query, F.lit(seed))
+    any_ = drawn(F.col("merged_docs"), query, F.lit(seed))
     row = lambda c, y: F.struct(c.alias("content"), F.lit(y).alias("label"))
-    rows = F.when(cited, F.array(row(F.try_element_at("context", F.lit(1)), 2), row(drawn(last, "query", F.lit(seed)), 1), row(wrong, 0))).otherwise(F.array(row(any_, 0)))
-    return records.select(_trim("query").alias("query"), F.explode(rows).alias("r")).select("query", "r.content", "r.label").where("content <> '' and query <> ''")
+    rows = F.when(cited, F.array(row(F.try_element_at("context", F.lit(1)), 2), row(drawn(last, query, F.lit(seed)), 1), row(wrong, 0))).otherwise(F.array(row(any_, 0)))
+    return records.select(query.alias("query"), F.explode(rows).alias("r")).select("query", "r.content", "r.label").where("content <> '' and query <> ''")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["retrieval"]
+MODULES = ["retrieval", "corpus", "datasets"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
