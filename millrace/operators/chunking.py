@@ -95,7 +95,7 @@ def split_recursively(text: str, size: int, overlap: int, separators: Sequence[s
     """
     sep = next((s for s in separators if s in text), None)
     if sep is None:
-        return [text] if text.strip() else []
+        return [text.strip()] if text.strip() else []
     rest = separators[list(separators).index(sep) + 1 :]
     first, *more = text.split(sep)
     parts = [p for p in (first, *(sep + m for m in more)) if p]

@@ -145,7 +145,7 @@ def peeled_dialogue(text: Column | str, human: str = "Human:", assistant: str =
     marks = rf"\Q{human}\E|\Q{assistant}\E"
     who = F.regexp_extract_all(text, F.lit(f"({marks})"), 1)
     said = F.slice(F.split(text, marks), F.lit(2), F.greatest(F.size(who), F.lit(1)))
-    turns = F.zip_with(who, said, lambda w, s: F.struct(F.when(w == human, "human").otherwise("gpt").alias("from"), F.trim(s).alias("value")))
+    turns = F.zip_with(who, said, lambda w, s: F.struct(F.when(w == human, "human").otherwise("gpt").alias("from"), F.regexp_replace(s, r"^\s+|\s+$", "").alias("value")))
     n = F.size(turns) - F.when(F.element_at(who, -1) == human, 1).otherwise(0)
     return F.when(F.size(who) > 0, F.slice(turns, F.lit(1), F.greatest(n, F.lit(0)))).otherwise(F.slice(turns, 1, 0))
 
