@@ -14,15 +14,20 @@ def hash_split(df: DataFrame, key: Column | str, percent: int, seed: str = "", n
     return df.withColumn("split", F.when(X.hash_bucket(F.concat(F.lit(seed), key.cast("string")), 100) < percent, names[0]).otherwise(names[1]))
 
 
+def running_total(df: DataFrame, order: list[str], value: Column | str, name: str) -> DataFrame:
+    """df with the sum of value up to and with each row by order: range-sorted, summed in each range and shifted by the ranges before."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    value = F.col(value) if isinstance(value, str) else value
+    ranged = df.withColumn("__v", value).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    sums = ranged.groupBy("__part").agg(F.sum("__v").alias("__n"))  # a row a range
+    before = sums.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.sum("__v").over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__own")).drop("__part", "__own", "__before", "__v")
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
-    """df with positions from 0 by order: range-sorted, numbered in each range and shifted by the ranges' counts."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))  # a row a range
-    before = counts.select("__part", (F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return ranged.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__own") - 1).drop("__part", "__own", "__before")
+    """df with positions from 0 by order."""
+    return running_total(df, order, F.lit(1).cast("long"), name).withColumn(name, F.col(name) - 1)
 
 
 def first_n(df: DataFrame, n: int, order: list[str]) -> DataFrame:
