@@ -28,61 +28,98 @@ from pyspark.sql import types as T
 from .common import shuffle_partitions, stage
 
 #: Words in a generation of a worker's cache.
-HELD_WORDS = 300_000
+HELD_WORDS = 400_000
 #: Pieces of one length in a ranking bucket, about.
-BUCKET = 20_000
+BUCKET = 1_000
 
-_loaded: dict[str, tuple] = {}
+#: Words that are encoded as one text.
+TOGETHER = 400
 
+_loaded: dict[str, WordIds] = {}
 
-def _tokenizer(path: str) -> tuple:
-    """The tokenizer and the worker's two generations of cached words."""
-    if path not in _loaded:
+
+class WordIds:
+    """The ids of words by one tokenizer, with two generations of cached words.
+
+    Holds for tokenizers that lower-case, whose pre-tokens, normal forms and special strings never cross a space, a line feed or the
+    place between a letter or digit and a comma or full stop, that drop white space and mark the end of a pre-token in its last
+    token, as word_bpe_49k.json: then a text's ids are those of its parts between these places, one after the other, and a part is
+    encoded once for all its occurrences.
+    """
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        _loaded[path] = (tok, {}, {})
-    return _loaded[path]
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        vocabulary = self.tok.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.held: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        if len(self.held) > HELD_WORDS:
+            self.old, self.held = self.held, {}
+        get, out, late, new = self.held.get, [], [], set()
+        for i, x in enumerate(texts):
+            words = x.replace("\n", " ").split(" ")
+            ids = list(map(get, words))
+            if None in ids:
+                new.update(w for w, v in zip(words, ids, strict=True) if v is None)
+                late.append((i, words))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
+        if new:
+            self.learn(new)
+            for i, words in late:
+                out[i] = b"".join(map(self.held.__getitem__, words))
+        return out
 
+    def learn(self, words: set[str]) -> None:
+        held, old, cut, plain, odd = self.held, self.old, [], set(), set()
+        for w in words:
+            if (ids := old.get(w)) is not None:
+                held[w] = ids
+                continue
+            core = w.lower() if w.isascii() else w
+            tail = core[-1:] if core[-1:] in {",", "."} and core[-2:-1].isalnum() else ""
+            core = core[:-1] if tail else core
+            cut.append((w, core, tail))
+            for c in (core, tail):
+                if c not in held:
+                    if (ids := old.get(c)) is not None:
+                        held[c] = ids
+                    else:
+                        (plain if c.isalpha() else odd).add(c)
+        many = list(plain)
+        parts = [many[i : i + TOGETHER] for i in range(0, len(many), TOGETHER)]
+        for part, e in zip(parts, self.tok.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            raw = ids.tobytes()
+            if len(ends) != len(part) or ends[-1] != len(raw):
+                odd.update(part)
+                continue
+            at = 0
+            for w, end in zip(part, ends, strict=True):
+                held[w] = raw[at:end]
+                at = end
+        rest = list(odd)
+        for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            held[w] = np.array(e.ids, "<u4").tobytes()
+        for w, core, tail in cut:
+            held[w] = held[core] + held[tail] if tail else held[core]
 
-def token_ids(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text, little-endian unsigned 32-bit, as the tokenizers library gives them without added special tokens.
 
-    Holds for tokenizers that lower-case, whose pre-tokens, normal forms and special strings never cross a space, a line feed or the
-    place between a letter or digit and a comma or full stop, and that drop white space, as word_bpe_49k.json: then a text's ids
-    are those of its parts between these places, one after the other, and a part is encoded once for all its occurrences.
-    """
-    tok, held, old = _tokenizer(path)
-    parts = [x.replace("\n", " ").split(" ") for x in texts]
-    words: set[str] = set()
-    for p in parts:
-        words.update(p)
-    new = words - held.keys()
-    if len(held) + len(new) > HELD_WORDS:  # the words at hand move to the second place; those of that place go
-        old.clear()
-        old.update(held)
-        held.clear()
-        new = words
-    cut, cores = [], set()
-    for w in new:
-        if (ids := old.get(w)) is not None:
-            held[w] = ids
-            continue
-        core = w.lower() if w.isascii() else w
-        tail = core[-1:] if core[-1:] in {",", "."} and core[-2:-1].isalnum() else ""
-        core = core[:-1] if tail else core
-        cut.append((w, core, tail))
-        cores.update((core, tail))
-    wanted = [c for c in cores if c not in held]
-    for i in range(0, len(wanted), 4096):
-        for c, e in zip(wanted[i : i + 4096], tok.encode_batch(wanted[i : i + 4096], add_special_tokens=False), strict=True):
-            held[c] = np.array(e.ids, "<u4").tobytes()
-    for w, core, tail in cut:
-        held[w] = held[core] + held[tail]
-    return [b"".join(map(held.__getitem__, p)) for p in parts]
+def token_ids(texts: list[str], path: str) -> list[bytes]:
+    """The ids of each text, little-endian unsigned 32-bit, as the tokenizers library gives them without added special tokens."""
+    if path not in _loaded:
+        _loaded[path] = WordIds(path)
+    return _loaded[path].texts(texts)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
