@@ -92,7 +92,8 @@ def tile_forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray,
     """
     nodes = np.concatenate([a, b])
     label = np.arange(len(nodes))
-    if len(a) == len(b) and (a == b).all():
+    same = len(a) == len(b) and bool((a == b).all())
+    if same:
         label[len(a) :] = np.arange(len(a))
     pa_, pb = np.bitwise_count(a).astype(np.int64), np.bitwise_count(b).astype(np.int64)
     step = max(1, CELLS // max(1, len(b)))
@@ -107,6 +108,8 @@ def tile_forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray,
             _settle(label, x + i, y + lo + len(a))
     own = np.arange(len(nodes))
     out = (label != own) & (nodes != nodes[label])
+    if same:
+        out[len(a) :] = False
     return nodes[out], nodes[label[out]]
 
 

@@ -11,7 +11,9 @@ def page(body):
 
 
 def text(body):
-    return html_extract.main_text([{"text": t, "own": o} for t, o in html_extract.blocks(page(body))], "", [])
+    found = html_extract.blocks(page(body))
+    own = [t for t, o in found if o]
+    return "\n\n".join(own) if own else html_extract.main_text([t for t, _ in found], "", [])
 
 
 @pytest.mark.parametrize(("body", "want"), [
@@ -48,6 +50,7 @@ def test_common_lines_is_a_longest_common_subsequence():
 @pytest.mark.parametrize("parts", ["1", "4", "13"])
 def test_differencing_does_not_depend_on_ranges(spark, parts):
     rows = [(i, f"http://h.example/{'a' if i < 20 else 'b'}/{i}?q={i}", f"<div>Site</div><div>Menu {'a' if i < 20 else 'b'}</div><p>page {i}</p><p>more {i}</p><div>foot</div>") for i in range(40)]
+    rows += [(60 + i, f"http://mix.example/{i}", f"<div>Head</div><{'article' if i % 2 else 'p'}>text {i}</{'article' if i % 2 else 'p'}>") for i in range(6)]
     rows += [(90, "http://alone.example/x", "<div>only</div>"), (91, None, None), (92, "http://[bad", ""), (93, "http://two.example/a", "<p>same</p>"), (94, "http://two.example/b", "<p>same</p>"), (5, "http://h.example/a/5?q=5", "<p>repeat id</p>")]
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
@@ -59,7 +62,8 @@ def test_differencing_does_not_depend_on_ranges(spark, parts):
     assert len(got) == len(rows) and all(n == len(t) for *_, t, n in got)
     by = {(i, u): t for i, u, t, _ in got}
     assert by[(3, rows[3][1])] == "page 3\n\nmore 3" and by[(30, rows[30][1])] == "page 30\n\nmore 30"
-    assert by[(90, rows[40][1])] == "only" and by[(91, None)] == "" and by[(93, "http://two.example/a")] == "same"
+    assert all(by[(60 + i, f"http://mix.example/{i}")] == f"text {i}" for i in range(6))
+    assert by[(90, "http://alone.example/x")] == "only" and by[(91, None)] == "" and by[(93, "http://two.example/a")] == "same"
 
 
 def labelled(n=200, seed=4):
