@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.sampling import numbered
 from .common import stage
 
 #: Rows of candidates up to which their places are broadcast (under 64 bytes each); more are shuffled.
@@ -53,46 +54,55 @@ def _half_keys() -> list[F.Column]:
     return keys
 
 
+def _small(df: DataFrame, label: str) -> DataFrame:
+    """df staged, to be broadcast if its rows are few enough."""
+    staged = stage(df, label)
+    return F.broadcast(staged) if staged.count() <= BROADCAST_ROWS else staged
+
+
 def near_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Classes of equal lines (h1, h2, n, first, copies), staged, and those with an earlier neighbour (h1, h2)."""
     if min_words < 2:
         raise ValueError("lines of one word would all be neighbours")
     lines = _lines(docs, id_col, text_col).where(F.col("n") >= min_words)
     keyed = _hashed(lines).select("h1", "h2", "n", F.struct("id", "tid", "line_no").alias("pos"), *[k.alias(f"k{i}") for i, k in enumerate(_half_keys())])
-    classes = stage(keyed.groupBy("h1", "h2", "n").agg(F.min("pos").alias("first"), F.count("*").alias("copies"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)]), "lines-classes")
-    halves = classes.select("h1", "h2", "first", F.explode(F.array(*[f"k{i}" for i in range(4)])).alias("key"))
-    shared = halves.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    able = stage(halves.join(shared, "key").select("h1", "h2", "first").distinct(), "lines-able")
-    places = able.select("h1", "h2", "first", F.col("first.id").alias("id"), F.col("first.tid").alias("tid"), F.col("first.line_no").alias("line_no"))
-    if places.count() <= BROADCAST_ROWS:
-        places = F.broadcast(places)
-    own = lines.alias("l").join(places.alias("p"), F.expr("l.id <=> p.id and l.tid = p.tid and l.line_no = p.line_no"))
-    texts = stage(own.select("h1", "h2", "first", "n", "words").dropDuplicates(["h1", "h2"]), "lines-texts")
-
-    word = texts.select("h1", "h2", "n", "first", F.posexplode("words").alias("i", "w"))
+    grouped = keyed.groupBy("h1", "h2", "n").agg(F.min("pos").alias("first"), F.count("*").alias("copies"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
+    classes = stage(grouped.withColumn("lid", F.monotonically_increasing_id()), "lines-classes")
+    halves = classes.select("lid", F.explode(F.array(*[f"k{i}" for i in range(4)])).alias("key"))
+    shared = _small(halves.groupBy("key").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).where("a <> b").select("key"), "lines-keys")
+    able = _small(halves.join(shared, "key").select("lid").distinct(), "lines-able")
+    first = classes.join(able, "lid").select("h1", "h2", "first.*")
+    places = stage(numbered(first, ["id", "tid", "line_no"], "ord"), "lines-places")  # ord: earlier lines have smaller numbers
+    sought = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
+    own = lines.alias("l").join(sought.alias("p"), F.expr("l.id <=> p.id and l.tid = p.tid and l.line_no = p.line_no"))
+    texts = stage(own.select("ord", "n", "words").dropDuplicates(["ord"]), "lines-texts")
+
+    # dealt out before it is exploded, a line's words are in one task already when the window wants them
+    word = texts.repartition("ord").select("ord", "n", F.posexplode("words").alias("i", "w"))
     for s in (1, 2):
         word = word.withColumn(f"a{s}", F.pmod(F.xxhash64(F.lit(s), "w", "i"), F.lit(_RANGE))).withColumn(f"b{s}", F.pmod(F.xxhash64(F.lit(s), "w", F.col("i") - 1), F.lit(_RANGE)))
-    line = Window.partitionBy("h1", "h2")
+    line = Window.partitionBy("ord")
     upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     sums = [(F.sum(f"a{s}").over(upto) - F.col(f"a{s}") + F.sum(f"b{s}").over(line) - F.sum(f"b{s}").over(upto)).alias(f"v{s}") for s in (1, 2)]
-    variants = word.select("h1", "h2", "n", "first", "i", *sums)
-    whole = word.groupBy("h1", "h2", "n", "first").agg(F.sum("a1").alias("v1"), F.sum("a2").alias("v2"))
-    me = F.struct("first", "h1", "h2", "i").alias("m")
-
-    changed = variants.groupBy("v1", "v2", "n", "i").agg(F.min(me).alias("m"))
-    substituted = variants.join(changed, ["v1", "v2", "n", "i"]).where("m.first < first").select("h1", "h2", "i", "m", F.lit(0).alias("mine"), F.lit(0).alias("its"))
-    longer = variants.groupBy("v1", "v2", (F.col("n") - 1).alias("n")).agg(F.min(me).alias("m"))
-    left_out = whole.join(longer, ["v1", "v2", "n"]).where("m.first < first").select("h1", "h2", F.col("m.i").alias("i"), "m", F.lit(1).alias("mine"), F.lit(0).alias("its"))
-    shorter = whole.select("v1", "v2", (F.col("n") + 1).alias("n"), F.struct("first", "h1", "h2", F.lit(0).alias("i")).alias("m"))
-    added = variants.join(shorter, ["v1", "v2", "n"]).where("m.first < first").select("h1", "h2", "i", "m", F.lit(0).alias("mine"), F.lit(1).alias("its"))
-
+    # same: lines equal but for the word at i; less: lines without that word
+    variants = word.select("ord", "n", "i", *sums).select("ord", "i", F.xxhash64("v1", "v2", "n", "i").alias("same"), F.xxhash64("v1", "v2", F.col("n") - 1).alias("less"))
+    whole = word.groupBy("ord", "n").agg(F.sum("a1").alias("v1"), F.sum("a2").alias("v2")).select("ord", F.xxhash64("v1", "v2", "n").alias("less"))
+
+    changed = _small(variants.groupBy("same").agg(F.min("ord").alias("m"), F.max("ord").alias("x")).where("m <> x").select("same", "m"), "lines-changed")
+    none = F.lit(None).cast("long")
+    sides = variants.select("less", F.struct("ord", "i").alias("d"), none.alias("f")).union(whole.select("less", F.when(F.lit(False), F.struct("ord", F.lit(0).alias("i"))), "ord"))
+    pairs = _small(sides.groupBy("less").agg(F.min("d").alias("d"), F.min("f").alias("f")).where("d is not null and f is not null"), "lines-longer")
     # 'mine' and 'its': 1 where that line lacks the word at place i, so its words after i stand one place earlier
+    substituted = variants.join(changed, "same").where("m < ord").select("ord", "i", "m", F.lit(0).alias("mine"), F.lit(0).alias("its"))
+    left_out = pairs.where("d.ord < f").select(F.col("f").alias("ord"), "d.i", F.col("d.ord").alias("m"), F.lit(1).alias("mine"), F.lit(0).alias("its"))
+    added = variants.join(pairs, "less").where("f < ord").select("ord", "i", F.col("f").alias("m"), F.lit(0).alias("mine"), F.lit(1).alias("its"))
+
     found = substituted.union(left_out).union(added)
-    mine = texts.select("h1", "h2", F.col("words").alias("x"))
-    its = texts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("words").alias("y"))
-    both = found.join(mine, ["h1", "h2"]).join(its, (F.col("m.h1") == F.col("g1")) & (F.col("m.h2") == F.col("g2")))
+    mine = texts.select("ord", F.col("words").alias("x"))
+    its = texts.select(F.col("ord").alias("m"), F.col("words").alias("y"))
     same = "slice(x, 1, i) = slice(y, 1, i) and slice(x, i + 2 - mine, size(x)) = slice(y, i + 2 - its, size(y))"
-    return classes, stage(both.where(same).select("h1", "h2").distinct(), "lines-near")
+    near = found.join(mine, "ord").join(its, "m").where(same).select("ord").distinct()
+    return classes, stage(places.join(near, "ord").select("h1", "h2"), "lines-near")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
