@@ -20,7 +20,9 @@ an id and text are treated alike: none of them is earlier than the other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.sampling import numbered
@@ -32,12 +34,20 @@ BROADCAST_ROWS = 400_000
 _RANGE = 1 << 40
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tid, line_no, words, n): every line; tid tells rows apart that repeat an id."""
+def _words(line: Column) -> Column:
+    return F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != "")
+
+
+def _raw_lines(docs: DataFrame, id_col: str, text_col: str, each: Callable[[Column], Column], name: str) -> DataFrame:
+    """(id, tid, line_no, <name>): each of every line, made before the lines are rows so that it is made once; tid tells rows apart
+    that repeat an id."""
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lines = base.select("id", "tid", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    words = lines.withColumn("words", F.filter(F.split(F.lower("line"), r"\s+"), lambda w: w != "")).drop("line")
-    return words.withColumn("n", F.size("words"))
+    return base.select("id", "tid", F.posexplode(F.transform(F.split("text", "\n"), lambda x: each(x))).alias("line_no", name))
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tid, line_no, words, n)"""
+    return _raw_lines(docs, id_col, text_col, _words, "words").withColumn("n", F.size("words"))
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
@@ -74,8 +84,9 @@ def near_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text
     first = classes.join(able, "lid").select("h1", "h2", "first.*")
     places = stage(numbered(first, ["id", "tid", "line_no"], "ord"), "lines-places")  # ord: earlier lines have smaller numbers
     sought = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
-    own = lines.alias("l").join(sought.alias("p"), F.expr("l.id <=> p.id and l.tid = p.tid and l.line_no = p.line_no"))
-    texts = stage(own.select("ord", "n", "words").dropDuplicates(["ord"]), "lines-texts")
+    raw = _raw_lines(docs, id_col, text_col, lambda x: x, "line")
+    own = raw.alias("l").join(sought.alias("p"), F.expr("l.id <=> p.id and l.tid = p.tid and l.line_no = p.line_no"))
+    texts = stage(own.select("ord", _words(F.col("line")).alias("words")).dropDuplicates(["ord"]).withColumn("n", F.size("words")), "lines-texts")
 
     # dealt out before it is exploded, a line's words are in one task already when the window wants them
     word = texts.repartition("ord").select("ord", "n", F.posexplode("words").alias("i", "w"))
