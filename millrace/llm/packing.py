@@ -68,15 +68,19 @@ class WordIds:
             words = x.replace("\n", " ").split(" ")
             ids = list(map(get, words))
             if None in ids:
-                new.update(w for w, v in zip(words, ids, strict=True) if v is None)
-                late.append((i, words))
+                at = [(k, words[k]) for k, v in enumerate(ids) if v is None]
+                new.update([w for _, w in at])
+                late.append((i, ids, at))
                 out.append(b"")
             else:
                 out.append(b"".join(ids))
         if new:
             self.learn(new)
-            for i, words in late:
-                out[i] = b"".join(map(self.held.__getitem__, words))
+            held = self.held
+            for i, ids, at in late:
+                for k, w in at:
+                    ids[k] = held[w]
+                out[i] = b"".join(ids)
         return out
 
     def learn(self, words: set[str]) -> None:
