@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,8 @@ from .common import shuffle_partitions, stage
 
 #: Bytes of text that a task gathers before it hands on what it found.
 FLUSH_BYTES = 16 << 20
+#: Live anchors that a task gathers before it hands them on.
+FLUSH_ROWS = 150_000
 #: Bytes of text whose names are computed at once.
 BLOCK_BYTES = 2 << 20
 _NULL = -(1 << 63)
@@ -128,6 +131,29 @@ def _unpack(blob: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
+def _planes(a: np.ndarray) -> np.ndarray:
+    """The bytes of numbers, place by place: what compresses."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).reshape(-1)
+
+
+def _numbers(planes: np.ndarray, kind: str) -> np.ndarray:
+    w = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(w, -1).T).reshape(-1).view(kind)
+
+
+def _pack_near(d: np.ndarray, u: np.ndarray, pos: np.ndarray, j0: np.ndarray, j1: np.ndarray, text: np.ndarray) -> bytes:
+    """Anchors by their bytes, with each row's document once."""
+    order = np.argsort(np.ascontiguousarray(text[:, :8]).view(">u8")[:, 0], kind="stable") if text.shape[1] >= 8 else np.arange(len(d))
+    rows, first, at = np.unique(u[order], return_index=True, return_inverse=True)
+    return _pack(rows, d[order][first], _planes(at.astype(np.uint32)), _planes(pos[order]), j0[order], j1[order], text[order])
+
+
+def _unpack_near(data: bytes, width: int) -> tuple[np.ndarray, ...]:
+    rows, docs, at, pos, j0, j1, text = _unpack(data, "u8", "i8", "u1", "u1", "u1", "u1", "u1")
+    at = _numbers(at, "u4")
+    return docs[at], rows[at], _numbers(pos, "i8"), j0, j1, text.reshape(-1, width)
+
+
 def _split(key: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each bucket of the key, which entries go there."""
     if not len(key):
@@ -175,9 +201,11 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, by
 
 
 def _free(df: DataFrame) -> None:
-    """Shuffle files of finished steps go when the driver's garbage is collected."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    """Shuffle files of finished steps go when the driver's garbage is collected, on both sides; their owners are let go in between."""
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 24, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -259,7 +287,27 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 24, id_col: st
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Live anchors of the bucket's texts with the bytes around them, by name; the least document of equal ones, others removed."""
         last, held, keys = None, [], np.empty(0, np.uint64)
+        got: list[tuple] = []
         width = length + side
+
+        def out() -> pa.RecordBatch:
+            name, d, u, pos, j0, j1, text = (np.concatenate(x) for x in zip(*got, strict=True))
+            got.clear()
+            same = mixed(_row_names(np.concatenate([text, j0[:, None], j1[:, None]], 1)) ^ name)
+            order = np.lexsort((d, same))
+            name, d, u, pos, j0, j1, text, same = (x[order] for x in (name, d, u, pos, j0, j1, text, same))
+            head = np.ones(len(name), bool)
+            head[1:] = same[1:] != same[:-1]
+            rep = np.flatnonzero(head)[np.cumsum(head) - 1]
+            head |= (text != text[rep]).any(1) | (j0 != j0[rep]) | (j1 != j1[rep])  # names may collide, bytes don't
+            least = ~head & (d == d[rep])  # the same document again: it must be judged like the first
+            go = head | least
+            gone = ~go
+            found = [(b, NEAR, _pack_near(d[at], u[at], pos[at], j0[at], j1[at], text[at])) for b, at in ((b, np.flatnonzero(go)[at]) for b, at in _split(name[go], buckets))]
+            span = (u[gone], pos[gone] - j1[gone], pos[gone] - j0[gone] + length)
+            found += [(b, SPANS, np.int32(b).tobytes() + _pack(*(x[at] for x in span))) for b, at in _split(span[0], buckets)]
+            return _rows(found)
+
         for bucket, kind, data in _by_bucket(batches):
             if bucket != last:
                 last, held, keys = bucket, [], np.empty(0, np.uint64)
@@ -272,8 +320,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 24, id_col: st
                 continue
             ids, texts = opened(data)
             doc, uid = _keys(ids, texts)
-            got = []
-            for raw, which, shift, bounds, (a, lo, hi), name in _doc_blocks(texts, length, gram):
+            for raw, which, shift, _, (a, lo, hi), name in _doc_blocks(texts, length, gram):
                 k = mixed(name ^ uid[which] * _M1)
                 on = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, k), len(keys) - 1)] == k)
                 if not len(on):
@@ -283,23 +330,10 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 24, id_col: st
                 inside = (at >= lo[:, None]) & (at < hi[:, None] + length)  # what its windows cover
                 bytes_ = np.where(inside, raw[np.clip(at, 0, len(raw) - 1)], 0).astype(np.uint8)
                 got.append((name[on], doc[which], uid[which], a + shift, (a - hi).astype(np.uint8), (a - lo).astype(np.uint8), bytes_))
-            if not got:
-                continue
-            name, d, u, pos, j0, j1, text = (np.concatenate(x) for x in zip(*got, strict=True))
-            same = mixed(_row_names(np.concatenate([text, j0[:, None], j1[:, None]], 1)) ^ name)
-            order = np.lexsort((d, same))
-            name, d, u, pos, j0, j1, text, same = (x[order] for x in (name, d, u, pos, j0, j1, text, same))
-            head = np.ones(len(name), bool)
-            head[1:] = same[1:] != same[:-1]
-            rep = np.flatnonzero(head)[np.cumsum(head) - 1]
-            head |= (text != text[rep]).any(1) | (j0 != j0[rep]) | (j1 != j1[rep])  # names may collide, bytes don't
-            least = ~head & (d == d[rep])  # the same document again: it must be judged like the first
-            go = head | least
-            gone = ~go
-            found = [(b, NEAR, _pack(name[at], d[at], u[at], pos[at], j0[at], j1[at], text[at])) for b, at in ((b, np.flatnonzero(go)[at]) for b, at in _split(name[go], buckets))]
-            span = (u[gone], pos[gone] - j1[gone], pos[gone] - j0[gone] + length)
-            found += [(b, SPANS, np.int32(b).tobytes() + _pack(*(x[at] for x in span))) for b, at in _split(span[0], buckets)]
-            yield _rows(found)
+            if sum(len(g[0]) for g in got) >= FLUSH_ROWS:
+                yield out()
+        if got:
+            yield out()
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows around the bucket's anchors that a smaller document has, as spans by row."""
@@ -343,8 +377,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 24, id_col: st
             if kind == SPANS:
                 yield _rows([(int(np.frombuffer(data[:4], np.int32)[0]), SPANS, data[4:])])
             else:
-                *flat, text = _unpack(data, "u8", "i8", "u8", "i8", "u1", "u1", "u1")
-                held.append((*flat, text.reshape(-1, length + side)))
+                near = _unpack_near(data, length + side)
+                held.append((_row_names(near[-1][:, side : side + gram]), *near))
         if rows := out():
             yield _rows(rows)
 
