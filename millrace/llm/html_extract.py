@@ -2,20 +2,24 @@
 
 1. Each page is cut into visible blocks in one pass. Elements that are no content by their tag, role, class or id (menus, headers,
    footers, side bars, notices, adverts, forms, scripts, styles, comments) are left out. A block knows if it stands in an article or
-   main element.
-2. A page with such blocks is done: they are its text. Of the others the lines are range-sorted by host and path, with what lines
-   the finished pages have besides; so a host of any size is spread over tasks, and each page meets its neighbours in URL order: the nearer is the one with more leading path segments in common (the earlier page if equal). Pages at the ends of a
-   range are staged with their lines and joined to the neighbouring range's end, so the result does not depend on the ranges.
-3. The longest common subsequence of the two pages' lines outside article and main elements is template text and is deleted. A page
-   whose lines are all shared is a copy, and is compared with its other neighbour before it keeps its lines.
+   main element. Such an element has its exclusions too: an article with the class of a comment, or inside a closed left-out element,
+   is left out, unless no article block is left then and the articles hold more text than all that stays.
+2. A page without blocks outside article and main elements is done. The others are range-sorted by host and path; so a host of any
+   size is spread over tasks, and each page meets its neighbours in URL order: the nearer is the one with more leading path segments
+   in common (the earlier page if equal). Pages at the ends of a range are staged with their lines and joined to the neighbouring
+   range's end, so the result does not depend on the ranges.
+3. The longest common subsequence of the two pages' lines outside article and main elements is template text and is deleted; the other
+   lines stay, in page order with those of the articles. A page whose outside lines are all shared is a copy if it has no article
+   text or that of its neighbour, and is compared with its other neighbour before it keeps its lines.
 
 In a block, white space becomes one space and ends are trimmed; blocks are joined by an empty line. Null or empty html gives an empty
-text. Unclosed and unknown tags are tolerated; an article or main element ends any left-out element that is open.
+text. Unclosed and unknown tags are tolerated; an article or main element ends a left-out element that is open and never closed.
 """
 
 from __future__ import annotations
 
 import bisect
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -39,7 +43,7 @@ ARTICLE = frozenset("article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist note".split())
 NAMES = frozenset("nav navbar navigation menu submenu topbar header masthead footer colophon sidebar aside rail ad ads advert adverts advertisement banner sponsor sponsored promo promotion notice notices cookie cookies consent gdpr popup modal overlay alert disclaimer breadcrumb breadcrumbs pagination pager share sharing social related recommended newsletter subscribe subscription signup login comment comments reply replies respond disqus discussion widget toolbar skip".split())
 
-_KIND = pa.list_(pa.string())
+_KIND, _FLAGS = pa.list_(pa.string()), pa.list_(pa.bool_())
 
 
 def left_out(tag: str, attributes: str, inside: bool) -> bool:
@@ -58,14 +62,47 @@ def left_out(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name in ("class", "id") and tag not in ARTICLE and tag not in ("body", "html") and any(p.lower() in NAMES for p in PARTS.findall(value)):
             return True
+        if name in ("class", "id") and tag == "article" and any(p[0].lower() in NAMES for p in map(PARTS.findall, value.split()) if p):
+            return True  # by the first part only: has-sidebar and category-social are said of articles that are content
     return False
 
 
+def closed_tags(page: str) -> set[int]:
+    """Places of the elements that are closed by a tag of their own."""
+    found: set[int] = set()
+    stack: list[tuple[str, int]] = []
+    for m in TOKEN.finditer(page):
+        tag = (m[3] or m[6] or "").lower()
+        if not tag or tag in VOID or (m[4] or m[7] or "").endswith("/") and tag not in BLOCKS:
+            continue
+        if not (m[2] or m[5]):
+            if tag in ("p", "li") and stack and stack[-1][0] == tag:
+                stack.pop()
+            stack.append((tag, m.start()))
+            continue
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] == tag:
+                found.add(stack[i][1])
+                del stack[i:]
+                break
+    return found
+
+
 def blocks(page: str | None) -> list[tuple[str, bool]]:
     """(text, whether in an article) of the visible content blocks, in page order."""
+    found, dropped = _blocks(page or "", True)
+    if not dropped or any(own for _, own in found):
+        return found
+    every, _ = _blocks(page or "", False)
+    return every if sum(len(t) for t, own in every if own) > sum(len(t) for t, _ in found) else found
+
+
+def _blocks(page: str, strict: bool) -> tuple[list[tuple[str, bool]], bool]:
+    """The blocks, and whether an article was left out by its class or id or by what it stands in (only if strict)."""
     out: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, left out, in an article
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, left out, in an article, place if left out for itself or -1
     words: list[str] = []
+    closed, dropped = None, False
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(words)).split())
@@ -73,7 +110,7 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
             out.append((text, bool(stack and stack[-1][2])))
         words.clear()
 
-    for m in TOKEN.finditer(page or ""):
+    for m in TOKEN.finditer(page):
         token = m[0]
         if token[0] != "<" or token == "<":
             if not (stack and stack[-1][1]):
@@ -100,15 +137,20 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             continue
         if tag == "body" or tag in ARTICLE:  # whatever is open and left out was never closed, or holds no article
-            while stack and stack[-1][1]:
-                stack.pop()
+            if strict and tag == "article" and stack and stack[-1][1]:
+                closed = closed_tags(page) if closed is None else closed
+            if not (strict and tag == "article" and any(x[3] in closed for x in stack if x[3] >= 0)):
+                while stack and stack[-1][1]:
+                    stack.pop()
         elif tag == "p" or tag == "li":  # closes its like
             if stack and stack[-1][0] == tag:
                 stack.pop()
-        _, gone, inside = stack[-1] if stack else ("", False, False)
-        stack.append((tag, gone or left_out(tag, attributes, inside), inside or tag in ARTICLE))
+        _, gone, inside, _ = stack[-1] if stack else ("", False, False, -1)
+        bare = left_out(tag, attributes, inside) if strict or tag != "article" else left_out("main", attributes, inside)
+        dropped |= tag == "article" and (gone or bare)
+        stack.append((tag, gone or bare, inside or tag in ARTICLE, m.start() if bare else -1))
     flush()
-    return out
+    return out, dropped
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
@@ -159,15 +201,25 @@ def shared_segments(a: str, b: str) -> int:
     return n
 
 
-def main_text(lines: list[str], path: str, neighbours: list[tuple[str, list[str]]]) -> str:
-    """lines less those shared with the nearest of the neighbours (path and lines, in URL order)."""
-    for _, other in sorted(neighbours, key=lambda x: -shared_segments(path, x[0])):
-        gone = common_lines(lines, other)
-        if len(gone) < len(lines):
+def main_text(lines: list[str], path: str, neighbours: list[tuple[str, list[str], str]], own: list[bool] | None = None, inner: str = "") -> str:
+    """lines less those outside articles that the nearest of the neighbours has outside articles too.
+
+    own: which lines stand in an article; inner: digest() of those. A neighbour: path, outside lines and digest, in URL order.
+    """
+    outside = [i for i in range(len(lines)) if not (own and own[i])]
+    for _, other, its in sorted(neighbours, key=lambda x: -shared_segments(path, x[0])):
+        gone = {outside[k] for k in common_lines([lines[i] for i in outside], other)}
+        if len(gone) < len(outside) or inner and inner != its:
             return "\n\n".join(t for i, t in enumerate(lines) if i not in gone)
     return "\n\n".join(lines)
 
 
+def digest(found: list[tuple[str, bool]]) -> str:
+    """Of the blocks in articles; empty if there are none."""
+    inner = "\n\n".join(t for t, own in found if own)
+    return hashlib.md5(inner.encode("utf-8", "surrogatepass")).hexdigest() if inner else ""
+
+
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k in range(0, b.num_rows, 500):
@@ -175,17 +227,16 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def finished(pages: DataFrame) -> DataFrame:
-    """(id, url, text) of pages with article blocks or without any block, from pages (id, url, html)."""
+    """(id, url, text) of pages without any block outside articles, from pages (id, url, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _sliced(batches):
             at, texts = [], []
             for i, h in enumerate(b.column(2).to_pylist()):
                 found = blocks(h)
-                own = [t for t, o in found if o]
-                if own or not found:
+                if all(o for _, o in found):
                     at.append(i)
-                    texts.append("\n\n".join(own))
+                    texts.append("\n\n".join(t for t, _ in found))
             take = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(texts, pa.string())], ["id", "url", "text"])
 
@@ -193,23 +244,22 @@ def finished(pages: DataFrame) -> DataFrame:
 
 
 def unfinished(pages: DataFrame) -> DataFrame:
-    """(id, url, host, path, whole, lines) of the other pages, and of finished ones (whole: false) their lines outside articles, if any."""
+    """(id, url, host, path, inner, lines, own) of the other pages: all their blocks, which of them stand in an article, and the digest of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _sliced(batches):
             at, rows = [], []
             for i, (u, h) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 found = blocks(h)
-                lines = [t for t, o in found if not o]
-                if lines:
+                if not all(o for _, o in found):
                     at.append(i)
-                    rows.append((*url_key(u), len(lines) == len(found), lines))
+                    rows.append((*url_key(u), digest(found), [t for t, _ in found], [o for _, o in found]))
             take = pa.array(at, pa.int32())
-            types = [pa.string(), pa.string(), pa.bool_(), _KIND]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], ["id", "url", "host", "path", "whole", "lines"])
+            types = [pa.string(), pa.string(), pa.string(), _KIND, _FLAGS]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], ["id", "url", "host", "path", "inner", "lines", "own"])
 
-    more = [T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("whole", T.BooleanType()), T.StructField("lines", T.ArrayType(T.StringType()))]
-    return pages.mapInArrow(run, T.StructType([pages.schema["id"], pages.schema["url"], *more]))
+    more = [T.StructField(c, T.StringType()) for c in ("host", "path", "inner")]
+    return pages.mapInArrow(run, T.StructType([pages.schema["id"], pages.schema["url"], *more, T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("own", T.ArrayType(T.BooleanType()))]))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -222,13 +272,13 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """text for pages inside the range; the first and the last page keep their lines and those of the page next to them."""
         part = TaskContext.get().partitionId()
-        names = ["id", "url", "text", "part", "place", "host", "path", "whole", "lines", "path2", "lines2"]
+        names = ["id", "url", "text", "part", "place", "host", "path", "inner", "lines", "own", "path2", "lines2", "inner2"]
         rows = ((x, b.schema) for b in batches for x in b.to_pylist())
         kinds = None
         out: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
-            types = [kinds.field("id").type, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), _KIND, pa.string(), _KIND]
+            types = [kinds.field("id").type, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), _KIND, _FLAGS, pa.string(), _KIND, pa.string()]
             made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
             out.clear()
             return made
@@ -246,36 +296,36 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             yield batch()
 
     def emit(out: list[tuple], part: int, before: dict | None, here: dict, after: dict | None) -> None:
-        near = [(x["path"], x["lines"]) for x in (before, after) if x and x["host"] == here["host"]]
+        near = [(x["path"], [t for t, o in zip(x["lines"], x["own"], strict=True) if not o], x["inner"]) for x in (before, after) if x and x["host"] == here["host"]]
         if before and after:
-            if here["whole"]:
-                out.append((here["id"], here["url"], main_text(here["lines"], here["path"], near), part, 0, *[None] * 6))
+            out.append((here["id"], here["url"], main_text(here["lines"], here["path"], near, here["own"], here["inner"]), part, 0, *[None] * 8))
         else:  # place: 1 first, 2 last, 3 both
-            path, lines = near[0] if near else (None, None)
-            out.append((here["id"], here["url"], None, part, (not before) + 2 * (not after), here["host"], here["path"], here["whole"], here["lines"], path, lines))
+            path, lines, inner = near[0] if near else (None, None, None)
+            out.append((here["id"], here["url"], None, part, (not before) + 2 * (not after), here["host"], here["path"], here["inner"], here["lines"], here["own"], path, lines, inner))
 
-    lines_type = source.schema["lines"].dataType
+    lines_type, flags_type = source.schema["lines"].dataType, source.schema["own"].dataType
     text = [T.StructField(c, T.StringType()) for c in ("url", "text")]
-    schema = T.StructType([source.schema["id"], *text, T.StructField("part", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("whole", T.BooleanType()), T.StructField("lines", lines_type), T.StructField("path2", T.StringType()), T.StructField("lines2", lines_type)])
-    staged = stage(ordered.select("id", "url", "host", "path", "whole", "lines").mapInArrow(pair, schema), "html-pairs")
+    schema = T.StructType([source.schema["id"], *text, T.StructField("part", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("inner", T.StringType()), T.StructField("lines", lines_type), T.StructField("own", flags_type), T.StructField("path2", T.StringType()), T.StructField("lines2", lines_type), T.StructField("inner2", T.StringType())])
+    staged = stage(ordered.select("id", "url", "host", "path", "inner", "lines", "own").mapInArrow(pair, schema), "html-pairs")
     ends = staged.where("place > 0")
     parts = sorted(r["part"] for r in ends.select("part").distinct().collect())  # one number a task
     order = spark.createDataFrame([(p, i) for i, p in enumerate(parts)] or [(-1, 0)], "part int, seq int")
     ends = ends.join(F.broadcast(order), "part")
-    firsts = ends.where("place in (1, 3)").select((F.col("seq") - 1).alias("seq"), F.col("host").alias("ah"), F.col("path").alias("ap"), F.col("lines").alias("al"))
-    lasts = ends.where("place in (2, 3)").select((F.col("seq") + 1).alias("seq"), F.col("host").alias("bh"), F.col("path").alias("bp"), F.col("lines").alias("bl"))
-    met = ends.where("whole").join(firsts, "seq", "left").join(lasts, "seq", "left").select("id", "url", "place", "host", "path", "lines", "path2", "lines2", "ah", "ap", "al", "bh", "bp", "bl")
+    outside = F.filter("lines", lambda x, i: ~F.get("own", i))
+    firsts = ends.where("place in (1, 3)").select((F.col("seq") - 1).alias("seq"), F.col("host").alias("ah"), F.col("path").alias("ap"), outside.alias("al"), F.col("inner").alias("ai"))
+    lasts = ends.where("place in (2, 3)").select((F.col("seq") + 1).alias("seq"), F.col("host").alias("bh"), F.col("path").alias("bp"), outside.alias("bl"), F.col("inner").alias("bi"))
+    met = ends.join(firsts, "seq", "left").join(lasts, "seq", "left").select("id", "url", "place", "host", "path", "inner", "lines", "own", "path2", "lines2", "inner2", "ah", "ap", "al", "ai", "bh", "bp", "bl", "bi")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
             for r in b.to_pylist():
-                inner = [(r["path2"], r["lines2"])] if r["lines2"] is not None else []
-                near = [(r["bp"], r["bl"])] if r["place"] & 1 and r["bl"] is not None and r["bh"] == r["host"] else []
+                inner = [(r["path2"], r["lines2"], r["inner2"])] if r["lines2"] is not None else []
+                near = [(r["bp"], r["bl"], r["bi"])] if r["place"] & 1 and r["bl"] is not None and r["bh"] == r["host"] else []
                 near += inner if r["place"] == 1 else []
-                last = [(r["ap"], r["al"])] if r["place"] & 2 and r["al"] is not None and r["ah"] == r["host"] else []
+                last = [(r["ap"], r["al"], r["ai"])] if r["place"] & 2 and r["al"] is not None and r["ah"] == r["host"] else []
                 near += (inner if r["place"] == 2 else []) + last
-                texts.append(main_text(r["lines"], r["path"], near))
+                texts.append(main_text(r["lines"], r["path"], near, r["own"], r["inner"]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
     done = met.mapInArrow(finish, T.StructType([source.schema["id"], *text]))

@@ -66,6 +66,36 @@ def test_differencing_does_not_depend_on_ranges(spark, parts):
     assert by[(90, "http://alone.example/x")] == "only" and by[(91, None)] == "" and by[(93, "http://two.example/a")] == "same"
 
 
+@pytest.mark.parametrize("parts", ["1", "5"])
+def test_lines_outside_articles_are_differenced(spark, parts):
+    card = "<article><p>{0}</p></article>"
+    body = lambda i, tail="": f"<div>Site</div>{card.format(f'card {i}')}<div><p>main {i}</p><p>more {i}</p></div><div>foot</div>{tail}"
+    rows = [(i, f"http://h.example/a/{i}", body(i)) for i in range(10, 30)]
+    rows += [(40 + k, f"http://copy.example/{k}", body(0)) for k in range(2)] + [(42, "http://copy.example/2", body(2))]
+    rows += [(50 + k, f"http://plain.example/{k}", f"<div>Site</div>{card.format(k)}") for k in range(3)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+        got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(got) == len(rows) and all(got[i] == f"card {i}\n\nmain {i}\n\nmore {i}" for i in range(10, 30))
+    assert got[41] == "card 0\n\nmain 0\n\nmore 0"  # its nearest page is a copy, so the other one decides
+    assert [got[50 + k] for k in range(3)] == ["0", "1", "2"]
+
+
+@pytest.mark.parametrize(("body", "want"), [
+    ("<article><p>story</p></article><article class='comment-body even'><p>nice</p></article>", [("story", True)]),
+    ("<article class='post has-sidebar'><p>story</p></article><div id=comments><article><p>nice</p></article></div>", [("story", True)]),
+    ("<div><p>the main text</p></div><section class=comments><article><p>nice</p></article></section>", [("the main text", False)]),
+    ("<form><div>go</div><article><p>a page in one form</p></article></form><p>x</p>", [("a page in one form", True), ("x", False)]),
+    ("<article class=promo><p>all there is</p></article>", [("all there is", True)]),
+])
+def test_left_out_articles(body, want):
+    assert html_extract.blocks(page(body)) == want
+
+
 def labelled(n=200, seed=4):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
