@@ -13,7 +13,7 @@ from ..sources import readers
 from .catalogue import register
 from .corpus import _QA, _STRIP, _TOK, docs, labels, lines, pairs, table
 from .datasets import aligned, dialogues
-from .retrieval import _BM25, _CHAIN, _FUSED, _OUT, _SPARSE, _WORDS, bm25, documents, fused, questions, reranked, shown, sparse
+from .retrieval import _BM25, _CHAIN, _FUSED, _OUT, _SPARSE, _WORDS, EVERY_50TH, bm25, documents, fused, questions, reranked, shown, sparse
 
 register("r1_tokens", lambda s, d: docs(s, d).select("doc_id", X.tokens("text").alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct")), f"SELECT doc_id, len({_TOK.format('text')}) AS n, len(list_distinct({_TOK.format('text')})) AS n_distinct FROM documents")
 register("r2_tokens_two_chars", lambda s, d: docs(s, d).select("doc_id", F.size(X.tokens("text", 2)).cast("long").alias("n")), f"SELECT doc_id, len(list_filter({_TOK.format('text')}, lambda w: length(w) >= 2)) AS n FROM documents")
@@ -69,6 +69,7 @@ register("j3_paraphrase_map", lambda s, d: qa.with_paraphrases(pairs(s, d), pair
 register("j8_dense_cosine", lambda s, d: shown(retrieval.dense(table("embeddings")(s, d).select(F.col("vec_id").alias("unique_id"), retrieval.normalised("embedding").alias("embedding")), table("embeddings")(s, d).where("vec_id >= 490 and vec_id < 500").select(F.col("vec_id").alias("query_id"), retrieval.normalised("embedding").alias("embedding")), 3)), f"""WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y)))) AS v FROM embeddings),
 s AS (SELECT q.vec_id AS item_id, e.vec_id AS doc_id, list_sum(list_transform(list_zip(e.v, q.v), lambda z: z[1] * z[2])) AS score FROM n e, n q WHERE q.vec_id >= 490 AND q.vec_id < 500),
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) SELECT {_OUT} FROM k WHERE rank <= 3""")
+register("j8_dense_cosine_whole", lambda s, d: shown(retrieval.dense(*[table("embeddings")(s, d).where(w).select(F.col("vec_id").alias(n), retrieval.normalised("embedding").alias("embedding")) for w, n in (("true", "unique_id"), (EVERY_50TH, "query_id"))], 3)))
 register("j9_rank_fusion_sum", lambda s, d: fusion.wrrf([(bm25(s, d), 1.0), (sparse(s, d), 0.5)], 10).select("query_id", "unique_id", F.round("score", 6).alias("score")), f"WITH {_BM25}, {_SPARSE}, p AS (SELECT item_id, doc_id, 1.0 / (10 + rank) AS part FROM bm25 UNION ALL SELECT item_id, doc_id, 0.5 / (10 + rank) FROM sparse) SELECT item_id AS query_id, doc_id AS unique_id, round(sum(part), 6) AS score FROM p GROUP BY ALL")
 register("j11_subject_category", lambda s, d: metrics.accuracy(docs(s, d).join(F.broadcast(s.createDataFrame([("en", "germanic"), ("de", "germanic"), ("fr", "romance"), ("es", "romance")], "lang string, category string")), "lang"), "category", F.col("n_chars") > 1000).select("category", "n", F.round("accuracy", 6).alias("accuracy")), "WITH c AS (SELECT CASE WHEN lang IN ('en', 'de') THEN 'germanic' ELSE 'romance' END AS category, n_chars > 1000 AS ok FROM documents) SELECT CASE WHEN grouping(category) = 1 THEN 'Average' ELSE category END AS category, count(*) AS n, round(avg(ok::int), 6) AS accuracy FROM c GROUP BY ROLLUP (category)")
 register("w3_adjacent_lines", lambda s, d: lines(s, d).withColumn("next", F.lead("line").over(Window.partitionBy("doc_id").orderBy("pos"))).where("next is not null and length(line) = length(next)").select("doc_id", "pos"), "WITH l AS (SELECT doc_id, i - 1 AS pos, p[i] AS a, p[i + 1] AS b FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))) SELECT doc_id, pos FROM l WHERE pos IS NOT NULL AND b IS NOT NULL AND length(a) = length(b)")

@@ -91,14 +91,18 @@ SELECT {_OUT} FROM k WHERE rank <= 10""",
 )
 
 
-def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+#: The queries of the …_whole searches: a set that grows with the table. Their SQL would be too slow; tests compare with brute force.
+EVERY_50TH = "vec_id % 50 = 0"
+
+
+def _vectors(spark: SparkSession, sf: str, asked: str = "vec_id < 20") -> tuple[DataFrame, DataFrame]:
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    return e.select(F.col("vec_id").alias("unique_id"), "embedding", "label"), e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("q_label"))
+    return e.select(F.col("vec_id").alias("unique_id"), "embedding", "label"), e.where(asked).select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("q_label"))
 
 
-def _dense(metric: str, k: int):
+def _dense(metric: str, k: int, asked: str = "vec_id < 20"):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        v, q = _vectors(spark, sf)
+        v, q = _vectors(spark, sf, asked)
         return shown(retrieval.dense(v.select("unique_id", "embedding"), q, k, metric))
 
     return run
@@ -113,11 +117,13 @@ _IP = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: z[1
 _L2 = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: (z[1]::double - z[2]::double) ** 2))"
 register("r7_dense_ip_topk", _dense("ip", 10), _dense_sql(_IP, "DESC", 10))
 register("r8_dense_l2_topk", _dense("l2", 10), _dense_sql(_L2, "ASC", 10))
+register("r7_dense_ip_topk_whole", _dense("ip", 10, EVERY_50TH))
+register("r8_dense_l2_topk_whole", _dense("l2", 10, EVERY_50TH))
 
 
-def label_knn(spark: SparkSession, sf: str) -> DataFrame:
+def label_knn(spark: SparkSession, sf: str, asked: str = "vec_id < 20") -> DataFrame:
     """How often the nearest other vectors share the label, by label and over all."""
-    v, q = _vectors(spark, sf)
+    v, q = _vectors(spark, sf, asked)
     hits = retrieval.dense(v.select("unique_id", "embedding"), q, 6).where("query_id <> unique_id")
     both = hits.join(v.select("unique_id", "label"), "unique_id").join(q.select("query_id", "q_label"), "query_id")
     from ..operators.metrics import accuracy
@@ -133,6 +139,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY round(score, 9) DESC
 h AS (SELECT * FROM k WHERE rank <= 6 AND qi <> di)
 SELECT CASE WHEN grouping(ql) = 1 THEN 'Average' ELSE ql::varchar END AS category, count(*) AS n, round(avg((ql = dl)::int), 6) AS accuracy FROM h GROUP BY ROLLUP (ql)""",
 )
+register("a10_accuracy_rollup_whole", lambda s, d: label_knn(s, d, EVERY_50TH))
 
 
 def _with_parents(spark: SparkSession, sf: str) -> DataFrame:
