@@ -154,12 +154,15 @@ def rouge_n(hyp: list[str], ref: list[str], n: int) -> float:
 
 
 def rouge_l(hyp: list[str], ref: list[str]) -> float:
-    row = [0] * (len(ref) + 1)
+    """By a longest common subsequence, a row of its table as the bits of one number: a zero is where the length grows."""
+    at: dict[str, int] = {}
+    for j, y in enumerate(ref):
+        at[y] = at.get(y, 0) | 1 << j
+    every = row = (1 << len(ref)) - 1
     for x in hyp:
-        before = 0
-        for j, y in enumerate(ref):
-            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
-    return _f1(row[-1], len(hyp), len(ref))
+        hit = row & at.get(x, 0)
+        row = (row + hit | row - hit) & every
+    return _f1(len(ref) - row.bit_count(), len(hyp), len(ref))
 
 
 def bleu4(hyp: list[str], ref: list[str]) -> float:

@@ -261,7 +261,7 @@ register("a13_reward_accuracy", lambda s, d: docs(s, d).agg(F.round(metrics.pref
 register("a11_token_accuracy", lambda s, d: masked(s, d).select("conv_id", "turn", F.round(metrics.token_accuracy(F.transform("input_ids", lambda x: F.when(x % 2 == 0, x).otherwise(0)), F.col("labels")), 6).alias("acc")), f"WITH {_MASKED}, p AS (SELECT conv_id, turn, list_filter(list_zip(list_transform(input_ids[:len(input_ids) - 1], lambda x: CASE WHEN x % 2 = 0 THEN x ELSE 0 END), labels[2:]), lambda z: z[2] <> -100) AS z FROM ml) SELECT conv_id, turn, round(len(list_filter(z, lambda y: y[1] = y[2]))::double / nullif(len(z), 0), 6) AS acc FROM p")
 register("a15_perplexity", lambda s, d: embeddings(s, d).select("vec_id", F.round(metrics.perplexity(F.transform("embedding", lambda x: -F.abs(x.cast("double"))), F.transform("embedding", lambda x: (x > 0).cast("int"))), 5).alias("ppl")), "SELECT vec_id, round(exp(list_sum(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN abs(x::double) ELSE 0.0 END)) / len(list_filter(embedding, lambda x: x > 0))), 5) AS ppl FROM embeddings")
 register("a12_rouge_1", lambda s, d: metrics.rouge_1_counts(pairs(s, d), "conv_id", X.tokens("question"), X.tokens("answer")).select("conv_id", F.col("hits").cast("long").alias("hits"), F.round("rouge_1", 6).alias("rouge_1")), rf"WITH {_QA}, t AS (SELECT conv_id, list_distinct(list_filter(regexp_split_to_array(lower(question), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(answer), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS b FROM qa), h AS (SELECT *, len(list_intersect(a, b)) AS hits FROM t) SELECT conv_id, hits, round(CASE WHEN hits = 0 THEN 0.0 ELSE 2.0 * hits / (len(a) + len(b)) END::double, 6) AS rouge_1 FROM h")
-register("a12_overlap_scores", lambda s, d: metrics.overlap_scores(pairs(s, d).where("length(answer) < 1500 and length(question) < 1500"), "question", "answer").select("conv_id", "turn", "rouge_1", "rouge_2", "rouge_l", "bleu_4"))
+register("a12_overlap_scores", lambda s, d: metrics.overlap_scores(pairs(s, d), "question", "answer").select("conv_id", "turn", "rouge_1", "rouge_2", "rouge_l", "bleu_4"))
 register("a9_baseline_delta", lambda s, d: labels(s, d).agg(F.round(N.delta_percent(F.avg("quality"), F.avg("toxic")), 3).alias("delta")), "SELECT round((avg(quality) - avg(toxic)) / (avg(toxic) + 1e-9) * 100, 3) AS delta FROM labels")
 register("a1_cluster_text", lambda s, d: chunking.grouped_text(lines(s, d).withColumn("k", F.col("pos") % 3), ["doc_id", "k"], "pos", "line", " ", "text"), "WITH l AS (SELECT doc_id, i - 1 AS pos, p[i] AS line FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))) SELECT doc_id, pos % 3 AS k, string_agg(line, ' ' ORDER BY pos) AS text FROM l GROUP BY ALL")
 register("w1_rank", lambda s, d: fusion.ranks_without_gaps(docs(s, d).select(F.col("source").alias("query_id"), "doc_id", "n_chars"), ["n_chars", "doc_id"]).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank")), "SELECT source AS query_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS rank FROM documents")

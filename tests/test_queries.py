@@ -1,6 +1,7 @@
 """Each query against its SQL oracle on the smallest tables; slow, so a spread of them."""
 
 import os
+import random
 
 import duckdb
 import numpy as np
@@ -65,3 +66,21 @@ def test_dense_searches_ask_every_50th_vector(spark, tmp_path, monkeypatch, bloc
     got = {r["category"]: (r["n"], r["accuracy"]) for r in entry.queries()["a10_accuracy_rollup_whole"](spark, str(tmp_path)).collect()}
     want = {str(c): [ok for y, ok in pairs if y == c] for c in {y for y, _ in pairs}} | {"Average": [ok for _, ok in pairs]}
     assert got == {c: (len(x), round(float(np.mean(x)), 6)) for c, x in want.items()}
+
+
+def test_overlap_scores_of_long_texts(spark, tmp_path):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefg") * rng.randint(1, 3) for _ in range(n)) for n in (5, 7, 700, 900)]
+    rows = [(i, 2 * t + j, role, x) for i in range(2) for t in range(1) for j, (role, x) in enumerate(zip(("user", "assistant"), texts[2 * i : 2 * i + 2], strict=True))]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def lcs(a, b):
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
+        return int(table[-1, -1])
+
+    got = {r["conv_id"]: r["rouge_l"] for r in entry.queries()["a12_overlap_scores"](spark, str(tmp_path)).collect()}
+    want = {i: round(200 * lcs(a.split(), b.split()) / (len(a.split()) + len(b.split())), 4) for i, (a, b) in enumerate((texts[:2], texts[2:]))}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-3) for i in want)
