@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines within a word of an earlier one go; n_chars follows the text."""
-    kept = line_dedup.dedup_lines(docs)
+    """Lines within a word of an earlier one go, and short ones equal to an earlier one; n_chars follows the text."""
+    kept = line_dedup.dedup_lines(docs, short_lines=True)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

@@ -2,7 +2,9 @@
 
 A line's words are what white space separates, lower-cased. A line of at least ``min_words`` words is removed if an earlier one (by
 document id, then line number) is within one word of it: equal, or one word changed, added or left out. With five words that is a
-similarity of 0.8. Shorter lines are left alone, and so is the earliest of each group.
+similarity of 0.8; the bound stays one word at any length, so a longer line of n words is matched at (n - 1) / n only (0.98 at 50
+words) and near copies with more changes stay. Shorter lines, and so lines of text without white space, are left alone, or with
+``short_lines`` go if an earlier line has equal words (lines without a word always stay). The earliest of each group stays.
 
 1. Equal lines become one class by a map-side aggregate over a 128-bit hash; it keeps the earliest place. However often a line
    occurs, it is one row from here on.
@@ -70,15 +72,15 @@ def _small(df: DataFrame, label: str) -> DataFrame:
     return F.broadcast(staged) if staged.count() <= BROADCAST_ROWS else staged
 
 
-def near_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def near_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """Classes of equal lines (h1, h2, n, first, copies), staged, and those with an earlier neighbour (h1, h2)."""
     if min_words < 2:
         raise ValueError("lines of one word would all be neighbours")
-    lines = _lines(docs, id_col, text_col).where(F.col("n") >= min_words)
+    lines = _lines(docs, id_col, text_col).where(F.col("n") >= (1 if short_lines else min_words))
     keyed = _hashed(lines).select("h1", "h2", "n", F.struct("id", "tid", "line_no").alias("pos"), *[k.alias(f"k{i}") for i, k in enumerate(_half_keys())])
     grouped = keyed.groupBy("h1", "h2", "n").agg(F.min("pos").alias("first"), F.count("*").alias("copies"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
     classes = stage(grouped.withColumn("lid", F.monotonically_increasing_id()), "lines-classes")
-    halves = classes.select("lid", F.explode(F.array(*[f"k{i}" for i in range(4)])).alias("key"))
+    halves = classes.where(F.col("n") >= min_words).select("lid", F.explode(F.array(*[f"k{i}" for i in range(4)])).alias("key"))
     shared = _small(halves.groupBy("key").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).where("a <> b").select("key"), "lines-keys")
     able = _small(halves.join(shared, "key").select("lid").distinct(), "lines-able")
     first = classes.join(able, "lid").select("h1", "h2", "first.*")
@@ -116,11 +118,11 @@ def near_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text
     return classes, stage(places.join(near, "ord").select("h1", "h2"), "lines-near")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
     """docs with the text less its removed lines, and n_lines and n_removed; columns of these names are replaced."""
-    classes, near = near_lines(docs, min_words, id_col, text_col)
+    classes, near = near_lines(docs, min_words, id_col, text_col, short_lines)
     going = classes.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("copies > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    lines = _hashed(_lines(docs, id_col, text_col).where(F.col("n") >= min_words)).select("h1", "h2", F.struct("id", "tid", "line_no").alias("pos"))
+    lines = _hashed(_lines(docs, id_col, text_col).where(F.col("n") >= (1 if short_lines else min_words))).select("h1", "h2", F.struct("id", "tid", "line_no").alias("pos"))
     gone = lines.join(going, ["h1", "h2"]).where("near or pos <> first")
     lists = gone.groupBy(F.col("pos.id").alias("__id"), F.col("pos.tid").alias("__tid")).agg(F.collect_set("pos.line_no").alias("__gone"))
     both = docs.join(lists, docs[id_col].eqNullSafe(lists["__id"]) & (F.xxhash64(docs[text_col]) == lists["__tid"]), "left")

@@ -120,3 +120,13 @@ def test_lines_edge_cases(docs_of):
     assert out.count() == 0 and set(docs.columns) < set(out.columns)
     with pytest.raises(ValueError):
         line_dedup.dedup_lines(docs, min_words=1)
+
+
+def test_short_and_spaceless_lines(spark, docs_of):
+    import corpus_pipeline
+
+    rows = [(1, "Les.\n\na b c d e f"), (2, "les.\n\n这是一个没有空格的段落\na b c d e x"), (3, "这是一个没有空格的段落\nles\n  LES. \nand b"), (None, "and  b")]
+    docs = docs_of(rows)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs.withColumn("n_chars", docs["doc_id"]), "").collect()}
+    assert got == {1: "Les.\n\na b c d e f", 2: "\n这是一个没有空格的段落", 3: "les", None: "and  b"}
+    assert {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs).collect()} == {1: 0, 2: 1, 3: 0, None: 0}
