@@ -58,15 +58,15 @@ def _majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp) for each row; fp as a signed long."""
+    """(id, fp, tid) for each row; fp as a signed long, tid a hash of the text as it stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(x, shingle, seed) for x in normalised(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), b.column(2)], ["id", "fp", "tid"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType()), T.StructField("tid", T.LongType())])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tid")).mapInArrow(run, schema)
 
 
 def _settle(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
@@ -151,23 +151,33 @@ def links(classes: DataFrame, radius: int = 4, tile: int | None = None) -> DataF
     return both.select("fa", "fb").repartition(4 * parts).mapInArrow(compare, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, seed: int = 42, tile: int | None = None) -> DataFrame:
-    """A row for each row of docs: <id_col>, fingerprint, component_id (the smallest id reachable)."""
+def labelled_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, seed: int, tile: int | None) -> DataFrame:
+    """(fp, id, tid, root, component_id) for each row of docs; root tells components apart, as several may have the same smallest id."""
     rows = stage(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-rows")
     classes = stage(rows.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-classes")
     roots = connected_components(links(classes, radius, tile))
     labelled = classes.join(roots, classes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = stage(labelled.join(least, "root").select("fp", "component_id"), "simhash-named")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = stage(labelled.join(least, "root").select("fp", "root", "component_id"), "simhash-named")
+    return rows.join(named, "fp")
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, seed: int = 42, tile: int | None = None) -> DataFrame:
+    """A row for each row of docs: <id_col>, fingerprint, component_id (the smallest id reachable)."""
+    rows = labelled_rows(docs, id_col, text_col, shingle, radius, seed, tile)
+    return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
-    """The rows of docs whose id is the smallest of their component, all columns kept; rows that repeat a kept id and text stay once.
+    """One row of docs for each component, all columns kept: that of the smallest id, and of several texts with that id the one of the smallest hash.
 
-    A row with a null id stays only where its whole component has no other id.
+    Rows that repeat its id and text stay once. A row with a null id stays only where its whole component has no other id.
     """
-    found = simhash_components(docs, id_col, text_col, shingle, radius, seed)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), "fingerprint").distinct()
-    whole = docs.join(kept.select("__id").distinct(), docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
-    return whole
+    own = labelled_rows(docs, id_col, text_col, shingle, radius, seed, None).where(F.col("id").eqNullSafe(F.col("component_id")))
+    texts = own.groupBy("root", "id", "tid").agg(F.count("*").alias("n"))
+    kept = stage(texts.groupBy("root").agg(F.min(F.struct("tid", "id", "n")).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.tid").alias("__tid"), F.col("k.n").alias("__n")), "simhash-kept")
+    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__tid"))
+    once = docs.join(kept.where("__n = 1"), same, "left_semi")
+    if kept.where("__n > 1").isEmpty():
+        return once
+    return once.union(docs.join(kept.where("__n > 1"), same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -95,6 +95,16 @@ def test_near_duplicates_drop(docs_of):
     assert simhash.simhash_components(docs_of([])).count() == 0
 
 
+def test_near_duplicates_of_repeated_rows(docs_of):
+    far = "words of another kind that share nothing with it"
+    rows = [(1, "a b c d e"), (1, "a b c d e"), (1, "A b c d e"), (2, "a b c d E")]  # one component
+    rows += [(0, far), (1, far), (1, "one more text of its own"), (None, "null id text"), (None, "null id text")]
+    docs = docs_of(rows)
+    out = simhash.drop_near_duplicates(docs)
+    got = sorted(((r["doc_id"], r["text"].lower()) for r in out.collect()), key=str)
+    assert out.columns == docs.columns and got == [(0, far), (1, "a b c d e"), (1, "one more text of its own"), (None, "null id text")]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i != 20] + [(100, 50 + i) for i in range(40)] + [(7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in common.connected_components(edges).collect()}
