@@ -14,11 +14,41 @@ def hash_split(df: DataFrame, key: Column | str, percent: int, seed: str = "", n
     return df.withColumn("split", F.when(X.hash_bucket(F.concat(F.lit(seed), key.cast("string")), 100) < percent, names[0]).otherwise(names[1]))
 
 
-def running_total(df: DataFrame, order: list[str], value: Column | str, name: str) -> DataFrame:
-    """df with the sum of value up to and with each row by order: range-sorted, summed in each range and shifted by the ranges before."""
+#: Rows that a range's bounds are chosen from, for each range.
+BOUND_ROWS = 20
+
+
+def range_number(df: DataFrame, order: list[str]) -> Column:
+    """A number for each row that rises with order, spreading df over about as many ranges as there are shuffle partitions.
+
+    The bounds are taken once, from a sample of at most BOUND_ROWS rows a range (those of the least hash), and are constants of the
+    expression: wherever, and however often, the number is computed, a row has the same one.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    own = F.struct(*[F.col(c) for c in order])
+    hashed = F.xxhash64(*[F.col(c).cast("string") for c in order])
+    chosen = df.select(*order).withColumn("__h", hashed).orderBy("__h").limit(BOUND_ROWS * parts).orderBy(*order).collect()
+    step = max(1, len(chosen) // parts)
+    types = {c: df.schema[c].dataType for c in order}
+    bounds = [F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in order]) for r in chosen[step::step]]
+
+    def place(lo: int, hi: int) -> Column:
+        """How many of the bounds lo..hi - 1 a row reaches, plus lo, by bisection."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(own >= bounds[mid], place(mid + 1, hi)).otherwise(place(lo, mid))
+
+    return place(0, len(bounds))
+
+
+def running_total(df: DataFrame, order: list[str], value: Column | str, name: str) -> DataFrame:
+    """df with the sum of value up to and with each row by order: summed in each range of rows and shifted by the ranges before.
+
+    Equal rows by order come in any order, in one task.
+    """
     value = F.col(value) if isinstance(value, str) else value
-    ranged = df.withColumn("__v", value).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    ranged = df.withColumn("__v", value).withColumn("__part", range_number(df, order))
     sums = ranged.groupBy("__part").agg(F.sum("__v").alias("__n"))  # a row a range
     before = sums.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     own = F.sum("__v").over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
