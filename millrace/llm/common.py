@@ -13,10 +13,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of keys that are sent to every executor at once (under 100 bytes each).
+BLOCK_ROWS = 400_000
+#: Blocks of keys up to which documents are read once a block and stay where they are; with more they are shuffled.
+MOST_BLOCKS = 8
+
 _own_dir: list[str] = []
 
 
@@ -25,10 +31,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, with a master on this machine only, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="millrace-"))
     return _own_dir[0]
@@ -59,6 +68,37 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added to those that df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def met(docs: DataFrame, marks: DataFrame, keys: dict[str, Column], how: str) -> DataFrame:
+    """docs joined with marks, without moving the documents if marks are few enough.
+
+    marks: staged, a row a key, columns other than those of docs. keys: by column of marks, what it must equal of docs (nulls too).
+    marks are sent out in blocks of about BLOCK_ROWS; a block's documents are those whose key has its hash.
+    """
+    blocks = max(1, -(-marks.count() // BLOCK_ROWS))
+
+    def joined(d: DataFrame, m: DataFrame) -> DataFrame:
+        return d.join(m, reduce(Column.__and__, (v.eqNullSafe(F.col(k)) for k, v in keys.items())), how)
+
+    if blocks == 1:
+        return joined(docs, F.broadcast(marks))
+    if blocks > MOST_BLOCKS:
+        return joined(docs, marks)
+    at = lambda columns, b: F.pmod(F.xxhash64(*columns), F.lit(blocks)) == b
+    parts = [joined(docs.where(at(keys.values(), b)), F.broadcast(marks.where(at([F.col(k) for k in keys], b)))) for b in range(blocks)]
+    return reduce(DataFrame.union, parts)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the smallest node of its component.
 

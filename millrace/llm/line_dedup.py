@@ -1,20 +1,22 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
-A line's words are what white space separates, lower-cased. A line of at least ``min_words`` words is removed if an earlier one (by
-document id, then line number) is within one word of it: equal, or one word changed, added or left out. With five words that is a
-similarity of 0.8; the bound stays one word at any length, so a longer line of n words is matched at (n - 1) / n only (0.98 at 50
-words) and near copies with more changes stay. Shorter lines, and so lines of text without white space, are left alone, or with
-``short_lines`` go if an earlier line has equal words (lines without a word always stay). The earliest of each group stays.
-
-1. Equal lines become one class by a map-side aggregate over a 128-bit hash; it keeps the earliest place. However often a line
+A line's words are what white space (space, tab, line and form feeds, carriage return) separates, lower-cased. A line with words is
+removed if an earlier one (by document id, then line number) has equal words, and one of at least ``min_words`` words also if an
+earlier one is within one word of it: one word changed, added or left out. With five words that is a similarity of 0.8; the bound
+stays one word at any length, so a longer line of n words is matched at (n - 1) / n only (0.98 at 50 words) and near copies with more
+changes stay. Lines without a word always stay. The earliest of each group stays.
+
+1. One pass over the texts: the hashes of every line and of its halves are staged, a light row a line. Texts are read again only for
+   candidates and for the result.
+2. Equal lines become one class by a map-side aggregate over a 128-bit hash; it keeps the earliest place. However often a line
    occurs, it is one row from here on.
-2. A line and its neighbour agree on one half of their words. Classes that share no half with another class (four hashed keys a line)
-   can have no neighbour and leave here; the rest, with its words, is staged.
-3. Each line left emits its deletion variants, one for each word, as hashed keys: sums of word hashes at their places, so a variant costs
+3. A line and its neighbour agree on one half of their words. Classes that share no half with another class (four hashed keys a line)
+   can have no neighbour and leave here; the words of the rest are staged.
+4. Each line left emits its deletion variants, one for each word, as hashed keys: sums of word hashes at their places, so a variant costs
    a row and not a copy of the line. Lines equal but for the word at place i share the variant of place i; a line that is
    another's variant shares it with the line's own hash. A minimum over each key finds the earliest partner: no pairs within a key.
-4. Partners' words are compared, which verifies the edit distance, before a line is dropped.
-5. What goes is gathered by document as line numbers; documents are joined with that list and rebuilt.
+5. Partners' words are compared, which verifies the edit distance, before a line is dropped.
+6. What goes is gathered by document as line numbers, which are sent to the documents where these stand, if few enough.
 
 "Earlier" looks at all lines of the input, whether they stay or not. A null text has one empty line and stays null. Rows that repeat
 an id and text are treated alike: none of them is earlier than the other.
@@ -22,62 +24,63 @@ an id and text are treated alike: none of them is earlier than the other.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.sampling import numbered
-from .common import stage
+from .common import BLOCK_ROWS, fresh, met, stage
 
-#: Rows of candidates up to which their places are broadcast (under 64 bytes each); more are shuffled.
-BROADCAST_ROWS = 400_000
 #: Word hashes are below this, so that sums over any line stay in a long.
 _RANGE = 1 << 40
+#: What separates words besides the space.
+_OTHER_WHITE = "\t\x0b\x0c\r"
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != "")
-
-
-def _raw_lines(docs: DataFrame, id_col: str, text_col: str, each: Callable[[Column], Column], name: str) -> DataFrame:
-    """(id, tid, line_no, <name>): each of every line, made before the lines are rows so that it is made once; tid tells rows apart
-    that repeat an id."""
+def _raw_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tid, line_no, line); tid tells rows apart that repeat an id."""
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return base.select("id", "tid", F.posexplode(F.transform(F.split("text", "\n"), lambda x: each(x))).alias("line_no", name))
+    return base.select("id", "tid", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tid, line_no, words, n)"""
-    return _raw_lines(docs, id_col, text_col, _words, "words").withColumn("n", F.size("words"))
+def _joined_words(line: Column) -> Column:
+    """The words joined by a space; only a line with other white space than single spaces inside is taken apart for it."""
+    low = F.lower(line)
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | F.contains(line, F.lit("  "))
+    for c in _OTHER_WHITE:
+        odd = odd | F.contains(line, F.lit(c))
+    return F.when(odd, F.array_join(F.array_remove(F.split(low, f"[ {_OTHER_WHITE}]+"), ""), " ")).otherwise(low)
 
 
-def _hashed(lines: DataFrame) -> DataFrame:
-    joined = F.array_join("words", " ")
-    return lines.withColumn("h1", F.xxhash64(joined)).withColumn("h2", F.xxhash64(F.lit(1), joined))
-
-
-def _half_keys() -> list[F.Column]:
+def _half_keys() -> list[Column]:
     """Of a line of n words as one of class n and as the shorter one of class n + 1: hashes of its first and its last part."""
     keys = []
     for c in ("n", "n + 1"):
-        keys.append(F.expr(f"xxhash64({c}, 'first', array_join(slice(words, 1, ({c}) div 2), ' '))"))
-        keys.append(F.expr(f"xxhash64({c}, 'last', array_join(slice(words, n - (({c}) - ({c}) div 2) + 1, ({c}) - ({c}) div 2), ' '))"))
+        keys.append(F.expr(f"xxhash64({c}, 'first', substring_index(joined, ' ', ({c}) div 2))"))
+        keys.append(F.expr(f"xxhash64({c}, 'last', substring_index(joined, ' ', ({c}) div 2 - ({c})))"))
     return keys
 
 
+def hashed_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, tid, line_no, n, h1, h2, k0..k3) of each line with words, staged; the halves' keys are null below min_words."""
+    raw = _raw_lines(docs, id_col, text_col).withColumn("joined", _joined_words(F.col("line"))).drop("line")
+    spaces = F.octet_length("joined") - F.octet_length(F.replace("joined", F.lit(" "), F.lit("")))
+    counted = raw.withColumn("n", F.when(F.col("joined") == "", 0).otherwise(spaces + 1))
+    keys = [F.when(F.col("n") >= min_words, k).alias(f"k{i}") for i, k in enumerate(_half_keys())]
+    hashed = counted.select("id", "tid", "line_no", "n", F.xxhash64("joined").alias("h1"), F.xxhash64(F.lit(1), "joined").alias("h2"), *keys)
+    return stage(hashed, "lines-hashed").where("n > 0")
+
+
 def _small(df: DataFrame, label: str) -> DataFrame:
     """df staged, to be broadcast if its rows are few enough."""
     staged = stage(df, label)
-    return F.broadcast(staged) if staged.count() <= BROADCAST_ROWS else staged
+    return F.broadcast(staged) if staged.count() <= BLOCK_ROWS else staged
 
 
-def near_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal lines (h1, h2, n, first, copies), staged, and those with an earlier neighbour (h1, h2)."""
+def near_lines(docs: DataFrame, lines: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Classes of equal lines (h1, h2, n, first, copies), staged, and those with an earlier neighbour (h1, h2). lines: from hashed_lines()."""
     if min_words < 2:
         raise ValueError("lines of one word would all be neighbours")
-    lines = _lines(docs, id_col, text_col).where(F.col("n") >= (1 if short_lines else min_words))
-    keyed = _hashed(lines).select("h1", "h2", "n", F.struct("id", "tid", "line_no").alias("pos"), *[k.alias(f"k{i}") for i, k in enumerate(_half_keys())])
+    keyed = lines.withColumn("pos", F.struct("id", "tid", "line_no"))
     grouped = keyed.groupBy("h1", "h2", "n").agg(F.min("pos").alias("first"), F.count("*").alias("copies"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
     classes = stage(grouped.withColumn("lid", F.monotonically_increasing_id()), "lines-classes")
     halves = classes.where(F.col("n") >= min_words).select("lid", F.explode(F.array(*[f"k{i}" for i in range(4)])).alias("key"))
@@ -85,10 +88,9 @@ def near_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text
     able = _small(halves.join(shared, "key").select("lid").distinct(), "lines-able")
     first = classes.join(able, "lid").select("h1", "h2", "first.*")
     places = stage(numbered(first, ["id", "tid", "line_no"], "ord"), "lines-places")  # ord: earlier lines have smaller numbers
-    sought = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
-    raw = _raw_lines(docs, id_col, text_col, lambda x: x, "line")
-    own = raw.alias("l").join(sought.alias("p"), F.expr("l.id <=> p.id and l.tid = p.tid and l.line_no = p.line_no"))
-    texts = stage(own.select("ord", _words(F.col("line")).alias("words")).dropDuplicates(["ord"]).withColumn("n", F.size("words")), "lines-texts")
+    sought = F.broadcast(places) if places.count() <= BLOCK_ROWS else places
+    own = _raw_lines(docs, id_col, text_col).alias("l").join(sought.alias("p"), F.expr("l.id <=> p.id and l.tid = p.tid and l.line_no = p.line_no"))
+    texts = stage(own.select("ord", F.split(_joined_words(F.col("line")), " ").alias("words")).dropDuplicates(["ord"]).withColumn("n", F.size("words")), "lines-texts")
 
     # dealt out before it is exploded, a line's words are in one task already when the window wants them
     word = texts.repartition("ord").select("ord", "n", F.posexplode("words").alias("i", "w"))
@@ -118,16 +120,19 @@ def near_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text
     return classes, stage(places.join(near, "ord").select("h1", "h2"), "lines-near")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text less its removed lines, and n_lines and n_removed; columns of these names are replaced."""
-    classes, near = near_lines(docs, min_words, id_col, text_col, short_lines)
+    docs = docs.drop("n_lines", "n_removed")
+    lines = hashed_lines(docs, min_words, id_col, text_col)
+    classes, near = near_lines(docs, lines, min_words, id_col, text_col)
     going = classes.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("copies > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    lines = _hashed(_lines(docs, id_col, text_col).where(F.col("n") >= (1 if short_lines else min_words))).select("h1", "h2", F.struct("id", "tid", "line_no").alias("pos"))
-    gone = lines.join(going, ["h1", "h2"]).where("near or pos <> first")
-    lists = gone.groupBy(F.col("pos.id").alias("__id"), F.col("pos.tid").alias("__tid")).agg(F.collect_set("pos.line_no").alias("__gone"))
-    both = docs.join(lists, docs[id_col].eqNullSafe(lists["__id"]) & (F.xxhash64(docs[text_col]) == lists["__tid"]), "left")
-    kept = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    size = F.size(F.split(F.coalesce(docs[text_col], F.lit("")), "\n")).cast("long")
-    others = [docs[c] for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
-    out = both.select(*others, F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(kept).alias(text_col), size.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    placed = lines.select("h1", "h2", F.struct("id", "tid", "line_no").alias("pos"))
+    gone = placed.join(_small(going, "lines-going"), ["h1", "h2"]).where("near or pos <> first")
+    at, tid, cut = fresh(docs, "id", "tid", "cut")
+    lists = stage(gone.groupBy(F.col("pos.id").alias(at), F.col("pos.tid").alias(tid)).agg(F.collect_set("pos.line_no").alias(cut)), "lines-gone")
+    both = met(docs, lists, {at: docs[id_col], tid: F.xxhash64(docs[text_col])}, "left")
+    text = F.col(text_col)
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(cut, i)), "\n")
+    size = F.size(F.split(F.coalesce(text, F.lit("")), "\n")).cast("long")
+    own = [F.when(F.col(cut).isNull(), text).otherwise(kept).alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
+    return both.select(*own, size.alias("n_lines"), F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_removed"))

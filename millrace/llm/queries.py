@@ -75,17 +75,17 @@ OP8_SQL = r"""
 WITH l AS (
   SELECT doc_id, i - 1 AS line_no, parts[i] AS line FROM (
     SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
-w AS (SELECT doc_id, line_no, line, list_filter(regexp_split_to_array(lower(line), '\s+'), lambda x: x <> '') AS words FROM l),
+w AS (SELECT doc_id, line_no, line, list_filter(regexp_split_to_array(lower(line), '[ \t\x0b\f\r]+'), lambda x: x <> '') AS words FROM l),
 e AS (SELECT *, array_to_string(words, ' ') AS j, len(words) AS n, doc_id * 1000000 + line_no AS pos FROM w),
-c AS (SELECT j, n, any_value(words) AS words, min(pos) AS first FROM e WHERE n >= 5 GROUP BY j, n),
-v AS (SELECT j, n, first, i, array_to_string(list_concat(words[1:i - 1], words[i + 1:]), ' ') AS v FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM c)),
+c AS (SELECT j, n, any_value(words) AS words, min(pos) AS first FROM e WHERE n >= 1 GROUP BY j, n),
+v AS (SELECT j, n, first, i, array_to_string(list_concat(words[1:i - 1], words[i + 1:]), ' ') AS v FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM c WHERE n >= 5)),
 s AS (SELECT v, n, i, min(first) AS m FROM v GROUP BY v, n, i),
 d AS (SELECT v, min(first) AS m FROM v GROUP BY v),
 near AS (
   SELECT v.j FROM v JOIN s USING (v, n, i) WHERE s.m < v.first
-  UNION SELECT c.j FROM c JOIN d ON c.j = d.v WHERE d.m < c.first
-  UNION SELECT v.j FROM v JOIN c ON v.v = c.j WHERE c.first < v.first),
-k AS (SELECT e.*, coalesce(e.n >= 5 AND (near.j IS NOT NULL OR e.pos > c.first), false) AS gone FROM e LEFT JOIN c ON e.j = c.j AND e.n = c.n LEFT JOIN near ON e.j = near.j)
+  UNION SELECT c.j FROM c JOIN d ON c.j = d.v WHERE c.n >= 5 AND d.m < c.first
+  UNION SELECT v.j FROM v JOIN c ON v.v = c.j WHERE c.n >= 5 AND c.first < v.first),
+k AS (SELECT e.*, coalesce(near.j IS NOT NULL OR e.pos > c.first, false) AS gone FROM e LEFT JOIN c ON e.j = c.j AND e.n = c.n LEFT JOIN near ON e.j = near.j)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS text FROM k GROUP BY doc_id
 """
 

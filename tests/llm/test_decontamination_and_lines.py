@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from millrace.llm import decontamination, line_dedup
+from millrace.llm import common, decontamination, line_dedup
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -76,8 +76,7 @@ def line_brute(rows, least=5):
         a, b = sorted((a, b), key=len)
         return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
-    long_ = [(p, w) for p, w in lines if len(w) >= least]
-    gone = {p for p, w in long_ if any(q < p and near(w, v) for q, v in long_)}
+    gone = {p for p, w in lines if w and any(q < p and (v == w or min(len(w), len(v)) >= least and near(w, v)) for q, v in lines)}
     out = []
     for i, t in rows:
         parts = (t or "").split("\n")
@@ -86,9 +85,11 @@ def line_brute(rows, least=5):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("broadcast", [line_dedup.BROADCAST_ROWS, 0])
-def test_lines_against_brute_force(docs_of, monkeypatch, broadcast):
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", broadcast)
+@pytest.mark.parametrize("rows_at_once", [common.BLOCK_ROWS, 5, 1])
+def test_lines_against_brute_force(docs_of, monkeypatch, rows_at_once):
+    """Lists sent whole, in blocks, and shuffled."""
+    monkeypatch.setattr(line_dedup, "BLOCK_ROWS", rows_at_once)
+    monkeypatch.setattr(common, "BLOCK_ROWS", rows_at_once)
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(12)]
     base = [[rng.choice(vocabulary) for _ in range(rng.randint(3, 9))] for _ in range(12)]
@@ -129,4 +130,4 @@ def test_short_and_spaceless_lines(spark, docs_of):
     docs = docs_of(rows)
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs.withColumn("n_chars", docs["doc_id"]), "").collect()}
     assert got == {1: "Les.\n\na b c d e f", 2: "\n这是一个没有空格的段落", 3: "les", None: "and  b"}
-    assert {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs).collect()} == {1: 0, 2: 1, 3: 0, None: 0}
+    assert {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs).collect()} == {1: 0, 2: 2, 3: 3, None: 0}
