@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,86 +37,112 @@ class Settings:
     neat_packing: bool = False
 
 
-def lengths(source: int, target: int, cutoff: int) -> tuple[int, int]:
-    """What numeric.inferred_lengths says, of numbers."""
-    if 2 * target < cutoff:
-        room = cutoff
-    elif 2 * source < cutoff:
-        room = cutoff - source
-    else:
-        room = int(cutoff * (target / (source + target)))
-    kept = min(room, target)
-    return min(max(cutoff - kept, 0), source), kept
-
-
-def encoded_pairs(turns: list[tuple[list[int], list[int]]], s: Settings) -> tuple[list[int], list[int]]:
-    """Ids and labels of (source, target) turns; under mask_history the last turns come first and only the last is learnt."""
-    used = int(s.efficient_eos)
-    ids: list[int] = []
-    labels: list[int] = []
-    for n, (source, target) in enumerate(reversed(turns) if s.mask_history else turns):
-        if used >= s.cutoff:
-            break
-        a, b = lengths(len(source), len(target), s.cutoff - used)
-        source, target, used = source[:a], target[:b], used + a + b
+def ids_of(encode: Encode, texts: Column) -> Column:
+    """The ids of each text of an array; the one step here that runs Python."""
+
+    @F.pandas_udf("array<array<int>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda row: [encode(t or "") for t in row])
+
+    return run(texts)
+
+
+def _empty() -> Column:
+    return F.array().cast("array<int>")
+
+
+def _ignored(n: Column) -> Column:
+    return F.array_repeat(F.lit(IGNORE), n)
+
+
+def _ended(ids: Column, s: Settings) -> Column:
+    return F.concat(ids, F.array(F.lit(s.eos_id))) if s.efficient_eos else ids
+
+
+def turn_rooms(pairs: Column, cutoff: int, start: int = 0) -> Column:
+    """Of pairs of a source and a target (structs s, t of ids), in order, how many ids each keeps: (a, b). All turns share the cutoff,
+    of which start ids are taken before; what one leaves is for the next."""
+
+    def taken(state: Column, pair: Column) -> Column:
+        left = F.lit(cutoff) - state["used"]
+        a, b = inferred_lengths(F.size(pair["s"]), F.size(pair["t"]), left)
+        some = (left > 0) & (F.size(pair["s"]) + F.size(pair["t"]) > 0)
+        a, b = F.when(some, a).otherwise(0).cast("int"), F.when(some, b).otherwise(0).cast("int")
+        return F.struct((state["used"] + a + b).alias("used"), F.concat(state["rooms"], F.array(F.struct(a.alias("a"), b.alias("b")))).alias("rooms"))
+
+    none = F.struct(F.lit(start).alias("used"), F.array().cast("array<struct<a:int,b:int>>").alias("rooms"))
+    return F.aggregate(pairs, none, taken)["rooms"]
+
+
+def supervised_turns(pairs: Column, s: Settings) -> tuple[Column, Column]:
+    """Ids and labels of a dialogue's pairs. Under mask_history the last turns are served first and only the very last is learnt."""
+    served = F.reverse(pairs) if s.mask_history else pairs
+    rooms = turn_rooms(served, s.cutoff, int(s.efficient_eos))
+
+    def source_labels(ids: Column) -> Column:
         if s.train_on_prompt:
-            head = source
-        elif s.efficient_eos:
-            head = [s.eos_id] + [IGNORE] * (a - 1)
-        else:
-            head = [IGNORE] * a
-        tail = [IGNORE] * b if s.mask_history and n else target
-        own_ids, own_labels = source + target, head + tail
-        ids, labels = (own_ids + ids, own_labels + labels) if s.mask_history else (ids + own_ids, labels + own_labels)
-    end = [s.eos_id] * s.efficient_eos
-    return ids + end, labels + end
+            return ids
+        if s.efficient_eos:  # the end of the turn before is learnt at the first place
+            return F.when(F.size(ids) > 0, F.concat(F.array(F.lit(s.eos_id)), _ignored(F.size(ids) - 1))).otherwise(_empty())
+        return _ignored(F.size(ids))
+
+    cut = F.zip_with(served, rooms, lambda p, r: F.struct(F.slice(p["s"], F.lit(1), r["a"]).alias("s"), F.slice(p["t"], F.lit(1), r["b"]).alias("t")))
+    learnt = lambda p, i: F.when(i > 0, _ignored(F.size(p["t"]))).otherwise(p["t"]) if s.mask_history else p["t"]
+    both = F.transform(cut, lambda p, i: F.struct(F.concat(p["s"], p["t"]).alias("ids"), F.concat(source_labels(p["s"]), learnt(p, i)).alias("labels")))
+    both = F.reverse(both) if s.mask_history else both
+    return _ended(F.flatten(F.transform(both, lambda x: x["ids"])), s), _ended(F.flatten(F.transform(both, lambda x: x["labels"])), s)
+
+
+def _rendered(template: Template, messages: Column, eos: str) -> Column:
+    return template.render(messages, "_system", "_tools", eos)
+
 
+def _own(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if not c.startswith("_")]
 
-def _rendered(df: DataFrame, template: Template, eos: str) -> DataFrame:
-    turns = template.render(F.concat("_prompt", "_response"), "_system", "_tools", eos)
-    return df.withColumn("__turns", turns)
+
+def _mask(ids: str) -> Column:
+    return F.array_repeat(F.lit(1), F.size(ids))
 
 
 def encode_supervised(aligned: DataFrame, template: Template, encode: Encode = hashed_ids, settings: Settings = Settings(), eos: str = "") -> DataFrame:
     """(input_ids, attention_mask, labels) with the columns of aligned that don't start with '_'. Rows that don't fit the stage go."""
-    keep = [c for c in aligned.columns if not c.startswith("_")]
+    texts = _rendered(template, F.concat("_prompt", "_response"), eos)
+    own = aligned.where(encodable("sft")).withColumn("__ids", ids_of(encode, texts))
+    pair = lambda i: F.struct(F.get("__ids", 2 * i).alias("s"), F.get("__ids", 2 * i + 1).alias("t"))
+    turns = F.floor(F.size("__ids") / 2).cast("int")
+    own = own.withColumn("__pairs", F.when(turns > 0, F.transform(F.sequence(F.lit(0), turns - 1), pair)).otherwise(F.array().cast("array<struct<s:array<int>,t:array<int>>>")))
+    ids, labels = supervised_turns(F.col("__pairs"), settings)
+    return own.select(*_own(aligned), ids.alias("input_ids"), labels.alias("labels")).select(*_own(aligned), "input_ids", _mask("input_ids").alias("attention_mask"), "labels")
+
+
+def _answers(df: DataFrame, template: Template, encode: Encode, s: Settings, eos: str, answers: dict[str, Column]) -> DataFrame:
+    """df with the ids of its prompt (__prompt) and of each of the answers (their names), which are arrays of one message."""
+    turns = {k: _rendered(template, F.concat("_prompt", m), eos) for k, m in answers.items()}
+    first = next(iter(turns.values()))
+    texts = F.concat(F.slice(first, F.lit(1), F.size(first) - 1), F.array(*[F.element_at(t, -1) for t in turns.values()]))
+    df = df.withColumn("__all", ids_of(encode, texts))
+    own = {k: _ended(F.element_at("__all", i - len(turns)), s) for i, k in enumerate(turns)}
+    return df.withColumns({"__prompt": F.flatten(F.slice("__all", F.lit(1), F.size("__all") - len(turns))), **own})
 
-    @F.pandas_udf("input_ids array<int>, labels array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            rows = []
-            for turns in s:
-                ids = [encode(t) for t in turns]
-                rows.append(encoded_pairs(list(zip(ids[::2], ids[1::2], strict=True)), settings))
-            yield pd.DataFrame(rows, columns=["input_ids", "labels"])
 
-    out = _rendered(aligned.where(encodable("sft")), template, eos).withColumn("__e", run("__turns"))
-    return out.select(*keep, "__e.input_ids", F.array_repeat(F.lit(1), F.size("__e.input_ids")).alias("attention_mask"), "__e.labels")
+def _answered(prompt: Column, answer: Column, a: Column, b: Column) -> tuple[Column, Column]:
+    """Ids and labels of a prompt cut to a and an answer cut to b."""
+    tail = F.slice(answer, F.lit(1), b)
+    return F.concat(F.slice(prompt, F.lit(1), a), tail), F.concat(_ignored(a), tail)
 
 
 def encode_pairwise(aligned: DataFrame, template: Template, encode: Encode = hashed_ids, settings: Settings = Settings(), eos: str = "") -> DataFrame:
     """Chosen and rejected ids, masks and labels; the longer of the two answers decides how the prompt is cut."""
-    keep = [c for c in aligned.columns if not c.startswith("_")]
-    kinds = [f"{w}_{x}" for w in ("chosen", "rejected") for x in ("input_ids", "labels")]
-
-    @F.pandas_udf(", ".join(f"{k} array<int>" for k in kinds))
-    def run(prompts: pd.Series, chosen: pd.Series, rejected: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p, c, r in zip(prompts, chosen, rejected, strict=True):
-            source = [i for t in p for i in encode(t)]
-            c, r = (encode(x) + [settings.eos_id] * settings.efficient_eos for x in (c, r))
-            a, b = lengths(len(source), max(len(c), len(r)), settings.cutoff)
-            source, c, r = source[:a], c[:b], r[:b]
-            rows.append([x for y in (c, r) for x in (source + y, [IGNORE] * a + y)])
-        return pd.DataFrame(rows, columns=kinds)
-
-    ok = aligned.where(encodable("dpo"))
-    turns = template.render(F.concat("_prompt", F.slice("_response", 1, 1)), "_system", "_tools", eos)
-    other = template.render(F.concat("_prompt", F.slice("_response", 2, 1)), "_system", "_tools", eos)
-    own = ok.withColumns({"__p": F.slice(turns, F.lit(1), F.size(turns) - 1), "__c": F.element_at(turns, -1), "__r": F.element_at(other, -1)})
-    out = own.withColumn("__e", run("__p", "__c", "__r"))
-    ones = lambda c: F.array_repeat(F.lit(1), F.size(c))
-    return out.select(*keep, *[x for w in ("chosen", "rejected") for x in (F.col(f"__e.{w}_input_ids"), ones(f"__e.{w}_input_ids").alias(f"{w}_attention_mask"), F.col(f"__e.{w}_labels"))])
+    answers = {"__chosen": F.slice("_response", 1, 1), "__rejected": F.slice("_response", 2, 1)}
+    own = _answers(aligned.where(encodable("dpo")), template, encode, settings, eos, answers)
+    rooms = inferred_lengths(F.size("__prompt"), F.greatest(F.size("__chosen"), F.size("__rejected")), F.lit(settings.cutoff))
+    out = []
+    for w in ("chosen", "rejected"):
+        ids, labels = _answered(F.col("__prompt"), F.col(f"__{w}"), *rooms)
+        out += [ids.alias(f"{w}_input_ids"), F.array_repeat(F.lit(1), F.size(ids)).alias(f"{w}_attention_mask"), labels.alias(f"{w}_labels")]
+    return own.select(*_own(aligned), *out)
 
 
 def shifted_responses(df: DataFrame, order: str, column: str, name: str, batch: int = 1000) -> DataFrame:
@@ -132,89 +159,68 @@ def shifted_responses(df: DataFrame, order: str, column: str, name: str, batch:
 
 def encode_feedback(aligned: DataFrame, order: str, template: Template, encode: Encode = hashed_ids, settings: Settings = Settings(), eos: str = "", batch: int = 1000) -> DataFrame:
     """KTO rows: the wanted or unwanted answer, kto_tags, and the answer of the row before (circular in a batch) as kl_*."""
-    keep = [c for c in aligned.columns if not c.startswith("_")]
     rows = shifted_responses(aligned, order, "_response", "__kl", batch).where(encodable("kto"))
-    wanted = F.element_at("_response", 1)["content"] != ""
     pick = lambda r: F.when(F.element_at(r, 1)["content"] != "", F.slice(r, 1, 1)).otherwise(F.slice(r, 2, 1))
-    turns = template.render(F.concat("_prompt", pick(F.col("_response"))), "_system", "_tools", eos)
-    kl = template.render(F.concat("_prompt", pick(F.col("__kl"))), "_system", "_tools", eos)
-    kinds = ["input_ids", "labels", "kl_input_ids", "kl_labels"]
-
-    @F.pandas_udf(", ".join(f"{k} array<int>" for k in kinds))
-    def run(prompts: pd.Series, mine: pd.Series, other: pd.Series) -> pd.DataFrame:
-        out = []
-        for p, m, o in zip(prompts, mine, other, strict=True):
-            source, row = [i for t in p for i in encode(t)], []
-            for text in (m, o):
-                target = encode(text or "") + [settings.eos_id] * settings.efficient_eos
-                a, b = lengths(len(source), len(target), settings.cutoff)
-                row += [source[:a] + target[:b], [IGNORE] * a + target[:b]]
-            out.append(row)
-        return pd.DataFrame(out, columns=kinds)
-
-    own = rows.withColumns({"__p": F.slice(turns, F.lit(1), F.size(turns) - 1), "__m": F.element_at(turns, -1), "__o": F.element_at(kl, -1), "kto_tags": wanted})
-    return own.withColumn("__e", run("__p", "__m", "__o")).select(*keep, "__e.*", "kto_tags")
+    own = _answers(rows, template, encode, settings, eos, {"__mine": pick(F.col("_response")), "__other": pick(F.col("__kl"))})
+    out = []
+    for name, answer in (("", "__mine"), ("kl_", "__other")):
+        rooms = inferred_lengths(F.size("__prompt"), F.size(answer), F.lit(settings.cutoff))
+        ids, labels = _answered(F.col("__prompt"), F.col(answer), *rooms)
+        out += [ids.alias(f"{name}input_ids"), labels.alias(f"{name}labels")]
+    return own.select(*_own(aligned), *out, (F.element_at("_response", 1)["content"] != "").alias("kto_tags"))
 
 
 def encode_prompts(aligned: DataFrame, template: Template, encode: Encode = hashed_ids, settings: Settings = Settings(), eos: str = "") -> DataFrame:
     """Prompt ids, with the ids of the response as labels where there is one."""
-    keep = [c for c in aligned.columns if not c.startswith("_")]
-
-    @F.pandas_udf("input_ids array<int>, labels array<int>")
-    def run(prompts: pd.Series, answers: pd.Series) -> pd.DataFrame:
-        out = []
-        for p, a in zip(prompts, answers, strict=True):
-            source, target = [i for t in p for i in encode(t)], encode(a) if a else []
-            n, m = lengths(len(source), len(target), settings.cutoff)
-            out.append((source[:n], target[:m]))
-        return pd.DataFrame(out, columns=["input_ids", "labels"])
-
     empty = F.array(F.struct(F.lit("assistant").alias("role"), F.lit("").alias("content")))
-    turns = template.render(F.concat("_prompt", F.when(F.size("_response") > 0, F.slice("_response", 1, 1)).otherwise(empty)), "_system", "_tools", eos)
-    own = aligned.where(encodable("ppo")).withColumns({"__p": F.slice(turns, F.lit(1), F.size(turns) - 1), "__a": F.when(F.size("_response") > 0, F.element_at(turns, -1))})
-    out = own.withColumn("__e", run("__p", "__a"))
-    return out.select(*keep, "__e.input_ids", F.array_repeat(F.lit(1), F.size("__e.input_ids")).alias("attention_mask"), "__e.labels")
-
-
-def knapsacks(numbers: list[int], capacity: int) -> list[list[int]]:
-    """Each sack takes the greatest number that still fits, again and again. Numbers over the capacity must be gone."""
-    rest, out = sorted(numbers), []
-    while rest:
-        room, sack = capacity, []
-        while (i := bisect_right(rest, room)) > 0:
-            sack.append(rest.pop(i - 1))
-            room -= sack[-1]
-        if not sack:
-            raise ValueError("a number is over the capacity")
-        out.append(sack)
-    return out
+    there = F.size("_response") > 0
+    answers = {"__answer": F.when(there, F.slice("_response", 1, 1)).otherwise(empty)}
+    own = _answers(aligned.where(encodable("ppo")), template, encode, Settings(efficient_eos=False), eos, answers)
+    answer = F.when(F.size("_response") > 0, F.col("__answer")).otherwise(_empty())
+    a, b = inferred_lengths(F.size("__prompt"), F.size(answer), F.lit(settings.cutoff))
+    out = own.select(*_own(aligned), F.slice("__prompt", F.lit(1), a).alias("input_ids"), F.slice(answer, F.lit(1), b).alias("labels"))
+    return out.select(*_own(aligned), "input_ids", _mask("input_ids").alias("attention_mask"), "labels")
+
+
+def packs(lengths: Iterable[int], capacity: int) -> Iterator[list[int]]:
+    """Lengths by packs: each takes the greatest length that still fits, again and again. Works on counts of lengths, so a pack costs a walk
+    down the different lengths. Lengths over the capacity are refused."""
+    counts = Counter(lengths)
+    if counts and max(counts) > capacity:
+        raise ValueError("a length is over the capacity")
+    counts.pop(0, None)
+    while counts:
+        room, pack = capacity, []
+        for n in sorted(counts, reverse=True):
+            if times := min(counts[n], room // n):
+                pack += [n] * times
+                room -= n * times
+                counts[n] -= times
+        counts += Counter()  # lengths that are used up go
+        yield pack
 
 
 def pack_supervised(tokens: DataFrame, order: str, settings: Settings, batch: int = 1000) -> DataFrame:
-    """Token rows packed to cutoff + 1 in batches of so many rows by position; longer ones go. attention_mask numbers the rows of a pack
-    under neat_packing; position_ids start anew with each."""
+    """Token rows packed to cutoff + 1 in batches of so many rows by position; empty and longer ones go, so a batch is at most batch times
+    cutoff ids. attention_mask numbers the rows of a pack under neat_packing; position_ids start anew with each."""
     from .sampling import numbered
 
     rows = numbered(tokens.select(order, "input_ids", "labels"), [order], "pos").withColumn("batch", F.floor(F.col("pos") / batch))
-    size = settings.cutoff + 1
+    rows = rows.where(F.size("input_ids").between(1, settings.cutoff)).select("batch", "pos", "input_ids", "labels")
 
     def pack(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("pos")
-        by_length: dict[int, list[int]] = {}
+        waiting: dict[int, list[int]] = {}
         for i, ids in enumerate(df["input_ids"]):
-            if len(ids) <= settings.cutoff:
-                by_length.setdefault(len(ids), []).append(i)
-        out = []
-        for sack in knapsacks([n for n, v in by_length.items() for _ in v], settings.cutoff):
-            ids, mask, places, labels = [], [], [], []
-            for k, n in enumerate(sack):
-                i = by_length[n].pop()
-                ids += list(df["input_ids"].iloc[i])
-                labels += list(df["labels"].iloc[i])
-                places += range(n)
-                mask += [k + 1 if settings.neat_packing else 1] * n
-            pad = size - len(ids)
-            out.append((ids + [settings.pad_id] * pad, mask + [0 if settings.neat_packing else 1] * pad, places + [0] * pad, labels + [IGNORE] * pad))
+            waiting.setdefault(len(ids), []).append(i)
+        ids, labels, out = df["input_ids"].to_list(), df["labels"].to_list(), []
+        for own in packs([n for n, v in waiting.items() for _ in v], settings.cutoff):
+            members = [waiting[n].pop() for n in own]
+            pad = settings.cutoff + 1 - sum(own)
+            numbers = range(1, len(own) + 1) if settings.neat_packing else [1] * len(own)
+            row = [np.concatenate([ids[i] for i in members]), np.repeat(numbers, own), np.concatenate([np.arange(n) for n in own]), np.concatenate([labels[i] for i in members])]
+            fills = (settings.pad_id, int(not settings.neat_packing), 0, IGNORE)
+            out.append([np.pad(x, (0, pad), constant_values=v).astype(np.int32) for x, v in zip(row, fills, strict=True)])
         return pd.DataFrame(out, columns=["input_ids", "attention_mask", "position_ids", "labels"])
 
     return rows.groupBy("batch").applyInPandas(pack, "input_ids array<int>, attention_mask array<int>, position_ids array<int>, labels array<int>")
@@ -232,14 +238,24 @@ def encode_pretrain(texts: DataFrame, text: str, encode: Encode = hashed_ids, se
 
 
 def block_pack(tokens: DataFrame, order: str, ids: str, block: int, batch: int = 1000, bos_id: int | None = None) -> DataFrame:
-    """(batch, block_no, input_ids): ids of each batch of rows in order, end to end, cut in blocks; a batch's remainder goes."""
+    """(batch, block_no, input_ids): ids of each batch of rows in order, end to end, cut in blocks; a batch's remainder goes.
+
+    Each row gives a slice to every block it reaches into, and a block gathers its slices: no row or task holds more than a block's ids
+    at once, however long the rows are.
+    """
     from .sampling import numbered
 
-    rows = numbered(tokens.select(order, F.col(ids).alias("ids")), [order], "pos").withColumn("batch", F.floor(F.col("pos") / batch))
-    lists = rows.groupBy("batch").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("all"))  # batch rows
-    n = F.floor(F.size("all") / block).cast("int")
-    cut = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice("all", i * block + 1, F.lit(block)))).otherwise(F.array().cast("array<array<int>>"))
-    out = lists.select("batch", F.posexplode(cut).alias("block_no", "input_ids"))
+    rows = numbered(tokens.select(order, F.coalesce(F.col(ids), _empty()).alias("ids")), [order], "pos").withColumn("batch", F.floor(F.col("pos") / batch))
+    own = Window.partitionBy("batch")
+    placed = rows.withColumn("n", F.size("ids").cast("long")).withColumn("stop", F.sum("n").over(own.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))).withColumn("whole", F.floor(F.sum("n").over(own) / block))
+    placed = placed.withColumn("start", F.col("stop") - F.col("n")).where("n > 0")
+    reached = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block))
+    slices = placed.withColumn("block_no", F.explode(reached)).where("block_no < whole")
+    lo = F.greatest(F.col("block_no") * block - F.col("start"), F.lit(0)).cast("int")
+    hi = F.least((F.col("block_no") + 1) * block - F.col("start"), F.col("n")).cast("int")
+    part = F.struct("start", F.slice("ids", lo + 1, hi - lo).alias("ids"))
+    blocks = slices.groupBy("batch", "block_no").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    out = blocks.select("batch", F.col("block_no").cast("int").alias("block_no"), F.flatten(F.transform("parts", lambda p: p["ids"])).alias("input_ids"))
     return out if bos_id is None else out.withColumn("input_ids", F.concat(F.array(F.lit(bos_id)), F.slice("input_ids", 2, block - 1)))
 
 

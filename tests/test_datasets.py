@@ -13,7 +13,6 @@ from millrace.sources import readers
 
 @pytest.mark.parametrize(("args", "want"), [((3000, 2000, 1000), (600, 400)), ((2000, 3000, 1000), (400, 600)), ((1000, 100, 1000), (900, 100)), ((100, 1000, 1000), (100, 900)), ((100, 500, 1000), (100, 500)), ((500, 100, 1000), (500, 100)), ((10, 10, 1000), (10, 10))])
 def test_inferred_lengths(spark, args, want):
-    assert encode.lengths(*args) == want
     row = spark.range(1).select(*N.inferred_lengths(*map(F.lit, args))).first()
     assert tuple(row) == want
 
@@ -52,8 +51,24 @@ def test_duplicate_registrations():
         align.check_stage("sft", True)
 
 
-def test_knapsacks():
-    assert encode.knapsacks([8, 3, 7, 2, 6], 10) == [[8, 2], [7, 3], [6]]
+def test_packs():
+    assert list(encode.packs([8, 3, 7, 2, 6], 10)) == [[8, 2], [7, 3], [6]]
+    assert list(encode.packs([5] * 5 + [1], 10)) == [[5, 5], [5, 5], [5, 1]] and list(encode.packs([0], 3)) == []
+    with pytest.raises(ValueError):
+        list(encode.packs([4], 3))
+
+
+def test_packs_hold_what_they_should():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(50):
+        lengths = [rng.randint(1, 30) for _ in range(rng.randint(0, 60))]
+        own = list(encode.packs(lengths, 30))
+        assert sorted(n for p in own for n in p) == sorted(lengths) and all(sum(p) <= 30 for p in own)
+        for k, p in enumerate(own):  # no later length would have fitted in its place or in the room left
+            later = [n for q in own[k + 1 :] for n in q]
+            assert all(n > 30 - sum(p) for n in later)
 
 
 def test_pack_supervised(spark):
@@ -64,14 +79,58 @@ def test_pack_supervised(spark):
     assert sorted(max(r["attention_mask"]) for r in got) == [1, 2, 2]
 
 
-def test_mask_history_learns_the_last_turn_only():
+def supervised(spark, pairs, **how):
+    df = spark.createDataFrame([(pairs,)], "pairs array<struct<s:array<int>,t:array<int>>>")
+    return tuple(df.select(*encode.supervised_turns(F.col("pairs"), encode.Settings(**how))).first())
+
+
+def test_mask_history_learns_the_last_turn_only(spark):
     pairs = [([1, 2], [3]), ([4], [5, 6])]
-    ids, labels = encode.encoded_pairs(pairs, encode.Settings(mask_history=True))
-    assert ids == [1, 2, 3, 4, 5, 6] and labels == [-100] * 4 + [5, 6]
-    ids, labels = encode.encoded_pairs(pairs, encode.Settings(train_on_prompt=True))
+    assert supervised(spark, pairs, mask_history=True) == ([1, 2, 3, 4, 5, 6], [-100] * 4 + [5, 6])
+    ids, labels = supervised(spark, pairs, train_on_prompt=True)
     assert ids == labels
-    ids, labels = encode.encoded_pairs(pairs, encode.Settings(cutoff=4))
+    ids, labels = supervised(spark, pairs, cutoff=4)
     assert len(ids) == len(labels) <= 4
+    assert supervised(spark, pairs, efficient_eos=True, eos_id=9) == ([1, 2, 3, 4, 5, 6, 9], [9, -100, 3, 9, 5, 6, 9])
+    assert supervised(spark, [([], []), ([1], [2])]) == ([1, 2], [-100, 2]) and supervised(spark, []) == ([], [])
+
+
+def test_supervised_turns_share_the_cutoff(spark):
+    """Against the rule, turn by turn: what is left of the cutoff is dealt between a source and its target, the shorter spared."""
+    import random
+
+    rng = random.Random(8)
+
+    def dealt(m, n, room):
+        most = room if 2 * n < room else room - m if 2 * m < room else int(room * (n / (m + n)))
+        b = min(most, n)
+        return min(max(room - b, 0), m), b
+
+    rows = [[([rng.randint(0, 99)] * rng.randint(0, 9), [rng.randint(0, 99)] * rng.randint(1, 9)) for _ in range(rng.randint(0, 5))] for _ in range(60)]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(rows)], "id int, pairs array<struct<s:array<int>,t:array<int>>>")
+    for how in ({"cutoff": 12}, {"cutoff": 12, "mask_history": True}, {"cutoff": 20, "mask_history": True}):
+        got = {r[0]: (r[1], r[2]) for r in df.select("id", *encode.supervised_turns(F.col("pairs"), encode.Settings(**how))).collect()}
+        for i, pairs in enumerate(rows):
+            left, parts = how["cutoff"], []
+            for k, (s, t) in enumerate(pairs[::-1] if "mask_history" in how else pairs):
+                a, b = dealt(len(s), len(t), left) if left > 0 else (0, 0)
+                left -= a + b
+                parts.append((s[:a] + t[:b], [-100] * a + ([-100] * b if k and "mask_history" in how else t[:b])))
+            parts = parts[::-1] if "mask_history" in how else parts
+            assert got[i] == ([x for p, _ in parts for x in p], [x for _, p in parts for x in p])
+
+
+def test_block_pack_against_plain_cutting(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, [rng.randint(0, 9) for _ in range(rng.choice([0, 1, 3, 40, 500]))]) for i in range(57)]
+    got = {(r["batch"], r["block_no"]): r["input_ids"] for r in encode.block_pack(spark.createDataFrame(rows, "id int, ids array<int>"), "id", "ids", 16, 10).collect()}
+    want = {}
+    for b in range(6):
+        whole = [x for _, v in rows[10 * b : 10 * b + 10] for x in v]
+        want |= {(b, k): whole[16 * k : 16 * k + 16] for k in range(len(whole) // 16)}
+    assert got == want
 
 
 def test_collate(spark):
