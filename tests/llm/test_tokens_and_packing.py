@@ -1,7 +1,9 @@
 import random
+import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import packing, token_counts
@@ -32,13 +34,49 @@ def test_merging_order():
     assert token_counts.merges("x", rank) == ["x"]
 
 
-def test_ids_equal_the_library():
+def ids_of(own, path):
+    ids, ends = packing.encoded(pa.array(own, pa.string()), path)
+    raw = ids.tobytes()
+    return [raw[a:b] for a, b in zip([0, *(ends * 4).tolist()], (ends * 4).tolist(), strict=False)]
+
+
+def of_library(own, path):
     from tokenizers import Tokenizer
 
+    return [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch_fast(own, add_special_tokens=False)]
+
+
+def test_ids_equal_the_library(monkeypatch):
+    path, own = tokenizer_path("word_bpe_49k.json"), texts()
+    want = of_library(own, path)
+    assert ids_of(own, path) == want and ids_of(own, path) == want
+    monkeypatch.setattr(packing, "HELD_WORDS", 20)  # words go to the older generation and come back
+    assert [x for i in range(0, len(own), 40) for x in ids_of(own[i : i + 40], path)] == want
+    assert ids_of([], path) == [] and ids_of(["", ""], path) == [b"", b""]
+    part = pa.array(["not this", *own, "nor this"], pa.large_string()).slice(1, len(own))
+    raw, ends = packing.encoded(part, path)
+    assert raw.tobytes() == b"".join(want) and (ends * 4).tolist() == np.cumsum([len(x) for x in want]).tolist()
+
+
+def test_ids_of_every_character_before_a_mark():
     path = tokenizer_path("word_bpe_49k.json")
-    tok, own = Tokenizer.from_file(path), texts()
-    want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(own, add_special_tokens=False)]
-    assert packing.token_ids(own, path) == want and packing.token_ids(own, path) == want
+    alike = lambda c: 0x3400 <= c < 0xA000 or 0xAC00 <= c < 0xD7A4 or c >= 0x20000  # noqa: E731 - of ideographs and Hangul every 64th
+    every = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cs", "Cn", "Co") and not (alike(c) and c % 64)]
+    own = [f"{c}, {c}. a{c}, {c}b. {c}\n,{c}" for c in every]
+    got, want = ids_of(own, path), of_library(own, path)
+    assert got == want, [x for x, a, b in zip(own, got, want, strict=True) if a != b][:5]
+
+
+@pytest.mark.parametrize("change", [lambda j: j["normalizer"]["normalizers"].append({"type": "NFKC"}), lambda j: j["normalizer"]["normalizers"].pop(), lambda j: j["pre_tokenizer"]["pretokenizers"][0].update(invert=False), lambda j: j["model"].update(end_of_word_suffix=None), lambda j: j["added_tokens"].append({"content": "a b"})])
+def test_unfit_tokenizers_are_refused(change):
+    import json
+    from pathlib import Path
+
+    j = json.loads(Path(tokenizer_path("word_bpe_49k.json")).read_text())
+    packing.check_tokenizer(j)
+    change(j)
+    with pytest.raises(ValueError, match="tokenizer"):
+        packing.check_tokenizer(j)
 
 
 @pytest.mark.parametrize("seed", range(60))
@@ -75,7 +113,7 @@ def test_packing_round_trip(docs_of):
     for i, t in rows:
         if i != 5:
             own = sorted(ids[i])
-            assert b"".join(x for _, _, x in own) == packing.token_ids([t or ""], path)[0] + end
+            assert b"".join(x for _, _, x in own) == ids_of([t or ""], path)[0] + end
             assert [s for _, s, _ in own] == [4096 * k for k in range(len(own))]
     sequences = {}
     for r in packing.best_fit_packing(docs_of(rows), path).collect():
