@@ -32,17 +32,26 @@ def test_exact_empty(docs_of):
 def test_index_buckets(spark, docs_of):
     """Buckets hold at most their capacity, cover all keys and keep texts apart that share a key."""
     docs = docs_of([(i, f"text {i}") for i in range(300)])
-    rows = common.stage(exact_dedup.hashed(docs, "doc_id", "text"), "t")
-    index = exact_dedup.build_index(docs, rows, capacity=20, with_text=True).collect()
+    rows = common.stage(exact_dedup.reduced(docs, "doc_id", "text"), "t")
+    index = exact_dedup.build_index(rows, capacity=20, with_text=True).collect()
     assert len(index) == 300 and {bytes(r["text"]).decode() for r in index} == {f"text {i}" for i in range(300)}
     sizes = {}
     for r in index:
         sizes[r["bucket"]] = sizes.get(r["bucket"], 0) + 1
     assert max(sizes.values()) <= 20
-    same = exact_dedup.build_index(docs, common.stage(exact_dedup.hashed(docs, "doc_id", "text", len), "t"), key=len, capacity=20).collect()
+    same = exact_dedup.build_index(common.stage(exact_dedup.reduced(docs, "doc_id", "text", len), "t"), key=len, capacity=20).collect()
     assert max(r["chain"] for r in same) > 0 and len(same) == 300
 
 
+@pytest.mark.parametrize("held", [exact_dedup.HELD_BYTES, 1])
+def test_exact_of_string_ids_and_full_dictionaries(spark, monkeypatch, held):
+    monkeypatch.setattr(exact_dedup, "HELD_BYTES", held)
+    rows = [("a", "x"), ("b", "X"), ("é", "x"), (None, "x"), ("c", "y"), (None, "z"), (None, "Z")] * 3
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id string, text string").repartition(2)).collect()
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in got} == {("a", "é", 12), ("b", "é", 12), ("é", "é", 12), (None, "é", 12), ("c", "c", 3), (None, None, 6)}
+    assert len(got) == 21 and sum(r["kept"] for r in got) == 3
+
+
 def test_simhash_against_all_pairs(docs_of):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(60)]
