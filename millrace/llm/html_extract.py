@@ -1,37 +1,42 @@
-"""Main text of web pages: structure first, then differencing against the page of the nearest URL.
-
-1. Each page is cut into visible blocks in one pass. Elements that are no content by their tag, role, class or id (menus, headers,
-   footers, side bars, notices, adverts, forms, scripts, styles, comments) are left out. A block knows if it stands in an article or
-   main element. Such an element has its exclusions too: an article with the class of a comment, or inside a closed left-out element,
-   is left out, unless no article block is left then and the articles hold more text than all that stays.
-2. A page without blocks outside article and main elements is done. The others are range-sorted by host and path; so a host of any
-   size is spread over tasks, and each page meets its neighbours in URL order: the nearer is the one with more leading path segments
-   in common (the earlier page if equal). Pages at the ends of a range are staged with their lines and joined to the neighbouring
-   range's end, so the result does not depend on the ranges.
-3. The longest common subsequence of the two pages' lines outside article and main elements is template text and is deleted; the other
-   lines stay, in page order with those of the articles. A page whose outside lines are all shared is a copy if it has no article
-   text or that of its neighbour, and is compared with its other neighbour before it keeps its lines.
+"""Main text of web pages by differencing against the page of the nearest URL, with the page's structure as a prior.
+
+1. Each page is cut into lines (visible blocks) in one pass. A line stands inside an article or main element, or in an element that is no
+   content by its tag, role, class or id (menus, headers, footers, side bars, notices, adverts, forms, comments), or is open.
+   An article element has exclusions too: one with the class of a comment, or inside a closed left-out element, is left out, unless
+   nothing is left inside then and the articles hold more text than all that stays.
+2. Of every page a light row is staged: host, path, and a 64-bit hash of each line that doesn't stand in an article. Rows are numbered by
+   host and path over the whole table, so a host of any size is spread over tasks, and each page meets the pages before and after it by
+   joins on the number; the nearer is the one with more leading path segments in common (the earlier page if equal).
+3. The longest common subsequence of the two pages' lines outside articles is template text: open lines in it are deleted, the others
+   stay, in page order with those inside articles. A page whose open lines are all shared is a copy if it has no article text or that of
+   its neighbour, and is compared with its other neighbour before it keeps its lines.
+4. What is deleted goes as line numbers to the pages, which are read again and stay where they are.
+
+Lines of left-out elements take part in the alignment but go also if they aren't shared: neighbours by URL need not have the same
+menus and adverts. Lines inside articles stay though they are shared, as neighbours may be copies.
 
 In a block, white space becomes one space and ends are trimmed; blocks are joined by an empty line. Null or empty html gives an empty
-text. Unclosed and unknown tags are tolerated; an article or main element ends a left-out element that is open and never closed.
+text. Unclosed and unknown tags are tolerated; an article or main element ends a left-out element that is open and never closed. Rows that
+repeat an id, url and html get the same text.
 """
 
 from __future__ import annotations
 
 import bisect
-import hashlib
 import html
 import re
 from collections.abc import Iterator
 from urllib.parse import unquote, urlsplit
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions, stage
+from ..operators.sampling import numbered
+from .common import met, stage
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -41,9 +46,25 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 LEFT_OUT = frozenset("head nav footer aside form button dialog menu canvas object audio video map datalist".split())
 ARTICLE = frozenset("article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist note".split())
-NAMES = frozenset("nav navbar navigation menu submenu topbar header masthead footer colophon sidebar aside rail ad ads advert adverts advertisement banner sponsor sponsored promo promotion notice notices cookie cookies consent gdpr popup modal overlay alert disclaimer breadcrumb breadcrumbs pagination pager share sharing social related recommended newsletter subscribe subscription signup login comment comments reply replies respond disqus discussion widget toolbar skip".split())
+#: Names that say so wherever they stand in a class or id.
+STRONG = frozenset("nav navbar navigation submenu topbar colophon sidebar ad ads advert adverts advertisement sponsor sponsored promo cookie cookies consent gdpr popup modal breadcrumb breadcrumbs pagination pager share sharing newsletter subscribe signup login comment comments replies disqus".split())
+#: Names that say so outside articles, or as a whole class or id.
+WEAK = frozenset("menu header masthead footer aside rail banner sponsors promotion notice notices overlay alert disclaimer social related recommended subscription reply respond discussion widget toolbar skip".split())
+#: What a class or id begins with that says content.
+CONTENT = frozenset("article content entry main post story text title".split())
 
-_KIND, _FLAGS = pa.list_(pa.string()), pa.list_(pa.bool_())
+#: Where a line stands.
+OPEN, INSIDE, OUT = 0, 1, 2
+
+
+def says_no(name: str, inside: bool) -> bool:
+    """Whether a class or id is that of an element without content; inside an article only where the name leaves no doubt."""
+    parts = [p.lower() for p in PARTS.findall(name)]
+    if not parts:
+        return False
+    if inside:
+        return parts[0] in STRONG or len(parts) == 1 and parts[0] in WEAK - {"header", "masthead"}
+    return any(p in STRONG for p in parts) or parts[0] not in CONTENT and any(p in WEAK for p in parts)
 
 
 def left_out(tag: str, attributes: str, inside: bool) -> bool:
@@ -60,9 +81,11 @@ def left_out(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and tag not in ARTICLE and tag not in ("body", "html") and any(p.lower() in NAMES for p in PARTS.findall(value)):
+        if name not in ("class", "id") or tag in ("body", "html", "main"):
+            continue
+        if tag != "article" and any(says_no(x, inside) for x in value.split()):
             return True
-        if name in ("class", "id") and tag == "article" and any(p[0].lower() in NAMES for p in map(PARTS.findall, value.split()) if p):
+        if tag == "article" and any(p[0].lower() in STRONG | WEAK for p in map(PARTS.findall, value.split()) if p):
             return True  # by the first part only: has-sidebar and category-social are said of articles that are content
     return False
 
@@ -88,43 +111,43 @@ def closed_tags(page: str) -> set[int]:
     return found
 
 
-def blocks(page: str | None) -> list[tuple[str, bool]]:
-    """(text, whether in an article) of the visible content blocks, in page order."""
+def blocks(page: str | None) -> list[tuple[str, int]]:
+    """(text, where it stands) of the visible blocks, in page order."""
     found, dropped = _blocks(page or "", True)
-    if not dropped or any(own for _, own in found):
+    if not dropped or any(at == INSIDE for _, at in found):
         return found
     every, _ = _blocks(page or "", False)
-    return every if sum(len(t) for t, own in every if own) > sum(len(t) for t, _ in found) else found
+    return every if sum(len(t) for t, at in every if at == INSIDE) > sum(len(t) for t, at in found if at == OPEN) else found
 
 
-def _blocks(page: str, strict: bool) -> tuple[list[tuple[str, bool]], bool]:
+def _blocks(page: str, strict: bool) -> tuple[list[tuple[str, int]], bool]:
     """The blocks, and whether an article was left out by its class or id or by what it stands in (only if strict)."""
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, int]] = []
     stack: list[tuple[str, bool, bool, int]] = []  # tag, left out, in an article, place if left out for itself or -1
-    words: list[str] = []
+    words: tuple[list[str], list[str]] = ([], [])  # what stays, what is left out
     closed, dropped = None, False
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(words)).split())
-        if text:
-            out.append((text, bool(stack and stack[-1][2])))
-        words.clear()
+        for own, at in zip(words, (INSIDE if stack and stack[-1][2] else OPEN, OUT), strict=True):
+            if own:
+                if text := " ".join(html.unescape("".join(own)).split()):
+                    out.append((text, at))
+                own.clear()
 
     for m in TOKEN.finditer(page):
         token = m[0]
+        gone = bool(stack and stack[-1][1])
         if token[0] != "<" or token == "<":
-            if not (stack and stack[-1][1]):
-                words.append(token)
+            words[gone].append(token)
             continue
         tag = m[3] or m[6]
         if not tag:
-            if m[1] and not (stack and stack[-1][1]):
-                words.append(" ")
+            if m[1]:
+                words[gone].append(" ")
             continue
         tag, closing, attributes = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
         if tag == "br":
-            if not (stack and stack[-1][1]):
-                words.append(" ")
+            words[gone].append(" ")
             continue
         if tag in BLOCKS:
             flush()
@@ -153,7 +176,7 @@ def _blocks(page: str, strict: bool) -> tuple[list[tuple[str, bool]], bool]:
     return out, dropped
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
+def common_lines(a: list, b: list) -> set[int]:
     """Places in a of a longest common subsequence with b (equal ends first, then Hunt and Szymanski's way)."""
     n, m, lo = len(a), len(b), 0
     while lo < n and lo < m and a[lo] == b[lo]:
@@ -162,7 +185,7 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     while hi < min(n, m) - lo and a[n - 1 - hi] == b[m - 1 - hi]:
         hi += 1
     found = {*range(lo), *range(n - hi, n)}
-    at: dict[str, list[int]] = {}
+    at: dict[object, list[int]] = {}
     for j in range(m - hi - 1, lo - 1, -1):
         at.setdefault(b[j], []).append(j)  # falling
     ends: list[int] = []  # least last place in b of a common subsequence of each length
@@ -201,23 +224,31 @@ def shared_segments(a: str, b: str) -> int:
     return n
 
 
-def main_text(lines: list[str], path: str, neighbours: list[tuple[str, list[str], str]], own: list[bool] | None = None, inner: str = "") -> str:
-    """lines less those outside articles that the nearest of the neighbours has outside articles too.
+def line_hash(text: str) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))).view(np.int64))
 
-    own: which lines stand in an article; inner: digest() of those. A neighbour: path, outside lines and digest, in URL order.
+
+def shared_lines(path: str, inner: int | None, lines: list, open_: list[bool], neighbours: list[tuple[str, int | None, list]]) -> list[int]:
+    """Which of the lines outside articles the nearest of the neighbours shares, if these are template text.
+
+    open_: which of the lines are open; inner: a hash of the lines inside articles, or None without any. A neighbour: path, inner and
+    lines, in URL order.
     """
-    outside = [i for i in range(len(lines)) if not (own and own[i])]
-    for _, other, its in sorted(neighbours, key=lambda x: -shared_segments(path, x[0])):
-        gone = {outside[k] for k in common_lines([lines[i] for i in outside], other)}
-        if len(gone) < len(outside) or inner and inner != its:
-            return "\n\n".join(t for i, t in enumerate(lines) if i not in gone)
-    return "\n\n".join(lines)
+    for at, its, other in sorted(neighbours, key=lambda x: -shared_segments(path, x[0])):
+        gone = common_lines(lines, other)
+        if any(o and i not in gone for i, o in enumerate(open_)) or inner is not None and inner != its:
+            return [i for i in sorted(gone) if open_[i]]
+    return []
 
 
-def digest(found: list[tuple[str, bool]]) -> str:
-    """Of the blocks in articles; empty if there are none."""
-    inner = "\n\n".join(t for t, own in found if own)
-    return hashlib.md5(inner.encode("utf-8", "surrogatepass")).hexdigest() if inner else ""
+def main_text(found: list[tuple[str, int]], gone: list[int] | None = None) -> str:
+    """The text of blocks less what is left out and the open ones whose numbers, among those outside articles, are in gone."""
+    outside, kept, less = -1, [], set(gone or ())
+    for text, at in found:
+        outside += at != INSIDE
+        if at == INSIDE or at == OPEN and outside not in less:
+            kept.append(text)
+    return "\n\n".join(kept)
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,108 +257,56 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(k, 500)
 
 
-def finished(pages: DataFrame) -> DataFrame:
-    """(id, url, text) of pages without any block outside articles, from pages (id, url, html)."""
+def outlines(pages: DataFrame) -> DataFrame:
+    """(id, tie, host, path, inner, lines, open) of each of pages (id, tie, url, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_())]
         for b in _sliced(batches):
-            at, texts = [], []
-            for i, h in enumerate(b.column(2).to_pylist()):
+            rows = []
+            for u, h in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 found = blocks(h)
-                if all(o for _, o in found):
-                    at.append(i)
-                    texts.append("\n\n".join(t for t, _ in found))
-            take = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(texts, pa.string())], ["id", "url", "text"])
+                inside = [t for t, at in found if at == INSIDE]
+                outside = [(line_hash(t), at == OPEN) for t, at in found if at != INSIDE]
+                rows.append((*url_key(u), line_hash("\n\n".join(inside)) if inside else None, [x for x, _ in outside], [o for _, o in outside]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], ["id", "tie", "host", "path", "inner", "lines", "open"])
 
-    return pages.mapInArrow(run, T.StructType([pages.schema["id"], pages.schema["url"], T.StructField("text", T.StringType())]))
+    more = [T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("inner", T.LongType()), T.StructField("lines", T.ArrayType(T.LongType())), T.StructField("open", T.ArrayType(T.BooleanType()))]
+    return pages.mapInArrow(run, T.StructType([pages.schema["id"], pages.schema["tie"], *more]))
 
 
-def unfinished(pages: DataFrame) -> DataFrame:
-    """(id, url, host, path, inner, lines, own) of the other pages: all their blocks, which of them stand in an article, and the digest of those."""
+def template_lines(pages: DataFrame) -> DataFrame:
+    """(id, tie, gone): of pages (id, tie, url, html), which open lines the page of the nearest URL shares, where there are any."""
+    ordered = stage(numbered(stage(outlines(pages), "html-outlines"), ["host", "path", "id", "tie"], "pos"), "html-ordered")
+    beside = ordered.select("pos", F.struct("host", "path", "inner", "lines").alias("page"))
+    own = ordered.where(F.exists("open", lambda x: x))
+    for side, step in (("before", 1), ("after", -1)):
+        own = own.join(beside.select((F.col("pos") + step).alias("pos"), F.col("page").alias(side)), "pos", "left")
+        own = own.withColumn(side, F.when(F.col(f"{side}.host") == F.col("host"), F.col(side)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _sliced(batches):
-            at, rows = [], []
-            for i, (u, h) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                found = blocks(h)
-                if not all(o for _, o in found):
-                    at.append(i)
-                    rows.append((*url_key(u), digest(found), [t for t, _ in found], [o for _, o in found]))
-            take = pa.array(at, pa.int32())
-            types = [pa.string(), pa.string(), pa.string(), _KIND, _FLAGS]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], ["id", "url", "host", "path", "inner", "lines", "own"])
+        for b in batches:
+            gone = []
+            for r in b.select(["path", "inner", "lines", "open", "before", "after"]).to_pylist():
+                near = [(x["path"], x["inner"], x["lines"]) for x in (r["before"], r["after"]) if x]
+                gone.append(shared_lines(r["path"], r["inner"], r["lines"], r["open"], near))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(gone, pa.list_(pa.int32()))], ["id", "tie", "pos", "gone"])
 
-    more = [T.StructField(c, T.StringType()) for c in ("host", "path", "inner")]
-    return pages.mapInArrow(run, T.StructType([pages.schema["id"], pages.schema["url"], *more, T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("own", T.ArrayType(T.BooleanType()))]))
+    schema = T.StructType([ordered.schema["id"], ordered.schema["tie"], ordered.schema["pos"], T.StructField("gone", T.ArrayType(T.IntegerType()))])
+    found = own.select("id", "tie", "pos", "path", "inner", "lines", "open", "before", "after").mapInArrow(run, schema)
+    return found.groupBy("id", "tie").agg(F.min(F.struct("pos", "gone")).alias("first")).select("id", "tie", F.col("first.gone").alias("gone")).where(F.size("gone") > 0)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A row for each row of pages: <id_col>, <url_col>, text, n_chars."""
-    spark = pages.sparkSession
-    own = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    source = unfinished(own).withColumn("tie", F.xxhash64(F.col("url"), F.col("id").cast("string")))
-    ordered = source.repartitionByRange(shuffle_partitions(spark), "host", "path", "id", "tie").sortWithinPartitions("host", "path", "id", "tie")
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """text for pages inside the range; the first and the last page keep their lines and those of the page next to them."""
-        part = TaskContext.get().partitionId()
-        names = ["id", "url", "text", "part", "place", "host", "path", "inner", "lines", "own", "path2", "lines2", "inner2"]
-        rows = ((x, b.schema) for b in batches for x in b.to_pylist())
-        kinds = None
-        out: list[tuple] = []
-
-        def batch() -> pa.RecordBatch:
-            types = [kinds.field("id").type, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), _KIND, _FLAGS, pa.string(), _KIND, pa.string()]
-            made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
-            out.clear()
-            return made
-
-        before = here = None
-        for after, kinds in rows:
-            if here is not None:
-                emit(out, part, before, here, after)
-                if len(out) >= 500:
-                    yield batch()
-            before, here = here, after
-        if here is not None:
-            emit(out, part, before, here, None)
-        if out:
-            yield batch()
-
-    def emit(out: list[tuple], part: int, before: dict | None, here: dict, after: dict | None) -> None:
-        near = [(x["path"], [t for t, o in zip(x["lines"], x["own"], strict=True) if not o], x["inner"]) for x in (before, after) if x and x["host"] == here["host"]]
-        if before and after:
-            out.append((here["id"], here["url"], main_text(here["lines"], here["path"], near, here["own"], here["inner"]), part, 0, *[None] * 8))
-        else:  # place: 1 first, 2 last, 3 both
-            path, lines, inner = near[0] if near else (None, None, None)
-            out.append((here["id"], here["url"], None, part, (not before) + 2 * (not after), here["host"], here["path"], here["inner"], here["lines"], here["own"], path, lines, inner))
-
-    lines_type, flags_type = source.schema["lines"].dataType, source.schema["own"].dataType
-    text = [T.StructField(c, T.StringType()) for c in ("url", "text")]
-    schema = T.StructType([source.schema["id"], *text, T.StructField("part", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("inner", T.StringType()), T.StructField("lines", lines_type), T.StructField("own", flags_type), T.StructField("path2", T.StringType()), T.StructField("lines2", lines_type), T.StructField("inner2", T.StringType())])
-    staged = stage(ordered.select("id", "url", "host", "path", "inner", "lines", "own").mapInArrow(pair, schema), "html-pairs")
-    ends = staged.where("place > 0")
-    parts = sorted(r["part"] for r in ends.select("part").distinct().collect())  # one number a task
-    order = spark.createDataFrame([(p, i) for i, p in enumerate(parts)] or [(-1, 0)], "part int, seq int")
-    ends = ends.join(F.broadcast(order), "part")
-    outside = F.filter("lines", lambda x, i: ~F.get("own", i))
-    firsts = ends.where("place in (1, 3)").select((F.col("seq") - 1).alias("seq"), F.col("host").alias("ah"), F.col("path").alias("ap"), outside.alias("al"), F.col("inner").alias("ai"))
-    lasts = ends.where("place in (2, 3)").select((F.col("seq") + 1).alias("seq"), F.col("host").alias("bh"), F.col("path").alias("bp"), outside.alias("bl"), F.col("inner").alias("bi"))
-    met = ends.join(firsts, "seq", "left").join(lasts, "seq", "left").select("id", "url", "place", "host", "path", "inner", "lines", "own", "path2", "lines2", "inner2", "ah", "ap", "al", "ai", "bh", "bp", "bl", "bi")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = []
-            for r in b.to_pylist():
-                inner = [(r["path2"], r["lines2"], r["inner2"])] if r["lines2"] is not None else []
-                near = [(r["bp"], r["bl"], r["bi"])] if r["place"] & 1 and r["bl"] is not None and r["bh"] == r["host"] else []
-                near += inner if r["place"] == 1 else []
-                last = [(r["ap"], r["al"], r["ai"])] if r["place"] & 2 and r["al"] is not None and r["ah"] == r["host"] else []
-                near += (inner if r["place"] == 2 else []) + last
-                texts.append(main_text(r["lines"], r["path"], near, r["own"], r["inner"]))
+    own = pages.select(F.col(id_col).alias("id"), F.xxhash64(F.col(url_col).cast("string"), F.col(html_col)).alias("tie"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
+    gone = stage(template_lines(own).select(F.col("id").alias("gone_id"), F.col("tie").alias("gone_tie"), "gone"), "html-gone")
+    both = met(own, gone, {"gone_id": F.col("id"), "gone_tie": F.col("tie")}, "left").select("id", "url", "html", "gone")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _sliced(batches):
+            texts = [main_text(blocks(h), g) for h, g in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
-    done = met.mapInArrow(finish, T.StructType([source.schema["id"], *text]))
-    both = staged.where("place = 0").select("id", "url", "text").union(done).union(finished(own))
-    return both.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+    done = both.mapInArrow(run, T.StructType([own.schema["id"], own.schema["url"], T.StructField("text", T.StringType())]))
+    return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,10 +13,15 @@ def page(body):
     return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t='</p><article>';</script></head><body>{body}</body></html>"
 
 
+def lines(html):
+    """(text, whether inside an article) of what the structure leaves."""
+    return [(t, at == html_extract.INSIDE) for t, at in html_extract.blocks(html) if at != html_extract.OUT]
+
+
 def text(body):
     found = html_extract.blocks(page(body))
-    own = [t for t, o in found if o]
-    return "\n\n".join(own) if own else html_extract.main_text([t for t, _ in found], "", [])
+    inside = [t for t, at in found if at == html_extract.INSIDE]
+    return "\n\n".join(inside) if inside else html_extract.main_text(found)
 
 
 @pytest.mark.parametrize(("body", "want"), [
@@ -30,8 +38,8 @@ def test_structure(body, want):
 
 
 def test_null_and_broken():
-    assert html_extract.blocks(None) == [] and html_extract.blocks("<") == [("<", False)]
-    assert html_extract.blocks("a < b <p>c") == [("a < b", False), ("c", False)]
+    assert html_extract.blocks(None) == [] and lines("<") == [("<", False)]
+    assert lines("a < b <p>c") == [("a < b", False), ("c", False)]
 
 
 def test_common_lines_is_a_longest_common_subsequence():
@@ -93,7 +101,53 @@ def test_lines_outside_articles_are_differenced(spark, parts):
     ("<article class=promo><p>all there is</p></article>", [("all there is", True)]),
 ])
 def test_left_out_articles(body, want):
-    assert html_extract.blocks(page(body)) == want
+    assert lines(page(body)) == want
+
+
+@pytest.mark.parametrize(("body", "want"), [
+    ("<article><div class='article-header'><h1>Title</h1></div><p>Body</p></article>", [("Title", True), ("Body", True)]),
+    ("<article><div class='related-work'>A</div><div class='important-note widget-free'>B</div><p>C</p></article>", [("A", True), ("B", True), ("C", True)]),
+    ("<h1>Title</h1><p>Lead</p><article><p>x</p></article>", [("Title", False), ("Lead", False), ("x", True)]),
+    ("<div id=comments><article class=comment><p>c</p></article></div><aside><article><p>y</p></article></aside><article><p>x</p></article>", [("x", True)]),
+    ("<article><p>x</p><div class='share-buttons'>Share</div><section class='comment-list'>c</section><div class=notice>n</div></article>", [("x", True)]),
+    ("<div class='content-header'><h1>Title</h1></div><div class='site-header'>Site</div><div class='post-comments'>c</div>", [("Title", False)]),
+])
+def test_names_are_a_prior(body, want):
+    assert lines(page(body)) == want
+
+
+def test_differencing_against_plain_pairing(spark):
+    """A few hundred pages of three hosts, one of which has most, paired plainly."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        host = rng.choice(["big", "big", "big", "b", "c"])
+        path = "/".join(rng.choice("xyz") for _ in range(rng.randint(0, 3))) + f"/{i}"
+        parts = [f"<div>menu {host} {rng.randint(0, 2)}</div>", f"<nav>nav {rng.randint(0, 1)}</nav>", f"<div>text {i if rng.random() < 0.8 else 7}</div>"]
+        parts += [f"<article><p>story {i}</p></article>"] * (rng.random() < 0.5) + [f"<div>foot {host}</div>"] * (rng.random() < 0.7)
+        rows.append((i, f"http://{host}.example/{path}", "".join(parts)))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    every = sorted((*html_extract.url_key(u), i, html_extract.blocks(h)) for i, u, h in rows)
+    cut = 0
+    for k, (host, path, i, found) in enumerate(every):
+        near = [every[j] for j in (k - 1, k + 1) if 0 <= j < len(every) and every[j][0] == host]
+        near.sort(key=lambda x: -html_extract.shared_segments(path, x[1]))
+        outside = [(t, at) for t, at in found if at != 1]
+        gone = []
+        for other in near:
+            shared = html_extract.common_lines([t for t, _ in outside], [t for t, at in other[3] if at != 1])
+            story, its = [t for t, at in found if at == 1], [t for t, at in other[3] if at == 1]
+            if any(at == 0 and n not in shared for n, (_, at) in enumerate(outside)) or story and story != its:
+                gone = [n for n in shared if outside[n][1] == 0]
+                break
+        cut += bool(gone)
+        assert got[i] == html_extract.main_text(found, gone), i
+    assert cut > 100
+
+
+def test_no_pages(spark):
+    got = html_extract.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and got.count() == 0
 
 
 def labelled(n=200, seed=4):
@@ -134,24 +188,56 @@ def test_toxicity_without_both_labels(spark, docs_of, marks):
     assert toxicity.toxicity_scores(docs_of([]), labels).count() == 0
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize(("first", "cells"), [(1, 1 << 21), (3, 500)])
+def test_block_max_search_is_exact(monkeypatch, first, cells):
+    monkeypatch.setattr(toxicity, "FIRST_BLOCKS", first)
+    monkeypatch.setattr(toxicity, "CELLS", cells)
     rng = np.random.default_rng(0)
-    vecs = []
-    for _ in range(300):
-        i = np.sort(rng.choice(40, rng.integers(1, 8), replace=False))
-        w = rng.random(len(i))
-        vecs.append((i, w / np.linalg.norm(w)))
-    index = toxicity.BlockMaxIndex(vecs, 40, block=16)
     whole = np.zeros((300, 40))
-    for e, (i, w) in enumerate(vecs):
-        whole[e, i] = w
-    for e, (i, w) in enumerate(vecs[:80]):
-        n, s = index.nearest(i, w, 9, without=e)
-        all_ = whole @ whole[e]
-        all_[e] = -1
-        order = np.lexsort((np.arange(300), -np.round(all_, 12)))[:9]
-        order = order[all_[order] > 0]
-        assert n.tolist() == order.tolist() and np.allclose(s, all_[order])
+    for e in range(300):
+        i = rng.choice(40, rng.integers(0, 8), replace=False)
+        whole[e, i] = rng.random(len(i))
+    whole /= np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), 1e-300)
+    whole[250:] = whole[:50]  # ties
+    text, term = np.nonzero(whole)
+    index = toxicity.BlockMaxIndex(text, term, whole[text, term], 300, 40, block=16)
+    own = text < 80
+    for k in (1, 9, 40, 300, 400):
+        found = list(index.nearest(text[own], term[own], whole[text, term][own], 80, k))
+        assert len(found) == 80
+        for e, (n, s) in enumerate(found):
+            all_ = whole @ whole[e]
+            order = np.lexsort((np.arange(300), -np.round(all_, 12)))[:k]
+            order = order[all_[order] > 0]
+            assert n.tolist() == order.tolist() and np.allclose(s, all_[order])
+
+
+def test_evidence_is_the_nearest_by_whole_vocabulary(spark, docs_of):
+    """Against cosines over all words of the examples, computed plainly."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(60)] + ["É", "x_1", "中文"]
+    docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 25))) + rng.choice(["", ".", "!", "\nW1 w2"])) for i in range(120)]
+    marks = [(i, int(i % 4 == 0)) for i in range(0, 120, 2)] + [(4, 0), (2, 0)]  # 4 has both labels, 2 one twice
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    counts = {i: Counter(re.findall(r"\w+", t.lower())) for i, t in docs}
+    examples = sorted({(i, y) for i, y in marks if counts[i]})
+    terms = sorted({w for i, _ in examples for w in counts[i]})
+    for relevance in (True, False):
+        got = {r["doc_id"]: r["evidence"] for r in toxicity.toxicity_scores(docs_of(docs), labels, k=5, relevance=relevance).collect()}
+
+        def weight(w):
+            idf = math.log((1 + len(docs)) / (1 + sum(w in c for c in counts.values()))) + 1
+            a, c = (sum(w in counts[i] for i, y in examples if y == z) for z in (1, 0))
+            return idf * (math.log2(2 + a / max(1, c)) if relevance else 1)
+
+        weights = {w: weight(w) for w in terms}
+        vector = lambda i: np.array([(1 + math.log(counts[i][w])) * weights[w] if counts[i][w] else 0.0 for w in terms])  # noqa: E731, B023
+        unit = lambda v: v / (np.linalg.norm(v) or 1)
+        alike = {(y, tuple(sorted(counts[i].items()))): i for i, y in examples}  # equal ones of a label are one
+        whole = np.array([unit(vector(i)) for i in alike.values()])
+        for i, _ in docs:
+            best = np.sort(whole @ unit(vector(i)))[::-1][:5]
+            assert np.allclose([e["similarity"] for e in got[i]], best[best > 0], atol=2e-6), i
 
 
 def test_quality_keeps_target_like_texts(spark, docs_of):
