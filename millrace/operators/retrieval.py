@@ -1,21 +1,27 @@
 """Index tables and batch retrieval: BM25, TF-IDF, dense, sparse and hybrid.
 
 Every search takes many queries at once and returns RANKED rows (query_id, unique_id, score, rank). Scores are rounded to 9 places before
-ranking and ties go to the smaller id, so ranks are the same on any partitioning. Postings join queries on the term, which is the
-inverted index; k rows a query survive each task (WindowGroupLimit), so no sort sees all pairs.
+ranking and ties go to the smaller id, so ranks are the same on any partitioning. Texts and vectors are scored where they stand
+(scoring.py): the queries' weights go to the tasks in blocks, and of each task k rows a query go on. Sparse vectors that are given as
+rows are joined with the queries' terms, which the term filter and the k rows a task (WindowGroupLimit) keep small.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import scoring
 
-#: Dense queries of at most so many rows are broadcast to the corpus; more are searched block by block.
-DENSE_BLOCK = 2000
+#: Terms of the corpus whose document frequencies are sent to all tasks, those of greatest frequency.
+FREQUENT_TERMS = 500_000
 
 
 def top_k(scored: DataFrame, k: int, ascending: bool = False, tie: str = "unique_id") -> DataFrame:
@@ -64,30 +70,71 @@ def bm25_idf(index: LexicalIndex, epsilon: float = 0.25) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
 
+def _best_texts(docs: DataFrame, weights: DataFrame, k: int, weigh: Callable[[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """RANKED rows of docs (unique_id, words, ...) by inner product with weights (query_id, term, weight). weigh: from (row, times, lengths
+    of the rows, batch) to the weight of each term in its row."""
+    weights = weights.select("query_id", "term", F.col("weight").cast("double").alias("weight"))
+    parts = []
+    for own in scoring.blocks(weights, weights.count()):
+        postings = scoring.Postings(own.toArrow())
+
+        def make(postings: scoring.Postings = postings) -> scoring.Score:
+            def score(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+                row, term, times, lengths = scoring.word_counts(b.column(1), postings.terms)
+                return postings.scores(row, term, weigh(row, times, lengths, b), b.num_rows)
+
+            return score
+
+        parts.append(scoring.best_rows(docs, postings.query_ids, k, make))
+    return top_k(scoring.united(parts), k)
+
+
 def bm25(index: LexicalIndex, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """queries: (query_id, words); words that repeat count as often. Documents without a common term have no row."""
-    asked = term_counts(queries, "query_id", F.col("words")).withColumnRenamed("tf", "times")
-    weights = asked.join(bm25_idf(index), "term")
-    length = k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len"))
-    hits = index.postings(asked).crossJoin(F.broadcast(index.stats())).join(weights, "term")
-    scored = hits.groupBy("query_id", "unique_id").agg(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + length)).alias("score"))
-    return top_k(scored, k)
+    asked = term_counts(queries, "query_id", F.col("words"))
+    weights = asked.join(bm25_idf(index), "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    mean = float(index.stats().first()["avg_len"] or 1.0)
 
+    def weigh(row: np.ndarray, times: np.ndarray, lengths: np.ndarray, _: pa.RecordBatch) -> np.ndarray:
+        return times * (k1 + 1) / (times + k1 * (1 - b + b * lengths[row] / mean))
 
-def tfidf_weights(counts: DataFrame, idf: DataFrame, id_col: str) -> DataFrame:
-    """(id, term, weight) of length 1 an id."""
-    w = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    return _best_texts(index.docs.select("unique_id", "words"), weights, k, weigh)
 
 
 def tfidf(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
-    """Cosine of smooth TF-IDF vectors; documents without a common term have no row."""
-    idf = index.frequencies().crossJoin(F.broadcast(index.stats())).select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    docs = tfidf_weights(index.postings(), idf, "unique_id")
-    asked = tfidf_weights(term_counts(queries, "query_id", F.col("words")), idf, "query_id").withColumnRenamed("weight", "q_weight")
-    scored = docs.join(asked, "term").groupBy("query_id", "unique_id").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
-    return top_k(scored, k)
+    """Cosine of smooth TF-IDF vectors; documents without a common term have no row.
+
+    A document's norm is added up in its own row from the frequencies of FREQUENT_TERMS terms; the postings of rarer terms, if there are
+    any, are shuffled by term and their share of the norm is joined to the document.
+    """
+    docs, n_docs = index.docs.select("unique_id", "words"), index.stats().first()["n_docs"]
+    all_terms = index.frequencies().withColumn("idf", F.log((1 + n_docs) / (1 + F.col("df"))) + 1)
+    frequent = all_terms.orderBy(F.desc("df"), "term").limit(FREQUENT_TERMS).select("term", "idf").toArrow()
+    terms, idf = frequent["term"].combine_chunks(), frequent["idf"].to_numpy()
+    sent = index.docs.sparkSession.sparkContext.broadcast((terms, idf))
+    rare = None
+    if len(terms) == FREQUENT_TERMS:
+        few = all_terms.where(F.col("df") <= all_terms.orderBy(F.desc("df"), "term").limit(FREQUENT_TERMS).agg(F.min("df")).first()[0])
+        known = index.docs.sparkSession.createDataFrame(frequent.select(["term"]))
+        few = few.join(known, "term", "left_anti")
+        squares = term_counts(docs, "unique_id", F.col("words")).join(few, "term").groupBy("unique_id").agg(F.sum((F.col("tf") * F.col("idf")) ** 2).alias("rare"))
+        rare = docs.join(squares, "unique_id", "left").select("unique_id", "words", F.coalesce("rare", F.lit(0.0)).alias("rare"))
+    asked = tfidf_weights(term_counts(queries, "query_id", F.col("words")), all_terms.select("term", "idf"), "query_id").join(all_terms.select("term", "idf"), "term")
+    weights = asked.select("query_id", "term", (F.col("weight") * F.col("idf")).alias("weight"))
+
+    def weigh(row: np.ndarray, times: np.ndarray, _: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
+        own_terms, own_idf = sent.value
+        at, term, n, _ = scoring.word_counts(b.column(1), own_terms)
+        norm = np.bincount(at, (n * own_idf[term]) ** 2, b.num_rows) + (b.column(2).to_numpy() if b.num_columns > 2 else 0.0)
+        return times / np.sqrt(np.where(norm > 0, norm, 1.0))[row]
+
+    return _best_texts(docs if rare is None else rare, weights, k, weigh)
+
+
+def tfidf_weights(counts: DataFrame, idf: DataFrame, id_col: str) -> DataFrame:
+    """(id, term, weight) of length 1 an id."""
+    w = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    return w.select(id_col, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))).alias("weight"))
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -110,18 +157,9 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 def dense(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "ip") -> DataFrame:
     """vectors: (unique_id, embedding), queries: (query_id, embedding); metric ip (greater is better) or l2 (squared, less is better).
 
-    Exact. The queries go to the corpus, which stays where it is: block by block if they are many.
+    Exact, by matrix products of the corpus's batches with blocks of queries.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // DENSE_BLOCK))
-    own = queries.select("query_id", F.col("embedding").alias("q"))
-    score = dot("embedding", "q") if metric == "ip" else squared_distance("embedding", "q")
-    out = None
-    for i in range(blocks):
-        block = own.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else own
-        part = top_k(vectors.crossJoin(F.broadcast(block)).select("query_id", "unique_id", score.alias("score")), k, ascending=metric == "l2")
-        out = part if out is None else out.union(part)
-    return out
+    return top_k(scoring.nearest_vectors(vectors, queries, k, metric), k, ascending=metric == "l2")
 
 
 def sparse_vectors(df: DataFrame, id_col: str, words: Column, dims: int = 200) -> DataFrame:
@@ -137,6 +175,31 @@ def sparse(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top_k(vectors.join(asked, "term").groupBy("query_id", "unique_id").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score")), k)
 
 
+def sparse_texts(docs: DataFrame, queries: DataFrame, k: int, dims: int = 200) -> DataFrame:
+    """sparse() of sparse_vectors(): docs (unique_id, words) and queries (query_id, words). A text's dims are chosen in its own row."""
+    weights = sparse_vectors(queries, "query_id", F.col("words"), dims)
+    parts = []
+    for own in scoring.blocks(weights, weights.count()):
+        postings = scoring.Postings(own.toArrow())
+
+        def make(postings: scoring.Postings = postings) -> scoring.Score:
+            def score(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+                every = pc.unique(b.column(1).flatten())
+                every = every.take(pc.sort_indices(every))  # so that equal weights go by term
+                row, term, times, _ = scoring.word_counts(b.column(1), every)
+                order = np.lexsort((term, -times, row))
+                row, term, times = row[order], term[order], times[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+                number = pc.index_in(every, value_set=postings.terms).fill_null(-1).to_numpy(zero_copy_only=False)[term]
+                use = (place < dims) & (number >= 0)
+                return postings.scores(row[use], number[use].astype(np.int64), np.log1p(times[use]), b.num_rows)
+
+            return score
+
+        parts.append(scoring.best_rows(docs.select("unique_id", "words"), postings.query_ids, k, make))
+    return top_k(scoring.united(parts), k)
+
+
 def normed(score: Column, how: str) -> Column:
     if how == "arctan":
         return F.atan(score) * 2 / F.lit(3.141592653589793)

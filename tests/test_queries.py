@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from millrace.operators import retrieval
+from millrace.operators import scoring
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -52,18 +52,18 @@ def embedded(spark, path):
     return v, [i for i in range(160) if (1000 + i) % 50 == 0]
 
 
-@pytest.mark.parametrize("block", [retrieval.DENSE_BLOCK, 2])
+@pytest.mark.parametrize("block", [scoring.BLOCK_QUERIES, 2])
 def test_dense_searches_ask_every_50th_vector(spark, tmp_path, monkeypatch, block):
-    monkeypatch.setattr(retrieval, "DENSE_BLOCK", block)
+    monkeypatch.setattr(scoring, "BLOCK_QUERIES", block)
     v, asked = embedded(spark, tmp_path)
     unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-    scores = {"r7_dense_ip_topk_whole": (v @ v.T, -1, 10), "r8_dense_l2_topk_whole": (((v[:, None] - v[None]) ** 2).sum(2), 1, 10), "j8_dense_cosine_whole": (unit @ unit.T, -1, 3)}
+    scores = {"r7_dense_ip_topk": (v @ v.T, -1, 10), "r8_dense_l2_topk": (((v[:, None] - v[None]) ** 2).sum(2), 1, 10), "j8_dense_cosine": (unit @ unit.T, -1, 3)}
     best = lambda s, sign, k, q: np.lexsort((np.arange(160), sign * np.round(s[q], 9)))[:k]
     for name, (s, sign, k) in scores.items():
         got = sorted((r["query_id"], r["rank"], r["unique_id"]) for r in entry.queries()[name](spark, str(tmp_path)).collect())
         assert got == [(1000 + q, n + 1, 1000 + e) for q in asked for n, e in enumerate(best(s, sign, k, q))], name
     pairs = [(q % 3, q % 3 == e % 3) for q in asked for e in best(v @ v.T, -1, 6, q) if e != q]
-    got = {r["category"]: (r["n"], r["accuracy"]) for r in entry.queries()["a10_accuracy_rollup_whole"](spark, str(tmp_path)).collect()}
+    got = {r["category"]: (r["n"], r["accuracy"]) for r in entry.queries()["a10_accuracy_rollup"](spark, str(tmp_path)).collect()}
     want = {str(c): [ok for y, ok in pairs if y == c] for c in {y for y, _ in pairs}} | {"Average": [ok for _, ok in pairs]}
     assert got == {c: (len(x), round(float(np.mean(x)), 6)) for c, x in want.items()}
 
