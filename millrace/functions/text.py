@@ -179,3 +179,8 @@ def filled(template: str, **slots: Column | str) -> Column:
 def media_counts_match(text: Column | str, placeholder: str, media: Column | str) -> Column:
     """As many placeholders in the text as media."""
     return F.regexp_count(_c(text), F.lit(rf"\Q{placeholder}\E")) == F.size(F.coalesce(_c(media), F.array()))
+
+
+def date_text(when: Column | str) -> Column:
+    """A date as prompts carry it: 05 Mar 2026."""
+    return F.date_format(when, "dd MMM yyyy")

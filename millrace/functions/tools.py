@@ -50,10 +50,17 @@ def _default_describe(tools: list[dict]) -> str:
     return f"You have access to the following tools:\n{out}Use the following format if using a tool:\n```\nAction: tool name (one of [{', '.join(names)}])\nAction Input: the input to the tool, in a JSON format representing the kwargs (e.g. ```{{\"input\": \"hello world\", \"num_beams\": 5}}```)\n```\n"
 
 
+# The marks of the dialects.
+_OPEN, _CLOSE = "<tool_call>", "</tool_call>"
+
+
 def _default_extract(text: str) -> list[Call] | None:
-    found = re.findall(r"Action:\s*([a-zA-Z0-9_]+)\s*Action Input:\s*(.+?)(?=\s*Action:|\s*$)", text, re.S)
+    """Each 'Action:' begins a call: a name of letters, digits and underscores, then 'Action Input:' and its arguments."""
     calls = []
-    for name, arguments in found:
+    for part in text.split("Action:")[1:]:
+        name, mark, arguments = part.partition("Action Input:")
+        if not mark or not arguments.strip() or not name.strip().isascii() or not name.strip().replace("_", "a").isalnum():
+            continue
         try:
             calls.append((name.strip(), _dump(json.loads(arguments.strip().strip('"').strip("`")))))
         except ValueError:
@@ -70,12 +77,20 @@ def _glm4_extract(text: str) -> list[Call] | None:
 
 
 def _qwen_extract(text: str) -> list[Call] | None:
+    """What stands between tool_call marks; a closing mark counts if the next call or the end of the text follows it."""
     calls: list[Call] = []
-    for m in re.findall(r"<tool_call>(.+?)</tool_call>(?=\s*<tool_call>|\s*$)", text, re.S):
-        own = _json_calls(m)
+    at = text.find(_OPEN)
+    while at >= 0:
+        stop = text.find(_CLOSE, at + len(_OPEN) + 1)
+        while stop >= 0 and (rest := text[stop + len(_CLOSE) :].lstrip()) and not rest.startswith(_OPEN):
+            stop = text.find(_CLOSE, stop + 1)
+        if stop < 0:
+            break
+        own = _json_calls(text[at + len(_OPEN) : stop])
         if own is None:
             return None
         calls += own
+        at = text.find(_OPEN, stop)
     return calls or None
 
 
@@ -112,6 +127,17 @@ def function_text(content: str, name: str) -> str:
     return head + dialect(name).call(calls)
 
 
+def function_texts(content: Column | str, name: str) -> Column:
+    """function_text() of a column."""
+
+    @F.pandas_udf("string")
+    def written(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda t: None if t is None else function_text(t, name))
+
+    return written(content)
+
+
 def extracted_calls(text: Column | str, name: str) -> Column:
     """array<struct<name,arguments>> of the calls in the text; null where it holds none."""
 

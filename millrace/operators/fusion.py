@@ -90,3 +90,14 @@ def retry_candidates(answers: DataFrame, ranked: DataFrame, top: int = 3) -> Dat
     many = ranked.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") > top)
     refused = answers.where(F.trim("answer").isin("无答案", "无", "")).select("query_id").join(many, "query_id", "left_semi")
     return ranked.where(F.col("rank") <= top).join(refused, "query_id", "left_semi")
+
+
+def looked_up(rows: DataFrame, docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """rows with columns of the document of their key; those of an unknown key are null. A key that docs repeats counts once."""
+    own = docs.groupBy(key).agg(*[F.min(c).alias(c) for c in columns])
+    return rows.join(own, key, "left")
+
+
+def with_next(rows: DataFrame, group: list[str], order: str, column: str) -> DataFrame:
+    """rows with the column of the row after, by order in the group, as next; null in the last."""
+    return rows.withColumn("next", F.lead(column).over(Window.partitionBy(*group).orderBy(order)))

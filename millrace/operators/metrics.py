@@ -215,3 +215,8 @@ def with_previous(df: DataFrame, keys: list[str], order: str, value: str) -> Dat
 def progress(df: DataFrame, steps: str, total: int, elapsed: str) -> DataFrame:
     """df with percentage and remaining seconds from steps done and seconds elapsed."""
     return df.withColumns({"percentage": F.round(F.col(steps) / total * 100, 2), "remaining": F.when(F.col(steps) > 0, (total - F.col(steps)) * F.col(elapsed) / F.col(steps))})
+
+
+def preference_types(rows: DataFrame, wanted: Column) -> DataFrame:
+    """One row: how many answers are wanted, how many unwanted; a null tag is neither."""
+    return rows.agg(F.count_if(wanted).alias("wanted"), F.count_if(~wanted).alias("unwanted"))

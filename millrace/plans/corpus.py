@@ -35,8 +35,8 @@ def _list(values: list[str]) -> str:
 
 # Questions with planted faults, so that each rule is met: the turn number picks one.
 _FAULTS = ["", "1. ", "导航去", "播放", "？a？", "x歌手", "车门", "第3页"]
-_VARIED_SQL = f"""varied AS (SELECT conv_id, turn, CASE WHEN conv_id % 11 = 0 THEN '短' ELSE f || substr(question, 1, 60) || CASE WHEN f = 'x歌手' THEN '歌手' ELSE '' END END AS question,
-  CASE WHEN conv_id % 13 = 0 THEN '无答案' WHEN conv_id % 17 = 0 THEN '见图' || substr(answer, 1, 20) WHEN conv_id % 19 = 0 THEN '第12页' || substr(answer, 1, 9) WHEN conv_id % 23 = 0 THEN '还可以' WHEN conv_id % 29 = 0 THEN '可以吧好' ELSE answer END AS answer
+_VARIED_SQL = f"""varied AS (SELECT conv_id, turn, CASE WHEN conv_id % 11 = 0 THEN '短' ELSE f || question || CASE WHEN f = 'x歌手' THEN '歌手' ELSE '' END END AS question,
+  CASE WHEN conv_id % 13 = 0 THEN '无答案' WHEN conv_id % 17 = 0 THEN '见图' || answer WHEN conv_id % 19 = 0 THEN '第12页' || answer WHEN conv_id % 23 = 0 THEN '还可以' WHEN conv_id % 29 = 0 THEN '可以吧好' ELSE answer END AS answer
   FROM (SELECT *, {_list(_FAULTS)}[(conv_id % 8)::int + 1] AS f FROM qa))"""
 
 
@@ -44,8 +44,8 @@ def varied(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("conv_id")
     f = F.element_at(F.array(*[F.lit(x) for x in _FAULTS]), (c % 8 + 1).cast("int"))
     a = F.col("answer")
-    question = F.when(c % 11 == 0, "短").otherwise(F.concat(f, F.substring("question", 1, 60), F.when(f == "x歌手", "歌手").otherwise("")))
-    answer = F.when(c % 13 == 0, "无答案").when(c % 17 == 0, F.concat(F.lit("见图"), F.substring(a, 1, 20))).when(c % 19 == 0, F.concat(F.lit("第12页"), F.substring(a, 1, 9))).when(c % 23 == 0, "还可以").when(c % 29 == 0, "可以吧好").otherwise(a)
+    question = F.when(c % 11 == 0, "短").otherwise(F.concat(f, F.col("question"), F.when(f == "x歌手", "歌手").otherwise("")))
+    answer = F.when(c % 13 == 0, "无答案").when(c % 17 == 0, F.concat(F.lit("见图"), a)).when(c % 19 == 0, F.concat(F.lit("第12页"), a)).when(c % 23 == 0, "还可以").when(c % 29 == 0, "可以吧好").otherwise(a)
     return pairs(spark, sf).select("conv_id", "turn", question.alias("question"), answer.alias("answer"))
 
 
@@ -81,8 +81,8 @@ register(
 register("p9_unanswerable", lambda s, d: varied(s, d).where(qa.answerable()).agg(F.count("*").alias("n")), f"WITH {_QA}, {_VARIED_SQL} SELECT count(*) AS n FROM varied WHERE {_STRIP.format('question')} <> '' AND {_STRIP.format('answer')} <> '' AND NOT contains(answer, '无法准确') AND NOT contains(answer, '未提及')")
 register(
     "p10_judge_eligibility",
-    lambda s, d: varied(s, d).where(qa.judgeable("question", "answer", F.substring("question", 1, 3))).select("conv_id", "turn"),
-    f"WITH {_QA}, {_VARIED_SQL} SELECT conv_id, turn FROM varied WHERE {_STRIP.format('question')} <> '' AND {_STRIP.format('answer')} NOT IN ('无答案', '没有答案', '无', '-', '') AND {_STRIP.format('substr(question, 1, 3)')} NOT IN ('无答案', '没有答案', '无', '-', '')",
+    lambda s, d: varied(s, d).where(qa.judgeable("question", "answer", F.regexp_replace("question", "^短$", "无"))).select("conv_id", "turn"),
+    f"WITH {_QA}, {_VARIED_SQL} SELECT conv_id, turn FROM varied WHERE {_STRIP.format('question')} <> '' AND {_STRIP.format('answer')} NOT IN ('无答案', '没有答案', '无', '-', '') AND {_STRIP.format(chr(39).join(['regexp_replace(question, ', '^短$', ', ', '无', ')']))} NOT IN ('无答案', '没有答案', '无', '-', '')",
 )
 
 
@@ -101,30 +101,34 @@ SELECT md5(question) AS unique_id, question, '无答案' AS answer FROM n WHERE
 
 # paraphrases and keywords are derived from the pairs themselves
 def paraphrased(spark: SparkSession, sf: str) -> DataFrame:
-    p = pairs(spark, sf).where("length(question) < 400")
+    p = pairs(spark, sf)
     raw = p.select(X.content_id("question").alias("unique_id"), F.to_json(F.array(F.struct("question", "answer"))).alias("raw_resp")).distinct()
-    variants = p.where("conv_id % 3 = 0").select("question", X.trimmed_lines(F.concat(F.substring("question", 1, 40), F.lit("\n\n 改写 \n"), F.substring("question", 1, 20))).alias("variants")).dropDuplicates(["question"])
+    variants = p.where("conv_id % 3 = 0").select("question", X.trimmed_lines(F.concat(F.col("question"), F.lit("\n\n 改写 \n"), F.col("question"), F.lit("?"))).alias("variants")).dropDuplicates(["question"])
     return qa.with_paraphrases(qa.explode_pairs(raw), variants).select("unique_id", "question", "answer")
 
 
 register(
     "q2_paraphrase_explode",
     paraphrased,
-    rf"""WITH {_QA}, p AS (SELECT DISTINCT question, answer, max(conv_id % 3 = 0) OVER (PARTITION BY question) AS v FROM qa WHERE length(question) < 400),
+    rf"""WITH {_QA}, p AS (SELECT DISTINCT question, answer, max(conv_id % 3 = 0) OVER (PARTITION BY question) AS v FROM qa),
 r AS (SELECT {_STRIP.format('question')} AS q, {_STRIP.format('answer')} AS answer, question AS raw, v FROM p),
 k AS (SELECT * FROM r WHERE q <> '' AND answer <> '' AND NOT contains(answer, '无法准确') AND NOT contains(answer, '未提及')),
-e AS (SELECT q AS question, answer FROM k UNION ALL SELECT unnest(list_filter(list_transform(string_split(substr(raw, 1, 40) || chr(10) || chr(10) || ' 改写 ' || chr(10) || substr(raw, 1, 20), chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> '')), answer FROM k WHERE v AND q = raw)
+e AS (SELECT q AS question, answer FROM k UNION ALL SELECT unnest(list_filter(list_transform(string_split(raw || chr(10) || chr(10) || ' 改写 ' || chr(10) || raw || '?', chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> '')), answer FROM k WHERE v AND q = raw)
 SELECT md5(question) AS unique_id, question, answer FROM e""",
 )
 
 
+def _word(column: str, n: int) -> F.Column:
+    return F.coalesce(F.get(F.split(column, " "), n), F.lit(""))
+
+
 def keyworded(spark: SparkSession, sf: str) -> DataFrame:
     p = pairs(spark, sf)
-    raw = p.where("conv_id % 2 = 0").select("answer", F.when(F.col("conv_id") % 10 == 0, "无").otherwise(F.concat(F.substring("answer", 1, 4), F.lit(", SU7,无,zzz,"), F.substring("answer", 3, 5))).alias("raw_resp")).groupBy("answer").agg(F.min("raw_resp").alias("raw_resp"))
+    raw = p.where("conv_id % 2 = 0").select("answer", F.when(F.col("conv_id") % 10 == 0, "无").otherwise(F.concat(_word("answer", 0), F.lit(", SU7,无,zzz,"), _word("answer", 2))).alias("raw_resp")).groupBy("answer").agg(F.min("raw_resp").alias("raw_resp"))
     return qa.attach_keywords(p, raw)
 
 
-_KEYWORDS = f"""{_QA}, kr AS (SELECT answer, min(CASE WHEN conv_id % 10 = 0 THEN '无' ELSE substr(answer, 1, 4) || ', SU7,无,zzz,' || substr(answer, 3, 5) END) AS raw FROM qa WHERE conv_id % 2 = 0 GROUP BY 1),
+_KEYWORDS = f"""{_QA}, kr AS (SELECT answer, min(CASE WHEN conv_id % 10 = 0 THEN '无' ELSE coalesce(string_split(answer, ' ')[1], '') || ', SU7,无,zzz,' || coalesce(string_split(answer, ' ')[3], '') END) AS raw FROM qa WHERE conv_id % 2 = 0 GROUP BY 1),
 kw AS (SELECT answer, CASE WHEN trim(raw) = '无' THEN [] ELSE list_filter(list_transform(string_split(trim(raw), ','), lambda k: trim(k)), lambda k: k <> '' AND contains(answer, k) AND k NOT IN ('无', 'SU7', '')) END AS ks FROM kr),
 kq AS (SELECT qa.*, coalesce(ks, []) AS ks FROM qa LEFT JOIN kw USING (answer))"""
 register("j4_keyword_attach", lambda s, d: keyworded(s, d).select("conv_id", "turn", F.array_join("keywords", "|").alias("keywords")), f"WITH {_KEYWORDS} SELECT conv_id, turn, array_to_string(ks, '|') AS keywords FROM kq")
@@ -132,10 +136,10 @@ register("a19_keyword_coverage", lambda s, d: keyworded(s, d).agg(F.count_if(F.s
 
 
 def scored_answers(spark: SparkSession, sf: str) -> DataFrame:
-    """Gold answers against made-up predictions: cut, changed, refused; word overlap stands in for similarity."""
-    p = keyworded(spark, sf).where("conv_id % 2 = 0 or turn = 0")
-    gold = F.when(F.col("conv_id") % 13 == 0, "无答案").when(F.col("conv_id") % 5 == 0, F.substring("answer", 1, 15)).when(F.col("conv_id") % 7 == 0, F.substring("answer", 1, 45)).otherwise(F.col("answer"))
-    pred = F.when(F.col("conv_id") % 26 == 0, "无答案").when(F.col("conv_id") % 3 == 0, F.substring("answer", 1, 60)).when(F.col("conv_id") % 3 == 1, F.substring("answer", 5, 20)).otherwise(F.col("question"))
+    """Gold answers against made-up predictions: whole, single words, refused; word overlap stands in for similarity."""
+    p = keyworded(spark, sf)
+    gold = F.when(F.col("conv_id") % 13 == 0, "无答案").when(F.col("conv_id") % 5 == 0, _word("answer", 0)).when(F.col("conv_id") % 7 == 0, F.concat_ws(" ", _word("answer", 1), _word("answer", 2), _word("answer", 3))).otherwise(F.col("answer"))
+    pred = F.when(F.col("conv_id") % 26 == 0, "无答案").when(F.col("conv_id") % 3 == 0, F.col("answer")).when(F.col("conv_id") % 3 == 1, _word("answer", 2)).otherwise(F.col("question"))
     own = p.select("conv_id", "turn", gold.alias("gold"), pred.alias("pred"), "keywords")
     sim = fusion.lexical_overlap(X.tokens("gold"), X.tokens("pred")) * 0.8
     return own.select("conv_id", "turn", F.round(metrics.answer_score(F.col("gold"), F.col("pred"), sim, F.col("keywords")), 6).alias("score"))
@@ -146,8 +150,8 @@ _CH = "list_distinct(list_filter(string_split({}, ''), lambda c: c <> '' AND c <
 _HIT = "len(list_filter(" + _CH.format("k") + ", lambda c: contains({t}, c)))::double / greatest(len(" + _CH.format("k") + "), 1)"
 _FUZZY = "(contains({t}, k) OR (len(" + _CH.format("k") + ") > 0 AND " + _HIT + " >= 0.6))"
 _SCORES = f"""{_KEYWORDS},
-g AS (SELECT conv_id, turn, ks, CASE WHEN conv_id % 13 = 0 THEN '无答案' WHEN conv_id % 5 = 0 THEN substr(answer, 1, 15) WHEN conv_id % 7 = 0 THEN substr(answer, 1, 45) ELSE answer END AS gold,
-  CASE WHEN conv_id % 26 = 0 THEN '无答案' WHEN conv_id % 3 = 0 THEN substr(answer, 1, 60) WHEN conv_id % 3 = 1 THEN substr(answer, 5, 20) ELSE question END AS pred FROM kq WHERE conv_id % 2 = 0 OR turn = 0),
+g AS (SELECT conv_id, turn, ks, CASE WHEN conv_id % 13 = 0 THEN '无答案' WHEN conv_id % 5 = 0 THEN coalesce(string_split(answer, ' ')[1], '') WHEN conv_id % 7 = 0 THEN coalesce(string_split(answer, ' ')[2], '') || ' ' || coalesce(string_split(answer, ' ')[3], '') || ' ' || coalesce(string_split(answer, ' ')[4], '') ELSE answer END AS gold,
+  CASE WHEN conv_id % 26 = 0 THEN '无答案' WHEN conv_id % 3 = 0 THEN answer WHEN conv_id % 3 = 1 THEN coalesce(string_split(answer, ' ')[3], '') ELSE question END AS pred FROM kq),
 v AS (SELECT *, 0.8 * len(list_intersect(list_distinct({_TOK.format('gold')}), {_TOK.format('pred')}))::double / greatest(len(list_distinct({_TOK.format('gold')})), 1) AS sem, list_filter(ks, lambda k: {_FUZZY.format(t='gold')}) AS valid FROM g),
 h AS (SELECT *, len(list_filter(valid, lambda k: {_FUZZY.format(t='pred')}))::double / greatest(len(valid), 1) AS rate FROM v),
 b AS (SELECT *, CASE WHEN len(valid) > 0 THEN greatest(sem, 0.3 * CASE WHEN rate > 0.3 THEN 1.0 ELSE rate END + 0.7 * sem) ELSE sem END AS base,
@@ -253,7 +257,7 @@ _CITED = "'a' || doc_id || '【' || (doc_id % 7) || ', 3】b【{x}，' || (doc_i
 register("x1_cite_extract", lambda s, d: docs(s, d).select("doc_id", F.explode(X.cite_numbers(F.expr(_CITED))).alias("cite")), f"WITH r AS (SELECT doc_id, {_CITED} AS t FROM documents), m AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(t, '[【](.*?)[】]', 1), lambda x: replace(regexp_replace(x, '[{{}} 【】]', '', 'g'), ',', '，'))) AS x FROM r), n AS (SELECT doc_id, unnest(string_split(x, '，')) AS n FROM m) SELECT DISTINCT doc_id, n::int AS cite FROM n WHERE regexp_matches(n, '^[0-9]+$')")
 register("x2_cite_strip", lambda s, d: docs(s, d).select("doc_id", X.without_cites(F.expr(_CITED)).alias("answer")), f"SELECT doc_id, regexp_replace(regexp_replace({_CITED}, '[【](.*?)[】]', '', 'g'), '[{{}}【】]', '', 'g') AS answer FROM documents")
 register("x4_format_answer", lambda s, d: docs(s, d).select("doc_id", X.cited_answer(F.expr("if(doc_id % 3 = 0, 'x', 'y【' || (doc_id % 9) || ',2】')")).alias("answer")), "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '无答案' ELSE 'y【' || array_to_string(list_sort(list_distinct([(doc_id % 9)::int, 2])), ',') || '】' END AS answer FROM documents")
-register("x5_number_prefix", lambda s, d: docs(s, d).select("doc_id", X.without_number_prefix(F.expr("doc_id || '. ' || substring(text, 1, 30)")).alias("q")), r"SELECT doc_id, trim(regexp_replace(doc_id || '. ' || substr(text, 1, 30), '^\s*\d+\s*[.．。、]\s*', '')) AS q FROM documents")
-register("x13_keyword_list", lambda s, d: docs(s, d).select("doc_id", F.array_join(X.keyword_list(F.expr("if(doc_id % 4 = 0, '无', 'the, zzz ,SU7,' || substring(text, 2, 5))"), "text"), "|").alias("k")), "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE array_to_string(list_filter(list_transform(string_split(trim('the, zzz ,SU7,' || substr(text, 2, 5)), ','), lambda k: trim(k)), lambda k: k <> '' AND contains(text, k) AND k NOT IN ('无', 'SU7', '')), '|') END AS k FROM documents")
+register("x5_number_prefix", lambda s, d: docs(s, d).select("doc_id", X.without_number_prefix(F.expr("doc_id || '. ' || text")).alias("q")), r"SELECT doc_id, trim(regexp_replace(doc_id || '. ' || text, '^\s*\d+\s*[.．。、]\s*', '')) AS q FROM documents")
+register("x13_keyword_list", lambda s, d: docs(s, d).select("doc_id", F.array_join(X.keyword_list(F.expr("if(doc_id % 4 = 0, '无', 'the, zzz ,SU7,' || element_at(split(text || ' ', ' '), 2))"), "text"), "|").alias("k")), "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE array_to_string(list_filter(list_transform(string_split(trim('the, zzz ,SU7,' || string_split(text || ' ', ' ')[2]), ','), lambda k: trim(k)), lambda k: k <> '' AND contains(text, k) AND k NOT IN ('无', 'SU7', '')), '|') END AS k FROM documents")
 register("u5_character_sets", lambda s, d: docs(s, d).select("doc_id", F.size(F.array_intersect(X.characters("text"), X.characters("source"))).cast("long").alias("both"), F.size(F.array_union(X.characters("text"), X.characters("source"))).cast("long").alias("either")), f"SELECT doc_id, len(list_intersect({_CH.format('text')}, {_CH.format('source')})) AS both, len(list_distinct(list_concat({_CH.format('text')}, {_CH.format('source')}))) AS either FROM documents")
-register("x7_fuzzy_match", lambda s, d: docs(s, d).select("doc_id", X.fuzzy_match(F.concat(F.substring("text", 3, 6), F.lit("QZJ")), F.col("text")).alias("hit")), f"WITH t AS (SELECT doc_id, text, substr(text, 3, 6) || 'QZJ' AS k FROM documents) SELECT doc_id, {_FUZZY.format(t='text')} AS hit FROM t")
+register("x7_fuzzy_match", lambda s, d: docs(s, d).select("doc_id", X.fuzzy_match(F.concat(F.element_at(F.split(F.concat("text", F.lit(" ")), " "), 2), F.lit("QZJ")), F.col("text")).alias("hit")), f"WITH t AS (SELECT doc_id, text, string_split(text || ' ', ' ')[2] || 'QZJ' AS k FROM documents) SELECT doc_id, {_FUZZY.format(t='text')} AS hit FROM t")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import text as X
 from ..functions.templates import choice_templates, get_template, reasoning_messages
-from ..functions.tools import extracted_calls, function_text
+from ..functions.tools import extracted_calls, function_texts
 from ..operators import align, chunking, encode, fusion, metrics, qa, sampling
 from ..sources import readers
 from ..streaming import streams
@@ -51,7 +51,7 @@ register(
 def kto(spark: SparkSession, sf: str) -> DataFrame:
     own = dialogues(spark, sf).join(labels(spark, sf).select(F.col("doc_id").alias("conv_id"), (F.col("quality") == 1).alias("tag")), "conv_id")
     out = align.align(own, align.openai_columns(kto_tag="tag"))
-    return out.select(_said("_prompt").alias("prompt"), F.array_join(F.transform("_response", lambda m: F.concat(F.lit("<"), F.substring(m["content"], 1, 80), F.lit(">"))), "|").alias("response"))
+    return out.select(_said("_prompt").alias("prompt"), F.array_join(F.transform("_response", lambda m: F.concat(F.lit("<"), m["content"], F.lit(">"))), "|").alias("response"))
 
 
 register(
@@ -59,12 +59,12 @@ register(
     kto,
     f"""WITH {_ALIGN}, k AS (SELECT al.*, quality = 1 AS tag FROM al JOIN labels ON doc_id = conv_id)
 SELECT CASE WHEN ok THEN array_to_string(list_transform(list_zip(r[:len(r) - 1], t[:len(t) - 1]), lambda z: z[1] || ':' || z[2]), chr(10)) ELSE '' END AS prompt,
-  CASE WHEN NOT ok THEN '' WHEN tag THEN CASE WHEN len(t) > 0 THEN '<' || substr(t[-1], 1, 80) || '>|' ELSE '' END || '<>' ELSE '<>' || CASE WHEN len(t) > 0 THEN '|<' || substr(t[-1], 1, 80) || '>' ELSE '' END END AS response FROM k""",
+  CASE WHEN NOT ok THEN '' WHEN tag THEN CASE WHEN len(t) > 0 THEN '<' || t[-1] || '>|' ELSE '' END || '<>' ELSE '<>' || CASE WHEN len(t) > 0 THEN '|<' || t[-1] || '>' ELSE '' END END AS response FROM k""",
 )
 
 
 def alpaca(spark: SparkSession, sf: str) -> DataFrame:
-    own = docs(spark, sf).select(F.substring("text", 1, 30).alias("instruction"), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 31, 20)).otherwise("").alias("input"), F.when(F.col("doc_id") % 3 != 0, F.substring("text", 51, 20)).alias("output"), F.array(F.array(F.col("source"), F.col("lang"))).alias("history"), "doc_id")
+    own = docs(spark, sf).select(F.col("text").alias("instruction"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("").alias("input"), F.when(F.col("doc_id") % 3 != 0, F.col("text")).alias("output"), F.array(F.array(F.col("source"), F.col("lang"))).alias("history"), "doc_id")
     out = align.align(own, align.Columns(history="history"))
     return out.select(_said("_prompt").alias("prompt"), _said("_response").alias("response"), F.size("_prompt").cast("long").alias("n"))
 
@@ -72,7 +72,7 @@ def alpaca(spark: SparkSession, sf: str) -> DataFrame:
 register(
     "p14_align_alpaca",
     alpaca,
-    "SELECT 'user:' || source || chr(10) || 'assistant:' || lang || chr(10) || 'user:' || substr(text, 1, 30) || CASE WHEN doc_id % 2 = 0 AND substr(text, 31, 20) <> '' THEN chr(10) || substr(text, 31, 20) ELSE '' END AS prompt, CASE WHEN doc_id % 3 <> 0 THEN 'assistant:' || substr(text, 51, 20) ELSE '' END AS response, 3 AS n FROM documents",
+    "SELECT 'user:' || source || chr(10) || 'assistant:' || lang || chr(10) || 'user:' || CASE WHEN doc_id % 2 = 0 THEN text || chr(10) || source ELSE text END AS prompt, CASE WHEN doc_id % 3 <> 0 THEN 'assistant:' || text ELSE '' END AS response, 3 AS n FROM documents",
 )
 register("p18_prompt_valid", lambda s, d: aligned(s, d).agg(F.count_if(align.encodable("sft")).alias("sft"), F.count_if(align.encodable("pt")).alias("pt"), F.count_if(align.encodable("dpo")).alias("dpo")), f"WITH {_ALIGN} SELECT count(*) FILTER (ok AND len(r) > 0 AND len(r) % 2 = 0) AS sft, count(*) FILTER (ok AND len(r) > 0) AS pt, 0 AS dpo FROM al")
 register(
@@ -87,7 +87,7 @@ register(
     lambda s, d: aligned(s, d).where(align.encodable("sft")).select(get_template("chatml").rendered(F.concat("_prompt", "_response"), "_system").alias("text")),
     f"WITH {_ALIGN} SELECT CASE WHEN _system <> '' THEN '<|im_start|>system' || chr(10) || _system || '<|im_end|>' || chr(10) ELSE '' END || array_to_string(list_transform(list_zip(r, t), lambda z: {_CHATML}), '') AS text FROM al WHERE ok AND len(r) > 0",
 )
-_THOUGHT = "CASE WHEN doc_id % 2 = 0 THEN '<think>' || chr(10) || substr(text, 1, 9) || '</think>' || chr(10) || chr(10) ELSE '' END || substr(text, 1, 50)"
+_THOUGHT = "CASE WHEN doc_id % 2 = 0 THEN '<think>' || chr(10) || source || '</think>' || chr(10) || chr(10) ELSE '' END || text"
 register("x15_think_strip", lambda s, d: docs(s, d).select("doc_id", X.without_thought(F.expr(_THOUGHT)).alias("text")), f"SELECT doc_id, regexp_replace(regexp_replace({_THOUGHT}, '(?s)<think>(.*?)</think>', '', 'g'), '^\\n+', '') AS text FROM documents")
 register("x16_empty_thought", lambda s, d: docs(s, d).select("doc_id", X.with_empty_thought(F.expr(_THOUGHT)).alias("text")), f"SELECT doc_id, CASE WHEN contains({_THOUGHT}, '<think>') THEN {_THOUGHT} ELSE '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) || {_THOUGHT} END AS text FROM documents")
 register(
@@ -99,17 +99,33 @@ register("x23_prompt_build", lambda s, d: docs(s, d).select("doc_id", X.filled("
 
 
 def choices(spark: SparkSession, sf: str) -> DataFrame:
-    own = docs(spark, sf).select("doc_id", F.substring("text", 1, 20).alias("q"), *[F.substring("text", 20 + i, 5).alias(c) for i, c in enumerate("ABCD")], "lang")
+    own = docs(spark, sf).select("doc_id", F.col("text").alias("q"), *[F.concat(F.lit(c), F.col("source")).alias(c) for c in "ABCD"], "lang")
     prompt = choice_templates["en"].prompt(F.col("q"), {c: F.col(c) for c in "ABCD"})
     target = F.struct(prompt.alias("prompt"), F.lit("A").alias("answer"))
     text = choice_templates["en"].messages(F.array(target), target, F.col("lang"))
     return own.select("doc_id", F.array_join(F.transform(text, lambda m: m["content"]), "#").alias("text"))
 
 
-_MC = "substr(text, 1, 20) || chr(10) || 'A. ' || substr(text, 20, 5) || chr(10) || 'B. ' || substr(text, 21, 5) || chr(10) || 'C. ' || substr(text, 22, 5) || chr(10) || 'D. ' || substr(text, 23, 5) || chr(10) || 'Answer:'"
+_MC = "text || chr(10) || 'A. A' || source || chr(10) || 'B. B' || source || chr(10) || 'C. C' || source || chr(10) || 'D. D' || source || chr(10) || 'Answer:'"
 register("x24_choice_prompt", choices, f"SELECT doc_id, 'The following are multiple choice questions (with answers) about ' || lang || '.' || chr(10) || chr(10) || {_MC} || '#A#' || {_MC} || '#A' AS text FROM documents")
-register("x18_tool_calls", lambda s, d: docs(s, d).limit(1).select(F.explode(F.array(*[F.lit(k) for k in ("default", "qwen")])).alias("dialect")).select("dialect", F.size(F.when(F.col("dialect") == "qwen", extracted_calls(F.lit('<tool_call>\n{"name": "f", "arguments": {"a": 1}}\n</tool_call>'), "qwen")).otherwise(extracted_calls(F.lit('Action: f\nAction Input: {"a": 1}'), "default"))).cast("long").alias("n")), "SELECT unnest(['default', 'qwen']) AS dialect, 1 AS n")
-register("x19_function_text", lambda s, d: s.createDataFrame([(k, function_text('{"name": "f", "arguments": {"a": 1}}', k)) for k in ("default", "glm4")], "dialect string, text string"), """SELECT * FROM (VALUES ('default', 'Action: f' || chr(10) || 'Action Input: {"a": 1}'), ('glm4', 'f' || chr(10) || '{"a": 1}')) AS t(dialect, text)""")
+_QWEN_CALL = """'<tool_call>' || chr(10) || '{"name": "f", "arguments": {"a": ' || doc_id || '}}' || chr(10) || '</tool_call>'"""
+_PLAIN_CALL = """'Action: f' || chr(10) || 'Action Input: {"a": ' || doc_id || '}'"""
+
+
+def tool_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """The calls in an answer of each document's dialect; of every fifth the JSON is broken."""
+    said = F.expr(f"if(doc_id % 5 = 0, replace(if(doc_id % 2 = 0, {_QWEN_CALL}, {_PLAIN_CALL}), ': ', ':, '), if(doc_id % 2 = 0, {_QWEN_CALL}, {_PLAIN_CALL}))")
+    own = docs(spark, sf).select("doc_id", said.alias("said"))
+    calls = F.when(F.col("doc_id") % 2 == 0, extracted_calls("said", "qwen")).otherwise(extracted_calls("said", "default"))
+    return own.select("doc_id", calls.alias("calls")).select("doc_id", F.coalesce(F.array_join(F.transform("calls", lambda c: F.concat(c["name"], F.lit(" "), c["arguments"])), "|"), F.lit("none")).alias("calls"))
+
+
+register("x18_tool_calls", tool_calls, """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'none' ELSE 'f {"a": ' || doc_id || '}' END AS calls FROM documents""")
+register(
+    "x19_function_text",
+    lambda s, d: docs(s, d).select("doc_id", F.expr("""'{"name": "f", "arguments": {"a": ' || doc_id || '}}'""").alias("call")).select("doc_id", *[function_texts("call", k).alias(f"{k}_text") for k in ("default", "glm4", "qwen")]),
+    f"""SELECT doc_id, {_PLAIN_CALL} AS default_text, 'f' || chr(10) || '{{"a": ' || doc_id || '}}' AS glm4_text, {_QWEN_CALL} AS qwen_text FROM documents""",
+)
 register(
     "x29_media_counts",
     lambda s, d: docs(s, d).select("doc_id", X.media_counts_match(F.concat(F.repeat(F.lit("<image>"), (F.col("doc_id") % 3).cast("int")), F.lit("x")), "<image>", F.array_repeat(F.lit("p"), (F.col("doc_id") % 2).cast("int"))).alias("ok")),
@@ -175,17 +191,17 @@ register("u3_distinct", lambda s, d: docs(s, d).select("text").distinct().agg(F.
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """(query, context, response, merged_docs) from reranked and BM25 documents."""
-    top = reranked(spark, sf).select("query_id", "query", "rank", F.substring("page_content", 1, 120).alias("t"))
+    top = reranked(spark, sf).select("query_id", "query", "rank", F.col("page_content").alias("t"))
     context = top.groupBy("query_id", "query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]).alias("context"))
-    merged = bm25_ranked(spark, sf).join(documents(spark, sf), "unique_id").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.substring("page_content", 1, 120).alias("t")))), lambda x: x["t"]).alias("merged_docs"))
+    merged = bm25_ranked(spark, sf).join(documents(spark, sf), "unique_id").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("page_content").alias("t")))), lambda x: x["t"]).alias("merged_docs"))
     response = F.when(F.col("query_id") % 4 == 0, F.lit("无答案")).otherwise(F.lit("答【2,1】。"))
-    return context.join(merged, "query_id").select("query_id", F.substring("query", 1, 40).alias("query"), "context", response.alias("response"), "merged_docs")
+    return context.join(merged, "query_id").select("query_id", "query", "context", response.alias("response"), "merged_docs")
 
 
 _RECORDS = f"""{_CHAIN},
-cx AS (SELECT item_id, list(substr(text, 1, 120) ORDER BY rank) AS context FROM rr JOIN documents USING (doc_id) GROUP BY 1),
-md AS (SELECT item_id, list(substr(text, 1, 120) ORDER BY rank) AS merged FROM bm25 JOIN documents USING (doc_id) GROUP BY 1),
-rec AS (SELECT item_id, {_STRIP.format('substr(b.text, 1, 40)')} AS query, context, merged, list_filter(merged, lambda x: NOT list_contains(context, x)) AS neg, item_id % 4 <> 0 AS cited FROM benchmark b JOIN cx USING (item_id) JOIN md USING (item_id))"""
+cx AS (SELECT item_id, list(text ORDER BY rank) AS context FROM rr JOIN documents USING (doc_id) GROUP BY 1),
+md AS (SELECT item_id, list(text ORDER BY rank) AS merged FROM bm25 JOIN documents USING (doc_id) GROUP BY 1),
+rec AS (SELECT item_id, {_STRIP.format('b.text')} AS query, context, merged, list_filter(merged, lambda x: NOT list_contains(context, x)) AS neg, item_id % 4 <> 0 AS cited FROM benchmark b JOIN cx USING (item_id) JOIN md USING (item_id))"""
 _DRAW = "{l}[" + _BUCKET.format("query || '|42'", "len({l})") + " + 1]"
 register("j5_neg_docs", lambda s, d: records(s, d).select("query_id", F.size(qa.negative_docs("merged_docs", "context")).cast("long").alias("n")), f"{_RECORDS} SELECT item_id AS query_id, len(neg) AS n FROM rec")
 register(
@@ -256,7 +272,7 @@ register("g1_sft_encode", lambda s, d: encode.encode_supervised(aligned(s, d), g
 
 register("a14_length_cdf", lambda s, d: metrics.length_cdf(docs(s, d), F.length("text"), 500), "WITH b AS (SELECT length(text) // 500 * 500 AS bucket, count(*) AS n FROM documents GROUP BY 1) SELECT bucket, n, sum(n) OVER (ORDER BY bucket)::bigint AS cumulative, round(sum(n) OVER (ORDER BY bucket) * 100.0::double / sum(n) OVER (), 2) AS percent FROM b")
 register("a17_latency_percentiles", lambda s, d: metrics.latency(events(s, d), ["event_type"], "value", "user_id").select("event_type", *[F.round(c, 4).alias(c) for c in ("mean", "p50", "p95", "tokens_per_second")]), "SELECT event_type, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(sum(user_id) / sum(value / 1000), 4) AS tokens_per_second FROM events GROUP BY 1")
-register("a18_preference_types", lambda s, d: labels(s, d).agg(F.count_if(F.col("quality") == 1).alias("wanted"), F.count_if(F.col("quality") == 0).alias("unwanted")), "SELECT count(*) FILTER (quality = 1) AS wanted, count(*) FILTER (quality = 0) AS unwanted FROM labels")
+register("a18_preference_types", lambda s, d: metrics.preference_types(labels(s, d), F.col("quality") == 1), "SELECT count(*) FILTER (quality = 1) AS wanted, count(*) FILTER (quality = 0) AS unwanted FROM labels")
 register("a13_reward_accuracy", lambda s, d: docs(s, d).agg(F.round(metrics.preference_accuracy(F.length("text"), F.col("doc_id") * 3), 6).alias("accuracy")), "SELECT round(avg((length(text) > doc_id * 3)::int), 6) AS accuracy FROM documents")
 register("a11_token_accuracy", lambda s, d: masked(s, d).select("conv_id", "turn", F.round(metrics.token_accuracy(F.transform("input_ids", lambda x: F.when(x % 2 == 0, x).otherwise(0)), F.col("labels")), 6).alias("acc")), f"WITH {_MASKED}, p AS (SELECT conv_id, turn, list_filter(list_zip(list_transform(input_ids[:len(input_ids) - 1], lambda x: CASE WHEN x % 2 = 0 THEN x ELSE 0 END), labels[2:]), lambda z: z[2] <> -100) AS z FROM ml) SELECT conv_id, turn, round(len(list_filter(z, lambda y: y[1] = y[2]))::double / nullif(len(z), 0), 6) AS acc FROM p")
 register("a15_perplexity", lambda s, d: embeddings(s, d).select("vec_id", F.round(metrics.perplexity(F.transform("embedding", lambda x: -F.abs(x.cast("double"))), F.transform("embedding", lambda x: (x > 0).cast("int"))), 5).alias("ppl")), "SELECT vec_id, round(exp(list_sum(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN abs(x::double) ELSE 0.0 END)) / len(list_filter(embedding, lambda x: x > 0))), 5) AS ppl FROM embeddings")
@@ -265,13 +281,13 @@ register("a12_overlap_scores", lambda s, d: metrics.overlap_scores(pairs(s, d),
 register("a9_baseline_delta", lambda s, d: labels(s, d).agg(F.round(N.delta_percent(F.avg("quality"), F.avg("toxic")), 3).alias("delta")), "SELECT round((avg(quality) - avg(toxic)) / (avg(toxic) + 1e-9) * 100, 3) AS delta FROM labels")
 register("a1_cluster_text", lambda s, d: chunking.grouped_text(lines(s, d).withColumn("k", F.col("pos") % 3), ["doc_id", "k"], "pos", "line", " ", "text"), "WITH l AS (SELECT doc_id, i - 1 AS pos, p[i] AS line FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))) SELECT doc_id, pos % 3 AS k, string_agg(line, ' ' ORDER BY pos) AS text FROM l GROUP BY ALL")
 register("w1_rank", lambda s, d: fusion.ranks_without_gaps(docs(s, d).select(F.col("source").alias("query_id"), "doc_id", "n_chars"), ["n_chars", "doc_id"]).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank")), "SELECT source AS query_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS rank FROM documents")
-register("w9_previous_run", lambda s, d: metrics.with_previous(events(s, d).where("user_id < 20").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value").select("user_id", "event_id", "previous", F.round("change_percent", 4).alias("change")), "WITH e AS (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events WHERE user_id < 20) SELECT user_id, event_id, p AS previous, round(CASE WHEN p <> 0 THEN (value - p) / p * 100 END, 4) AS change FROM e")
+register("w9_previous_run", lambda s, d: metrics.with_previous(events(s, d).select("user_id", "event_id", "value"), ["user_id"], "event_id", "value").select("user_id", "event_id", "previous", F.round("change_percent", 4).alias("change")), "WITH e AS (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) SELECT user_id, event_id, p AS previous, round(CASE WHEN p <> 0 THEN (value - p) / p * 100 END, 4) AS change FROM e")
 register("w8_progress", lambda s, d: metrics.progress(docs(s, d).select("doc_id", (F.col("doc_id") * 2.5).alias("t")), "doc_id", 1000, "t").select("doc_id", "percentage", F.round("remaining", 4).alias("remaining")), "SELECT doc_id, round(doc_id * 100.0::double / 1000, 2) AS percentage, CASE WHEN doc_id > 0 THEN round((1000 - doc_id) * (doc_id * 2.5::double) / doc_id, 4) END AS remaining FROM documents")
-register("w6_smoothing", lambda s, d: embeddings(s, d).where("vec_id < 50").select("vec_id", F.round(F.element_at(N.smoothed(F.col("embedding")), -1), 6).alias("last")), "WITH RECURSIVE e AS (SELECT vec_id, embedding AS v, 1.8 * (1 / (1 + exp(-0.05 * len(embedding))) - 0.5) AS w FROM embeddings WHERE vec_id < 50), r AS (SELECT vec_id, 1 AS i, v[1]::double AS s FROM e UNION ALL SELECT r.vec_id, i + 1, s * w + (1 - w) * v[i + 1]::double FROM r JOIN e USING (vec_id) WHERE i < len(v)) SELECT vec_id, round(s, 6) AS last FROM r JOIN e USING (vec_id) WHERE i = len(v)")
+register("w6_smoothing", lambda s, d: embeddings(s, d).select("vec_id", F.round(F.element_at(N.smoothed(F.col("embedding")), -1), 6).alias("last")), "WITH RECURSIVE e AS (SELECT vec_id, embedding AS v, 1.8 * (1 / (1 + exp(-0.05 * len(embedding))) - 0.5) AS w FROM embeddings), r AS (SELECT vec_id, 1 AS i, v[1]::double AS s FROM e UNION ALL SELECT r.vec_id, i + 1, s * w + (1 - w) * v[i + 1]::double FROM r JOIN e USING (vec_id) WHERE i < len(v)) SELECT vec_id, round(s, 6) AS last FROM r JOIN e USING (vec_id) WHERE i = len(v)")
 register("x27_sparse_weight", lambda s, d: embeddings(s, d).select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + N.sparse_weight(x.cast("double"))), 6).alias("w")), "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: ln(1 + greatest(x::double, 0)))), 6) AS w FROM embeddings")
 register("x28_image_resize", lambda s, d: docs(s, d).select("doc_id", *[x.cast("long").alias(n) for x, n in zip(N.resized(F.col("n_chars"), F.col("doc_id") + 7, 768 * 768, 32 * 32), ("w", "h"), strict=True)]), "WITH f AS (SELECT doc_id, n_chars AS w, doc_id + 7 AS h, (n_chars * (doc_id + 7))::double AS a FROM documents), g AS (SELECT *, CASE WHEN a > 589824 THEN sqrt(589824 / a) WHEN a < 1024 THEN sqrt(1024 / a) ELSE 1.0 END AS r FROM f) SELECT doc_id, floor(w * r)::bigint AS w, floor(h * r)::bigint AS h FROM g")
-register("x28_frame_indices", lambda s, d: docs(s, d).where("doc_id < 200").select("doc_id", F.array_join(N.frame_indices(F.col("doc_id") * 10 + 5, F.col("doc_id") / 4, 2.0, 16).cast("array<string>"), ",").alias("frames")), "WITH f AS (SELECT doc_id, doc_id * 10 + 5 AS t, least(doc_id * 10 + 5, 16, greatest(1, floor(doc_id / 4 * 2.0)::int))::int AS n FROM documents WHERE doc_id < 200) SELECT doc_id, array_to_string(list_transform(range(0, n), lambda i: floor(i * ((t - 1) / greatest(n - 1, 1)))::int), ',') AS frames FROM f")
-register("x31_flops", lambda s, d: docs(s, d).where("doc_id < 20").select("doc_id", (N.model_flops(F.col("doc_id") + 1, F.lit(128), 4, 64, 1000, 256, 2, 4) / 1e6).alias("mflops")), "SELECT doc_id, (3 * ((doc_id + 1) * 128.0::double * 4 * (6.0 * 64 * 256 + 4.0 * 64 * 64 + 2.0 * ((2 * 64 * 64 * 2) // 4)) + (doc_id + 1) * 128 * 128 * (4.0 * 64 * 4)) + (doc_id + 1) * 128 * (64.0 * 1000 * 2) * 3) / 1e6 AS mflops FROM documents WHERE doc_id < 20")
+register("x28_frame_indices", lambda s, d: docs(s, d).select("doc_id", F.array_join(N.frame_indices(F.col("doc_id") * 10 + 5, F.col("doc_id") / 4, 2.0, 16).cast("array<string>"), ",").alias("frames")), "WITH f AS (SELECT doc_id, doc_id * 10 + 5 AS t, least(doc_id * 10 + 5, 16, greatest(1, floor(doc_id / 4 * 2.0)::int))::int AS n FROM documents) SELECT doc_id, array_to_string(list_transform(range(0, n), lambda i: floor(i * ((t - 1) / greatest(n - 1, 1)))::int), ',') AS frames FROM f")
+register("x31_flops", lambda s, d: docs(s, d).select("doc_id", (N.model_flops(F.col("doc_id") + 1, F.lit(128), 4, 64, 1000, 256, 2, 4) / 1e6).alias("mflops")), "SELECT doc_id, (3 * ((doc_id + 1) * 128.0::double * 4 * (6.0 * 64 * 256 + 4.0 * 64 * 64 + 2.0 * ((2 * 64 * 64 * 2) // 4)) + (doc_id + 1) * 128 * 128 * (4.0 * 64 * 4)) + (doc_id + 1) * 128 * (64.0 * 1000 * 2) * 3) / 1e6 AS mflops FROM documents")
 _C, _R = "-(doc_id % 7 + 1) / 10.0::double", "-(doc_id % 5 + 1) / 8.0::double"
 _SIG = "(CASE WHEN ({x}) >= 0 THEN -ln(1 + exp(-({x}))) ELSE ({x}) - ln(1 + exp({x})) END)"
 register(
@@ -296,24 +312,24 @@ def _similar(spark: SparkSession, sf: str) -> DataFrame:
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("doc_id")
-    return docs(spark, sf).select("doc_id", (d % 20).alias("page"), ((d * 37) % 900).cast("double").alias("x0"), ((d * 53) % 700).cast("double").alias("y0")).withColumns({"x1": F.col("x0") + 40 + F.col("doc_id") % 60, "y1": F.col("y0") + 12.0})
+    return docs(spark, sf).select("doc_id", F.floor(d / 40).alias("page"), ((d * 37) % 900).cast("double").alias("x0"), ((d * 53) % 700).cast("double").alias("y0")).withColumns({"x1": F.col("x0") + 40 + F.col("doc_id") % 60, "y1": F.col("y0") + 12.0})
 
 
 register(
     "j13_spatial_overlap",
-    lambda s, d: chunking.overlapping(blocks(s, d), blocks(s, d).where("doc_id % 10 = 0").select(F.col("doc_id").alias("rect"), "page", (F.col("x0") - 50).alias("x0"), (F.col("y0") - 50).alias("y0"), (F.col("x1") + 90).alias("x1"), (F.col("y1") + 90).alias("y1"))).select("doc_id", F.col("r_rect").alias("rect")),
-    """WITH b AS (SELECT doc_id, doc_id % 20 AS page, ((doc_id * 37) % 900)::double AS x0, ((doc_id * 53) % 700)::double AS y0 FROM documents), c AS (SELECT *, x0 + 40 + doc_id % 60 AS x1, y0 + 12 AS y1 FROM b)
-SELECT a.doc_id, r.doc_id AS rect FROM c a JOIN c r ON r.doc_id % 10 = 0 AND a.page = r.page AND a.x0 < r.x1 + 90 AND a.x1 > r.x0 - 50 AND a.y0 < r.y1 + 90 AND a.y1 > r.y0 - 50""",
+    lambda s, d: chunking.overlapping(blocks(s, d), blocks(s, d).select(F.col("doc_id").alias("rect"), "page", (F.col("x0") - 50).alias("x0"), (F.col("y0") - 50).alias("y0"), (F.col("x1") + 90).alias("x1"), (F.col("y1") + 90).alias("y1"))).select("doc_id", F.col("r_rect").alias("rect")),
+    """WITH b AS (SELECT doc_id, doc_id // 40 AS page, ((doc_id * 37) % 900)::double AS x0, ((doc_id * 53) % 700)::double AS y0 FROM documents), c AS (SELECT *, x0 + 40 + doc_id % 60 AS x1, y0 + 12 AS y1 FROM b)
+SELECT a.doc_id, r.doc_id AS rect FROM c a JOIN c r ON a.page = r.page AND a.x0 < r.x1 + 90 AND a.x1 > r.x0 - 50 AND a.y0 < r.y1 + 90 AND a.y1 > r.y0 - 50""",
 )
 register(
     "s2_title_scores",
-    lambda s, d: chunking.title_scores(docs(s, d).select("doc_id", F.substring("text", 1, 40).alias("text"), (F.col("doc_id") % 20).alias("size"), (F.col("doc_id") % 2 == 0).alias("bold"), (F.col("doc_id") % 4).alias("lines"), (F.col("doc_id") % 3 == 0).alias("above"), F.lit(10).alias("typical_size"))).select("doc_id", "score", "is_title"),
-    rf"""WITH t AS (SELECT doc_id, {_STRIP.format('substr(text, 1, 40)')} AS t, regexp_matches({_STRIP.format('substr(text, 1, 40)')}, '[.。!！]$') AS e FROM documents), s AS (SELECT doc_id, CASE WHEN e THEN 0.0 ELSE CASE WHEN doc_id % 20 > 10 THEN 2 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 4 <= 2 THEN 0.5 ELSE 0 END + CASE WHEN length(t) <= 30 THEN 0.5 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE -1 END END::double AS score, e FROM t)
+    lambda s, d: chunking.title_scores(docs(s, d).select("doc_id", "text", (F.col("doc_id") % 20).alias("size"), (F.col("doc_id") % 2 == 0).alias("bold"), (F.col("doc_id") % 4).alias("lines"), (F.col("doc_id") % 3 == 0).alias("above"), F.lit(10).alias("typical_size"))).select("doc_id", "score", "is_title"),
+    rf"""WITH t AS (SELECT doc_id, {_STRIP.format('text')} AS t, regexp_matches({_STRIP.format('text')}, '[.。!！]$') AS e FROM documents), s AS (SELECT doc_id, CASE WHEN e THEN 0.0 ELSE CASE WHEN doc_id % 20 > 10 THEN 2 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 4 <= 2 THEN 0.5 ELSE 0 END + CASE WHEN length(t) <= 30 THEN 0.5 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE -1 END END::double AS score, e FROM t)
 SELECT doc_id, score, NOT e AND score >= 3 AS is_title FROM s""",
 )
 register("s12_dialogue_script", lambda s, d: talk(s, d).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.when(F.col("role") == "assistant", "Assistant: ").otherwise("Human: "), F.lit("t"), F.col("turn").cast("string")).alias("t")))), lambda x: x["t"]), " ").alias("t")).select("conv_id", F.size(readers.peeled_dialogue("t")).cast("long").alias("n")), "WITH r AS (SELECT conv_id, list(role ORDER BY turn) AS r FROM conversations GROUP BY 1) SELECT conv_id, len(r) - CASE WHEN r[-1] = 'assistant' THEN 0 ELSE 1 END AS n FROM r")
 register("s4_json_lines", lambda s, d: readers.parsed_lines(events(s, d).select("event_id", F.when(F.col("event_id") % 10 == 0, "{broken").otherwise(F.col("props")).alias("props")), "props", "k long").select("event_id", "k"), "SELECT event_id, (props::json->>'k')::bigint AS k FROM events WHERE event_id % 10 <> 0")
-register("s15_doc_lookup", lambda s, d: labels(s, d).join(docs(s, d).select("doc_id", "source"), "doc_id", "left").select("doc_id", "source"), "SELECT l.doc_id, source FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id")
-register("x30_date_text", lambda s, d: events(s, d).where("event_id < 100").select("event_id", F.date_format("ts", "dd MMM yyyy").alias("day")), "SELECT event_id, strftime(ts, '%d %b %Y') AS day FROM events WHERE event_id < 100")
+register("s15_doc_lookup", lambda s, d: fusion.looked_up(labels(s, d).select("doc_id"), docs(s, d), "doc_id", ["source"]), "SELECT l.doc_id, source FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id")
+register("x30_date_text", lambda s, d: events(s, d).select("event_id", X.date_text("ts").alias("day")), "SELECT event_id, strftime(ts, '%d %b %Y') AS day FROM events")
 register("st_tumbling_events", lambda s, d: streams.tumbling(streams.with_event_time(events(s, d)), "1 hour", ["event_type"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total")), "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 register("reasoning_turns", lambda s, d: dialogues(s, d).select("conv_id", F.size(reasoning_messages("messages")).cast("long").alias("n")), "SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1")

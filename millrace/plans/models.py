@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import models
 from ..functions import text as X
 from ..functions.templates import get_template
 from ..operators import align, encode, fusion, metrics, qa, retrieval, sampling
-from ..sources import readers
+from ..sources import readers, sinks
 from .catalogue import register
 from .corpus import _QA, _STRIP, _TOK, docs, labels, lines, pairs, table
 from .datasets import aligned, dialogues
@@ -52,13 +52,13 @@ register(
 )
 register("e3_judged_mean", lambda s, d: models.judged_mean(docs(s, d), "text", lambda ts: [str(len(t)) if len(t) % 5 else "bad" for t in ts]).select(F.round("mean", 6).alias("mean"), "n"), "SELECT round(avg(length(text)), 6) AS mean, count(*) AS n FROM documents WHERE length(text) % 5 <> 0")
 register("g7_batch_inference", lambda s, d: models.mapped(docs(s, d).select("doc_id", "source"), "source", lambda ts: [t[::-1] for t in ts], "predict", 1024).select("doc_id", "predict"), "SELECT doc_id, reverse(source) AS predict FROM documents")
-register("g8_calibration_text", lambda s, d: docs(s, d).where("length(text) > 20").select("doc_id", get_template("chatml").rendered(F.array(align.message("user", F.substring("text", 1, 20)), align.message("assistant", F.col("lang")))).alias("text")), "SELECT doc_id, '<|im_start|>user' || chr(10) || substr(text, 1, 20) || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || lang || '<|im_end|>' || chr(10) AS text FROM documents WHERE length(text) > 20")
+register("g8_calibration_text", lambda s, d: docs(s, d).select("doc_id", get_template("chatml").rendered(F.array(align.message("user", F.col("text")), align.message("assistant", F.col("lang")))).alias("text")), "SELECT doc_id, '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || lang || '<|im_end|>' || chr(10) AS text FROM documents")
 
 
 def preference(spark: SparkSession, sf: str, empty_first: bool = False) -> DataFrame:
     """Dialogues with two answers each: the last turn and a cut of it."""
     own = aligned(spark, sf).where(align.encodable("sft")).withColumn("key", F.xxhash64("first"))
-    cut = F.struct(F.lit("assistant").alias("role"), (F.lit("") if empty_first else F.substring(F.element_at("_response", 1)["content"], 1, 9)).alias("content"))
+    cut = F.struct(F.lit("assistant").alias("role"), (F.lit("") if empty_first else F.concat(F.lit("no "), F.element_at("_response", 1)["content"])).alias("content"))
     return own.withColumn("_response", F.concat("_response", F.array(cut)))
 
 
@@ -66,17 +66,16 @@ register("g4_pairwise_encode", lambda s, d: encode.encode_pairwise(preference(s,
 register("g4_feedback_encode", lambda s, d: encode.encode_feedback(preference(s, d, True), "key", get_template("qwen"), settings=encode.Settings(cutoff=200)).select("key", "kto_tags", F.size("input_ids").alias("n"), F.size("kl_input_ids").alias("kl_n")))
 register("g4_prompt_encode", lambda s, d: encode.encode_prompts(preference(s, d), get_template("qwen")).select("key", F.size("input_ids").alias("n")))
 register("j3_paraphrase_map", lambda s, d: qa.with_paraphrases(pairs(s, d), pairs(s, d).where("conv_id % 3 = 0").select("question", F.array(F.lit("a"), F.lit("b")).alias("variants")).dropDuplicates(["question"])).groupBy("conv_id", "turn").agg(F.count("*").alias("n")), f"WITH {_QA} SELECT conv_id, turn, CASE WHEN question IN (SELECT question FROM qa WHERE conv_id % 3 = 0) THEN 3 ELSE 1 END AS n FROM qa")
-register("j8_dense_cosine", lambda s, d: shown(retrieval.dense(table("embeddings")(s, d).select(F.col("vec_id").alias("unique_id"), retrieval.normalised("embedding").alias("embedding")), table("embeddings")(s, d).where("vec_id >= 490 and vec_id < 500").select(F.col("vec_id").alias("query_id"), retrieval.normalised("embedding").alias("embedding")), 3)), f"""WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y)))) AS v FROM embeddings),
-s AS (SELECT q.vec_id AS item_id, e.vec_id AS doc_id, list_sum(list_transform(list_zip(e.v, q.v), lambda z: z[1] * z[2])) AS score FROM n e, n q WHERE q.vec_id >= 490 AND q.vec_id < 500),
+register("j8_dense_cosine", lambda s, d: shown(retrieval.dense(table("embeddings")(s, d).select(F.col("vec_id").alias("unique_id"), retrieval.normalised("embedding").alias("embedding")), table("embeddings")(s, d).where(EVERY_50TH).select(F.col("vec_id").alias("query_id"), retrieval.normalised("embedding").alias("embedding")), 3)), f"""WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y)))) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS item_id, e.vec_id AS doc_id, list_sum(list_transform(list_zip(e.v, q.v), lambda z: z[1] * z[2])) AS score FROM n e, n q WHERE q.vec_id % 50 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) SELECT {_OUT} FROM k WHERE rank <= 3""")
-register("j8_dense_cosine_whole", lambda s, d: shown(retrieval.dense(*[table("embeddings")(s, d).where(w).select(F.col("vec_id").alias(n), retrieval.normalised("embedding").alias("embedding")) for w, n in (("true", "unique_id"), (EVERY_50TH, "query_id"))], 3)))
 register("j9_rank_fusion_sum", lambda s, d: fusion.wrrf([(bm25(s, d), 1.0), (sparse(s, d), 0.5)], 10).select("query_id", "unique_id", F.round("score", 6).alias("score")), f"WITH {_BM25}, {_SPARSE}, p AS (SELECT item_id, doc_id, 1.0 / (10 + rank) AS part FROM bm25 UNION ALL SELECT item_id, doc_id, 0.5 / (10 + rank) FROM sparse) SELECT item_id AS query_id, doc_id AS unique_id, round(sum(part), 6) AS score FROM p GROUP BY ALL")
 register("j11_subject_category", lambda s, d: metrics.accuracy(docs(s, d).join(F.broadcast(s.createDataFrame([("en", "germanic"), ("de", "germanic"), ("fr", "romance"), ("es", "romance")], "lang string, category string")), "lang"), "category", F.col("n_chars") > 1000).select("category", "n", F.round("accuracy", 6).alias("accuracy")), "WITH c AS (SELECT CASE WHEN lang IN ('en', 'de') THEN 'germanic' ELSE 'romance' END AS category, n_chars > 1000 AS ok FROM documents) SELECT CASE WHEN grouping(category) = 1 THEN 'Average' ELSE category END AS category, count(*) AS n, round(avg(ok::int), 6) AS accuracy FROM c GROUP BY ROLLUP (category)")
-register("w3_adjacent_lines", lambda s, d: lines(s, d).withColumn("next", F.lead("line").over(Window.partitionBy("doc_id").orderBy("pos"))).where("next is not null and length(line) = length(next)").select("doc_id", "pos"), "WITH l AS (SELECT doc_id, i - 1 AS pos, p[i] AS a, p[i + 1] AS b FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))) SELECT doc_id, pos FROM l WHERE pos IS NOT NULL AND b IS NOT NULL AND length(a) = length(b)")
+register("w3_adjacent_lines", lambda s, d: fusion.with_next(lines(s, d), ["doc_id"], "pos", "line").where("next is not null and length(line) = length(next)").select("doc_id", "pos"), "WITH l AS (SELECT doc_id, i - 1 AS pos, p[i] AS a, p[i + 1] AS b FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))) SELECT doc_id, pos FROM l WHERE pos IS NOT NULL AND b IS NOT NULL AND length(a) = length(b)")
 register("w4_running_total", lambda s, d: sampling.running_total(docs(s, d).select("doc_id", "n_chars"), ["doc_id"], "n_chars", "total").select("doc_id", "total"), "SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id)::bigint AS total FROM documents")
 register("x11_paragraphs", lambda s, d: docs(s, d).select("doc_id", F.size(X.paragraphs(F.replace(F.col("text"), F.lit(". "), F.lit("\n\n")))).cast("long").alias("n")), "SELECT doc_id, len(string_split(replace(text, '. ', chr(10) || chr(10)), chr(10) || chr(10))) AS n FROM documents")
 register("x14_model_json", lambda s, d: qa.explode_pairs(docs(s, d).select(F.col("doc_id").alias("unique_id"), F.when(F.col("doc_id") % 3 == 0, F.lit("not json")).otherwise(F.to_json(F.array(F.struct(F.col("source").alias("question"), F.col("lang").alias("answer"))))).alias("raw_resp"))), "SELECT doc_id AS unique_id, source AS question, lang AS answer FROM documents WHERE doc_id % 3 <> 0")
-register("k7_reward_rows", lambda s, d: docs(s, d).select("doc_id", F.round(F.col("doc_id") / 7.0, 2).alias("chosen"), F.round(F.col("doc_id") / 11.0, 2).alias("rejected")), "SELECT doc_id, round(doc_id / 7.0::double, 2) AS chosen, round(doc_id / 11.0::double, 2) AS rejected FROM documents")
+register("k7_reward_rows", lambda s, d: docs(s, d).select("doc_id", *sinks.reward_columns(F.col("doc_id") / 7.0, F.col("doc_id") / 11.0)), "SELECT doc_id, round(doc_id / 7.0::double, 2) AS chosen, round(doc_id / 11.0::double, 2) AS rejected FROM documents")
 register("s6_text_lines", lambda s, d: lines(s, d).select(F.regexp_replace("line", r"^\s+|\s+$", "").alias("line")).where("line <> ''").groupBy("line").agg(F.count("*").alias("n")).where("n > 2"), rf"WITH l AS (SELECT {_STRIP.format('unnest(string_split(text, chr(10)))')} AS line FROM documents) SELECT line, count(*) AS n FROM l WHERE line <> '' GROUP BY 1 HAVING count(*) > 2")
 register("s1_page_documents", lambda s, d: readers.page_documents(table("pages")(s, d).select("page_id", F.regexp_replace("html", "<[^>]*>", " ").alias("body"), "url"), "body", "url", 2, 200, "page_id").select("unique_id", "source", F.col("page").cast("long").alias("page")), "SELECT md5(regexp_replace(html, '<[^>]*>', ' ', 'g')) AS unique_id, url AS source, page_id + 1 AS page FROM pages WHERE page_id BETWEEN 2 AND 200 AND trim(regexp_replace(html, '<[^>]*>', ' ', 'g')) <> ''")
 register("p11_postprocessing", lambda s, d: docs(s, d).select("doc_id", F.expr("if(doc_id % 3 = 0, '无答案【2】', source || '【1】')").alias("r")).select("doc_id", X.without_cites("r").alias("answer"), X.is_refusal(X.without_cites("r")).alias("refused")), "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '无答案' ELSE source END AS answer, doc_id % 3 = 0 AS refused FROM documents")

@@ -204,7 +204,7 @@ register(
 )
 register(
     "j2_hit_document",
-    lambda s, d: reranked(s, d).select("query_id", F.col("rank").cast("long").alias("rank"), "unique_id").join(s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("unique_id"), "lang", "source"), "unique_id"),
+    lambda s, d: fusion.looked_up(reranked(s, d).select("query_id", F.col("rank").cast("long").alias("rank"), "unique_id"), s.read.parquet(f"{d}/documents.parquet").withColumnRenamed("doc_id", "unique_id"), "unique_id", ["lang", "source"]),
     f"{_CHAIN} SELECT item_id AS query_id, rank, doc_id AS unique_id, lang, source FROM rr JOIN documents USING (doc_id)",
 )
 register(

@@ -44,8 +44,7 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def abbreviations(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     """The first two columns of a small CSV, byte-order mark tolerated, in file order; rows without both are left out."""
-    lines = [r["value"] for r in spark.read.text(path).limit(100_000).collect()]
-    rows = csv.reader(line.lstrip("﻿") for line in lines)
+    rows = csv.reader(r["value"].lstrip("﻿") for r in spark.read.text(path).toLocalIterator())  # row by row; the pairs themselves are what it returns
     return list({r[0].strip(): r[1].strip() for r in rows if len(r) >= 2 and r[0].strip() and r[1].strip()}.items())
 
 
@@ -53,14 +52,14 @@ def stopwords(spark: SparkSession, path: str) -> DataFrame:
     return text_lines(spark, path).distinct()
 
 
-def arrow_files(spark: SparkSession, path: str) -> DataFrame:
+def arrow_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Arrow IPC files (stream or file format) as JSON rows' columns: each file is opened by one task and read batch by batch."""
     import pyarrow as pa
 
-    files = spark.read.format("binaryFile").load(path)
+    files = spark.read.format("binaryFile").load([cloud_path(p) for p in ([path] if isinstance(path, str) else path)])
     head = files.limit(1).select("content").first()
     if head is None:
-        raise FileNotFoundError(path)
+        raise FileNotFoundError(str(path))
 
     def batches(content: bytes) -> Iterator[pa.RecordBatch]:
         try:
@@ -92,7 +91,7 @@ def read_files(spark: SparkSession, path: str | Sequence[str], schema: str | Non
         raise ValueError(f"file types should be identical: {paths}")
     form = kinds.pop()
     if form == "arrow":
-        return arrow_files(spark, paths[0])
+        return arrow_files(spark, paths)
     reader = spark.read.schema(schema) if schema else spark.read
     if form == "csv":
         reader = reader.option("header", True).option("multiLine", True).option("escape", '"')

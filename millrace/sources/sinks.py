@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.retrieval import LexicalIndex
@@ -40,8 +40,13 @@ def predictions(df: DataFrame, path: str) -> None:
     json_rows(df.select("prompt", "predict", "label"), path)
 
 
+def reward_columns(chosen: Column | str, rejected: Column | str) -> list[Column]:
+    """Rewards as they are written: two places."""
+    return [F.round(chosen, 2).alias("chosen"), F.round(rejected, 2).alias("rejected")]
+
+
 def rewards(df: DataFrame, path: str) -> None:
-    json_rows(df.select(F.round("chosen", 2).alias("chosen"), F.round("rejected", 2).alias("rejected")), path)
+    json_rows(df.select(*reward_columns("chosen", "rejected")), path)
 
 
 def lexical(index: LexicalIndex, path: str) -> None:
@@ -51,7 +56,7 @@ def lexical(index: LexicalIndex, path: str) -> None:
     index.lengths().write.mode("overwrite").parquet(f"{path}/lengths")
 
 
-def vectors(df: DataFrame, path: str, most_chars: int = 2048) -> None:
-    """Drop and create: ids, text cut to the store's limit, vectors."""
-    out = df.withColumn("text", F.substring("text", 1, most_chars)) if "text" in df.columns else df
+def vectors(df: DataFrame, path: str, most_chars: int | None = None) -> None:
+    """Drop and create: ids, texts (cut where the store they go to has a limit), vectors."""
+    out = df.withColumn("text", F.substring("text", 1, most_chars)) if most_chars and "text" in df.columns else df
     out.write.mode("overwrite").parquet(path)
