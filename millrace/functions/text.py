@@ -22,7 +22,7 @@ def content_id(text: Column | str) -> Column:
     return F.md5(_c(text))
 
 
-def hash_bucket(key: Column | str, buckets: int) -> Column:
+def hash_bucket(key: Column | str, buckets: Column | int) -> Column:
     """A number under buckets from the first 8 hex digits of md5; the same in any engine."""
     return F.conv(F.substring(F.md5(_c(key)), 1, 8), 16, 10).cast("bigint") % buckets
 

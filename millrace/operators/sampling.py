@@ -145,18 +145,19 @@ def probabilistic_mix(parts: list[DataFrame], probabilities: list[float], order:
     return out
 
 
-def few_shot(targets: DataFrame, pool: DataFrame, n: int, target_key: str, pool_key: str, seed: str = "42", groups: int = 64) -> DataFrame:
-    """n pool rows for each target, drawn anew by hash: (target_key, pool columns, shot).
+def few_shot(targets: DataFrame, pool: DataFrame, n: int, target_key: str, pool_key: str, seed: str = "42") -> DataFrame:
+    """n different pool rows for each target (all, if the pool has fewer), drawn by hash: (target_key, pool columns, shot).
 
-    Each target looks at one hash group of the pool of about 4n rows, so the pool isn't crossed with the targets.
+    The pool is numbered by its key and cut in n equal stretches; shot i is the row at a hashed place of stretch i. So a target meets n
+    rows of the pool, by an equi-join on the number.
     """
-    size = pool.count()
-    groups = max(1, min(groups, size // max(1, 4 * n)))
-    t = targets.select(F.col(target_key).alias("__t")).withColumn("__g", X.hash_bucket(F.concat(F.lit(seed), F.col("__t").cast("string")), groups))
-    p = pool.withColumn("__g", X.hash_bucket(F.col(pool_key).cast("string"), groups))
-    order = Window.partitionBy("__t").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("__t").cast("string"), F.col(pool_key).cast("string"))), pool_key)
-    both = t.join(p, "__g").drop("__g").withColumn("shot", F.row_number().over(order)).where(F.col("shot") <= n)
-    return both.withColumnRenamed("__t", target_key) if target_key not in pool.columns else both.withColumnRenamed("__t", f"target_{target_key}")
+    total = pool.count()
+    n = min(n, total)
+    name = target_key if target_key not in pool.columns else f"target_{target_key}"
+    drawn = targets.select(F.col(target_key).alias(name)).withColumn("shot", F.explode(F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>")))
+    lo, hi = (F.expr(f"(cast(shot as bigint) - {k}) * {total} div {max(n, 1)}") for k in (1, 0))
+    place = lo + X.hash_bucket(F.concat_ws("|", F.lit(seed), F.col(name).cast("string"), F.col("shot").cast("string")), hi - lo)
+    return drawn.withColumn("__at", place.cast("long")).join(numbered(pool, [pool_key], "__at"), "__at").drop("__at")
 
 
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -155,15 +155,15 @@ register("tk9_drawn_item", lambda s, d: docs(s, d).select("doc_id", qa.drawn(X.t
 
 def shots(spark: SparkSession, sf: str) -> DataFrame:
     pool = docs(spark, sf).select("doc_id")
-    return sampling.few_shot(questions(spark, sf), pool, 3, "query_id", "doc_id", groups=8).select("query_id", "doc_id", F.col("shot").cast("long").alias("shot"))
+    return sampling.few_shot(questions(spark, sf), pool, 3, "query_id", "doc_id").select("query_id", "doc_id", F.col("shot").cast("long").alias("shot"))
 
 
 register(
     "tk10_fewshot_draw",
     shots,
-    f"""WITH t AS (SELECT item_id, {_BUCKET.format(chr(39) + '42' + chr(39) + ' || item_id', 8)} AS g FROM benchmark), p AS (SELECT doc_id, {_BUCKET.format('doc_id::varchar', 8)} AS g FROM documents),
-r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY md5('42|' || item_id || '|' || doc_id), doc_id) AS shot FROM t JOIN p USING (g))
-SELECT item_id AS query_id, doc_id, shot FROM r WHERE shot <= 3""",
+    f"""WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents), c AS (SELECT count(*) AS c FROM documents),
+s AS (SELECT item_id, shot, (shot - 1) * c // 3 AS lo, shot * c // 3 AS hi FROM benchmark, c, (SELECT unnest([1, 2, 3]) AS shot)),
+d AS (SELECT item_id, shot, lo + {_BUCKET.format("'42|' || item_id || '|' || shot", "(hi - lo)")} AS pos FROM s) SELECT item_id AS query_id, doc_id, shot FROM d JOIN p USING (pos)""",
 )
 register("tk13_sorted_distinct", lambda s, d: docs(s, d).select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.array((F.col("doc_id") % 5).cast("int"), F.lit(3), (F.col("doc_id") % 3).cast("int")))).cast("array<string>"), ",").alias("v")), "SELECT doc_id, array_to_string(list_sort(list_distinct([(doc_id % 5)::int, 3, (doc_id % 3)::int])), ',') AS v FROM documents")
 register("tk12_divide_parts", lambda s, d: sampling.divided(docs(s, d).select("doc_id"), 20, ["doc_id"]), "SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) * 20 // (SELECT count(*) FROM documents))::int AS part FROM documents")

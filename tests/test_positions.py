@@ -55,6 +55,15 @@ def test_block_pack_keeps_order(wide):
     assert [r[0] for r in firsts] == list(range(0, 50_000, 50))
 
 
+def test_few_shots_are_always_enough(spark, wide):
+    targets = spark.range(200).select(F.col("id").alias("t"))
+    for pool, n, want in ((wide, 5, 5), (wide.where("id < 7"), 5, 5), (wide.where("id < 3"), 5, 3)):
+        got = sampling.few_shot(targets, pool.select("id", "k"), n, "t", "id")
+        rows = got.groupBy("t").agg(F.count("*").alias("n"), F.count_distinct("id").alias("d"), F.count_distinct("shot").alias("s")).collect()
+        assert len(rows) == 200 and {tuple(r)[1:] for r in rows} == {(want,) * 3}
+    assert sampling.few_shot(targets, wide.limit(0).select("id"), 5, "t", "id").count() == 0
+
+
 def test_empty(spark):
     assert sampling.numbered(spark.range(0), ["id"]).collect() == []
 
