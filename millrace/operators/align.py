@@ -117,6 +117,10 @@ Converter = Callable[[DataFrame, Columns], DataFrame]
 _converters: dict[str, Converter] = {}
 
 
+def has_converter(name: str) -> bool:
+    return name in _converters
+
+
 def register_converter(name: str, convert: Converter) -> None:
     if name in _converters:
         raise ValueError(f"converter {name} is registered already")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["retrieval", "corpus", "datasets", "models"]
+MODULES = ["retrieval", "corpus", "datasets", "models", "storage"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -15,7 +15,9 @@ FILES_A_TRIGGER = 64
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, form: str = "parquet") -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_A_TRIGGER).format(form).load(path)
+    """The files of a folder, or one file: a name without wildcards gets one, as a stream's base must be a folder otherwise."""
+    own = path if any(c in path for c in "*?[{") else f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_A_TRIGGER).format(form).load(own)
 
 
 def aligned_stream(stream: DataFrame, columns: Columns) -> DataFrame:
@@ -46,8 +48,19 @@ def shuffled_batches(write: Callable[[DataFrame, int], None], key: str, seed: st
     return lambda df, n: write(df.orderBy(F.md5(F.concat(F.lit(f"{seed}:{n}"), F.col(key).cast("string"))), key), n)
 
 
+def once(stream: DataFrame, key: str) -> DataFrame:
+    """The stream's first row of each key; what was seen is kept as state, so no output is read again."""
+    return stream.dropDuplicates([key])
+
+
+def by_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes each micro-batch to its own folder: one that is tried again replaces itself."""
+    return lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+
 def once_by_id(spark: SparkSession, path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that appends rows whose key path lacks; a batch that is tried again adds nothing."""
+    """A foreachBatch function that appends rows whose key path lacks; a batch that is tried again adds nothing. For a target that others
+    write to as well: it reads the target's keys each time. Where the stream alone writes it, once() and by_batch() read nothing."""
 
     def write(df: DataFrame, n: int) -> None:
         fresh = df.dropDuplicates([key])

@@ -1,4 +1,4 @@
-"""Each query against its SQL oracle on the smallest tables; slow, so a spread of them."""
+"""Each query against its SQL oracle on the smallest tables, and searches against plain scoring."""
 
 import os
 import random
@@ -8,16 +8,22 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from millrace.operators import scoring
+from millrace.operators import scoring, vector_index
+from millrace.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = [n for n in ("r3_bm25_topk", "r7_dense_ip_topk", "p5_qa_quality_reasons", "w7_short_chunk_merge", "p15_align_sharegpt", "u2_mix_round_robin", "g5_pad_labels", "e1_answer_score", "j13_spatial_overlap", "tk10_fewshot_draw")]
+NAMES = sorted(catalogue.oracle_sql())
 
 
 def rows(columns, data):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    clean = lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+
+    def clean(v):
+        if isinstance(v, (list, tuple)):
+            return [clean(x) for x in v]
+        return round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+
     return sorted(repr([clean(r[i]) for i in order]) for r in data)
 
 
@@ -84,3 +90,21 @@ def test_overlap_scores_of_long_texts(spark, tmp_path):
     got = {r["conv_id"]: r["rouge_l"] for r in entry.queries()["a12_overlap_scores"](spark, str(tmp_path)).collect()}
     want = {i: round(200 * lcs(a.split(), b.split()) / (len(a.split()) + len(b.split())), 4) for i, (a, b) in enumerate((texts[:2], texts[2:]))}
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-3) for i in want)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_vector_index_recall(spark, tmp_path, metric):
+    """Every vector is indexed, and a search finds at least nine tenths of what an exact one does."""
+    from millrace.operators import retrieval
+
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id AS unique_id", "embedding")
+    vector_index.build(e, metric, 10).save(str(tmp_path))
+    index = vector_index.load(spark, str(tmp_path))
+    assert index.rows.select("unique_id").distinct().count() == index.rows.count() == e.count()
+    asked = e.where("unique_id % 50 = 0").withColumnRenamed("unique_id", "query_id")
+    pairs = lambda df: {(r["query_id"], r["unique_id"]) for r in df.collect()}
+    exact, found = pairs(retrieval.dense(e, asked, 10, metric)), pairs(vector_index.search(index, asked, 10, metric))
+    assert len(found) == len(exact) and len(exact & found) >= 0.9 * len(exact)
+    assert index.probes <= len(index.centroids)
+    print(metric, len(exact & found) / len(exact), index.probes, len(index.centroids))
