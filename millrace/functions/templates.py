@@ -118,6 +118,23 @@ register_template(Template("llama3", prefix="<|begin_of_text|>", user=_llama3_tu
 _qwen = replace(_chatml, name="qwen", function="{{content}}<|im_end|>\n", observation="<|im_start|>user\n<tool_response>\n{{content}}\n</tool_response><|im_end|>\n<|im_start|>assistant\n", tool_format="qwen", stop_words=("<|im_end|>",), default_system="You are Qwen, created by Alibaba Cloud. You are a helpful assistant.")
 register_template(_qwen)
 register_template(replace(_qwen, name="qwen3", default_system="", reasoning=True))
+register_template(replace(_chatml, name="yi"))
+register_template(Template("baichuan2", user="<reserved_106>{{content}}<reserved_107>", efficient_eos=True))
+register_template(Template("chatglm3", prefix="[gMASK]sop", user="<|user|>\n{{content}}<|assistant|>", assistant="\n{{content}}", system="<|system|>\n{{content}}", observation="<|observation|>\n{{content}}<|assistant|>", stop_words=("<|user|>", "<|observation|>"), efficient_eos=True))
+register_template(Template("cohere", prefix="<BOS_TOKEN>", user="<|START_OF_TURN_TOKEN|><|USER_TOKEN|>{{content}}<|END_OF_TURN_TOKEN|><|START_OF_TURN_TOKEN|><|CHATBOT_TOKEN|>", system="<|START_OF_TURN_TOKEN|><|SYSTEM_TOKEN|>{{content}}<|END_OF_TURN_TOKEN|>"))
+register_template(Template("deepseek3", prefix="<｜begin▁of▁sentence｜>", user="<｜User｜>{{content}}<｜Assistant｜>"))
+register_template(Template("falcon", user="User: {{content}}\nFalcon:", assistant="{{content}}\n", efficient_eos=True))
+register_template(Template("glm4", prefix="[gMASK]<sop>", user="<|user|>\n{{content}}<|assistant|>", assistant="\n{{content}}", function="{{content}}", system="<|system|>\n{{content}}", observation="<|observation|>\n{{content}}<|assistant|>", tool_format="glm4", stop_words=("<|user|>", "<|observation|>"), efficient_eos=True))
+register_template(Template("granite3", user="<|start_of_role|>user<|end_of_role|>{{content}}<|end_of_text|>\n<|start_of_role|>assistant<|end_of_role|>", assistant="{{content}}<|end_of_text|>\n", system="<|start_of_role|>system<|end_of_role|>{{content}}<|end_of_text|>\n"))
+register_template(Template("intern2", prefix="<s>", user="<|im_start|>user\n{{content}}<|im_end|>\n<|im_start|>assistant\n", assistant="{{content}}<|im_end|>\n", system="<|im_start|>system\n{{content}}<|im_end|>\n", stop_words=("<|im_end|>",)))
+register_template(Template("llama2", prefix="<s>", user="[INST] {{content}} [/INST]", assistant=" {{content}} {{eos}}", system="<<SYS>>\n{{content}}\n<</SYS>>\n\n"))
+register_template(Template("mistral", prefix="<s>", user="[INST] {{content}}[/INST]", assistant=" {{content}}{{eos}}", system="{{content}}\n\n", function="[TOOL_CALLS] {{content}}{{eos}}", observation="[TOOL_RESULTS] {\"content\": {{content}}}[/TOOL_RESULTS]", tool_format="mistral"))
+register_template(Template("openchat", prefix="<s>", user="GPT4 Correct User: {{content}}{{eos}}GPT4 Correct Assistant:"))
+register_template(Template("phi3", user="<|user|>\n{{content}}<|end|>\n<|assistant|>\n", assistant="{{content}}<|end|>\n", system="<|system|>\n{{content}}<|end|>\n", stop_words=("<|end|>",)))
+register_template(Template("phi4", user="<|im_start|>user<|im_sep|>{{content}}<|im_end|><|im_start|>assistant<|im_sep|>", assistant="{{content}}<|im_end|>", system="<|im_start|>system<|im_sep|>{{content}}<|im_end|>", stop_words=("<|im_end|>",)))
+register_template(Template("solar", user="### User:\n{{content}}\n\n### Assistant:\n", system="### System:\n{{content}}\n\n", efficient_eos=True))
+register_template(Template("vicuna", user="USER: {{content}} ASSISTANT:", default_system="A chat between a curious user and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the user's questions."))
+register_template(Template("zephyr", user="<|user|>\n{{content}}{{eos}}<|assistant|>\n", assistant="{{content}}{{eos}}", system="<|system|>\n{{content}}{{eos}}"))
 
 
 def reasoning_messages(messages: Column | str, keep_last: bool = True, empty_thought: bool = True) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
+from ..functions.media import get_plugin
 from ..functions.templates import choice_templates, get_template, reasoning_messages
 from ..functions.tools import extracted_calls, function_texts
 from ..operators import align, chunking, encode, fusion, metrics, qa, sampling
@@ -95,6 +96,13 @@ register(
     lambda s, d: docs(s, d).select("doc_id", get_template("default").rendered(F.array(align.message("user", F.col("source")), align.message("assistant", F.col("lang"))), F.lit("S"), eos="</s>").alias("text")),
     "SELECT doc_id, 'System: S</s>' || chr(10) || 'Human: ' || source || '</s>' || chr(10) || 'Assistant:' || lang || '</s>' || chr(10) AS text FROM documents",
 )
+register(
+    "x21_template_registry",
+    lambda s, d: docs(s, d).select("doc_id", *[get_template(k).rendered(F.array(align.message("user", F.col("source")), align.message("assistant", F.col("lang"))), F.lit("S"), eos="</s>").alias(k) for k in ("llama2", "mistral", "phi4", "zephyr", "glm4")]),
+    """SELECT doc_id, '<s><<SYS>>' || chr(10) || 'S' || chr(10) || '<</SYS>>' || chr(10) || chr(10) || '[INST] ' || source || ' [/INST] ' || lang || ' </s>' AS llama2, '<s>S' || chr(10) || chr(10) || '[INST] ' || source || '[/INST] ' || lang || '</s>' AS mistral,
+  '<|im_start|>system<|im_sep|>S<|im_end|><|im_start|>user<|im_sep|>' || source || '<|im_end|><|im_start|>assistant<|im_sep|>' || lang || '<|im_end|>' AS phi4, '<|system|>' || chr(10) || 'S</s><|user|>' || chr(10) || source || '</s><|assistant|>' || chr(10) || lang || '</s>' AS zephyr,
+  '[gMASK]<sop><|system|>' || chr(10) || 'S<|user|>' || chr(10) || source || '<|assistant|>' || chr(10) || lang AS glm4 FROM documents""",
+)
 register("x23_prompt_build", lambda s, d: docs(s, d).select("doc_id", X.filled("Q {{q}} C {{c}} Q {{q}}", q="source", c="lang").alias("text")), "SELECT doc_id, 'Q ' || source || ' C ' || lang || ' Q ' || source AS text FROM documents")
 
 
@@ -132,6 +140,26 @@ register(
     "SELECT doc_id, doc_id % 3 = doc_id % 2 AS ok FROM documents",
 )
 
+
+def media_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages with 0 to 2 images, of sizes made from the rows, as three model families want them; every seventh lacks an image."""
+    size = lambda n: F.struct(((F.col("doc_id") * 37 + n * 101) % 2000 + 20).cast("int").alias("width"), ((F.col("doc_id") * 53 + n * 211) % 1500 + 20).cast("int").alias("height"), F.lit(None).cast("int").alias("frames"), F.lit(None).cast("double").alias("seconds"))
+    n = (F.col("doc_id") % 3).cast("int")
+    own = docs(spark, sf).select("doc_id", F.concat(F.lit("a "), F.repeat(F.lit("<image> b "), n + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0))).alias("content"), F.slice(F.array(size(0), size(1)), F.lit(1), n).alias("images"))
+    made = {k: get_plugin(k).expanded("content", F.col("images")) for k in ("gemma3", "pixtral", "qwen2_vl")}
+    return own.select("doc_id", F.length(made["gemma3"]).cast("long").alias("gemma3"), F.md5(made["pixtral"]).alias("pixtral"), F.regexp_count(made["qwen2_vl"], F.lit(r"<\|image_pad\|>")).cast("long").alias("qwen2_vl"))
+
+
+register(
+    "g6_media_tokens",
+    media_tokens,
+    """WITH i AS (SELECT doc_id, unnest(range(0, doc_id % 3)) AS n FROM documents), s AS (SELECT doc_id, n, ((doc_id * 37 + n * 101) % 2000 + 20)::double AS w, ((doc_id * 53 + n * 211) % 1500 + 20)::double AS h FROM i),
+g AS (SELECT *, greatest(28, round(h / 28) * 28) AS h0, greatest(28, round(w / 28) * 28) AS w0, sqrt(h * w / 589824) AS down, sqrt(3136 / (h * w)) AS up FROM s),
+q AS (SELECT *, CASE WHEN h0 * w0 > 589824 THEN greatest(28, floor(h / down / 28) * 28) WHEN h0 * w0 < 3136 THEN greatest(28, ceil(h * up / 28) * 28) ELSE h0 END AS h1, CASE WHEN h0 * w0 > 589824 THEN greatest(28, floor(w / down / 28) * 28) WHEN h0 * w0 < 3136 THEN greatest(28, ceil(w * up / 28) * 28) ELSE w0 END AS w1 FROM g),
+t AS (SELECT doc_id, sum(h1 / 28 * (w1 / 28))::bigint AS q, string_agg(rtrim(repeat(repeat('[IMG]', ceil(w / 16)::int) || '[IMG_BREAK]', ceil(h / 16)::int - 1)) || repeat('[IMG]', ceil(w / 16)::int) || '[IMG_END] b ', '' ORDER BY n) AS p, count(*) AS c FROM q GROUP BY 1)
+SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN 2 + coalesce(c, 0) * (length(' b ') + 256 * length('<image_soft_token>') + length('<start_of_image><end_of_image>') + 4) END AS gemma3, CASE WHEN doc_id % 7 <> 0 THEN md5('a ' || coalesce(p, '')) END AS pixtral, CASE WHEN doc_id % 7 <> 0 THEN coalesce(q, 0) END AS qwen2_vl FROM documents LEFT JOIN t USING (doc_id)""",
+)
+
 # ---- mixing, splitting, drawing
 
 _BUCKET = "(('0x' || substr(md5({}), 1, 8))::bigint % {})"
