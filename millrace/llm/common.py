@@ -11,44 +11,32 @@ Conventions of all operators here
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 #: Rows of keys that are sent to every executor at once (under 100 bytes each).
 BLOCK_ROWS = 400_000
 #: Blocks of keys up to which documents are read once a block and stay where they are; with more they are shuffled.
 MOST_BLOCKS = 8
 
-_own_dir: list[str] = []
-
-
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+_held: dict[str, object] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, with a master on this machine only, one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.conf.get("spark.master", "")
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="millrace-"))
-    return _own_dir[0]
+def held(key: str, make: Callable[[], object]) -> object:
+    """What make gives, made once a Python worker for the last key asked for; a function of this module, so that all of a worker's tasks share it."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
 
 
-def stage_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
+def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -59,7 +47,7 @@ def discard(spark: SparkSession, path: str) -> None:
 def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and every executor can read it again."""
     spark = df.sparkSession
-    path = path or stage_path(spark, label)
+    path = path or scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -127,7 +115,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         joined = min_of(down)
         small = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(joined.select(F.col("u"), F.col("m")).distinct())
-        old, path = path, stage_path(spark, "cc")
+        old, path = path, scratch(spark, "cc")
         current = stage(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc", path)
         if old:
             discard(spark, old)

@@ -17,6 +17,7 @@ documents, not more memory. A null text has no words. An item with a null id can
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage
+from .common import fresh, held, met, stage
 
 #: Windows of a benchmark block: what is broadcast at once is under 100 bytes a window.
 BLOCK_WINDOWS = 200_000
@@ -34,8 +35,6 @@ _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or c in _KEEP else 32 for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
-_known: dict[int, tuple] = {}
-
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_FOLD).split()
@@ -105,13 +104,10 @@ def runs_of(words: list[bytes], number: dict[bytes, int], codes: dict[int, np.nd
 
 def _scan(texts: DataFrame, shingles: list[str], need: dict[int, int]) -> DataFrame:
     """(rid, id, n_words, runs) for each row of texts (id, text[, rid]); rid is unique once staged."""
-    sent = texts.sparkSession.sparkContext.broadcast(shingles)
+    sent, key = texts.sparkSession.sparkContext.broadcast(shingles), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (key := id(sent)) not in _known:
-            _known.clear()
-            _known[key] = _index(sent.value)
-        number, codes = _known[key]
+        number, codes = held(key, lambda: _index(sent.value))
         kind = pa.list_(pa.struct([("pos", pa.int32()), ("k", pa.int32()), ("words", pa.string())]))
         for b in batches:
             n, runs = [], []
@@ -181,5 +177,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, shing
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:
     """The rows of docs that decontaminate() doesn't call contaminated, all columns kept. Rows that repeat an id go or stay together."""
-    bad = decontaminate(docs, benchmark, id_col=id_col, text_col=text_col, **how).where("contaminated").select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")
+    (bad,) = fresh(docs, "bad")
+    gone = stage(decontaminate(docs, benchmark, id_col=id_col, text_col=text_col, **how).where("contaminated").select(F.col(id_col).alias(bad)).distinct(), "decontamination-bad")
+    return met(docs, gone, {bad: F.col(id_col)}, "left_anti")

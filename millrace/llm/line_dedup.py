@@ -120,9 +120,17 @@ def near_lines(docs: DataFrame, lines: DataFrame, min_words: int = 5, id_col: st
     return classes, stage(places.join(near, "ord").select("h1", "h2"), "lines-near")
 
 
+def drop_repeated_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the text less its removed lines, all columns kept."""
+    return _less_lines(docs, [], min_words, id_col, text_col)
+
+
 def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text less its removed lines, and n_lines and n_removed; columns of these names are replaced."""
-    docs = docs.drop("n_lines", "n_removed")
+    """drop_repeated_lines() with n_lines and n_removed; columns of these names are replaced."""
+    return _less_lines(docs.drop("n_lines", "n_removed"), ["n_lines", "n_removed"], min_words, id_col, text_col)
+
+
+def _less_lines(docs: DataFrame, counts: list[str], min_words: int, id_col: str, text_col: str) -> DataFrame:
     lines = hashed_lines(docs, min_words, id_col, text_col)
     classes, near = near_lines(docs, lines, min_words, id_col, text_col)
     going = classes.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("copies > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
@@ -130,9 +138,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", tex
     gone = placed.join(_small(going, "lines-going"), ["h1", "h2"]).where("near or pos <> first")
     at, tid, cut = fresh(docs, "id", "tid", "cut")
     lists = stage(gone.groupBy(F.col("pos.id").alias(at), F.col("pos.tid").alias(tid)).agg(F.collect_set("pos.line_no").alias(cut)), "lines-gone")
-    both = met(docs, lists, {at: docs[id_col], tid: F.xxhash64(docs[text_col])}, "left")
+    both = met(docs, lists, {at: F.col(id_col), tid: F.xxhash64(text_col)}, "left")
     text = F.col(text_col)
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(cut, i)), "\n")
     size = F.size(F.split(F.coalesce(text, F.lit("")), "\n")).cast("long")
     own = [F.when(F.col(cut).isNull(), text).otherwise(kept).alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
-    return both.select(*own, size.alias("n_lines"), F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_removed"))
+    numbers = [size, F.coalesce(F.size(cut), F.lit(0)).cast("long")]
+    return both.select(*own, *(n.alias(c) for n, c in zip(numbers, counts, strict=False)))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, shuffle_partitions, stage
+from .common import connected_components, fresh, met, shuffle_partitions, stage
 from .exact_dedup import normalised
 
 #: Shingles whose bits are counted at once.
@@ -173,11 +173,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows that repeat its id and text stay once. A row with a null id stays only where its whole component has no other id.
     """
-    own = labelled_rows(docs, id_col, text_col, shingle, radius, seed, None).where(F.col("id").eqNullSafe(F.col("component_id")))
-    texts = own.groupBy("root", "id", "tid").agg(F.count("*").alias("n"))
-    kept = stage(texts.groupBy("root").agg(F.min(F.struct("tid", "id", "n")).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.tid").alias("__tid"), F.col("k.n").alias("__n")), "simhash-kept")
-    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__tid"))
-    once = docs.join(kept.where("__n = 1"), same, "left_semi")
-    if kept.where("__n > 1").isEmpty():
-        return once
-    return once.union(docs.join(kept.where("__n > 1"), same, "left_semi").dropDuplicates([id_col, text_col]))
+    rows = stage(labelled_rows(docs, id_col, text_col, shingle, radius, seed, None).groupBy("root", "id", "tid", "component_id").agg(F.count("*").alias("n")), "simhash-texts")
+    keeps = rows.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("tid", "id")).alias("keep"))
+    judged = stage(rows.join(keeps, "root").withColumn("kept", F.struct("tid", "id").eqNullSafe(F.col("keep"))), "simhash-judged")
+    at, tid = fresh(docs, "id", "tid")
+    own = {at: F.col(id_col), tid: F.xxhash64(text_col)}
+    listed = lambda which: judged.where(which).select(F.col("id").alias(at), F.col("tid").alias(tid))
+    out = met(docs, listed("not kept"), own, "left_anti")
+    twice = listed("kept and n > 1")
+    if twice.isEmpty():
+        return out
+    return met(out, twice, own, "left_anti").union(met(out, twice, own, "left_semi").dropDuplicates([id_col, text_col]))
