@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, met, stage
+from .common import fresh, held, met, stage
 from .packing import ragged
 
 #: Examples in a block of the index.
@@ -43,12 +43,11 @@ HEAVY = 40
 #: Bytes of text whose terms are counted at once, about.
 FLUSH_BYTES = 4 << 20
 #: Postings that are added up at once, about.
-CELLS = 1 << 21
+CELLS = 1 << 19
 #: Terms of which the counts travel in one row.
 CHUNK = 1 << 14
 
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or c == 95 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)], np.uint8)
-_known: dict[str, tuple] = {}
 
 
 def held_out(id_column: F.Column) -> F.Column:
@@ -283,7 +282,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     label = found["label"].to_numpy().astype(np.float64)
     taken = {y: int((label == y).sum()) for y in (0, 1)}
     many = pc.list_value_length(found["words"]).to_numpy()
-    without = {y: int(((label == y) & (many == 0)).sum()) * share.get(y, 0) / max(1, taken[y]) for y in (0, 1)}  # examples without a word
+    without = {y: float(((label == y) & (many == 0)).sum() * share.get(y, 0) / max(1, taken[y])) for y in (0, 1)}  # examples without a word
     coded = pc.list_flatten(found["words"]).combine_chunks().dictionary_encode()
     by_name = pc.sort_indices(coded.dictionary)
     terms = coded.dictionary.take(by_name).cast(pa.large_string())
@@ -297,6 +296,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         if hi > lo:
             alike.setdefault(hashlib.sha256(bytes([int(label[i])]) + term[lo:hi].tobytes() + times[lo:hi].tobytes()).digest(), []).append(i)
     first = np.array([x[0] for x in alike.values()], np.int64)
+    each = {y: share.get(y, 0) / max(1, taken[y]) for y in (0, 1)}  # labels that an example stands for
     curve, blank, model = (1.0, 0.0), prior, None
     if taken[0] and taken[1] and len(first) > 1:
         place = np.full(len(many), -1)
@@ -316,31 +316,47 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         by = np.lexsort((term, text))
         text, term, w = text[by], term[by], w[by]
         ids, ys, sizes = [ids[i] for i in order], ys[order], sizes[order]
-        votes = sizes * np.where(ys == 1, share[1] / taken[1], share[0] / taken[0])
-        index = BlockMaxIndex(text, term, w, len(ids), len(terms))
-        loo = []
-        for e, (near, s) in enumerate(index.nearest(text, term, w, len(ids), k + 1)):
-            own = np.where(near == e, (sizes[near] - 1) / sizes[near], 1.0)
-            at = own > 0
-            loo.append(vote(s[at][:k], ys[near][at][:k], (votes[near] * own)[at][:k], prior))
+        votes = sizes * np.where(ys == 1, each[1], each[0])
+        model = (terms, weight, text.astype(np.int32), term.astype(np.int32), w, ids, ys, votes)
+    del found, coded, by_name, text, term, times, order  # the driver keeps no more than the model
+    sent, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    def made() -> BlockMaxIndex:
+        _, weight, text, term, w, ids, _, _ = sent.value
+        return BlockMaxIndex(text.astype(np.int64), term.astype(np.int64), w, len(ids), len(weight))
+
+    def index() -> BlockMaxIndex:
+        return held(key, made)
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The vote on each example by the others."""
+        _, _, text, term, w, ids, ys, votes = sent.value
+        sizes = votes / np.where(ys == 1, each[1], each[0])
+        for b in batches:
+            number, found = b.column(0).to_numpy(), []
+            lo, hi = np.searchsorted(text, [number[0], number[-1] + 1])
+            own = text[lo:hi].astype(np.int64) - number[0], term[lo:hi].astype(np.int64), w[lo:hi]
+            for e, (near, s) in zip(number.tolist(), index().nearest(*own, b.num_rows, k + 1), strict=True):
+                rest = np.where(near == e, (sizes[near] - 1) / sizes[near], 1.0)
+                at = rest > 1e-9
+                found.append(vote(s[at][:k], ys[near][at][:k], (votes[near] * rest)[at][:k], prior))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["id", "vote"])
+
+    if model:
+        loo = spark.range(0, len(ids), 1, max(1, len(ids) // 200)).mapInArrow(left_out, "id long, vote double").orderBy("id").toArrow()["vote"].to_numpy()  # 8 bytes an example
         curve = logistic(np.array([*loo, prior, prior]), np.array([*ys, 0, 1]), np.array([*votes, without[0], without[1]]))
         blank = 1 / (1 + math.exp(-(curve[0] * float(log_odds(prior)) + curve[1])))
-        model = (terms, weight, text, term, w, ids, ys, votes, curve)
-    sent, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    slope, start = curve
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("id", pa.string()), ("label", pa.int32()), ("similarity", pa.float64())]))
         if model_ := sent.value:
-            terms, weight, text, term, w, ids, ys, votes, (slope, start) = model_
-            if key not in _known:
-                _known.clear()
-                _known[key] = BlockMaxIndex(text, term, w, len(ids), len(terms))
-            index = _known[key]
+            terms, weight, _, _, _, ids, ys, votes = model_
         for b in slices(batches):
             scores, proof = [blank] * b.num_rows, [[]] * b.num_rows
             if model_:
                 own = counted(b.column(1), terms)
-                for i, (near, s) in enumerate(index.nearest(*own[:2], weighed(*own, weight, b.num_rows), b.num_rows, k)):
+                for i, (near, s) in enumerate(index().nearest(*own[:2], weighed(*own, weight, b.num_rows), b.num_rows, k)):
                     if len(near):
                         odds = float(log_odds(vote(s, ys[near], votes[near], prior)))
                         scores[i] = 1 / (1 + math.exp(-(slope * odds + start)))
