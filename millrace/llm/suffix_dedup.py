@@ -15,10 +15,11 @@ positions are sampled first, without losing any repeat:
    in all greater documents.
 4. Removed windows go to their documents, which merge them.
 
-Anchors travel as packed arrays, a row for each task, flush and bucket. A flush reduces what it holds of one name: of equal anchors with equal
-surroundings just the one of the least document goes on, the others are removed at once. So a passage that a third of all
-documents share is one row a flush. Texts are shuffled twice, compressed. Ids are integers; a null id is the smallest. Rows that repeat
-an id are judged apart, and never remove each other's bytes.
+Anchors travel as packed arrays, a row for each task, flush and bucket; what a task finds out for other buckets it gathers first. A flush
+reduces what it holds of one name: of equal anchors with equal surroundings just the one of the least document goes on, the others are
+removed at once. So a passage that a third of all documents share is one row a flush. Texts are shuffled twice, compressed. A null id
+is the smallest; ids other than integers are replaced by their ranks. Rows that repeat an id are judged apart, and never remove each
+other's bytes.
 """
 
 from __future__ import annotations
@@ -34,11 +35,15 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators.sampling import numbered
 from .common import shuffle_partitions, stage
 
 #: Bytes of text that a task gathers before it hands on what it found.
 FLUSH_BYTES = 16 << 20
+#: Entries that a task gathers for other buckets.
+BOX_ENTRIES = 2_000_000
 #: Live anchors that a task gathers before it hands them on.
 FLUSH_ROWS = 150_000
 #: Bytes of text whose names are computed at once.
@@ -190,6 +195,25 @@ ROWS = "bucket int, kind int, data binary"
 KEYS, LIVE, TEXT, NEAR, SPANS = 1, 2, 3, 4, 5
 
 
+class _Box:
+    """Gathers arrays by the bucket they go to."""
+
+    def __init__(self, kind: int) -> None:
+        self.kind, self.size = kind, 0
+        self.held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+
+    def add(self, bucket: int, *arrays: np.ndarray) -> None:
+        self.held.setdefault(bucket, []).append(arrays)
+        self.size += len(arrays[0])
+
+    def rows(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        """A row a bucket, if it holds at least so many entries."""
+        if self.size >= least:
+            yield _rows([(b, self.kind, _pack(*(np.concatenate(x) for x in zip(*got, strict=True)))) for b, got in self.held.items()])
+            self.held.clear()
+            self.size = 0
+
+
 def _dealt(df: DataFrame, parts: int) -> DataFrame:
     return df.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
 
@@ -216,7 +240,12 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 24, id_col: st
     parts = shuffle_partitions(spark)
     buckets = 4 * parts
     side = length - gram
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ranks = None
+    if not isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        ranks = stage(numbered(source.select("id").where("id is not null").distinct(), ["id"], "rank"), "suffix-ids")
+        source = source.join(ranks, "id", "left").select(F.col("rank").alias("id"), "text")
+    source = source.select(F.col("id").cast("long"), "text")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each flush: (name, row) of its anchors; what it knows to be shared goes as live keys at once."""
@@ -236,16 +265,16 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 24, id_col: st
             sent, live = np.flatnonzero(head), np.flatnonzero(shared)
             found = [(b, KEYS, _pack(np.diff(name[sent[at]], prepend=np.uint64(0)), row[sent[at]])) for b, at in _split(name[sent], buckets)]
             keys = mixed(name[live] ^ row[live] * _M1)
-            found += [(b, LIVE, np.int32(b).tobytes() + _pack(keys[at])) for b, at in _split(row[live], buckets)]
+            found += [(b, LIVE, _pack(keys[at])) for b, at in _split(row[live], parts)]
             yield _rows(found)
 
     def alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Names of a bucket that rows of two flushes or more have: live keys, by the row's bucket."""
-        last, held = None, []
+        last, held, box = None, [], _Box(LIVE)
 
-        def out() -> list[tuple[int, int, bytes]]:
+        def out() -> None:
             if not held:
-                return []
+                return
             name, row = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.argsort(name, kind="stable")
@@ -256,20 +285,21 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 24, id_col: st
             shared[:-1] |= same
             name, row = name[shared], row[shared]
             keys = mixed(name ^ row * _M1)
-            return [(b, LIVE, _pack(np.unique(keys[at]))) for b, at in _split(row, buckets)]
+            for b, at in _split(row, parts):
+                box.add(b, np.unique(keys[at]))
 
         for bucket, kind, data in _by_bucket(batches):
             if bucket != last:
-                if rows := out():
-                    yield _rows(rows)
+                out()
                 last = bucket
             if kind == LIVE:
-                yield _rows([(int(np.frombuffer(data[:4], np.int32)[0]), LIVE, data[4:])])
+                box.add(bucket, *_unpack(data, "u8"))
             else:
                 steps, row = _unpack(data, "u8", "u8")
                 held.append((np.cumsum(steps, dtype=np.uint64), row))
-        if rows := out():
-            yield _rows(rows)
+            yield from box.rows(BOX_ENTRIES)
+        out()
+        yield from box.rows()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _texts(batches):
@@ -277,7 +307,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 24, id_col: st
             lens = np.fromiter(map(len, texts), np.int64, len(texts))
             null = np.array([i is None for i in ids], bool)
             doc = np.array([0 if i is None else i for i in ids], np.int64)
-            yield _rows([(b, TEXT, _pack(doc[at], null[at], lens[at], np.frombuffer(b"".join(texts[i] for i in at.tolist()), np.uint8))) for b, at in _split(uid, buckets)])
+            yield _rows([(b, TEXT, _pack(doc[at], null[at], lens[at], np.frombuffer(b"".join(texts[i] for i in at.tolist()), np.uint8))) for b, at in _split(uid, parts)])
 
     def opened(data: bytes) -> tuple[list[int | None], list[bytes]]:
         doc, null, lens, raw = _unpack(data, "i8", "?", "i8", "u1")
@@ -305,7 +335,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 24, id_col: st
             gone = ~go
             found = [(b, NEAR, _pack_near(d[at], u[at], pos[at], j0[at], j1[at], text[at])) for b, at in ((b, np.flatnonzero(go)[at]) for b, at in _split(name[go], buckets))]
             span = (u[gone], pos[gone] - j1[gone], pos[gone] - j0[gone] + length)
-            found += [(b, SPANS, np.int32(b).tobytes() + _pack(*(x[at] for x in span))) for b, at in _split(span[0], buckets)]
+            found += [(b, SPANS, _pack(*(x[at] for x in span))) for b, at in _split(span[0], parts)]
             return _rows(found)
 
         for bucket, kind, data in _by_bucket(batches):
@@ -337,11 +367,11 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 24, id_col: st
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows around the bucket's anchors that a smaller document has, as spans by row."""
-        last, held = None, []
+        last, held, box = None, [], _Box(SPANS)
 
-        def out() -> list[tuple[int, int, bytes]]:
+        def out() -> None:
             if not held:
-                return []
+                return
             name, d, u, pos, j0, j1, text = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.argsort(name, kind="stable")
@@ -359,7 +389,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 24, id_col: st
                     us.append(u[hit])
                     starts.append(pos[hit] - j)
             if not us:
-                return []
+                return
             u, s = np.concatenate(us), np.concatenate(starts)
             order = np.lexsort((s, u))
             u, s = u[order], s[order]
@@ -367,20 +397,21 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 24, id_col: st
             new[1:] = (u[1:] != u[:-1]) | (s[1:] > s[:-1] + length)
             at = np.flatnonzero(new)
             stop = s[np.concatenate([at[1:], [len(s)]]) - 1] + length if len(s) else s
-            return [(b, SPANS, _pack(u[at][x], s[at][x], stop[x])) for b, x in _split(u[at], buckets)]
+            for b, x in _split(u[at], parts):
+                box.add(b, u[at][x], s[at][x], stop[x])
 
         for bucket, kind, data in _by_bucket(batches):
             if bucket != last:
-                if rows := out():
-                    yield _rows(rows)
+                out()
                 last = bucket
             if kind == SPANS:
-                yield _rows([(int(np.frombuffer(data[:4], np.int32)[0]), SPANS, data[4:])])
+                box.add(bucket, *_unpack(data, "u8", "i8", "i8"))
             else:
                 near = _unpack_near(data, length + side)
                 held.append((_row_names(near[-1][:, side : side + gram]), *near))
-        if rows := out():
-            yield _rows(rows)
+            yield from box.rows(BOX_ENTRIES)
+        out()
+        yield from box.rows()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 2 here: spans, which come before the texts."""
@@ -422,6 +453,9 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 24, id_col: st
     _free(spans)
     both = spans.select("bucket", F.lit(LIVE).alias("kind"), "data").union(texts)
     out = _dealt(both, parts).mapInArrow(merged, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + ", kept binary" * with_text)
+    if ranks is not None:
+        own = ranks.withColumnRenamed("id", "own")
+        return out.join(own, out["id"] == own["rank"], "left").select(F.col("own").alias(id_col), *out.columns[1:])
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *out.columns[1:])
 
 

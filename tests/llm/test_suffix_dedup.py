@@ -61,3 +61,13 @@ def test_empty(docs_of):
     assert S.repeated_spans(docs_of([])).count() == 0
     with pytest.raises(ValueError):
         S.repeated_spans(docs_of([]), length=20, gram=20)
+
+
+@pytest.mark.parametrize("entries", [S.BOX_ENTRIES, 1])
+def test_string_ids_and_full_boxes(spark, monkeypatch, entries):
+    monkeypatch.setattr(S, "BOX_ENTRIES", entries)
+    data = rows()
+    named = [(None if i is None else f"id{i:05}", t) for i, t in data]
+    got = S.repeated_spans(spark.createDataFrame(named, "doc_id string, text string").repartition(3)).collect()
+    want = sorted(((None if r[0] is None else f"id{r[0]:05}", *r[1:]) for r in brute(data)), key=str)
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=str) == want
