@@ -2,9 +2,9 @@
 
 1. Examples: of each label at most ``max_examples`` rows (default 2,000), those of smallest id hash; the bound is a parameter and the
    only sample taken. Examples of one label and equal words are one example with a weight.
-2. Terms: every word of every example; none is left out. Inverse document frequencies count every row of the corpus. With ``relevance``
-   a term's weight is also multiplied by its relevance frequency log2(2 + a / max(1, c)), of a examples with label 1 and c with
-   label 0 that have it (the tf.rf weighting), which changes what counts in a cosine and not what is compared.
+2. Terms: every word of every example; none is left out. Inverse document frequencies count every row of the corpus. A term's weight
+   is also multiplied by its relevance frequency log2(2 + a / max(1, c)), of a examples with label 1 and c with label 0 that have
+   it (the tf.rf weighting), to the power ``relevance``: what counts most in a cosine changes, not what is compared. 0: TF-IDF alone.
 3. Index: examples in blocks of like ones; each term has a cell for each block it occurs in, with the cell's greatest weight and its
    postings. A query adds up cells to an upper bound for each block, evaluates the blocks of the highest bounds and then all others
    whose bound reaches its k-th neighbour: what it returns is exactly the k nearest.
@@ -248,7 +248,7 @@ def like_order(text: np.ndarray, term: np.ndarray, weight: np.ndarray, label: np
     return np.lexsort((np.arange(n), best, label))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 2000, k: int = 15, threshold: float = 0.7, relevance: bool = True) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 2000, k: int = 15, threshold: float = 0.7, relevance: float = 2.0) -> DataFrame:
     """A row for each row of docs: <id_col>, score, predicted, evidence (example id, label, similarity; nearest first).
 
     labels may only hold rows one may learn from; null labels are left out.
@@ -306,9 +306,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         ids, ys, sizes = found["id"].take(pa.array(first)).to_pylist(), label[first], np.array([len(x) for x in alike.values()], np.float64)
         n_docs, df = document_frequencies(texts, terms, "text")
         weight = np.log((1 + n_docs) / (1 + df)) + 1
-        if relevance:
-            a, c = np.bincount(term, ys[text] * sizes[text]), np.bincount(term, (1 - ys[text]) * sizes[text])
-            weight = weight * np.log2(2 + a / np.maximum(1, c))
+        a, c = np.bincount(term, ys[text] * sizes[text]), np.bincount(term, (1 - ys[text]) * sizes[text])
+        weight = weight * np.log2(2 + a / np.maximum(1, c)) ** relevance
         w = weighed(text, term, times, weight, len(ids))
         order = like_order(text, term, w, ys)
         place = np.argsort(order)
