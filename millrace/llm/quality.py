@@ -4,17 +4,19 @@
    smoothing: target over the labelled good rows (at most ``max_examples`` by id hash, default 20,000, a documented bound) and raw over
    every row of the corpus. Map tasks sum their own counts, so a task hands on at most two numbers a bucket.
 2. The log weight of a text is the mean log ratio of its n-grams times ``span``: texts of all lengths are weighed as texts of so many
-   n-grams, and the whole text counts. Labels enter the target model only.
+   n-grams, and the whole text counts. With ``span`` None it is the log ratio of the two models itself, the sum over all n-grams.
+   Labels enter the target model only.
 3. Sampling without replacement in proportion to the weights: each row gets Gumbel noise from a hash of its id and text and the
    rows of the greatest sums stay, ``keep`` of all. The k-th sum is found by counting digits of its fixed-point form (at most
    65,536 counts a round to the driver), so nothing is sorted as a whole.
 
-A null or empty text has weight 0. Rows that repeat an id and text get equal sums; ties at the edge go to the smaller id, and rows that are
-equal throughout stay or go together (then the sample may be larger by these repeats).
+A null or empty text has weight 0. Rows that repeat an id and text get equal sums; ties at the edge go to the smaller id (or the smaller
+hash of an id that is no integer), and rows that are equal throughout stay or go together (then the sample may be larger by these repeats).
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -59,11 +61,12 @@ def _counts(docs: DataFrame, buckets: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, buckets), np.int64)
         for b in batches:
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = np.bincount(ngram_buckets(t, buckets), minlength=buckets)
-                total[0] += own
-                if y:
-                    total[1] += own
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                own = [ngram_buckets(t, buckets) for t in part.column(0).to_pylist()]
+                total[0] += np.bincount(np.concatenate(own), minlength=buckets)
+                if good := [x for x, y in zip(own, part.column(1).to_pylist(), strict=True) if y]:
+                    total[1] += np.bincount(np.concatenate(good), minlength=buckets)
         at = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], ["bucket", "raw", "target"])
 
@@ -74,7 +77,7 @@ def _counts(docs: DataFrame, buckets: int) -> np.ndarray:
     return out
 
 
-def importance_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = 10_000, span: int = 100, seed: int = 0, max_examples: int = 20_000) -> DataFrame:
+def importance_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = 10_000, span: int | None = 100, seed: int = 0, max_examples: int = 20_000) -> DataFrame:
     """(id, log_weight, gumbel_sum) for each row of docs."""
     spark = docs.sparkSession
     good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
@@ -89,7 +92,7 @@ def importance_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
             weights, sums = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 at = ngram_buckets(t, buckets)
-                w = float(table[at].mean()) * span if len(at) else 0.0
+                w = float(table[at].sum() if span is None else table[at].mean() * span) if len(at) else 0.0
                 u = (xxhash.xxh64_intdigest(f"{i}\0{t or ''}", seed) + 0.5) / 2**64
                 weights.append(w)
                 sums.append(w - float(np.log(-np.log(u))))
@@ -102,11 +105,17 @@ def importance_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
 def top_k(rows: DataFrame, score: str, tie: str, k: int) -> F.Column:
     """A condition that holds for the k rows of greatest score (a double), ties going to the smaller tie; rows: staged.
 
-    Counts by 16 bits of the score in steps of 2**-40 (it must be under 2**22 in size) in each of four rounds, and of the tie's (a long; null is the least)
-    only where the edge has ties.
+    Counts by 16 bits of the score, in steps of 2**-40 or as fine as its size allows, in each of four rounds, and of the tie's (a long; null is
+    the least) only where the edge has ties.
     """
     if k <= 0:
         return F.lit(False)
+    if not isinstance(rows.schema[tie].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        ties = F.when(F.col(tie).isNotNull(), F.xxhash64(F.col(tie).cast("string")))
+    else:
+        ties = F.col(tie).cast("long")
+    size = rows.agg(F.max(F.abs(F.col(score)))).first()[0] or 0.0
+    step = 2 ** min(40, 61 - math.frexp(size)[1])
 
     def edge(rows: DataFrame, key: F.Column, k: int) -> tuple[int, int]:
         """The key (as unsigned, by falling order) of the k-th row, and how many of that key are taken."""
@@ -125,20 +134,19 @@ def top_k(rows: DataFrame, score: str, tie: str, k: int) -> F.Column:
         return prefix, left
 
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    # the score in steps of 2**-40; it must be under 2**22 in size
-    key = F.round(F.col(score) * (1 << 40)).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+    key = F.round(F.col(score) * float(step)).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
     last, taken = edge(rows, key, k)
     above = key.bitwiseXOR(F.lit(-(1 << 63))) > F.lit(signed(last ^ (1 << 63)))
     tied = rows.where(key == F.lit(signed(last)))
     if last == 0 or tied.count() == taken:
         return above | (key == F.lit(signed(last)))
-    order = F.bitwise_not(F.coalesce(F.col(tie).cast("long"), F.lit(-(1 << 63))).bitwiseXOR(F.lit(-(1 << 63))))
+    order = F.bitwise_not(F.coalesce(ties, F.lit(-(1 << 63))).bitwiseXOR(F.lit(-(1 << 63))))
     last_tie, _ = edge(tied, order, taken)
     return above | ((key == F.lit(signed(last))) & (order.bitwiseXOR(F.lit(-(1 << 63))) >= F.lit(signed(last_tie ^ (1 << 63)))))
 
 
 def resample(docs: DataFrame, labels: DataFrame, keep: float = 0.85, id_col: str = "doc_id", **how: object) -> DataFrame:
-    """A row for each row of docs: <id_col>, log_weight, gumbel_sum, kept. Ids are integers."""
+    """A row for each row of docs: <id_col>, log_weight, gumbel_sum, kept."""
     rows = stage(importance_weights(docs, labels, id_col, **how), "quality-weights")
     k = round(keep * rows.count())
     return rows.select(F.col("id").alias(id_col), "log_weight", "gumbel_sum", top_k(rows, "gumbel_sum", "id", k).alias("kept"))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from millrace.llm import html_extract, quality, toxicity
 
@@ -222,13 +223,13 @@ def test_evidence_is_the_nearest_by_whole_vocabulary(spark, docs_of):
     counts = {i: Counter(re.findall(r"\w+", t.lower())) for i, t in docs}
     examples = sorted({(i, y) for i, y in marks if counts[i]})
     terms = sorted({w for i, _ in examples for w in counts[i]})
-    for relevance in (True, False):
+    for relevance in (2.0, 1.0, 0.0):
         got = {r["doc_id"]: r["evidence"] for r in toxicity.toxicity_scores(docs_of(docs), labels, k=5, relevance=relevance).collect()}
 
         def weight(w):
             idf = math.log((1 + len(docs)) / (1 + sum(w in c for c in counts.values()))) + 1
             a, c = (sum(w in counts[i] for i, y in examples if y == z) for z in (1, 0))
-            return idf * (math.log2(2 + a / max(1, c)) if relevance else 1)
+            return idf * math.log2(2 + a / max(1, c)) ** relevance
 
         weights = {w: weight(w) for w in terms}
         vector = lambda i: np.array([(1 + math.log(counts[i][w])) * weights[w] if counts[i][w] else 0.0 for w in terms])  # noqa: E731, B023
@@ -261,3 +262,34 @@ def test_top_k(spark):
         got = sorted(df.where(quality.top_k(df, "s", "id", k)).collect(), key=str)
         rows = sorted(df.collect(), key=lambda r: (-r["s"], r["id"] is not None, r["id"] or 0))[:k]
         assert got == sorted(rows, key=str), k
+
+
+def test_sums_of_any_size_and_string_ids(spark):
+    df = spark.createDataFrame([(f"id{i}", float(v)) for i, v in enumerate([3e9, -1e12, 2, 2, 7e11, 2, 0.25])] + [(None, 2.0)], "id string, s double")
+    sizes = [df.where(quality.top_k(df, "s", "id", k)).count() for k in range(9)]
+    assert sizes == list(range(9))
+    assert {r["s"] for r in df.where(quality.top_k(df, "s", "id", 2)).collect()} == {7e11, 3e9}
+
+
+@pytest.mark.parametrize("span", [100, None])
+def test_whole_resampling_against_plain_code(spark, docs_of, span):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["alpha", "Beta", "gamma!", "x", "y-z", "É"]) for _ in range(rng.randint(0, 30)))) for i in range(80)] + [(None, "alpha"), (200, None), (7, rng.choice(["a", "b"]))]
+    marks = [(i, int(i % 3 == 0)) for i in range(0, 80, 2)]
+    buckets = 64
+    own = {n: quality.ngram_buckets(t, buckets) for n, (_, t) in enumerate(rows)}
+    good = {i for i, y in marks if y}
+    raw, target = np.zeros(buckets), np.zeros(buckets)
+    for n, (i, _) in enumerate(rows):
+        np.add.at(raw, own[n], 1)
+        if i in good:
+            np.add.at(target, own[n], 1)
+    ratio = np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
+    weight = [0.0 if not len(x) else float(ratio[x].sum() if span is None else ratio[x].mean() * span) for x in own.values()]
+    noise = [-math.log(-math.log((xxhash.xxh64_intdigest(f"{i}\0{t or ''}", 0) + 0.5) / 2**64)) for i, t in rows]
+    sums = [w + g for w, g in zip(weight, noise, strict=True)]
+    k = round(0.6 * len(rows))
+    edge = sorted(sums, reverse=True)[k - 1]
+    got = quality.resample(docs_of(rows), spark.createDataFrame(marks, "doc_id long, quality int"), keep=0.6, buckets=buckets, span=span).collect()
+    key = lambda r: (str(r[0]), round(r[1], 6), round(r[2], 6), r[3])
+    assert sorted(map(key, got)) == sorted(key((i, w, s, s >= edge)) for (i, _), w, s in zip(rows, weight, sums, strict=True))
