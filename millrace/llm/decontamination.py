@@ -12,7 +12,7 @@ item of fewer words is one window) and each window its shingles of ``shingle`` w
 4. Covered words are the union of the hit intervals of a row.
 
 The benchmark's shingles are sent to the workers in blocks of a fixed size; a larger benchmark takes more passes over the
-documents, not more memory. A null text has no words. An item with a null id can be hit but is not counted among items.
+documents, not more memory; there, a row's key is a 128-bit hash of its id and text. A null text has no words. An item with a null id can be hit but is not counted among items.
 """
 
 from __future__ import annotations
@@ -103,7 +103,7 @@ def runs_of(words: list[bytes], number: dict[bytes, int], codes: dict[int, np.nd
 
 
 def _scan(texts: DataFrame, shingles: list[str], need: dict[int, int]) -> DataFrame:
-    """(rid, id, n_words, runs) for each row of texts (id, text[, rid]); rid is unique once staged."""
+    """(rid, id, n_words, runs) for each row of texts (id, text[, rid]); rid, if it isn't given, numbers the rows once they are staged."""
     sent, key = texts.sparkSession.sparkContext.broadcast(shingles), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,8 +136,8 @@ def contained_windows(docs: DataFrame, windows: DataFrame, shingle: int, id_col:
     texts = windows.select("words", "n", "k").distinct()
     blocks = max(1, -(-texts.count() // block_windows))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if blocks > 1:  # the same row numbers in each pass
-        source = stage(source.withColumn("rid", F.monotonically_increasing_id()), "decontamination-texts")
+    if blocks > 1:  # the same key in each pass; rows that share it are alike
+        source = source.withColumn("rid", F.struct(F.xxhash64("id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "id").alias("b")))
     rows, hits = None, None
     for i in range(blocks):
         own = texts.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == i) if blocks > 1 else texts
