@@ -32,7 +32,8 @@ def hash_bucket(key: Column | str, buckets: Column | int) -> Column:
 
 def tokens(text: Column | str, min_chars: int = 1) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(_c(text)), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) >= min_chars)
+    words = F.array_remove(F.split(F.lower(_c(text)), r"[^\p{L}\p{N}]+"), "")
+    return words if min_chars <= 1 else F.filter(words, lambda t: F.length(t) >= min_chars)
 
 
 def cjk_bigrams(text: Column | str) -> Column:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -40,6 +40,13 @@ class LexicalIndex:
     """docs: (unique_id, words). Document lengths need no shuffle; frequencies are combined map-side."""
 
     docs: DataFrame
+    _totals: Row | None = None
+
+    def totals(self) -> Row:
+        """n_docs and avg_len, counted once for the index."""
+        if self._totals is None:
+            self._totals = self.stats().first()
+        return self._totals
 
     def lengths(self) -> DataFrame:
         return self.docs.select("unique_id", F.size("words").alias("doc_len"))
@@ -65,17 +72,19 @@ def lexical_index(docs: DataFrame, id_col: str = "unique_id", text_col: str = "p
 
 def bm25_idf(index: LexicalIndex, epsilon: float = 0.25) -> DataFrame:
     """(term, idf): negative values become epsilon times the mean over all terms."""
-    raw = index.frequencies().crossJoin(F.broadcast(index.stats())).select("term", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))  # one row
+    n_docs = index.totals()["n_docs"]
+    raw = index.frequencies().select("term", (F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw").alias("mean_idf"))  # one row, of the frequencies counted once
     return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
 
-def _best_texts(docs: DataFrame, weights: DataFrame, k: int, weigh: Callable[[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch], np.ndarray]) -> DataFrame:
-    """RANKED rows of docs (unique_id, words, ...) by inner product with weights (query_id, term, weight). weigh: from (row, times, lengths
+def _best_texts(docs: DataFrame, weights: DataFrame, asked: DataFrame, k: int, weigh: Callable[[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """RANKED rows of docs (unique_id, words, ...) by inner product with weights (query_id, term, weight), which has a row for some of
+    asked (query_id, term). weigh: from (row, times, lengths
     of the rows, batch) to the weight of each term in its row."""
     weights = weights.select("query_id", "term", F.col("weight").cast("double").alias("weight"))
     parts = []
-    for own in scoring.blocks(weights, weights.count()):
+    for own in scoring.blocks(weights, asked.count(), asked):
         postings = scoring.Postings(own.toArrow())
 
         def make(postings: scoring.Postings = postings) -> scoring.Score:
@@ -93,12 +102,12 @@ def bm25(index: LexicalIndex, queries: DataFrame, k: int, k1: float = 1.5, b: fl
     """queries: (query_id, words); words that repeat count as often. Documents without a common term have no row."""
     asked = term_counts(queries, "query_id", F.col("words"))
     weights = asked.join(bm25_idf(index), "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("weight"))
-    mean = float(index.stats().first()["avg_len"] or 1.0)
+    mean = float(index.totals()["avg_len"] or 1.0)
 
     def weigh(row: np.ndarray, times: np.ndarray, lengths: np.ndarray, _: pa.RecordBatch) -> np.ndarray:
         return times * (k1 + 1) / (times + k1 * (1 - b + b * lengths[row] / mean))
 
-    return _best_texts(index.docs.select("unique_id", "words"), weights, k, weigh)
+    return _best_texts(index.docs.select("unique_id", "words"), weights, asked, k, weigh)
 
 
 def tfidf(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
@@ -107,7 +116,7 @@ def tfidf(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
     A document's norm is added up in its own row from the frequencies of FREQUENT_TERMS terms; the postings of rarer terms, if there are
     any, are shuffled by term and their share of the norm is joined to the document.
     """
-    docs, n_docs = index.docs.select("unique_id", "words"), index.stats().first()["n_docs"]
+    docs, n_docs = index.docs.select("unique_id", "words"), index.totals()["n_docs"]
     all_terms = index.frequencies().withColumn("idf", F.log((1 + n_docs) / (1 + F.col("df"))) + 1)
     frequent = all_terms.orderBy(F.desc("df"), "term").limit(FREQUENT_TERMS).select("term", "idf").toArrow()
     terms, idf = frequent["term"].combine_chunks(), frequent["idf"].to_numpy()
@@ -119,8 +128,10 @@ def tfidf(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
         few = few.join(known, "term", "left_anti")
         squares = term_counts(docs, "unique_id", F.col("words")).join(few, "term").groupBy("unique_id").agg(F.sum((F.col("tf") * F.col("idf")) ** 2).alias("rare"))
         rare = docs.join(squares, "unique_id", "left").select("unique_id", "words", F.coalesce("rare", F.lit(0.0)).alias("rare"))
-    asked = tfidf_weights(term_counts(queries, "query_id", F.col("words")), all_terms.select("term", "idf"), "query_id").join(all_terms.select("term", "idf"), "term")
-    weights = asked.select("query_id", "term", (F.col("weight") * F.col("idf")).alias("weight"))
+    # every term's frequency is known already unless there are more than that
+    terms_idf = all_terms.select("term", "idf") if rare is not None else index.docs.sparkSession.createDataFrame(frequent)
+    asked = term_counts(queries, "query_id", F.col("words"))
+    weights = tfidf_weights(asked, terms_idf, "query_id").join(terms_idf, "term").select("query_id", "term", (F.col("weight") * F.col("idf")).alias("weight"))
 
     def weigh(row: np.ndarray, times: np.ndarray, _: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
         own_terms, own_idf = sent.value
@@ -128,7 +139,7 @@ def tfidf(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
         norm = np.bincount(at, (n * own_idf[term]) ** 2, b.num_rows) + (b.column(2).to_numpy() if b.num_columns > 2 else 0.0)
         return times / np.sqrt(np.where(norm > 0, norm, 1.0))[row]
 
-    return _best_texts(docs if rare is None else rare, weights, k, weigh)
+    return _best_texts(docs if rare is None else rare, weights, asked, k, weigh)
 
 
 def tfidf_weights(counts: DataFrame, idf: DataFrame, id_col: str) -> DataFrame:

@@ -88,9 +88,10 @@ def _spark_type(t: pa.DataType) -> T.DataType:
     return {pa.int64(): T.LongType(), pa.int32(): T.IntegerType(), pa.int16(): T.ShortType(), pa.int8(): T.ByteType()}[t]
 
 
-def blocks(queries: DataFrame, entries: int) -> list[DataFrame]:
-    """queries (query_id, ...) in blocks of bounded size, by hash of the id. entries: what all of them hold together."""
-    n = max(1, -(-entries // BLOCK_ENTRIES), -(-queries.select("query_id").distinct().count() // BLOCK_QUERIES))
+def blocks(queries: DataFrame, entries: int, ids: DataFrame | None = None) -> list[DataFrame]:
+    """queries (query_id, ...) in blocks of bounded size, by hash of the id. entries: what all of them hold together; ids: rows with the
+    same ids that are cheaper to count."""
+    n = max(1, -(-entries // BLOCK_ENTRIES), -(-(ids or queries).select("query_id").distinct().count() // BLOCK_QUERIES))
     return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [queries]
 
 
