@@ -11,9 +11,11 @@ Conventions of all operators here
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,13 @@ def held(key: str, make: Callable[[], object]) -> object:
     return _held[key]
 
 
+def release() -> None:
+    """Gives the memory that a finished task no longer uses back to the system, as its idle worker stays for a while."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

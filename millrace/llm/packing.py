@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions, stage
+from .common import release, stage
 
 #: Words in a generation of a worker's cache.
 HELD_WORDS = 300_000
@@ -218,6 +218,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int
             at, *rest = zip(*rows, strict=True)
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 4 + with_ids]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *(pa.array(x, t) for x, t in zip(rest, kinds, strict=False))], ["id", "piece", "start", "length", "crc", "ids"][: 5 + with_ids])
+        release()
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), *(T.StructField(x, T.LongType()) for x in ("start", "length", "crc")), *[T.StructField("ids", T.BinaryType())] * with_ids])
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

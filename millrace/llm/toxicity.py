@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, held, met, stage
+from .common import fresh, held, met, release, stage
 from .packing import ragged
 
 #: Examples in a block of the index.
@@ -39,7 +39,7 @@ BLOCK = 64
 #: Blocks that a query evaluates before it knows a bound for the rest.
 FIRST_BLOCKS = 4
 #: Lists of at least one example in so many are kept as rows of a matrix.
-HEAVY = 40
+HEAVY = 30
 #: Bytes of text whose terms are counted at once, about.
 FLUSH_BYTES = 4 << 20
 #: Postings that are added up at once, about.
@@ -361,6 +361,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                         scores[i] = 1 / (1 + math.exp(-(slope * odds + start)))
                         proof[i] = [{"id": ids[e], "label": int(ys[e]), "similarity": x} for e, x in zip(near.tolist(), np.round(s, 6).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(proof, kind)], ["id", "score", "evidence"])
+        release()
 
     near = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("similarity", T.DoubleType())]))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType()), T.StructField("evidence", near)])
