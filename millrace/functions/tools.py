@@ -35,6 +35,7 @@ class Dialect:
     extract: Callable[[str], list[Call] | None]
 
 
+# The wording of descriptions and calls, here and in DIALECTS, is what models were trained on.
 def _default_describe(tools: list[dict]) -> str:
     out, names = "", []
     for t in tools:

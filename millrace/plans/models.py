@@ -17,7 +17,7 @@ from .retrieval import _BM25, _CHAIN, _FUSED, _OUT, _SPARSE, _WORDS, EVERY_50TH,
 
 register("r1_tokens", lambda s, d: docs(s, d).select("doc_id", X.tokens("text").alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct")), f"SELECT doc_id, len({_TOK.format('text')}) AS n, len(list_distinct({_TOK.format('text')})) AS n_distinct FROM documents")
 register("r2_tokens_two_chars", lambda s, d: docs(s, d).select("doc_id", F.size(X.tokens("text", 2)).cast("long").alias("n")), f"SELECT doc_id, len(list_filter({_TOK.format('text')}, lambda w: length(w) >= 2)) AS n FROM documents")
-register("r5_dense_encode", lambda s, d: models.embedded(docs(s, d).select("doc_id", "text"), "text").select("doc_id", F.size("embedding").alias("dim")))
+register("r5_dense_encode", lambda s, d: models.embedded(docs(s, d).select("doc_id", "text"), "text").select("doc_id", F.size("embedding").cast("long").alias("dim")), "SELECT doc_id, 128 AS dim FROM documents")
 register("r6_sparse_encode", lambda s, d: retrieval.sparse_vectors(docs(s, d).select("doc_id", "text"), "doc_id", X.tokens("text"), 20).select("doc_id", "term", F.round("weight", 6).alias("weight")), f"WITH {_WORDS} SELECT doc_id, term, round(w, 6) AS weight FROM (SELECT doc_id, term, ln(1 + tf) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY ln(1 + tf) DESC, term) AS p FROM tf) WHERE p <= 20")
 register("r11_unit_vectors", lambda s, d: table("embeddings")(s, d).select("vec_id", F.round(F.aggregate(retrieval.normalised(F.transform("embedding", lambda x: x * 3)), F.lit(0.0), lambda a, x: a + x), 5).alias("total")), "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::double)) / sqrt(list_sum(list_transform(embedding, lambda x: x::double * x))), 5) AS total FROM embeddings")
 register("tk1_retriever_topk", lambda s, d: shown(models.BM25Retriever(documents(s, d)).search(questions(s, d), 3)), f"WITH {_BM25} SELECT {_OUT} FROM bm25 WHERE rank <= 3")
