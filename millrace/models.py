@@ -133,3 +133,22 @@ def judged_mean(df: DataFrame, prompt_col: str, judge: Callable[[list[str]], lis
     """One row: the mean of the numbers a judge gives, and of how many rows."""
     scored = mapped(df, prompt_col, judge, "__s").select(F.expr("try_cast(__s as double)").alias("s"))
     return scored.agg(F.avg("s").alias("mean"), F.count("s").alias("n"))
+
+
+def judged_contexts(rows: DataFrame, judge: Callable[[list[tuple[str, str]]], list[int]], claims: str, contexts: str) -> DataFrame:
+    """rows with verdicts (of each context in order: is it of use for any claim) and supported (of each claim: does any context bear it out).
+
+    claims, contexts: arrays of texts. judge: of pairs (claim, context), 1 or 0 each; it gets all pairs of an Arrow batch at once.
+    """
+
+    @F.pandas_udf("verdicts array<int>, supported array<int>")
+    def run(mine: pd.Series, found: pd.Series) -> pd.DataFrame:
+        pairs = [(a, b) for x, y in zip(mine, found, strict=True) for a in x for b in y]
+        said, at, out = judge(pairs), 0, []
+        for x, y in zip(mine, found, strict=True):
+            own = np.asarray(said[at : at + len(x) * len(y)], np.int32).reshape(len(x), len(y))
+            at += own.size
+            out.append((own.max(0, initial=0).tolist(), own.max(1, initial=0).tolist()))
+        return pd.DataFrame(out, columns=["verdicts", "supported"])
+
+    return rows.withColumn("__j", run(claims, contexts)).select(*rows.columns, "__j.verdicts", "__j.supported")

@@ -220,3 +220,16 @@ def progress(df: DataFrame, steps: str, total: int, elapsed: str) -> DataFrame:
 def preference_types(rows: DataFrame, wanted: Column) -> DataFrame:
     """One row: how many answers are wanted, how many unwanted; a null tag is neither."""
     return rows.agg(F.count_if(wanted).alias("wanted"), F.count_if(~wanted).alias("unwanted"))
+
+
+def context_precision(verdicts: Column) -> Column:
+    """Of an array of verdicts (1 relevant, 0 not) in rank order: the mean precision at the ranks of the relevant contexts; 0 without any."""
+    upto = lambda k: F.aggregate(F.slice(verdicts, F.lit(1), k), F.lit(0), lambda a, v: a + v)
+    hits = F.transform(verdicts, lambda v, i: v * upto(i + 1) / (i + 1))
+    relevant = F.aggregate(verdicts, F.lit(0), lambda a, v: a + v)
+    return F.when(relevant > 0, F.aggregate(hits, F.lit(0.0), lambda a, x: a + x) / relevant).otherwise(F.lit(0.0))
+
+
+def context_recall(supported: Column) -> Column:
+    """Of an array of verdicts (1 supported by the contexts, 0 not) of a reference answer's statements: the share supported; null without any."""
+    return F.when(F.size(supported) > 0, F.aggregate(supported, F.lit(0), lambda a, v: a + v) / F.size(supported))

@@ -12,7 +12,7 @@ from ..operators import align, encode, fusion, metrics, qa, retrieval, sampling
 from ..sources import readers, sinks
 from .catalogue import register
 from .corpus import _QA, _STRIP, _TOK, docs, labels, lines, pairs, table
-from .datasets import aligned, dialogues
+from .datasets import _RECORDS, aligned, dialogues, records
 from .retrieval import _BM25, _CHAIN, _FUSED, _OUT, _SPARSE, _WORDS, EVERY_50TH, bm25, documents, fused, questions, reranked, shown, sparse
 
 register("r1_tokens", lambda s, d: docs(s, d).select("doc_id", X.tokens("text").alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct")), f"SELECT doc_id, len({_TOK.format('text')}) AS n, len(list_distinct({_TOK.format('text')})) AS n_distinct FROM documents")
@@ -51,6 +51,28 @@ register(
     f"WITH {_BM25}, {_SPARSE}, {_FUSED.replace('FROM bm25 UNION', 'FROM bm25 WHERE rank <= 5 UNION').replace('FROM sparse)', 'FROM sparse WHERE rank <= 10)')} SELECT item_id AS query_id, doc_id AS unique_id, rank FROM fused WHERE rank <= 5",
 )
 register("e3_judged_mean", lambda s, d: models.judged_mean(docs(s, d), "text", lambda ts: [str(len(t)) if len(t) % 5 else "bad" for t in ts]).select(F.round("mean", 6).alias("mean"), "n"), "SELECT round(avg(length(text)), 6) AS mean, count(*) AS n FROM documents WHERE length(text) % 5 <> 0")
+
+
+def holds(pairs: list[tuple[str, str]]) -> list[int]:
+    """A judge without a model: a context bears out a claim whose text it has."""
+    return [int(claim in context) for claim, context in pairs]
+
+
+def context_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Precision and recall of each query's reranked contexts; its first words stand for the statements of an answer."""
+    own = records(spark, sf).select("query_id", F.slice(F.split("query", " "), 1, 6).alias("claims"), "context")
+    out = models.judged_contexts(own, holds, "claims", "context")
+    return out.select("query_id", F.round(metrics.context_precision(F.col("verdicts")), 6).alias("precision"), F.round(metrics.context_recall(F.col("supported")), 6).alias("recall"))
+
+
+register(
+    "e3_context_scores",
+    context_scores,
+    f"""{_RECORDS}, cl AS (SELECT item_id, string_split(b.text, ' ')[1:6] AS claims, context FROM benchmark b JOIN cx USING (item_id)),
+v AS (SELECT item_id, list_transform(context, lambda c: (len(list_filter(claims, lambda s: contains(c, s))) > 0)::int) AS v, list_transform(claims, lambda s: (len(list_filter(context, lambda c: contains(c, s))) > 0)::int) AS s FROM cl),
+p AS (SELECT *, list_transform(range(1, len(v) + 1), lambda k: v[k] * list_sum(v[1:k])::double / k) AS h FROM v)
+SELECT item_id AS query_id, round(CASE WHEN list_sum(v) > 0 THEN list_sum(h) / list_sum(v) ELSE 0.0 END, 6) AS precision, round(list_sum(s)::double / len(s), 6) AS recall FROM p""",
+)
 register("g7_batch_inference", lambda s, d: models.mapped(docs(s, d).select("doc_id", "source"), "source", lambda ts: [t[::-1] for t in ts], "predict", 1024).select("doc_id", "predict"), "SELECT doc_id, reverse(source) AS predict FROM documents")
 register("g8_calibration_text", lambda s, d: docs(s, d).select("doc_id", get_template("chatml").rendered(F.array(align.message("user", F.col("text")), align.message("assistant", F.col("lang")))).alias("text")), "SELECT doc_id, '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || lang || '<|im_end|>' || chr(10) AS text FROM documents")
 
