@@ -30,9 +30,13 @@ _held: dict[str, object] = {}
 
 
 def held(key: str, make: Callable[[], object]) -> object:
-    """What make gives, made once a Python worker for the last key asked for; a function of this module, so that all of a worker's tasks share it."""
+    """What make gives, made once a Python worker for the last key asked for; a function of this module, so that all of a worker's tasks share it.
+
+    A worker that goes on to another operator lets the last one's index or cache go first.
+    """
     if key not in _held:
         _held.clear()
+        release()
         _held[key] = make()
     return _held[key]
 

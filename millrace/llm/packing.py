@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release, stage
+from .common import held, release, stage
 
 #: Words in a generation of a worker's cache.
-HELD_WORDS = 300_000
+HELD_WORDS = 200_000
 #: Bytes of text that are encoded at once, about.
 FLUSH_BYTES = 4 << 20
 #: Pieces of one length in a ranking bucket, about; the square root of their number if that is more.
@@ -43,8 +43,6 @@ PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The marks that are cut off words; the first cores but for the empty one, so that 1 and 2 are their numbers.
 MARKS = (",", ".")
 
-_loaded: dict[str, WordIds] = {}
-
 
 def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """flat[s : s + n] of each start and size, end to end."""
@@ -184,9 +182,7 @@ class WordIds:
 def encoded(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the texts, little-endian unsigned 32-bit, as the tokenizers library gives them without added special tokens, end to
     end, and where each text's ids end."""
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path].encoded(texts)
+    return held(f"word ids of {path}", lambda: WordIds(path)).encoded(texts)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
