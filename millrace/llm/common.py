@@ -48,6 +48,12 @@ def release() -> None:
         trim(0)
 
 
+def forget() -> None:
+    """Lets go what held() holds, at the end of a task: an executor may keep several idle workers for each core, and all would hold it."""
+    _held.clear()
+    release()
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, fresh, met, release, shuffle_partitions, stage
+from .common import connected_components, forget, fresh, met, shuffle_partitions, stage
 from .exact_dedup import normalised
 
 #: Shingles whose bits are counted at once.
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             fps = np.array([fingerprint(x, shingle, seed) for x in normalised(b.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), b.column(2)], ["id", "fp", "tid"])
-        release()
+        forget()
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType()), T.StructField("tid", T.LongType())])
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tid")).mapInArrow(run, schema)

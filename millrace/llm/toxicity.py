@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, held, met, release, stage
+from .common import forget, fresh, held, met, stage
 from .packing import ragged
 
 #: Examples in a block of the index.
@@ -106,6 +106,7 @@ def document_frequencies(docs: DataFrame, terms: pa.Array, text_col: str) -> tup
         if rows:
             at = range(0, len(total), CHUNK)
             yield pa.RecordBatch.from_arrays([pa.array([i // CHUNK for i in at], pa.int32()), pa.array([total[i : i + CHUNK].tobytes() for i in at], pa.binary())], ["chunk", "counts"])
+        forget()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -340,6 +341,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                 at = rest > 1e-9
                 found.append(vote(s[at][:k], ys[near][at][:k], (votes[near] * rest)[at][:k], prior))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["id", "vote"])
+        forget()
 
     if model:
         loo = spark.range(0, len(ids), 1, max(1, len(ids) // 200)).mapInArrow(left_out, "id long, vote double").orderBy("id").toArrow()["vote"].to_numpy()  # 8 bytes an example
@@ -361,7 +363,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                         scores[i] = 1 / (1 + math.exp(-(slope * odds + start)))
                         proof[i] = [{"id": ids[e], "label": int(ys[e]), "similarity": x} for e, x in zip(near.tolist(), np.round(s, 6).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(proof, kind)], ["id", "score", "evidence"])
-        release()
+        forget()
 
     near = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("similarity", T.DoubleType())]))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType()), T.StructField("evidence", near)])
