@@ -19,6 +19,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,9 @@ from pyspark.sql import types as T
 from .common import held, release, stage
 
 #: Words in a generation of a worker's cache.
-HELD_WORDS = 200_000
+HELD_WORDS = 150_000
 #: Bytes of text that are encoded at once, about.
-FLUSH_BYTES = 4 << 20
+FLUSH_BYTES = 2 << 20
 #: Pieces of one length in a ranking bucket, about; the square root of their number if that is more.
 BUCKET = 200
 #: Words that are encoded as one text.
@@ -78,7 +79,6 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        check_tokenizer(json.loads(self.tok.to_str()))
         self.tok.no_truncation()
         self.tok.no_padding()
         vocabulary = self.tok.get_vocab()
@@ -197,7 +197,8 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(id, piece, start, length, crc[, ids]): a row for each piece of at most limit tokens."""
+    """(id, piece, start, length, crc[, ids]): a row for each piece of at most limit tokens. The tokenizer's file is checked here, once."""
+    check_tokenizer(json.loads(Path(tokenizer_path).read_text()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
