@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, fill_in_middle, html_extract, line_dedup, packing, quality, simhash, suffix_dedup, token_counts, toxicity
+from . import decontamination, exact_dedup, fill_in_middle, html_extract, line_dedup, manifest, packing, quality, simhash, suffix_dedup, token_counts, toxicity
 from .common import load
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,6 +69,17 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    head = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    cut = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.unhex(manifest.leaf_digest(*head, F.translate("text", "\n", ""))))
+    leaves = docs.select("doc_id", "source", manifest.leaf_digest(*head, F.col("text")).alias("leaf"), cut.alias("tampered"))
+    found = manifest.proofs(leaves, "source", ["doc_id"], "leaf", fanout=3)
+    again = manifest.folded(F.coalesce(manifest.as_text(F.col("tampered")), "leaf"), F.col("proof"))
+    out = found.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"), again.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 OP10_SQL = f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
@@ -106,10 +117,43 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix
   sha256(text) AS restored_sha256 FROM p
 """
 
+OP13_SQL = r"""
+WITH RECURSIVE
+d AS (SELECT row_number() OVER () AS rid, doc_id, source, text, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+  || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS head,
+  list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten([[CAST(ord(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])),
+    lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))) AS state FROM documents),
+e AS (SELECT rid, doc_id, source, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+  CASE WHEN xor(state, 4294967295) % 2 = 0 THEN sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '') END) END AS tampered FROM d),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM e),
+lower_nodes(k, s, i, n, h) AS (
+  SELECT 0, s, i, n, leaf FROM leaves
+  UNION ALL SELECT k + 1, s, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM lower_nodes WHERE n > 1 GROUP BY k, s, i // 3, n),
+sub AS (SELECT s, k AS height, h FROM lower_nodes WHERE n = 1),
+upper_nodes(k, i, n, h) AS (
+  SELECT 0, s, count(*) OVER (), h FROM sub
+  UNION ALL SELECT k + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM upper_nodes WHERE n > 1 GROUP BY k, i // 3, n),
+top AS (SELECT k AS height, h FROM upper_nodes WHERE n = 1),
+sib AS (
+  SELECT rid, 0 AS t, x.k, coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i < l.i // CAST(power(3, x.k) AS BIGINT)), '') AS b, coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i > l.i // CAST(power(3, x.k) AS BIGINT)), '') AS a
+  FROM leaves l JOIN lower_nodes x ON x.s = l.s AND x.n > 1 AND x.i // 3 = l.i // CAST(power(3, x.k + 1) AS BIGINT) GROUP BY ALL
+  UNION ALL
+  SELECT rid, 1, x.k, coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i < l.s // CAST(power(3, x.k) AS BIGINT)), ''), coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i > l.s // CAST(power(3, x.k) AS BIGINT)), '')
+  FROM leaves l JOIN upper_nodes x ON x.n > 1 AND x.i // 3 = l.s // CAST(power(3, x.k + 1) AS BIGINT) GROUP BY ALL),
+steps AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY t, k) AS j FROM sib),
+whole AS (SELECT rid, sha256(string_agg(b || a, '' ORDER BY j)) AS proof_sha256 FROM steps GROUP BY rid),
+fold(rid, j, h) AS (
+  SELECT rid, 0, coalesce(tampered, leaf) FROM leaves
+  UNION ALL SELECT f.rid, s.j, sha256(s.b || f.h || s.a) FROM fold f JOIN steps s ON s.rid = f.rid AND s.j = f.j + 1),
+ended AS (SELECT rid, arg_max(h, j) AS folded_root FROM fold GROUP BY rid)
+SELECT doc_id, leaf, sub.h AS subroot, top.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = top.h AS verified
+FROM leaves JOIN sub USING (s) JOIN ended USING (rid) LEFT JOIN whole USING (rid) CROSS JOIN top
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL, "op12_fill_in_middle": OP12_SQL}
+    return {"op8_line_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL, "op12_fill_in_middle": OP12_SQL, "op13_manifest": OP13_SQL}
