@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, fill_in_middle, html_extract, line_dedup, manifest, packing, quality, simhash, suffix_dedup, token_counts, toxicity
+from . import decontamination, exact_dedup, fill_in_middle, html_extract, language_id, line_dedup, manifest, packing, quality, simhash, suffix_dedup, token_counts, toxicity
 from .common import load
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,6 +64,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    held_out = language_id.held_out(F.col("doc_id"))
+    return language_id.identify(docs, docs.where(~held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fill_in_middle.restored(fill_in_middle.fill_in_middle(load(spark, sf_dir, "documents")))
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
