@@ -83,19 +83,20 @@ def _best_texts(docs: DataFrame, weights: DataFrame, asked: DataFrame, k: int, w
     asked (query_id, term). weigh: from (row, times, lengths
     of the rows, batch) to the weight of each term in its row."""
     weights = weights.select("query_id", "term", F.col("weight").cast("double").alias("weight"))
-    parts = []
-    for own in scoring.blocks(weights, asked.count(), asked):
+
+    def block(own: DataFrame) -> DataFrame:
         postings = scoring.Postings(own.toArrow())
 
-        def make(postings: scoring.Postings = postings) -> scoring.Score:
+        def make() -> scoring.Score:
             def score(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
                 row, term, times, lengths = scoring.word_counts(b.column(1), postings.terms)
                 return postings.scores(row, term, weigh(row, times, lengths, b), b.num_rows)
 
             return score
 
-        parts.append(scoring.best_rows(docs, postings.query_ids, k, make))
-    return top_k(scoring.united(parts), k)
+        return scoring.best_rows(docs, postings.query_ids, k, make)
+
+    return top_k(scoring.by_block(weights, asked.count(), block, asked), k)
 
 
 def bm25(index: LexicalIndex, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -189,11 +190,11 @@ def sparse(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def sparse_texts(docs: DataFrame, queries: DataFrame, k: int, dims: int = 200) -> DataFrame:
     """sparse() of sparse_vectors(): docs (unique_id, words) and queries (query_id, words). A text's dims are chosen in its own row."""
     weights = sparse_vectors(queries, "query_id", F.col("words"), dims)
-    parts = []
-    for own in scoring.blocks(weights, weights.count()):
+
+    def block(own: DataFrame) -> DataFrame:
         postings = scoring.Postings(own.toArrow())
 
-        def make(postings: scoring.Postings = postings) -> scoring.Score:
+        def make() -> scoring.Score:
             def score(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
                 every = pc.unique(b.column(1).flatten())
                 every = every.take(pc.sort_indices(every))  # so that equal weights go by term
@@ -207,8 +208,9 @@ def sparse_texts(docs: DataFrame, queries: DataFrame, k: int, dims: int = 200) -
 
             return score
 
-        parts.append(scoring.best_rows(docs.select("unique_id", "words"), postings.query_ids, k, make))
-    return top_k(scoring.united(parts), k)
+        return scoring.best_rows(docs.select("unique_id", "words"), postings.query_ids, k, make)
+
+    return top_k(scoring.by_block(weights, weights.count(), block), k)
 
 
 def normed(score: Column, how: str) -> Column:

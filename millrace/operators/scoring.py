@@ -14,6 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
+
+from ..session import scratch
 
 #: Entries of query vectors (a word or a dimension each) that are sent at once.
 BLOCK_ENTRIES = 1_000_000
@@ -78,16 +81,10 @@ def best_rows(rows: DataFrame, query_ids: pa.Array, k: int, make: Callable[[], S
             query, scores, ids = best.reduce()
             yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(query)), ids.cast(kind), pa.array(scores * best.sign)], ["query_id", "unique_id", "score"])
 
-    query_type = T.StructField("query_id", _spark_type(query_ids.type))
+    query_type = T.StructField("query_id", from_arrow_type(query_ids.type))
     return rows.mapInArrow(run, T.StructType([query_type, rows.schema["unique_id"], T.StructField("score", T.DoubleType())]))
 
 
-def _spark_type(t: pa.DataType) -> T.DataType:
-    if pa.types.is_string(t) or pa.types.is_large_string(t):
-        return T.StringType()
-    return {pa.int64(): T.LongType(), pa.int32(): T.IntegerType(), pa.int16(): T.ShortType(), pa.int8(): T.ByteType()}[t]
-
-
 def blocks(queries: DataFrame, entries: int, ids: DataFrame | None = None) -> list[DataFrame]:
     """queries (query_id, ...) in blocks of bounded size, by hash of the id. entries: what all of them hold together; ids: rows with the
     same ids that are cheaper to count."""
@@ -95,11 +92,18 @@ def blocks(queries: DataFrame, entries: int, ids: DataFrame | None = None) -> li
     return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [queries]
 
 
-def united(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+def by_block(queries: DataFrame, entries: int, run: Callable[[DataFrame], DataFrame], ids: DataFrame | None = None) -> DataFrame:
+    """run(block) of every block of queries, see blocks(). With several, each is run and staged before the next is made, so that the driver and the
+    tasks hold one block at a time."""
+    own = blocks(queries, entries, ids)
+    if len(own) == 1:
+        return run(own[0])
+    path, schema = scratch(queries.sparkSession, "blocks"), None
+    for i, block in enumerate(own):
+        found = run(block)
+        schema = found.schema
+        found.write.parquet(f"{path}/block={i}")
+    return queries.sparkSession.read.schema(schema).parquet(*[f"{path}/block={i}" for i in range(len(own))])
 
 
 def word_counts(words: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,30 +143,43 @@ class Postings:
         return scores.reshape(n, -1), there.reshape(n, -1)
 
 
+def whole(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """Rows whose vector is there, without nulls in it."""
+    return vectors.where(F.col(column).isNotNull() & ~F.exists(column, lambda x: x.isNull()))
+
+
+def matrix(vectors: pa.Array, dims: int | None = None) -> np.ndarray:
+    """Vectors without nulls as rows; all must have dims, or as many dimensions as the first."""
+    lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    dims = dims if dims is not None else int(lengths[0]) if len(lengths) else 0
+    if (lengths != dims).any():
+        raise ValueError(f"vectors of {sorted({*lengths.tolist(), dims})} dimensions")
+    return np.asarray(vectors.flatten()).astype(np.float64).reshape(len(vectors), dims)
+
+
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
     """(query_id, unique_id, score) of vectors (unique_id, embedding) for queries (query_id, embedding), k a task; by inner product (ip)
-    or squared distance (l2)."""
+    or squared distance (l2). Null vectors, and those with nulls in them, neither ask nor are found; vectors of another length are an error."""
+    queries = whole(queries.select("query_id", "embedding"))
+    vectors = whole(vectors.select("unique_id", "embedding"))
     first = queries.select(F.size("embedding")).first()
-    parts = []
-    for own in blocks(queries.select("query_id", "embedding"), (first[0] if first else 0) * queries.count()):
+
+    def block(own: DataFrame) -> DataFrame:
         asked = own.toArrow()
-        ids = asked["query_id"].combine_chunks()
-        if not len(ids):
-            continue
-        matrix = np.array(asked["embedding"].to_pylist(), np.float64)
+        wanted = matrix(asked["embedding"].combine_chunks(), first[0] if first else 0)
 
-        def make(matrix: np.ndarray = matrix) -> Score:
+        def make() -> Score:
             def score(b: pa.RecordBatch) -> tuple[np.ndarray, None]:
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-                inner = x @ matrix.T
+                if not len(wanted):
+                    return np.zeros((b.num_rows, 0)), None
+                x = matrix(b.column(1), wanted.shape[1])
+                inner = x @ wanted.T
                 if metric == "ip":
                     return inner, None
-                return np.maximum((x * x).sum(1)[:, None] + (matrix * matrix).sum(1)[None] - 2 * inner, 0.0), None
+                return np.maximum((x * x).sum(1)[:, None] + (wanted * wanted).sum(1)[None] - 2 * inner, 0.0), None
 
             return score
 
-        parts.append(best_rows(vectors.select("unique_id", "embedding"), ids, k, make, metric == "l2"))
-    if not parts:
-        none = queries.sparkSession.createDataFrame([], T.StructType([queries.schema["query_id"], vectors.schema["unique_id"], T.StructField("score", T.DoubleType())]))
-        return none
-    return united(parts)
+        return best_rows(vectors, asked["query_id"].combine_chunks(), k, make, metric == "l2")
+
+    return by_block(queries, (first[0] if first else 0) * queries.count(), block)

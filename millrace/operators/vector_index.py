@@ -50,7 +50,7 @@ def load(spark: SparkSession, path: str) -> VectorIndex:
 def _nearest(x: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
     """The n nearest centroids of each row, nearest first."""
     d = (centroids * centroids).sum(1)[None] - 2 * x @ centroids.T
-    return np.argsort(d, axis=1, kind="stable")[:, :n]
+    return d.argmin(1)[:, None] if n == 1 else np.argsort(d, axis=1, kind="stable")[:, :n]
 
 
 def fitted(x: np.ndarray, lists: int, rounds: int = 12) -> np.ndarray:
@@ -69,12 +69,12 @@ def fitted(x: np.ndarray, lists: int, rounds: int = 12) -> np.ndarray:
 
 
 def build(vectors: DataFrame, metric: str = "ip", k: int = 10, recall: float = 0.95, lists: int | None = None) -> VectorIndex:
-    """vectors: (unique_id, embedding)"""
-    own = vectors.select("unique_id", "embedding")
+    """vectors: (unique_id, embedding); null vectors, and those with nulls in them, are not in the index."""
+    own = scoring.whole(vectors.select("unique_id", "embedding"))
     n = own.count()
     lists = lists or max(1, min(MOST_LISTS, round(n**0.5 / 2)))
     sample = own.orderBy(F.xxhash64(F.col("unique_id").cast("string"))).limit(min(MOST_SAMPLED, lists * SAMPLE_A_LIST)).toArrow()
-    x = np.array(sample["embedding"].to_pylist(), np.float64)
+    x = scoring.matrix(sample["embedding"].combine_chunks())
     if not len(x):
         return VectorIndex(own.withColumn("list", F.lit(0)), np.zeros((0, 0)), 1)
     centroids = fitted(x, min(lists, len(x)))
@@ -82,7 +82,7 @@ def build(vectors: DataFrame, metric: str = "ip", k: int = 10, recall: float = 0
 
     def assign(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            v = scoring.matrix(b.column(1), sent.value.shape[1])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_nearest(v, sent.value, 1)[:, 0].astype(np.int32))], ["unique_id", "embedding", "list"])
 
     rows = own.mapInArrow(assign, T.StructType([*own.schema, T.StructField("list", T.IntegerType())]))
@@ -100,33 +100,37 @@ def search(index: VectorIndex, queries: DataFrame, k: int, metric: str = "ip", p
     """RANKED rows of the k nearest in the lists read; queries: (query_id, embedding). The vectors stay where they stand, and a task scores
     those of a list only against the queries that read it."""
     probes = probes or index.probes
-    first = queries.select(F.size("embedding")).first()
-    parts = []
-    for own in scoring.blocks(queries.select("query_id", "embedding"), (first[0] if first else 0) * queries.count()):
+    if not len(index.centroids):
+        return top_k(scoring.nearest_vectors(index.rows, queries, k, metric), k)
+    queries, dims = scoring.whole(queries.select("query_id", "embedding")), index.centroids.shape[1]
+
+    def block(own: DataFrame) -> DataFrame:
         asked = own.toArrow()
-        if not len(asked):
-            continue
-        matrix = np.array(asked["embedding"].to_pylist(), np.float64)
-        reads = np.zeros((len(index.centroids), len(matrix)), bool)
-        reads[_nearest(matrix, index.centroids, probes), np.arange(len(matrix))[:, None]] = True
+        wanted = scoring.matrix(asked["embedding"].combine_chunks(), dims)
+        reads = reading(wanted, index.centroids, probes)
 
-        def make(matrix: np.ndarray = matrix, reads: np.ndarray = reads) -> scoring.Score:
+        def make() -> scoring.Score:
             def score(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-                lists = b.column(2).to_numpy()
-                scores, there = np.zeros((len(x), len(matrix))), reads[lists]
+                x, lists = scoring.matrix(b.column(1), dims), b.column(2).to_numpy()
+                scores, there = np.zeros((len(x), len(wanted))), reads[lists]
                 for i in np.unique(lists):
                     rows, asking = np.flatnonzero(lists == i), np.flatnonzero(reads[i])
-                    inner = x[rows] @ matrix[asking].T
+                    inner = x[rows] @ wanted[asking].T
                     if metric == "l2":
-                        inner = np.maximum((x[rows] ** 2).sum(1)[:, None] + (matrix[asking] ** 2).sum(1)[None] - 2 * inner, 0.0)
+                        inner = np.maximum((x[rows] ** 2).sum(1)[:, None] + (wanted[asking] ** 2).sum(1)[None] - 2 * inner, 0.0)
                     scores[np.ix_(rows, asking)] = inner
                 return scores, there
 
             return score
 
-        wanted = index.rows.where(F.col("list").isin(np.flatnonzero(reads.any(1)).tolist()))
-        parts.append(scoring.best_rows(wanted.select("unique_id", "embedding", "list"), asked["query_id"].combine_chunks(), k, make, metric == "l2"))
-    if not parts:
-        return top_k(scoring.nearest_vectors(index.rows, queries, k, metric), k)
-    return top_k(scoring.united(parts), k, ascending=metric == "l2")
+        rows = index.rows.where(F.col("list").isin(np.flatnonzero(reads.any(1)).tolist()))
+        return scoring.best_rows(rows.select("unique_id", "embedding", "list"), asked["query_id"].combine_chunks(), k, make, metric == "l2")
+
+    return top_k(scoring.by_block(queries, dims * queries.count(), block), k, ascending=metric == "l2")
+
+
+def reading(queries: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
+    """By list and query: whether the query reads the list."""
+    reads = np.zeros((len(centroids), len(queries)), bool)
+    reads[_nearest(queries, centroids, probes), np.arange(len(queries))[:, None]] = True
+    return reads

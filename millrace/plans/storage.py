@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import align, retrieval, sampling, vector_index
+from ..operators import align, compressed_index, lexical_store, retrieval, sampling, vector_index
 from ..session import scratch
 from ..sources import readers, sinks
 from ..streaming import streams
 from .catalogue import register
 from .corpus import docs, labels, table
-from .retrieval import _WORDS, EVERY_50TH, documents, shown
+from .retrieval import _BM25, _OUT, _SPARSE, _WORDS, EVERY_50TH, documents, shown, words
 
 
 def read_or_build(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,6 +145,41 @@ def lexical_files(spark: SparkSession, sf: str) -> DataFrame:
 register("k9_lexical_index", lexical_files, f"WITH {_WORDS} SELECT term, df, sum(tf)::bigint AS tf, df AS saved FROM tf JOIN df USING (term) GROUP BY term, df")
 
 
+def lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 from an index that is saved, half of it appended later, and opened again."""
+    path = scratch(spark, "lexical-store")
+    own = documents(spark, sf).select("unique_id", X.tokens("page_content").alias("words"))
+    lexical_store.append_texts(lexical_store.build_texts(own.where("unique_id % 2 = 0"), path), own.where("unique_id % 2 = 1"))
+    return shown(lexical_store.search(lexical_store.opened(spark, path), words(spark, sf), 15))
+
+
+register("k9_lexical_search", lexical_search, f"WITH {_BM25} SELECT {_OUT} FROM bm25")
+
+
+def sparse_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Inner products from a saved index of sparse vectors."""
+    path = scratch(spark, "sparse-store")
+    vectors = retrieval.sparse_vectors(documents(spark, sf), "unique_id", X.tokens("page_content"))
+    asked = retrieval.sparse_vectors(words(spark, sf), "query_id", F.col("words"))
+    lexical_store.build_vectors(vectors, path)
+    return shown(lexical_store.search(lexical_store.opened(spark, path), asked, 15, lexical_store.InnerProduct()))
+
+
+register("k9_sparse_search", sparse_search, f"WITH {_WORDS}, {_SPARSE} SELECT {_OUT} FROM sparse")
+
+
+def compressed_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Every 50th vector asks an index of short codes; the other half of the vectors is appended with the books of the first."""
+    path = scratch(spark, "codes")
+    e = table("embeddings")(spark, sf)
+    own = e.select(F.col("vec_id").alias("unique_id"), "embedding")
+    compressed_index.append(compressed_index.build(own.where("unique_id % 2 = 0"), path), own.where("unique_id % 2 = 1"))
+    return shown(compressed_index.search(compressed_index.opened(spark, path), e.where(EVERY_50TH).select(F.col("vec_id").alias("query_id"), "embedding"), 10))
+
+
+register("k2_compressed_index", compressed_search)
+
+
 def converted(spark: SparkSession, sf: str) -> DataFrame:
     """A converter of one's own."""
     if not align.has_converter("question_answer"):
