@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import align, compressed_index, lexical_store, retrieval, sampling, vector_index
 from ..session import scratch
 from ..sources import readers, sinks
-from ..streaming import streams
+from ..streaming import stateful, streams
 from .catalogue import register
 from .corpus import docs, labels, table
 from .retrieval import _BM25, _OUT, _SPARSE, _WORDS, EVERY_50TH, documents, shown, words
@@ -226,6 +226,29 @@ def once_stream(spark: SparkSession, sf: str) -> DataFrame:
 register("st5_once_by_id", once_stream, "SELECT DISTINCT source AS key FROM documents")
 
 
+def shuffle_buffer(spark: SparkSession, sf: str) -> DataFrame:
+    """What a shuffle buffer over batches has put out, and what it still holds."""
+    path, checkpoint = scratch(spark, "stream"), scratch(spark, "progress")
+    own = stateful.shuffled(_stream(spark, sf).select("doc_id", "lang"), "doc_id")
+    streams.drained(own, checkpoint, streams.by_batch(path))
+    return spark.read.schema(own.schema).parquet(path).select("doc_id", "lang").union(stateful.rest(spark, checkpoint))
+
+
+register("st2_shuffle_buffer", shuffle_buffer, "SELECT doc_id, lang FROM documents")
+
+
+def once_known(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources that a target has not seen, the least document of each."""
+    path = scratch(spark, "once")
+    known = docs(spark, sf).where("doc_id % 50 = 7").select("source")
+    own = stateful.once_within(_stream(spark, sf).select("doc_id", "source"), "source", "doc_id", known)
+    streams.drained(own, scratch(spark, "progress"), streams.by_batch(path))
+    return spark.read.schema(own.schema).parquet(path).select("doc_id", "source")
+
+
+register("st5_once_known", once_known, "SELECT min(doc_id) AS doc_id, source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 50 = 7) GROUP BY source")
+
+
 def eval_sets(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of each evaluation set under its own name."""
     sets = {f"validation_{x}": labels(spark, sf).where(F.col(x) == 1).select("doc_id") for x in ("quality", "toxic")}

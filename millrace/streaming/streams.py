@@ -72,10 +72,9 @@ def once_by_id(spark: SparkSession, path: str, key: str) -> Callable[[DataFrame,
     return write
 
 
-def drained(stream: DataFrame, checkpoint: str, name: str | None = None, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> None:
-    """Runs the stream over all there is now, then stops."""
-    w = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
-    (w.foreachBatch(each) if each else w.format("memory").queryName(name)).start().awaitTermination()
+def drained(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Runs the stream over all there is now, batch by batch through each, then stops."""
+    stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
 
 
 def with_event_time(events: DataFrame, column: str = "ts", late: str = "10 minutes") -> DataFrame:

@@ -11,8 +11,9 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     df = spark.createDataFrame([(f"q{i}", "", f"a{i}") for i in range(30)], schema)
     df.repartition(3).write.parquet(src)
     stream = streams.aligned_stream(streams.file_stream(spark, src, schema), align.Columns())
-    streams.drained(stream.select("_prompt", "_response"), str(tmp_path / "cp"), "aligned_stream")
-    got = sorted(map(str, spark.table("aligned_stream").collect()))
+    own = stream.select("_prompt", "_response")
+    streams.drained(own, str(tmp_path / "cp"), streams.by_batch(str(tmp_path / "out")))
+    got = sorted(map(str, spark.read.schema(own.schema).parquet(str(tmp_path / "out")).select("_prompt", "_response").collect()))
     assert got == sorted(map(str, align.align(df, align.Columns()).select("_prompt", "_response").collect()))
 
 
