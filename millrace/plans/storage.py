@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import align, compressed_index, lexical_store, retrieval, sampling, vector_index
+from ..operators import align, compressed_index, lexical_store, retrieval, sampling, segmentation, vector_index
 from ..session import scratch
-from ..sources import readers, sinks
+from ..sources import datasource, readers, sinks
 from ..streaming import stateful, streams
 from .catalogue import register
 from .corpus import docs, labels, table
@@ -53,6 +53,16 @@ def file_kinds(spark: SparkSession, sf: str) -> DataFrame:
 register("s9_read_files", file_kinds, """SELECT kind, doc_id, lang, md5(CASE WHEN kind = 'csv' THEN 'a, "b"' || lang ELSE text END) AS digest FROM documents, (SELECT unnest(['csv', 'json', 'parquet']) AS kind)""")
 
 
+def arrow_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """documents written as Arrow files and read by ranges of their record batches."""
+    path = scratch(spark, "ipc")
+    datasource.write_arrow(docs(spark, sf).select("doc_id", "lang", "text"), path)
+    return datasource.read(spark, datasource.ArrowFiles, path, unitsAtask=1).select("doc_id", "lang", F.md5("text").alias("digest"))
+
+
+register("s9_arrow_ranges", arrow_ranges, "SELECT doc_id, lang, md5(text) AS digest FROM documents")
+
+
 def saved_tokens(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "tokens")
     sinks.tokens(docs(spark, sf).select("doc_id", F.transform(X.tokens("text"), lambda w: F.length(w)).alias("input_ids")), path)
@@ -87,6 +97,18 @@ def index_rows(spark: SparkSession, sf: str) -> DataFrame:
 register("k9_saved_vectors", index_rows, "SELECT vec_id, len(embedding) AS dims FROM embeddings")
 
 
+def segmented_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts whose letters run together, cut by a dictionary of the corpus's own words; with the letters that are left after cutting."""
+    own = docs(spark, sf).select("doc_id", X.tokens("text").alias("words"))
+    dictionary = segmentation.dictionary_of(own.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    joined = own.select("doc_id", F.array_join("words", "").alias("text"), F.size("words").cast("long").alias("n_words"))
+    cut = segmentation.segmented(joined, "text", segmentation.Segmenter(dictionary, unspaced=r"[^\W_]"), "found")
+    return cut.select("doc_id", "n_words", F.md5(F.array_join("found", "")).alias("letters"), (F.size("found") > 0).alias("any"))
+
+
+register("r1_segmented_words", segmented_words, f"WITH {_WORDS} SELECT doc_id, len(words) AS n_words, md5(array_to_string(words, '')) AS letters, len(words) > 0 AS any FROM d")
+
+
 def rewritten_vectors(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "store")
     e = table("embeddings")(spark, sf)
