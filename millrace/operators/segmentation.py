@@ -25,6 +25,8 @@ from ..session import scratch
 #: Scripts that are written without spaces: Han, Kana, Thai, Lao, Myanmar, Khmer.
 UNSPACED = "[㐀-䶿一-鿿豈-﫿\U00020000-\U000323af぀-ヿ฀-໿က-႟ក-៿]"
 MOST_WORDS = 1_000_000
+#: Of the hashes of letter groups.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Letters that are cut at once, about.
 PIECE = 1 << 18
 
@@ -43,23 +45,33 @@ class Dictionary:
                 by.setdefault(len(word), {})[word] = max(float(n), 1.0)
         self.longest = max(by, default=1)
         self.total = np.log(max(1.0, sum(sum(x.values()) for x in by.values())))
-        self.words: dict[int, np.ndarray] = {}
+        self.words: dict[int, np.ndarray] = {}  # letters by word
+        self.keys: dict[int, np.ndarray] = {}  # their hashes, in order
         self.scores: dict[int, np.ndarray] = {}
         for size, own in by.items():
-            names = _points("".join(own)).astype(">u4").reshape(-1, size)
-            keys = np.ascontiguousarray(names).view(f"S{4 * size}")[:, 0]  # all of one length, so zero bytes at an end do not matter
+            letters = _points("".join(own)).reshape(-1, size).astype(np.uint64)
+            keys = np.zeros(len(letters), np.uint64)
+            for j in range(size):
+                keys = keys * FACTOR + letters[:, j] + np.uint64(1)
             order = np.argsort(keys, kind="stable")
-            self.words[size], self.scores[size] = keys[order], np.log(np.array(list(own.values())))[order] - self.total
+            self.words[size], self.keys[size] = letters[order], keys[order]
+            self.scores[size] = np.log(np.array(list(own.values())))[order] - self.total
+            if (np.diff(self.keys[size]) == 0).any():
+                raise ValueError(f"two words of {size} letters have the same hash")
 
     def edges(self, points: np.ndarray) -> np.ndarray:
         """By place and length - 1: the log share of the word that begins there, -inf without one. points end with longest zeros."""
         n = len(points) - self.longest
         out = np.full((n, self.longest), -np.inf)
-        own = points.astype(">u4")
-        for size, keys in self.words.items():
-            seen = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(own, size)[:n]).view(f"S{4 * size}")[:, 0]
-            at = np.minimum(np.searchsorted(keys, seen), len(keys) - 1)
-            out[:, size - 1] = np.where(keys[at] == seen, self.scores[size][at], -np.inf)
+        own, rolled = points.astype(np.uint64), np.zeros(n, np.uint64)
+        for size in range(1, self.longest + 1):
+            rolled = rolled * FACTOR + own[size - 1 : size - 1 + n] + np.uint64(1)
+            if size in self.keys:
+                keys = self.keys[size]
+                at = np.minimum(np.searchsorted(keys, rolled), len(keys) - 1)
+                hit = np.flatnonzero(keys[at] == rolled)
+                hit = hit[(self.words[size][at[hit]] == own[hit[:, None] + np.arange(size)]).all(1)]
+                out[hit, size - 1] = self.scores[size][at[hit]]
         return out
 
     def cut(self, runs: list[str], finer: bool = False) -> list[list[str]]:
