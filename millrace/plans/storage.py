@@ -98,10 +98,10 @@ register("k9_saved_vectors", index_rows, "SELECT vec_id, len(embedding) AS dims
 
 
 def segmented_words(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts whose letters run together, cut by a dictionary of the corpus's own words; with the letters that are left after cutting."""
+    """Texts without their spaces, cut by a dictionary of the corpus's own words; the letters of what is found are those of the text."""
     own = docs(spark, sf).select("doc_id", X.tokens("text").alias("words"))
     dictionary = segmentation.dictionary_of(own.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
-    joined = own.select("doc_id", F.array_join("words", "").alias("text"), F.size("words").cast("long").alias("n_words"))
+    joined = docs(spark, sf).select("doc_id", F.replace("text", F.lit(" "), F.lit("")).alias("text"), F.size(X.tokens("text")).cast("long").alias("n_words"))
     cut = segmentation.segmented(joined, "text", segmentation.Segmenter(dictionary, unspaced=r"[^\W_]"), "found")
     return cut.select("doc_id", "n_words", F.md5(F.array_join("found", "")).alias("letters"), (F.size("found") > 0).alias("any"))
 
