@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
@@ -97,6 +98,67 @@ def get_template(name: str) -> Template:
     return templates[name]
 
 
+#: From messages (dicts of role and content) and whether the model's turn is opened at the end, to the text a tokenizer's own template makes of them.
+Rendered = Callable[[list[dict[str, str]], bool], str]
+THOUGHTS = re.compile(r"<think>|</think>")
+
+
+def _marked(n: int) -> str:
+    return f"\u2060{n}\u2060"  # letters that no template holds
+
+
+def inferred_template(rendered: Rendered, prefix: str = "", name: str = "inferred", eos: str = "") -> Template:
+    """The template that a tokenizer applies, from what it makes of marked messages.
+
+    rendered: the tokenizer's apply_chat_template(); prefix: what it puts before any text. Two whole rounds are rendered and cut at the marks: what
+    stands between a user's mark and the answer's ends the user's slot, what stands between the answer's and the next user's ends the answer's and begins the
+    user's, and a dialogue that ends at each place tells where the cut lies. A default system text is what is
+    rendered without a system message and not with an empty one. A tokenizer whose template refuses system messages gets an empty system slot.
+    """
+
+    def made(messages: list[tuple[str, str]], open_: bool) -> str:
+        text = rendered([{"role": r, "content": c} for r, c in messages], open_)
+        return text[len(prefix) :] if text.startswith(prefix) else text
+
+    ask, say, more, system = map(_marked, (1, 2, 3, 4))
+    # An empty system message keeps a default from being put in, where there is one.
+    try:
+        led = made([("system", system), ("user", ask)], True)
+        start = led.index(system)
+        empty = made([("system", ""), ("user", ask)], True)
+        takes_system = True
+    except Exception:  # noqa: BLE001  templates raise what they like
+        led, start, empty, takes_system = "", 0, made([("user", ask)], True), False
+    bare = made([("user", ask)], True)
+    both = made([("user", ask), ("assistant", say)], False)
+    rounds = made([("user", ask), ("assistant", say), ("user", more)], True)
+    close = bare[bare.index(ask) + len(ask) :]  # after a user's text
+    between = rounds[rounds.index(say) + len(say) : rounds.index(more)]
+    end = both[both.index(say) + len(say) :]  # after an answer
+    head = between[len(end) :] if between.startswith(end) else ""  # before a user's text
+    answer = both[both.index(ask) + len(ask) + len(close) : both.index(say)]
+    reasoning = bool(THOUGHTS.search(answer))
+    answer = THOUGHTS.sub("", answer).lstrip("\n") if reasoning else answer
+    first = bare[: bare.index(ask)]
+    head = first if not first.endswith(head) else head
+    slot, default = "", ""
+    if takes_system:
+        # What follows the system text up to the user's own beginning closes its slot.
+        tail = led[start + len(system) : led.index(ask)]
+        own = tail.removesuffix(head) if tail.endswith(head) else tail
+        slot = led[:start] + CONTENT + own
+        lead, rest = slot.split(CONTENT)
+        whole = first.removesuffix(head)
+        if whole and whole.startswith(lead) and whole.endswith(rest) and len(whole) >= len(lead) + len(rest) and bare != empty:
+            default = whole[len(lead) : len(whole) - len(rest)]
+        elif whole:
+            head = first  # no default text: what stands before the first user is the user's
+            slot = slot.removesuffix(whole) if slot.endswith(whole) and slot != CONTENT else slot
+    ended = lambda text: text.replace(eos, EOS) if eos else text
+    user, assistant = ended(head + CONTENT + close), ended(answer + CONTENT + end)
+    return Template(name, user=user, assistant=assistant, system=ended(slot) or CONTENT, function=assistant, observation=user, prefix=prefix, default_system=default, reasoning=reasoning)
+
+
 # What the models of these names were trained on.
 _chatml = Template(
     "chatml",

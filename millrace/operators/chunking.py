@@ -185,3 +185,63 @@ def overlapping(blocks: DataFrame, rects: DataFrame, cell: float = 256.0) -> Dat
     b = grid(rects).select(*[F.col(c).alias(f"r_{c}" if c not in ("page", "__cx", "__cy") else c) for c in [*rects.columns, "__cx", "__cy"]])
     hit = a.join(b, ["page", "__cx", "__cy"]).where("x0 < r_x1 and x1 > r_x0 and y0 < r_y1 and y1 > r_y0")
     return hit.drop("__cx", "__cy").distinct()
+
+
+#: What makes a block a picture's title, and where it is looked for, in points.
+TITLE_SIZE, TITLE_LINES, TITLE_CHARS, LEAST_SCORE = 10, 3, 30, 3.0
+SEARCH_ABOVE, SEARCH_BELOW, FOOT = 200, 3, 50
+LEAST_WIDTH = 34
+
+
+def kept_pictures(pictures: DataFrame) -> DataFrame:
+    """Pictures (ext, width, ...) that are no icons; a null width or ext counts as one."""
+    return pictures.where((F.col("ext") != "png") & (F.col("width") > LEAST_WIDTH))
+
+
+def search_areas(pictures: DataFrame, pages: DataFrame) -> DataFrame:
+    """pictures (page, x0, y0, x1, y1, ...) with the area where titles may stand: over the picture, and under it in proportion to its height, but
+    not at the page's foot or beyond its sides. pages: (page, page_width, page_height). The picture's own top comes back as top, its bottom as bottom."""
+    own = pictures.join(pages.select("page", "page_width", "page_height"), "page").withColumns({"top": F.col("y0"), "bottom": F.col("y1")})
+    grown = own.withColumns(
+        {
+            "y1": F.least(F.col("y1") + (F.col("y1") - F.col("y0")) * SEARCH_BELOW, F.col("page_height") - FOOT),
+            "y0": F.greatest(F.col("y0") - SEARCH_ABOVE, F.lit(0.0)),
+            "x0": F.greatest("x0", F.lit(0.0)),
+            "x1": F.least("x1", "page_width"),
+        }
+    )
+    return grown.where("x0 < x1 AND y0 < y1").drop("page_width", "page_height")
+
+
+def picture_titles(pictures: DataFrame, blocks: DataFrame, pages: DataFrame, key: str = "picture", cell: float = 256.0) -> DataFrame:
+    """(key, page, image_path, title, best_title) of each picture that is no icon.
+
+    pictures: (key, page, number, ext, width, x0, y0, x1, y1), number being its place on the page from 0; blocks: (page, block, text, size, bold, x0, y0, x1, y1);
+    pages: (page, page_width, page_height); page counts from 0 and image_path from 1. title joins the texts of all blocks that score as titles, in
+    order; best_title is the one of greatest score, of equal ones the nearest to the picture, then the first. Without any both are empty. Blocks and
+    areas meet on page and grid cell, so a page with very many blocks is spread over its cells.
+    """
+    own = kept_pictures(pictures)
+    text = F.regexp_replace("text", r"^\s+|\s+$", "")
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    titled = blocks.withColumns({"text": text}).where(F.length("text") > 0).where(~F.col("text").rlike("[.。!！]$")).withColumn("lines", lines)
+    fixed = (
+        F.when(F.col("size") >= TITLE_SIZE, 2.0).otherwise(0.0)
+        + F.when(F.col("bold"), 1.0).otherwise(0.0)
+        + F.when(F.col("lines") <= TITLE_LINES, 0.5).otherwise(0.0)
+        + F.when(F.length("text") <= TITLE_CHARS, 0.5).otherwise(0.0)
+    )
+    # A block that cannot reach the score at any place need not be joined.
+    able = titled.withColumn("fixed", fixed).where(F.col("fixed") + 2 >= LEAST_SCORE).select("page", "block", "text", "fixed", "x0", "y0", "x1", "y1")
+    areas = search_areas(own.select(key, "page", "x0", "y0", "x1", "y1"), pages)
+    met = overlapping(able, areas, cell)
+    above = F.col("y1") < F.col("r_top")
+    score = F.col("fixed") + F.when(above, 2.0).otherwise(-1.0)
+    away = F.greatest(F.col("r_top") - F.col("y1"), F.col("y0") - F.col("r_bottom"), F.lit(0.0))
+    hits = met.withColumns({"score": score, "away": away}).where(F.col("score") >= LEAST_SCORE)
+    found = hits.groupBy(F.col(f"r_{key}").alias(key)).agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("block", "text")))["text"], "\n").alias("title"),
+        F.max_by("text", F.struct("score", -F.col("away"), -F.col("block"))).alias("best_title"),
+    )
+    path = F.concat(F.lit("page"), (F.col("page") + 1).cast("string"), F.lit("_img"), (F.col("number") + 1).cast("string"), F.lit("."), F.col("ext"))
+    return own.select(key, "page", path.alias("image_path")).join(found, key, "left").select(key, "page", "image_path", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("best_title", F.lit("")).alias("best_title"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import align, compressed_index, lexical_store, retrieval, sampling, segmentation, vector_index
+from ..operators import align, chunking, compressed_index, lexical_store, retrieval, sampling, segmentation, vector_index
 from ..session import scratch
 from ..sources import datasource, readers, sinks
 from ..streaming import stateful, streams
@@ -202,6 +202,33 @@ def compressed_search(spark: SparkSession, sf: str) -> DataFrame:
 register("k2_compressed_index", compressed_search)
 
 
+def picture_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document as a page of lines, with a picture for every fourth line."""
+    d, n = docs(spark, sf), F.col("block")
+    lines = d.select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("block", "line")).select("page", "block", F.when(F.length("line") % 3 > 0, F.regexp_replace("line", r"\.$", "")).otherwise(F.col("line")).alias("text"))
+    size = F.col("block") * 31 % 17
+    laid = lines.withColumns({"x0": (n % 3 * 190).cast("double"), "y0": (n * 7).cast("double")}).withColumns({"x1": F.col("x0") + F.least(F.length("text") * 5, F.lit(180)), "y1": F.col("y0") + 12})
+    blocks = laid.withColumns({"size": 6 + size % 8, "bold": F.length("text") % 2 == 0})
+    pictures = laid.where("block % 4 = 2").select("page", F.floor(n / 4).cast("long").alias("number"), F.when(n % 12 == 2, "png").otherwise("jpeg").alias("ext"), (30 + F.length("text") % 50).alias("width"), "x0", F.col("y0").alias("y0"), (F.col("x0") + 150).alias("x1"), (F.col("y0") + 40).alias("y1"))
+    pages = d.select(F.col("doc_id").alias("page"), F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"))
+    named = pictures.withColumn("picture", F.col("page") * 1000 + F.col("number"))
+    return chunking.picture_titles(named, blocks, pages).select("picture", "image_path", F.md5("title").alias("titles"), "best_title")
+
+
+register(
+    "s2_picture_titles",
+    picture_titles,
+    r"""WITH l AS (SELECT doc_id AS page, i - 1 AS block, CASE WHEN length(p[i]) % 3 > 0 THEN regexp_replace(p[i], '\.$', '') ELSE p[i] END AS text FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))),
+b AS (SELECT *, block % 3 * 190 AS x0, block * 7 AS y0, block % 3 * 190 + least(length(text) * 5, 180) AS x1, block * 7 + 12 AS y1, 6 + block * 31 % 17 % 8 AS size, length(text) % 2 = 0 AS bold, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM l),
+p AS (SELECT page, block // 4 AS number, CASE WHEN block % 12 = 2 THEN 'png' ELSE 'jpeg' END AS ext, x0, y0 AS top, y0 + 40 AS bottom, greatest(x0, 0) AS ax0, least(x0 + 150, 595) AS ax1, greatest(y0 - 200, 0) AS ay0, least(y0 + 40 + 120, 792) AS ay1
+  FROM b WHERE block % 4 = 2 AND block % 12 <> 2 AND 30 + length(text) % 50 > 34),
+h AS (SELECT p.page, p.number, b.block, b.t, CASE WHEN size >= 10 THEN 2 ELSE 0 END + CASE WHEN bold THEN 1 ELSE 0 END + 0.5 + CASE WHEN length(t) <= 30 THEN 0.5 ELSE 0 END + CASE WHEN b.y1 < p.top THEN 2 ELSE -1 END AS score, greatest(p.top - b.y1, b.y0 - p.bottom, 0) AS away
+  FROM p JOIN b ON b.page = p.page AND b.x0 < ax1 AND b.x1 > ax0 AND b.y0 < ay1 AND b.y1 > ay0 WHERE t <> '' AND NOT regexp_matches(t, '[.。!！]$') AND ax0 < ax1 AND ay0 < ay1),
+k AS (SELECT page, number, string_agg(t, chr(10) ORDER BY block) AS titles, first(t ORDER BY score DESC, away, block) AS best FROM h WHERE score >= 3 GROUP BY ALL)
+SELECT page * 1000 + number AS picture, 'page' || (page + 1) || '_img' || (number + 1) || '.' || ext AS image_path, md5(coalesce(titles, '')) AS titles, coalesce(best, '') AS best_title FROM p LEFT JOIN k USING (page, number)""",
+)
+
+
 def converted(spark: SparkSession, sf: str) -> DataFrame:
     """A converter of one's own."""
     if not align.has_converter("question_answer"):
