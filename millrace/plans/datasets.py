@@ -141,6 +141,28 @@ register(
 )
 
 
+def tile_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """A picture of each text's measures (characters by lines, in tens of pixels), as two families cut it in tiles."""
+    own = docs(spark, sf).select("doc_id", F.struct((F.length("text") % 2000 + 1).cast("int").alias("width"), (F.size(F.split("text", "\n")) * 40).cast("int").alias("height"), F.lit(None).cast("int").alias("frames"), F.lit(None).cast("double").alias("seconds")).alias("m"))
+    made = {k: get_plugin(k).expanded(F.lit("<image>"), F.array("m")) for k in ("llama4", "minicpm_v")}
+    many = lambda k, token: F.regexp_count(made[k], F.lit(token)).cast("long")
+    return own.select("doc_id", many("llama4", "tile_y_separator").alias("tile_rows"), many("llama4", r"<\|patch\|>").alias("patches"), many("minicpm_v", "<slice>").alias("slices"), many("minicpm_v", "\n").alias("slice_breaks"))
+
+
+register(
+    "g6_tile_grids",
+    tile_tokens,
+    """WITH s AS (SELECT doc_id, (length(text) % 2000 + 1)::double AS w, (len(string_split(text, chr(10))) * 40)::double AS h FROM documents),
+sides AS (SELECT unnest(range(1, 17)) AS i), g AS (SELECT a.i AS a, b.i AS b FROM sides a, sides b WHERE a.i * b.i <= 16),
+t AS (SELECT doc_id, a, b, least(336 * a / h, 336 * b / w) AS scale FROM s, g),
+k AS (SELECT doc_id, first(struct_pack(a := a, b := b) ORDER BY scale < 1, CASE WHEN scale >= 1 THEN scale ELSE -scale END, a * b, a) AS best FROM t GROUP BY 1),
+c AS (SELECT doc_id, w, h, least(ceil(w * h / (448 * 448)), 9) AS cover FROM s),
+n AS (SELECT doc_id, cover, first(struct_pack(a := a, b := b) ORDER BY round(abs(ln(w / h) - ln(a::double / b)), 12), a * b, a) AS cut FROM c, g WHERE a * b BETWEEN 2 AND 9 AND abs(a * b - cover) <= 1 GROUP BY ALL)
+SELECT k.doc_id, CASE WHEN best.a * best.b > 1 THEN best.a ELSE 0 END AS tile_rows, 144 * (1 + CASE WHEN best.a * best.b > 1 THEN best.a * best.b ELSE 0 END) AS patches,
+  CASE WHEN cover > 1 THEN cut.a * cut.b ELSE 0 END AS slices, CASE WHEN cover > 1 THEN cut.b - 1 ELSE 0 END AS slice_breaks FROM k JOIN n USING (doc_id)""",
+)
+
+
 def media_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Messages with 0 to 2 images, of sizes made from the rows, as three model families want them; every seventh lacks an image."""
     size = lambda n: F.struct(((F.col("doc_id") * 37 + n * 101) % 2000 + 20).cast("int").alias("width"), ((F.col("doc_id") * 53 + n * 211) % 1500 + 20).cast("int").alias("height"), F.lit(None).cast("int").alias("frames"), F.lit(None).cast("double").alias("seconds"))
