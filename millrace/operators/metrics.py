@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import scratch
 
 # Titles and list items. In document mode a pattern is looked for at the start of the text only.
 TITLES = (
@@ -125,10 +126,71 @@ def perplexity(logps: Column, mask: Column) -> Column:
     return F.exp(add("l") / add("m"))
 
 
+#: Rows up to which a group's percentiles are taken from all of its values at once.
+EXACT_ROWS = 1_000_000
+#: Bins that an interval is cut in.
+BINS = 4096
+
+
+def selected(df: DataFrame, key: str, value: str, ranks: DataFrame) -> DataFrame:
+    """(key, rank, value): the value at each rank (from 0) of each key's values in order, exactly; ranks: (key, rank).
+
+    Each round cuts the interval that holds a rank in BINS and goes on with the least and greatest value of the bin that has it, until they are the
+    same. A task holds counts by bin, never values, so a key may have any number of rows; values that lie evenly take two or three rounds.
+    """
+    own = df.select(F.col(key).alias("g"), F.col(value).alias("v"))
+    ends = own.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    open_ = ranks.select(F.col(key).alias("g"), F.col("rank").alias("k"), F.col("rank").alias("rest")).join(ends, "g")
+    out = None
+    while True:
+        path = scratch(df.sparkSession, "ranks")
+        open_.write.parquet(path)
+        targets = df.sparkSession.read.schema(open_.schema).parquet(path)
+        done = targets.where("lo >= hi").select(F.col("g").alias(key), F.col("k").alias("rank"), F.col("lo").alias("value"))
+        out = done if out is None else out.union(done)
+        targets = targets.where("lo < hi")
+        if targets.isEmpty():
+            return out
+        at = F.least(F.lit(BINS - 1), F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BINS))
+        bins = own.join(targets, "g").where("v BETWEEN lo AND hi").groupBy("g", "k", "rest", at.alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        upto = bins.withColumn("upto", F.sum("c").over(Window.partitionBy("g", "k").orderBy("bin")))  # BINS rows at most
+        open_ = upto.where("upto > rest AND upto - c <= rest").select("g", "k", (F.col("rest") - F.col("upto") + F.col("c")).alias("rest"), "lo", "hi")
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, at: list[float], exact_rows: int | None = None) -> DataFrame:
+    """(keys, percentiles): exact, linear between neighbours, of every group's values; nulls, NaN and infinite values do not count.
+
+    Groups of up to exact_rows rows hold their values in one task; larger ones are selected from by counts.
+    """
+    most = EXACT_ROWS if exact_rows is None else exact_rows
+    own = df.select(F.struct(*keys).alias("g"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('infinity')")
+    sizes = own.groupBy("g").agg(F.count("*").alias("n"))
+    small, big = own, None
+    if sizes.where(F.col("n") > most).limit(1).count():
+        path = scratch(df.sparkSession, "sizes")
+        sizes.write.parquet(path)
+        sizes = df.sparkSession.read.schema(sizes.schema).parquet(path)
+        small = own.join(sizes.where(F.col("n") <= most).select("g"), "g", "left_semi")
+        big = sizes.where(F.col("n") > most)
+    out = small.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, at))).alias("percentiles"))
+    if big is not None:
+        place = big.select("g", F.posexplode(F.array(*[F.lit(float(q)) * (F.col("n") - 1) for q in at])).alias("i", "place"))
+        low, high = F.floor("place"), F.ceil("place")
+        ranks = place.select("g", F.explode(F.array(low, high)).alias("rank")).distinct()
+        found = selected(own.join(big.select("g"), "g", "left_semi"), "g", "v", ranks)
+        near = lambda name, r: found.select("g", F.col("rank").alias(r), F.col("value").alias(name))
+        both = place.withColumns({"a": low, "b": high}).join(near("x", "a"), ["g", "a"]).join(near("y", "b"), ["g", "b"])
+        one = both.select("g", "i", (F.col("x") + (F.col("place") - F.col("a")) * (F.col("y") - F.col("x"))).alias("p"))
+        out = out.union(one.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "p")))["p"].alias("percentiles")))  # one for each of at
+    return out.select("g.*", "percentiles")
+
+
 def latency(df: DataFrame, keys: list[str], ms: str, tokens: str | None = None) -> DataFrame:
     """Mean, median and 95th percentile (linear between neighbours), and tokens a second."""
     more = [(F.sum(tokens) / F.sum(F.col(ms) / 1000)).alias("tokens_per_second")] if tokens else []
-    return df.groupBy(*keys).agg(F.avg(ms).alias("mean"), F.percentile(ms, F.lit(0.5)).alias("p50"), F.percentile(ms, F.lit(0.95)).alias("p95"), *more)
+    means = df.groupBy(F.struct(*keys).alias("g")).agg(F.avg(ms).alias("mean"), *more)
+    two = percentiles(df, keys, ms, [0.5, 0.95]).select(F.struct(*keys).alias("g"), F.col("percentiles")[0].alias("p50"), F.col("percentiles")[1].alias("p95"))
+    return means.join(two, "g", "left").select("g.*", "mean", "p50", "p95", *(["tokens_per_second"] if tokens else []))
 
 
 def valid_ratio(df: DataFrame, labels: str = "labels", ignore: int = -100) -> DataFrame:
