@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .. import models
 from ..functions import text as X
 from ..functions.templates import get_template
-from ..operators import align, encode, fusion, metrics, qa, retrieval, sampling
+from ..operators import align, encode, fusion, generation, metrics, qa, retrieval, sampling
+from ..session import scratch
 from ..sources import readers, sinks
 from .catalogue import register
 from .corpus import _QA, _STRIP, _TOK, docs, labels, lines, pairs, table
@@ -45,6 +46,17 @@ register(
 )
 register("c1_page_cleaning", lambda s, d: models.mapped(docs(s, d).select("doc_id", "text", "source"), "text", models.identity, "clean").select("doc_id", "source", X.content_id("clean").alias("clean_id")), "SELECT doc_id, source, md5(text) AS clean_id FROM documents")
 register("q1_checkpointed_generation", lambda s, d: models.generated(docs(s, d).select(F.col("doc_id").alias("unique_id"), "text"), labels(s, d).select(F.col("doc_id").alias("unique_id")), "text", models.identity), "SELECT doc_id AS unique_id, text AS raw_resp FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+
+
+def pooled(spark: SparkSession, sf: str) -> DataFrame:
+    """What a pool of calls makes of each text, half of it in an earlier run; a call that finds no upper-case letter gives nothing."""
+    path, own = scratch(spark, "answers"), docs(spark, sf).select(F.col("doc_id").alias("unique_id"), "text")
+    capitals = lambda t: "".join(c for c in t if "A" <= c <= "Z") or None
+    generation.generated(own.where("unique_id % 2 = 0"), "text", capitals, path, buckets=8).write.format("noop").mode("overwrite").save()
+    return generation.generated(own, "text", capitals, path, buckets=8).select("unique_id", F.md5("raw_resp").alias("answer"))
+
+
+register("q1_pooled_generation", pooled, "SELECT doc_id AS unique_id, md5(regexp_replace(text, '[^A-Z]', '', 'g')) AS answer FROM documents WHERE regexp_matches(text, '[A-Z]')")
 register(
     "q4_sft_context",
     lambda s, d: fusion.wrrf([(bm25(s, d).where("rank <= 5"), 0.7), (sparse(s, d).where("rank <= 10"), 0.7)]).where("rank <= 5").select("query_id", "unique_id", F.col("rank").cast("long").alias("rank")),
