@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import scratch
 from . import scoring
 
 #: Terms of the corpus whose document frequencies are sent to all tasks, those of greatest frequency.
@@ -37,26 +38,37 @@ def term_counts(df: DataFrame, id_col: str, words: Column) -> DataFrame:
 
 @dataclass
 class LexicalIndex:
-    """docs: (unique_id, words). Document lengths need no shuffle; frequencies are combined map-side."""
+    """docs: (unique_id, words). Frequencies are combined map-side, in one pass with the totals, and staged."""
 
     docs: DataFrame
+    _counted: DataFrame | None = None
     _totals: Row | None = None
 
+    def counted(self) -> DataFrame:
+        """(term, df, texts, len): a row a term, and one without a term for all documents: how many, how many with words, and their words together."""
+        if self._counted is None:
+            every = F.concat(F.array_distinct(F.coalesce("words", F.array().cast("array<string>"))), F.array(F.lit(None).cast("string")))
+            rows = self.docs.select(F.explode(every).alias("term"), F.size("words").cast("long").alias("len"))
+            whole = F.col("term").isNull()
+            own = rows.groupBy("term").agg(F.count("*").alias("df"), F.count(F.when(whole, F.col("len"))).alias("texts"), F.sum(F.when(whole, F.col("len"))).alias("len"))
+            path = scratch(self.docs.sparkSession, "terms")
+            own.write.parquet(path)
+            self._counted = self.docs.sparkSession.read.schema(own.schema).parquet(path)
+        return self._counted
+
     def totals(self) -> Row:
         """n_docs and avg_len, counted once for the index."""
         if self._totals is None:
-            self._totals = self.stats().first()
+            found = self.counted().where("term IS NULL").first()
+            self._totals = Row(n_docs=found["df"] if found else 0, avg_len=found["len"] / found["texts"] if found and found["texts"] else None)
         return self._totals
 
     def lengths(self) -> DataFrame:
         return self.docs.select("unique_id", F.size("words").alias("doc_len"))
 
-    def stats(self) -> DataFrame:
-        return self.docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("avg_len"))
-
     def frequencies(self) -> DataFrame:
         """(term, df)"""
-        return self.docs.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        return self.counted().where("term IS NOT NULL").select("term", "df")
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
         """(unique_id, doc_len, term, tf), of the given terms only if there are any: the filter comes before the shuffle."""

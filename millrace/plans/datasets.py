@@ -93,17 +93,19 @@ register("x15_think_strip", lambda s, d: docs(s, d).select("doc_id", X.without_t
 register("x16_empty_thought", lambda s, d: docs(s, d).select("doc_id", X.with_empty_thought(F.expr(_THOUGHT)).alias("text")), f"SELECT doc_id, CASE WHEN contains({_THOUGHT}, '<think>') THEN {_THOUGHT} ELSE '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) || {_THOUGHT} END AS text FROM documents")
 register(
     "x17_slot_format",
-    lambda s, d: docs(s, d).select("doc_id", get_template("default").rendered(F.array(align.message("user", F.col("source")), align.message("assistant", F.col("lang"))), F.lit("S"), eos="</s>").alias("text")),
-    "SELECT doc_id, 'System: S</s>' || chr(10) || 'Human: ' || source || '</s>' || chr(10) || 'Assistant:' || lang || '</s>' || chr(10) AS text FROM documents",
+    lambda s, d: docs(s, d).select("doc_id", get_template("default").rendered(F.array(align.message("user", F.col("text")), align.message("assistant", F.col("lang"))), F.lit("S"), eos="</s>").alias("text")).select("doc_id", F.md5("text").alias("text")),
+    "SELECT doc_id, md5('System: S</s>' || chr(10) || 'Human: ' || text || '</s>' || chr(10) || 'Assistant:' || lang || '</s>' || chr(10)) AS text FROM documents",
 )
 register(
     "x21_template_registry",
-    lambda s, d: docs(s, d).select("doc_id", *[get_template(k).rendered(F.array(align.message("user", F.col("source")), align.message("assistant", F.col("lang"))), F.lit("S"), eos="</s>").alias(k) for k in ("llama2", "mistral", "phi4", "zephyr", "glm4")]),
-    """SELECT doc_id, '<s><<SYS>>' || chr(10) || 'S' || chr(10) || '<</SYS>>' || chr(10) || chr(10) || '[INST] ' || source || ' [/INST] ' || lang || ' </s>' AS llama2, '<s>S' || chr(10) || chr(10) || '[INST] ' || source || '[/INST] ' || lang || '</s>' AS mistral,
-  '<|im_start|>system<|im_sep|>S<|im_end|><|im_start|>user<|im_sep|>' || source || '<|im_end|><|im_start|>assistant<|im_sep|>' || lang || '<|im_end|>' AS phi4, '<|system|>' || chr(10) || 'S</s><|user|>' || chr(10) || source || '</s><|assistant|>' || chr(10) || lang || '</s>' AS zephyr,
-  '[gMASK]<sop><|system|>' || chr(10) || 'S<|user|>' || chr(10) || source || '<|assistant|>' || chr(10) || lang AS glm4 FROM documents""",
+    lambda s, d: docs(s, d).select("doc_id", *[F.md5(get_template(k).rendered(F.array(align.message("user", F.col("text")), align.message("assistant", F.col("lang"))), F.lit("S"), eos="</s>")).alias(k) for k in ("llama2", "mistral", "phi4", "zephyr", "glm4")]),
+    """SELECT doc_id, md5('<s><<SYS>>' || chr(10) || 'S' || chr(10) || '<</SYS>>' || chr(10) || chr(10) || '[INST] ' || text || ' [/INST] ' || lang || ' </s>') AS llama2,
+  md5('<s>S' || chr(10) || chr(10) || '[INST] ' || text || '[/INST] ' || lang || '</s>') AS mistral,
+  md5('<|im_start|>system<|im_sep|>S<|im_end|><|im_start|>user<|im_sep|>' || text || '<|im_end|><|im_start|>assistant<|im_sep|>' || lang || '<|im_end|>') AS phi4,
+  md5('<|system|>' || chr(10) || 'S</s><|user|>' || chr(10) || text || '</s><|assistant|>' || chr(10) || lang || '</s>') AS zephyr,
+  md5('[gMASK]<sop><|system|>' || chr(10) || 'S<|user|>' || chr(10) || text || '<|assistant|>' || chr(10) || lang) AS glm4 FROM documents""",
 )
-register("x23_prompt_build", lambda s, d: docs(s, d).select("doc_id", X.filled("Q {{q}} C {{c}} Q {{q}}", q="source", c="lang").alias("text")), "SELECT doc_id, 'Q ' || source || ' C ' || lang || ' Q ' || source AS text FROM documents")
+register("x23_prompt_build", lambda s, d: docs(s, d).select("doc_id", F.md5(X.filled("Q {{q}} C {{c}} Q {{q}}", q="text", c="lang")).alias("text")), "SELECT doc_id, md5('Q ' || text || ' C ' || lang || ' Q ' || text) AS text FROM documents")
 
 
 def choices(spark: SparkSession, sf: str) -> DataFrame:
@@ -241,7 +243,8 @@ register("u3_distinct", lambda s, d: docs(s, d).select("text").distinct().agg(F.
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """(query, context, response, merged_docs) from reranked and BM25 documents."""
-    top = reranked(spark, sf).select("query_id", "query", "rank", F.col("page_content").alias("t"))
+    best = reranked(spark, sf).select("query_id", "unique_id", "rank").join(questions(spark, sf), "query_id")
+    top = best.join(documents(spark, sf), "unique_id").select("query_id", "query", "rank", F.col("page_content").alias("t"))
     context = top.groupBy("query_id", "query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]).alias("context"))
     merged = bm25_ranked(spark, sf).join(documents(spark, sf), "unique_id").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("page_content").alias("t")))), lambda x: x["t"]).alias("merged_docs"))
     response = F.when(F.col("query_id") % 4 == 0, F.lit("无答案")).otherwise(F.lit("答【2,1】。"))
@@ -377,7 +380,7 @@ register(
     rf"""WITH t AS (SELECT doc_id, {_STRIP.format('text')} AS t, regexp_matches({_STRIP.format('text')}, '[.。!！]$') AS e FROM documents), s AS (SELECT doc_id, CASE WHEN e THEN 0.0 ELSE CASE WHEN doc_id % 20 > 10 THEN 2 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 4 <= 2 THEN 0.5 ELSE 0 END + CASE WHEN length(t) <= 30 THEN 0.5 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE -1 END END::double AS score, e FROM t)
 SELECT doc_id, score, NOT e AND score >= 3 AS is_title FROM s""",
 )
-register("s12_dialogue_script", lambda s, d: talk(s, d).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.when(F.col("role") == "assistant", "Assistant: ").otherwise("Human: "), F.lit("t"), F.col("turn").cast("string")).alias("t")))), lambda x: x["t"]), " ").alias("t")).select("conv_id", F.size(readers.peeled_dialogue("t")).cast("long").alias("n")), "WITH r AS (SELECT conv_id, list(role ORDER BY turn) AS r FROM conversations GROUP BY 1) SELECT conv_id, len(r) - CASE WHEN r[-1] = 'assistant' THEN 0 ELSE 1 END AS n FROM r")
+register("s12_dialogue_script", lambda s, d: talk(s, d).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.when(F.col("role") == "assistant", "Assistant: ").otherwise("Human: "), F.col("text")).alias("t")))), lambda x: x["t"]), " ").alias("t")).select("conv_id", readers.peeled_dialogue("t").alias("said")).select("conv_id", F.size("said").cast("long").alias("n"), F.md5(F.array_join(F.transform("said", lambda x: x["value"]), "|")).alias("said")), rf"WITH r AS (SELECT conv_id, list(role ORDER BY turn) AS r, list({_STRIP.format('text')} ORDER BY turn) AS t FROM conversations GROUP BY 1), c AS (SELECT *, len(r) - CASE WHEN r[-1] = 'assistant' THEN 0 ELSE 1 END AS n FROM r) SELECT conv_id, n, md5(array_to_string(t[1:n], '|')) AS said FROM c")
 register("s4_json_lines", lambda s, d: readers.parsed_lines(events(s, d).select("event_id", F.when(F.col("event_id") % 10 == 0, "{broken").otherwise(F.col("props")).alias("props")), "props", "k long").select("event_id", "k"), "SELECT event_id, (props::json->>'k')::bigint AS k FROM events WHERE event_id % 10 <> 0")
 register("s15_doc_lookup", lambda s, d: fusion.looked_up(labels(s, d).select("doc_id"), docs(s, d), "doc_id", ["source"]), "SELECT l.doc_id, source FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id")
 register("x30_date_text", lambda s, d: events(s, d).select("event_id", X.date_text("ts").alias("day")), "SELECT event_id, strftime(ts, '%d %b %Y') AS day FROM events")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import fusion, retrieval
+from ..session import spread
 from .catalogue import register
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
@@ -41,6 +42,11 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("unique_id"), F.col("text").alias("page_content"))
 
 
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """(unique_id, words) of documents, on all cores."""
+    return spread(documents(spark, sf), "unique_id").select("unique_id", X.tokens("page_content").alias("words"))
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -54,11 +60,11 @@ def shown(ranked: DataFrame) -> DataFrame:
 
 
 def bm25(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.bm25(retrieval.lexical_index(documents(spark, sf)), words(spark, sf), 15)
+    return retrieval.bm25(retrieval.LexicalIndex(corpus(spark, sf)), words(spark, sf), 15)
 
 
 def sparse(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.sparse_texts(documents(spark, sf).select("unique_id", X.tokens("page_content").alias("words")), words(spark, sf), 15)
+    return retrieval.sparse_texts(corpus(spark, sf), words(spark, sf), 15)
 
 
 def fused(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,7 +74,7 @@ def fused(spark: SparkSession, sf: str) -> DataFrame:
 register("r3_bm25_topk", lambda s, d: shown(bm25(s, d)), f"WITH {_BM25} SELECT {_OUT} FROM bm25")
 register(
     "r4_tfidf_topk",
-    lambda s, d: shown(retrieval.tfidf(retrieval.lexical_index(documents(s, d)), words(s, d), 15)),
+    lambda s, d: shown(retrieval.tfidf(retrieval.LexicalIndex(corpus(s, d)), words(s, d), 15)),
     f"""WITH {_WORDS},
 idf AS (SELECT term, ln((1 + n_docs) / (1 + df)) + 1 AS idf FROM df, stats),
 w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN idf USING (term)), nd AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM w GROUP BY 1),
@@ -177,8 +183,10 @@ SELECT item_id AS query_id, doc_id AS unique_id, row_number() OVER (PARTITION BY
 
 
 def reranked(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
-    both = fused(spark, sf).join(documents(spark, sf), "unique_id").join(questions(spark, sf), "query_id")
-    return fusion.rerank(both, fusion.lexical_overlap(X.tokens("query"), X.tokens("page_content")), k)
+    """Texts are scored where they are joined; ids and scores alone are ranked."""
+    both = fused(spark, sf).join(documents(spark, sf), "unique_id").join(questions(spark, sf).select("query_id", X.tokens("query").alias("asked")), "query_id")
+    scored = both.select("query_id", "unique_id", "rank", fusion.lexical_overlap("asked", X.tokens("page_content")).alias("overlap"))
+    return fusion.rerank(scored, F.col("overlap"), k).drop("overlap")
 
 
 _RERANK = """

@@ -84,9 +84,10 @@ def test_a_task_that_is_lost_halfway(spark, tmp_path):
             os._exit(1)  # the Python worker goes, and its task with it
         return text + "!"
 
-    out = generated(todo, "text", logged(tmp_path / "a", ask), path, pool, 1)
+    own = logged(tmp_path / "a", ask)
+    out = lambda: generated(todo, "text", own, path, pool, 1)  # noqa: E731  a plan of its own each time
     with pytest.raises(Exception):  # noqa: B017  whatever Spark makes of it
-        out.collect()  # local mode gives a task one attempt
+        out().collect()  # local mode gives a task one attempt
     assert flag.exists() and 20 < len(calls(tmp_path / "a")) <= 25
-    assert {r["unique_id"]: r["raw_resp"] for r in out.collect()} == {i: f"t{i}!" for i in range(40)}
+    assert {r["unique_id"]: r["raw_resp"] for r in out().collect()} == {i: f"t{i}!" for i in range(40)}
     assert len(calls(tmp_path / "a")) <= 45 and set(calls(tmp_path / "a")) == {f"t{i}" for i in range(40)}
