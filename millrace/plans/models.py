@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import models
 from ..functions import text as X
 from ..functions.templates import get_template
-from ..operators import align, encode, fusion, generation, metrics, qa, retrieval, sampling
+from ..operators import align, encode, fusion, generation, metrics, qa, rerankers, retrieval, sampling
 from ..session import scratch
 from ..sources import readers, sinks
 from .catalogue import register
@@ -38,6 +38,34 @@ register(
     f"""WITH {_BM25}, {_SPARSE}, {_FUSED}, p AS (SELECT f.item_id, f.doc_id, -abs(length(b.text) - length(d.text))::double AS score, f.rank AS input_rank FROM fused f JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)),
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, input_rank) AS rank FROM p) SELECT {_OUT} FROM k WHERE rank <= 4""",
 )
+
+
+def lengths_only(inputs: list[list[int]]) -> list[tuple[float | None, float | None]]:
+    """A model that knows inputs by their length: every third reports no logit for no."""
+    return [(len(x) % 97 / 10, None if len(x) % 3 == 0 else len(x) % 89 / 10) for x in inputs]
+
+
+def prompted(spark: SparkSession, sf: str) -> DataFrame:
+    """Two families' prompts over the fused candidates, with a letter a token."""
+    out = None
+    for name in ("instruct", "passage"):
+        own = rerankers.PromptReranker(rerankers.STYLES[name], lambda t: [0] * len(t), lengths_only, 2048)
+        rows = shown(own.rank(candidates(spark, sf), 4)).withColumn("style", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_ASKED = {k: len(v) for k, v in {"open": rerankers._OPEN, "close": rerankers._CLOSE, "task": f"<Instruct>: {rerankers.TASK}\n<Query>: \n<Document>: ", "ask": rerankers._ASK}.items()}
+register(
+    "r14_prompt_rerankers",
+    prompted,
+    f"""WITH {_BM25}, {_SPARSE}, {_FUSED}, p AS (SELECT f.item_id, f.doc_id, f.rank AS input_rank, length(b.text) AS q, length(d.text) AS t FROM fused f JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)),
+n AS (SELECT *, 'instruct' AS style, {_ASKED['open'] + _ASKED['close']} + least({_ASKED['task']} + q + t, {2048 - _ASKED['open'] - _ASKED['close']}) AS n FROM p
+  UNION ALL SELECT *, 'passage', least(least(3 + q, 1536) + least(3 + t, 2048) + 1, 2048) + 1 + {_ASKED['ask']} FROM p),
+s AS (SELECT *, n % 97 / 10.0::double AS yes, CASE WHEN n % 3 = 0 THEN -10.0 ELSE n % 89 / 10.0 END::double AS no FROM n),
+c AS (SELECT *, CASE WHEN style = 'passage' THEN yes ELSE 1 / (1 + exp(no - yes)) END AS score FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY style, item_id ORDER BY round(score, 9) DESC, input_rank) AS rank FROM c) SELECT {_OUT}, style FROM k WHERE rank <= 4""",
+)
 register("r16_hyde_query", lambda s, d: models.hyde_queries(questions(s, d)), "SELECT item_id AS query_id, text || chr(10) || text AS query FROM benchmark")
 register(
     "r17_generation",
