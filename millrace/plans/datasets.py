@@ -99,8 +99,8 @@ register(
 register(
     "x21_template_registry",
     lambda s, d: docs(s, d).select("doc_id", *[F.md5(get_template(k).rendered(F.array(align.message("user", F.col("text")), align.message("assistant", F.col("lang"))), F.lit("S"), eos="</s>")).alias(k) for k in ("llama2", "mistral", "phi4", "zephyr", "glm4")]),
-    """SELECT doc_id, md5('<s><<SYS>>' || chr(10) || 'S' || chr(10) || '<</SYS>>' || chr(10) || chr(10) || '[INST] ' || text || ' [/INST] ' || lang || ' </s>') AS llama2,
-  md5('<s>S' || chr(10) || chr(10) || '[INST] ' || text || '[/INST] ' || lang || '</s>') AS mistral,
+    """SELECT doc_id, md5('<s>[INST] <<SYS>>' || chr(10) || 'S' || chr(10) || '<</SYS>>' || chr(10) || chr(10) || text || ' [/INST]' || lang || '</s>') AS llama2,
+  md5('<s>[INST] S' || chr(10) || chr(10) || text || '[/INST] ' || lang || '</s>') AS mistral,
   md5('<|im_start|>system<|im_sep|>S<|im_end|><|im_start|>user<|im_sep|>' || text || '<|im_end|><|im_start|>assistant<|im_sep|>' || lang || '<|im_end|>') AS phi4,
   md5('<|system|>' || chr(10) || 'S</s><|user|>' || chr(10) || text || '</s><|assistant|>' || chr(10) || lang || '</s>') AS zephyr,
   md5('[gMASK]<sop><|system|>' || chr(10) || 'S<|user|>' || chr(10) || text || '<|assistant|>' || chr(10) || lang) AS glm4 FROM documents""",
