@@ -24,10 +24,10 @@ class Template:
 
     name: str
     user: str = CONTENT
-    assistant: str = CONTENT + EOS
+    assistant: str = ""
     system: str = CONTENT
-    function: str = CONTENT + EOS
-    observation: str = CONTENT
+    function: str = ""
+    observation: str = ""
     prefix: str = ""
     default_system: str = ""
     tool_format: str | None = None
@@ -38,6 +38,12 @@ class Template:
     thoughts: tuple[str, str] = ("<think>", "</think>")
     media: str = "base"
 
+    def __post_init__(self) -> None:
+        """Answers and calls end with the end-of-sequence text, unless that is put once at the end; observations read like users."""
+        end = CONTENT if self.efficient_eos else CONTENT + EOS
+        for field_, default in (("assistant", end), ("function", end), ("observation", self.user)):
+            object.__setattr__(self, field_, getattr(self, field_) or default)
+
     def render(self, messages: Column | str, system: Column | str | None = None, tools: Column | str | None = None, eos: str = "", bos: str = "<s>") -> Column:
         """The messages as an array of texts; prefix, system and tools are in the first."""
         own = F.coalesce(F.nullif(F.col(system) if isinstance(system, str) else system, F.lit("")), F.lit(self.default_system)) if system is not None else F.lit(self.default_system)
@@ -223,6 +229,14 @@ _vicuna, _llama3, _glm4, _zephyr_like = get_template("vicuna"), get_template("ll
 _plain_chatml = replace(_chatml, observation=_chatml.user, stop_words=("<|im_end|>",))
 _assistant = "You are a helpful assistant."
 _tool_brackets = {"function": "[TOOL_CALLS]{{content}}{{eos}}", "observation": '[TOOL_RESULTS]{"content": {{content}}}[/TOOL_RESULTS]', "tool_format": "mistral"}
+register_template(Template("aquila", user="Human: {{content}}###Assistant:", assistant="{{content}}###", system="System: {{content}}###", stop_words=("</s>",), default_system="A chat between a curious human and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the human's questions."))
+register_template(Template("atom", user="{{bos}}Human: {{content}}\n{{eos}}{{bos}}Assistant:", assistant="{{content}}\n{{eos}}"))
+register_template(Template("baichuan", user="<reserved_102>{{content}}<reserved_103>", efficient_eos=True))
+register_template(Template("bailing", user="<role>HUMAN</role>{{content}}<role>ASSISTANT</role>", system="<role>SYSTEM</role>{{content}}", observation="<role>OBSERVATION</role>{{content}}<role>ASSISTANT</role>", stop_words=("<|endoftext|>",), efficient_eos=True))
+register_template(Template("belle", prefix="{{bos}}", user="Human: {{content}}\n\nBelle: ", assistant="{{content}}{{eos}}\n\n"))
+register_template(Template("bluelm", user="[|Human|]:{{content}}[|AI|]:"))
+register_template(Template("breeze", prefix="{{bos}}", user="[INST] {{content}} [/INST] ", efficient_eos=True))
+register_template(Template("chatglm2", prefix="[gMASK]sop", user="[Round {{idx}}]\n\n问：{{content}}\n\n答：", efficient_eos=True))
 register_template(replace(_chatml, name="chatml_de", default_system="Du bist ein freundlicher und hilfsbereiter KI-Assistent."))
 register_template(Template("codegeex2", prefix="[gMASK]sop"))
 register_template(replace(_glm4, name="codegeex4", user="<|user|>\n{{content}}<|assistant|>\n", assistant="{{content}}", observation="<|observation|>\n{{content}}<|assistant|>\n", default_system="你是一位智能编程助手，你叫CodeGeeX。你会为用户回答关于编程、代码、计算机方面的任何问题，并提供格式规范、可以执行、准确安全的代码，并在必要时提供详细的解释。"))
