@@ -186,8 +186,12 @@ def percentiles(df: DataFrame, keys: list[str], value: str, at: list[float], exa
 
 
 def latency(df: DataFrame, keys: list[str], ms: str, tokens: str | None = None) -> DataFrame:
-    """Mean, median and 95th percentile (linear between neighbours), and tokens a second."""
+    """Mean, median and 95th percentile (linear between neighbours), and tokens a second. A table that is no larger than a group may be is read once."""
     more = [(F.sum(tokens) / F.sum(F.col(ms) / 1000)).alias("tokens_per_second")] if tokens else []
+    if df.count() <= EXACT_ROWS:
+        number = F.col(ms).cast("double")
+        value = F.when(~F.isnan(number) & (F.abs(number) < F.lit(float("inf"))), number)
+        return df.groupBy(*keys).agg(F.avg(ms).alias("mean"), F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95"), *more)
     means = df.groupBy(F.struct(*keys).alias("g")).agg(F.avg(ms).alias("mean"), *more)
     two = percentiles(df, keys, ms, [0.5, 0.95]).select(F.struct(*keys).alias("g"), F.col("percentiles")[0].alias("p50"), F.col("percentiles")[1].alias("p95"))
     return means.join(two, "g", "left").select("g.*", "mean", "p50", "p95", *(["tokens_per_second"] if tokens else []))

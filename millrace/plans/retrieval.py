@@ -184,7 +184,7 @@ SELECT item_id AS query_id, doc_id AS unique_id, row_number() OVER (PARTITION BY
 
 def reranked(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
     """Texts are scored where they are joined; ids and scores alone are ranked."""
-    both = fused(spark, sf).join(documents(spark, sf), "unique_id").join(questions(spark, sf).select("query_id", X.tokens("query").alias("asked")), "query_id")
+    both = fused(spark, sf).join(spread(documents(spark, sf), "unique_id"), "unique_id").join(questions(spark, sf).select("query_id", X.tokens("query").alias("asked")), "query_id")
     scored = both.select("query_id", "unique_id", "rank", fusion.lexical_overlap("asked", X.tokens("page_content")).alias("overlap"))
     return fusion.rerank(scored, F.col("overlap"), k).drop("overlap")
 
