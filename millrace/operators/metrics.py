@@ -272,10 +272,10 @@ def rouge_1_counts(df: DataFrame, id_col: str, pred: Column, label: Column) -> D
 
 
 def with_previous(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """df with the value of the run before and the change in percent."""
+    """df with the value of the run before and the change in percent, null where the run before was zero."""
     w = Window.partitionBy(*keys).orderBy(order)
     before = F.lag(value).over(w)
-    return df.withColumn("previous", before).withColumn("change_percent", (F.col(value) - F.col("previous")) / F.col("previous") * 100)
+    return df.withColumn("previous", before).withColumn("change_percent", F.when(F.col("previous") != 0, (F.col(value) - F.col("previous")) / F.col("previous") * 100))
 
 
 def progress(df: DataFrame, steps: str, total: int, elapsed: str) -> DataFrame:
