@@ -24,6 +24,8 @@ BLOCK_ENTRIES = 1_000_000
 BLOCK_QUERIES = 2000
 #: Scores held at once.
 CELLS = 1 << 21
+#: Words of texts (or numbers of vectors) that are scored at once, and products with the queries' weights; a longer text is taken alone.
+WORDS, PRODUCTS = 1 << 18, 1 << 20
 #: Candidates that a task holds before it drops those beyond the k best of their query.
 HELD = 1 << 20
 
@@ -64,6 +66,17 @@ class Best:
         return self.held[0]
 
 
+def slices(b: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """b in parts of at most most rows and, by its second column of lists, WORDS items, whatever the batch's own size."""
+    ends = np.cumsum(pc.list_value_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORDS, "right"))
+        end = max(at + 1, min(end, at + most))
+        yield b.slice(at, end - at)
+        at = end
+
+
 def best_rows(rows: DataFrame, query_ids: pa.Array, k: int, make: Callable[[], Score], ascending: bool = False) -> DataFrame:
     """(query_id, unique_id, score): of each task at most k rows a query. rows: unique_id first; make, called in the task, gives a
     function from a batch of rows to its scores and which of them count."""
@@ -74,8 +87,7 @@ def best_rows(rows: DataFrame, query_ids: pa.Array, k: int, make: Callable[[], S
         score, best, kind = make(), Best(n, k, ascending), None
         for b in batches:
             kind = b.column(0).type
-            for i in range(0, b.num_rows, step):
-                part = b.slice(i, step)
+            for part in slices(b, step):
                 best.add(*score(part), part.column(0))
         if best.held:
             query, scores, ids = best.reduce()
@@ -133,14 +145,20 @@ class Postings:
     def scores(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Inner products of n rows, from (row, term, weight), with every query, and which of them have a term in common."""
         from_, many = self.at[term], self.at[term + 1] - self.at[term]
-        ends = np.cumsum(many)
-        post = np.repeat(from_ - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)
-        cell = np.repeat(row, many) * len(self.query_ids) + self.query[post]
-        size = n * len(self.query_ids)
-        scores = np.bincount(cell, np.repeat(weight, many) * self.weight[post], size).astype(np.float64)
-        there = np.zeros(size, bool)
-        there[cell] = True
-        return scores.reshape(n, -1), there.reshape(n, -1)
+        first = np.searchsorted(row, np.arange(n + 1))  # rows ascend
+        done = np.concatenate([[0], np.cumsum(many)])[first]  # products before each row
+        scores, there = np.zeros((n, len(self.query_ids))), np.zeros((n, len(self.query_ids)), bool)
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(done, done[lo] + PRODUCTS, "right")) - 1)
+            own = slice(first[lo], first[hi])
+            ends = np.cumsum(many[own])
+            post = np.repeat(from_[own] - ends + many[own], many[own]) + np.arange(ends[-1] if len(ends) else 0)
+            cell = np.repeat(row[own] - lo, many[own]) * len(self.query_ids) + self.query[post]
+            scores[lo:hi] = np.bincount(cell, np.repeat(weight[own], many[own]) * self.weight[post], (hi - lo) * len(self.query_ids)).reshape(hi - lo, -1)
+            there[lo:hi].reshape(-1)[cell] = True
+            lo = hi
+        return scores, there
 
 
 def whole(vectors: DataFrame, column: str = "embedding") -> DataFrame:
