@@ -105,8 +105,8 @@ def extractive(prompts: list[str]) -> list[str | None]:
     """The first numbered context line of each prompt, cited; without one no answer."""
     out: list[str | None] = []
     for p in prompts:
-        line = next((x for x in (p or "").splitlines() if x.startswith("【1】")), "")
-        out.append(f"{line[3:].strip()}【1】" if line[3:].strip() else X.NO_ANSWER)
+        line = next((x for x in (p or "").split("\n") if x.startswith("【1】")), "")[3:].strip(" \t\n\f\r")
+        out.append(f"{line}【1】" if line else X.NO_ANSWER)
     return out
 
 
@@ -116,9 +116,11 @@ def hyde_queries(queries: DataFrame, generate: Callable[[list[str]], list[str |
     return own.withColumn("query", F.when(F.col("__h").isNull() | (F.col("__h") == ""), F.col("query")).otherwise(F.concat_ws("\n", "query", "__h"))).drop("__h")
 
 
-def answered(queries: DataFrame, contexts: DataFrame, prompt: str, generate: Callable[[list[str]], list[str | None]] = extractive, most: int = 9000) -> DataFrame:
-    """(query_id, query, context, response); prompt has {query} and {context}. Failures are dropped."""
-    both = queries.join(contexts, "query_id").withColumn("context", X.truncated("context", most))
+def answered(queries: DataFrame, contexts: DataFrame, prompt: str, generate: Callable[[list[str]], list[str | None]] = extractive, most: int | None = 9000) -> DataFrame:
+    """(query_id, query, context, response); prompt has {query} and {context}. Failures are dropped. most: characters of a context that the
+    prompt has room for, None for all."""
+    both = queries.join(contexts, "query_id")
+    both = both.withColumn("context", X.truncated("context", most)) if most else both
     filled = X.filled(prompt.replace("{query}", "{{query}}").replace("{context}", "{{context}}"), query="query", context="context")
     return mapped(both.withColumn("__p", filled), "__p", generate, "response").drop("__p").where("response is not null")
 

@@ -33,3 +33,12 @@ def test_batches_are_scored_in_slices_of_so_many_words(monkeypatch):
     b = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array([["a"] * n for n in (4, 6, 1, 30, 0)] + [None, ["b"]], pa.list_(pa.string()))], ["unique_id", "words"])
     assert [p.column(0).to_pylist() for p in scoring.slices(b, 4)] == [[0, 1], [2], [3], [4, 5, 6]]
     assert [p.num_rows for p in scoring.slices(b, 1)] == [1] * 7
+
+
+def test_generation_cites_a_first_line_of_any_length(spark, tmp_path):
+    from millrace.plans import catalogue
+
+    line = "needle " + "x" * 12_000 + "\x0bmore\x85end"
+    spark.createDataFrame([(i, f"{line} {i}\nsecond" if i == 3 else f"word {i}") for i in range(5)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "needle")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r["response"] for r in catalogue.queries()["r17_generation"](spark, str(tmp_path)).collect()] == [f"{line} 3【1】"]
