@@ -170,8 +170,8 @@ def squared_distance(a: Column | str, b: Column | str) -> Column:
 
 
 def normalised(v: Column | str) -> Column:
-    n = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double")))
+    norms = F.array_repeat(F.sqrt(dot(v, v)), F.size(v))  # worked out once a vector; inside the function it would be once an element
+    return F.zip_with(v, norms, lambda x, n: F.when(n > 0, x / n).otherwise(x.cast("double")))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

@@ -3,9 +3,12 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from millrace.operators import metrics, scoring
+from millrace.functions import text as X
+from millrace.operators import chunking, metrics, retrieval, scoring, segmentation, vector_index
 
 
 def test_change_after_zero_is_null(spark):
@@ -42,3 +45,24 @@ def test_generation_cites_a_first_line_of_any_length(spark, tmp_path):
     spark.createDataFrame([(i, f"{line} {i}\nsecond" if i == 3 else f"word {i}") for i in range(5)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "needle")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [r["response"] for r in catalogue.queries()["r17_generation"](spark, str(tmp_path)).collect()] == [f"{line} 3【1】"]
+
+
+def test_nearest_centroids_take_bounded_memory():
+    rng = np.random.default_rng(3)
+    x, c = rng.random((4000, 4)), rng.random((3000, 4))
+    tracemalloc.start()
+    near = vector_index._nearest(x, c, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    d = ((x[:50, None] - c[None]) ** 2).sum(2)
+    assert near[:50, 0].tolist() == d.argmin(1).tolist()
+    assert vector_index._nearest(x[:50], c, 7).tolist() == np.argsort(d, axis=1, kind="stable")[:, :7].tolist()
+
+
+def test_a_vector_is_measured_once_and_not_for_each_element(spark):
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, []), (5, [1.0, None])], "id int, v array<float>")
+    out = rows.select("id", retrieval.normalised("v").alias("n"))
+    assert [r["n"] for r in out.orderBy("id").collect()] == [[0.6, 0.8], [0.0, 0.0], None, [], [1.0, None]]
+    # the function of an element holds no sum over elements
+    assert "aggregate" not in out._jdf.queryExecution().analyzed().toString().split("lambdafunction(CASE")[-1].split("namedlambdavariable() END")[0]
