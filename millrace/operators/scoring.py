@@ -23,11 +23,11 @@ BLOCK_ENTRIES = 1_000_000
 #: Queries that are sent at once.
 BLOCK_QUERIES = 2000
 #: Scores held at once.
-CELLS = 1 << 21
+CELLS = 1 << 19
 #: Words of texts (or numbers of vectors) that are scored at once, and products with the queries' weights; a longer text is taken alone.
 WORDS, PRODUCTS = 1 << 18, 1 << 20
 #: Candidates that a task holds before it drops those beyond the k best of their query.
-HELD = 1 << 20
+HELD = 1 << 18
 
 #: From a batch of rows to its scores, rows by queries, and which of them count (None: all).
 Score = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray | None]]

@@ -48,9 +48,13 @@ def load(spark: SparkSession, path: str) -> VectorIndex:
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
-    """The n nearest centroids of each row, nearest first."""
-    d = (centroids * centroids).sum(1)[None] - 2 * x @ centroids.T
-    return d.argmin(1)[:, None] if n == 1 else np.argsort(d, axis=1, kind="stable")[:, :n]
+    """The n nearest centroids of each row, nearest first; scoring.CELLS distances are held at once."""
+    out, squares = np.empty((len(x), min(n, len(centroids))), np.int64), (centroids * centroids).sum(1)[None]
+    step = max(1, scoring.CELLS // max(1, len(centroids)))
+    for i in range(0, len(x), step):
+        d = squares - 2 * x[i : i + step] @ centroids.T
+        out[i : i + step] = d.argmin(1)[:, None] if n == 1 else np.argsort(d, axis=1, kind="stable")[:, :n]
+    return out
 
 
 def fitted(x: np.ndarray, lists: int, rounds: int = 12) -> np.ndarray:
