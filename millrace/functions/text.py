@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,16 @@ def hash_bucket(key: Column | str, buckets: Column | int) -> Column:
 # tokens
 
 
+def pieces(texts: pd.Series, chars: int = 1 << 18) -> Iterator[pd.Series]:
+    """A batch's texts in parts of at most so many characters, so that what is made of them is held for a part only; a longer text is alone."""
+    ends = np.cumsum([len(t) if isinstance(t, str) else 0 for t in texts])
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chars, "right")))
+        yield texts.iloc[at:end]
+        at = end
+
+
 def tokens(text: Column | str, min_chars: int = 1) -> Column:
     """Lower-cased runs of letters and digits."""
     words = F.array_remove(F.split(F.lower(_c(text)), r"[^\p{L}\p{N}]+"), "")

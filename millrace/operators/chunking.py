@@ -40,7 +40,8 @@ def average_linkage(vectors: np.ndarray, clusters: int) -> list[int]:
     """Labels by repeatedly joining the two clusters of least mean cosine distance; numbered by first member."""
     n = len(vectors)
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    dist = 1 - unit @ unit.T
+    dist = unit @ unit.T
+    np.subtract(1, dist, out=dist)
     np.fill_diagonal(dist, np.inf)
     size, label = np.ones(n), np.arange(n)
     for _ in range(n - max(1, clusters)):
@@ -81,7 +82,8 @@ def semantic_chunks(pages: DataFrame, text_col: str = "page_content", group_size
     @F.pandas_udf("array<string>")
     def clustered(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
-            yield s.map(lambda t: None if t is None else cluster_chunks(t, group_size, embed))
+            for part in X.pieces(s):
+                yield part.map(lambda t: None if t is None else cluster_chunks(t, group_size, embed))
 
     easy = section_chunks(text_col, group_size)
     # a page that the ladder settles reaches the function as null and costs it nothing
@@ -131,7 +133,8 @@ def children(parents: DataFrame, size: int = 256, overlap: int = 50, length: Len
     @F.pandas_udf("array<string>")
     def split(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
-            yield s.map(lambda t: split_recursively(t or "", size, overlap, length=length))
+            for part in X.pieces(s):
+                yield part.map(lambda t: split_recursively(t or "", size, overlap, length=length))
 
     cut = parents.withColumn("parts", F.filter(split("page_content"), lambda p: p != F.col("page_content")))
     alone = F.lit(keep_whole) & (F.size("parts") == 0)

@@ -66,3 +66,15 @@ def test_a_vector_is_measured_once_and_not_for_each_element(spark):
     assert [r["n"] for r in out.orderBy("id").collect()] == [[0.6, 0.8], [0.0, 0.0], None, [], [1.0, None]]
     # the function of an element holds no sum over elements
     assert "aggregate" not in out._jdf.queryExecution().analyzed().toString().split("lambdafunction(CASE")[-1].split("namedlambdavariable() END")[0]
+
+
+def test_texts_are_worked_on_in_pieces_of_a_batch(spark):
+    assert [p.tolist() for p in X.pieces(pd.Series(["ab", None, "cdef", "g" * 9, "h"], dtype=object), 5)] == [["ab", None], ["cdef"], ["ggggggggg"], ["h"]]
+    assert list(X.pieces(pd.Series([], dtype=object))) == []
+    texts = [f"{i}\n{'y' * 3000} {i}" for i in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
+    dictionary = segmentation.Dictionary([("yy", 5), ("y", 1)])
+    words = segmentation.segmented(rows, "t", segmentation.Segmenter(dictionary, unspaced="[a-z]")).orderBy("id").collect()
+    assert [r["id"] for r in words] == list(range(300)) and all("".join(r["words"]) == texts[r["id"]].replace("\n", "").replace(" ", "") for r in words)
+    kids = chunking.semantic_chunks(rows.select("id", F.concat(F.lit("a\n\nb\n\n"), "t").alias("page_content")), group_size=2).select("id", F.array_join("chunks", "").alias("c")).collect()
+    assert len(kids) == 300 and all(str(r["id"]) in r["c"] for r in kids)
