@@ -8,14 +8,16 @@ rows are joined with the queries' terms, which the term filter and the k rows a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..session import scratch
@@ -139,7 +141,7 @@ def tfidf(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
         few = all_terms.where(F.col("df") <= all_terms.orderBy(F.desc("df"), "term").limit(FREQUENT_TERMS).agg(F.min("df")).first()[0])
         known = index.docs.sparkSession.createDataFrame(frequent.select(["term"]))
         few = few.join(known, "term", "left_anti")
-        squares = term_counts(docs, "unique_id", F.col("words")).join(few, "term").groupBy("unique_id").agg(F.sum((F.col("tf") * F.col("idf")) ** 2).alias("rare"))
+        squares = rare_counts(docs, sent).join(few, "term").groupBy("unique_id").agg(F.sum((F.col("tf") * F.col("idf")) ** 2).alias("rare"))
         rare = docs.join(squares, "unique_id", "left").select("unique_id", "words", F.coalesce("rare", F.lit(0.0)).alias("rare"))
     # every term's frequency is known already unless there are more than that
     terms_idf = all_terms.select("term", "idf") if rare is not None else index.docs.sparkSession.createDataFrame(frequent)
@@ -155,6 +157,22 @@ def tfidf(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
     return _best_texts(docs if rare is None else rare, weights, asked, k, weigh)
 
 
+def rare_counts(docs: DataFrame, frequent: Broadcast) -> DataFrame:
+    """(unique_id, term, tf) of the terms of docs (unique_id, words) that are not in frequent (a broadcast pair, terms first): counted in each
+    row, so that no posting of a frequent term is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in scoring.slices(b, b.num_rows):
+                words = pc.unique(part.column(1).flatten()).drop_null()
+                rare = words.filter(pc.invert(pc.is_in(words, value_set=frequent.value[0])))
+                row, term, times, _ = scoring.word_counts(part.column(1), rare)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), rare.take(pa.array(term)), pa.array(times, pa.int64())], ["unique_id", "term", "tf"])
+
+    schema = T.StructType([docs.schema["unique_id"], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    return docs.select("unique_id", "words").mapInArrow(run, schema)
+
+
 def tfidf_weights(counts: DataFrame, idf: DataFrame, id_col: str) -> DataFrame:
     """(id, term, weight) of length 1 an id."""
     w = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))

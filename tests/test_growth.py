@@ -89,3 +89,9 @@ def test_buckets_of_generation_grow_with_the_table(spark, tmp_path, monkeypatch)
     monkeypatch.setattr(plans, "BUCKET_ROWS", 5, raising=False)
     monkeypatch.setattr(generation, "generated", lambda todo, text, ask, path, pool=None, buckets=200: asked.append(buckets) or todo.withColumn("raw_resp", F.col(text)))
     assert plans.pooled(spark, str(tmp_path)).count() == 95 and asked == [19, 19]
+
+
+def test_only_rare_terms_are_shuffled_for_norms(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "b", "c"]), (2, ["a"]), (3, None), (4, ["c", None, "c", "d"])], "unique_id long, words array<string>")
+    sent = spark.sparkContext.broadcast((pa.array(["a", "c"]), None))
+    assert sorted(tuple(r) for r in retrieval.rare_counts(docs, sent).collect()) == [(1, "b", 2), (4, "d", 1)]
