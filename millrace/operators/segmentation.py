@@ -12,7 +12,7 @@ tasks), or learned from a corpus: letter groups that occur often, hold together
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as X
 from ..session import scratch
 
 #: Scripts that are written without spaces: Han, Kana, Thai, Lao, Myanmar, Khmer.
@@ -49,10 +50,10 @@ class Dictionary:
         self.keys: dict[int, np.ndarray] = {}  # their hashes, in order
         self.scores: dict[int, np.ndarray] = {}
         for size, own in by.items():
-            letters = _points("".join(own)).reshape(-1, size).astype(np.uint64)
+            letters = _points("".join(own)).reshape(-1, size)
             keys = np.zeros(len(letters), np.uint64)
             for j in range(size):
-                keys = keys * FACTOR + letters[:, j] + np.uint64(1)
+                keys = keys * FACTOR + letters[:, j].astype(np.uint64) + np.uint64(1)
             order = np.argsort(keys, kind="stable")
             self.words[size], self.keys[size] = letters[order], keys[order]
             self.scores[size] = np.log(np.array(list(own.values())))[order] - self.total
@@ -150,8 +151,10 @@ class Segmenter:
         sent = spark.sparkContext.broadcast(self)
 
         @F.pandas_udf(T.ArrayType(T.StringType()))
-        def cut(texts: pd.Series) -> pd.Series:
-            return pd.Series(sent.value.words(texts.tolist()), dtype=object)
+        def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for s in batches:
+                for part in X.pieces(s, PIECE):
+                    yield pd.Series(sent.value.words(part.tolist()), dtype=object)
 
         return lambda text: cut(F.col(text) if isinstance(text, str) else text)
 
