@@ -67,8 +67,9 @@ class Best:
 
 
 def slices(b: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
-    """b in parts of at most most rows and, by its second column of lists, WORDS items, whatever the batch's own size."""
-    ends = np.cumsum(pc.list_value_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    """b in parts of at most most rows and, by its second column of lists (or of codes, whose items are bytes), WORDS items, whatever the batch's own size."""
+    sizes = pc.list_value_length if pa.types.is_nested(b.column(1).type) else pc.binary_length
+    ends = np.cumsum(sizes(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < b.num_rows:
         end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORDS, "right"))
