@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch
+from ..session import discard, scratch
 
 #: Rows of keys that are sent to every executor at once (under 100 bytes each).
 BLOCK_ROWS = 400_000
@@ -58,11 +58,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
 def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and every executor can read it again."""
     spark = df.sparkSession

@@ -26,8 +26,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import discard, scratch
 from . import scoring
-from .retrieval import term_counts, top_k
+from .retrieval import counted_rows, term_counts, top_k
 
 SHARD_DOCS = 8192
 RANGE = 128
@@ -109,35 +110,72 @@ def opened(spark: SparkSession, path: str) -> Store:
     return Store(spark, path, spark.read.parquet(f"{path}/totals").first().asDict())
 
 
-def _postings(docs: DataFrame, shards: int, base: int) -> tuple[DataFrame, DataFrame]:
-    """(documents, postings) of docs (unique_id, terms, doc_len), which are shuffled once, by shard: what follows groups within it.
-
-    terms: words, which are counted, or structs of term and value.
+def _ranges(docs: DataFrame, shards: int, base: int) -> DataFrame:
+    """The lists of docs (unique_id, terms, values, doc_len), a row a term and range; and for each range a row without a term, which has the ids and
+    lengths of its documents. Documents are shuffled once, by shard: what follows groups within it.
     """
     dealt = docs.withColumn("shard", F.pmod(F.xxhash64(F.col("unique_id").cast("string")), F.lit(shards)).cast("int") + base)
     placed = dealt.withColumn("place", F.row_number().over(Window.partitionBy("shard").orderBy("unique_id")) - 1)
-    rows = placed.withColumn("range", F.floor(F.col("place") / RANGE).cast("int")).select("shard", "range", "place", "doc_len", F.explode("terms").alias("t"))
-    if isinstance(docs.schema["terms"].dataType.elementType, T.StringType):
-        own = rows.where("t IS NOT NULL").groupBy("shard", "range", "place", "doc_len", F.col("t").alias("term")).agg(F.count("*").cast("double").alias("value"))
-    else:
-        own = rows.select("shard", "range", "place", "doc_len", "t.term", F.col("t.value").cast("double").alias("value"))
-    lists = own.groupBy("shard", "range", "term").agg(F.array_sort(F.collect_list(F.struct("place", "value", "doc_len"))).alias("p"))  # RANGE documents at most
-    kept = lists.select("term", "shard", "range", F.array_max("p.value").alias("max_value"), F.array_min("p.doc_len").alias("min_len"), F.col("p.place").alias("places"), F.col("p.value").alias("values"), F.col("p.doc_len").alias("lengths"))
-    return placed.select("shard", "place", "unique_id", "doc_len"), kept
+    placed = placed.withColumn("range", F.floor(F.col("place") / RANGE).cast("int"))
+
+    def run(table: pa.Table) -> pa.Table:
+        """table: the documents of a range, RANGE at most"""
+        table = table.sort_by("place")
+        place, length, ids = (table[c].combine_chunks() for c in ("place", "doc_len", "unique_id"))
+        sizes = pc.list_value_length(table["terms"]).to_numpy().astype(np.int64)
+        coded = pc.list_flatten(table["terms"]).combine_chunks().dictionary_encode()
+        term, value = coded.indices.to_numpy(), pc.list_flatten(table["values"]).to_numpy()
+        order = np.argsort(term, kind="stable")
+        document, value = np.repeat(np.arange(len(sizes)), sizes)[order], value[order]
+        first = np.searchsorted(term[order], np.arange(len(coded.dictionary)))
+        ends = np.concatenate([first, [len(term), len(term)]])  # the last list is empty but for documents
+        places, lengths = place.to_numpy()[document], length.to_numpy()[document]
+        at = np.append(ends[:-1], len(term) + len(sizes))
+        listed = lambda offsets, flat, kind: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
+        n = len(first)
+        best = (np.maximum.reduceat(value, first), np.minimum.reduceat(lengths, first)) if n else (np.empty(0), np.empty(0, np.int32))
+        one = lambda name: pa.repeat(table[name][0], n + 1)
+        columns = {
+            "term": pa.concat_arrays([coded.dictionary, pa.nulls(1, coded.dictionary.type)]),
+            "shard": one("shard"),
+            "range": one("range"),
+            "max_value": pa.array(np.append(best[0], 0.0), pa.float64()),
+            "min_len": pa.array(np.append(best[1], 0), pa.int32()),
+            "places": listed(at, np.concatenate([places, place.to_numpy()]), pa.int32()),
+            "values": listed(ends, value, pa.float64()),
+            "lengths": listed(at, np.concatenate([lengths, length.to_numpy()]), pa.int32()),
+            "ids": pa.ListArray.from_arrays(pa.array(np.append(np.zeros(n + 1), len(sizes)), pa.int32()), ids),
+        }
+        return pa.table(columns)
+
+    id_type = docs.schema["unique_id"].dataType.simpleString()
+    schema = TABLES["postings"].removesuffix(", bucket int") + f", ids array<{id_type}>"
+    return placed.groupBy("shard", "range").applyInArrow(run, schema)
+
+
+def _staged(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def _written(store: Store, docs: DataFrame, base: int) -> Store:
-    """Adds the shards of docs (unique_id, terms, doc_len) from number base on, then the new totals."""
+    """Adds the shards of docs (unique_id, terms, values, doc_len) from number base on, then the new totals. Docs are worked out once and staged, and so
+    are their lists, as ranges of terms are sampled before they are written."""
     spark, path = store.spark, store.path
-    counts = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("len"), F.coalesce(F.sum(F.size(F.array_distinct("terms"))), F.lit(0)).alias("postings")).first()
+    own, docs_path = _staged(docs.withColumn("n_terms", F.size("terms")), "lexical-docs")
+    counts = own.agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("len"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("postings")).first()
     shards = max(1, -(-counts["n"] // SHARD_DOCS))
     buckets = store.totals.get("buckets") or max(1, min(MOST_BUCKETS, -(-counts["postings"] // BUCKET_POSTINGS)))
     store.totals |= {"buckets": buckets, "shards": base + shards, "n_docs": store.totals.get("n_docs", 0) + counts["n"], "total_len": store.totals.get("total_len", 0) + counts["len"], "id_type": docs.schema["unique_id"].dataType.simpleString()}
-    documents, postings = _postings(docs, shards, base)
-    own = postings.withColumn("bucket", store.bucket())
-    ranged = own.repartitionByRange("bucket", "term", "shard").sortWithinPartitions("bucket", "term", "shard", "range")
+    ranges, ranges_path = _staged(_ranges(own.drop("n_terms"), shards, base), "lexical-ranges")
+    postings = ranges.where("term IS NOT NULL").drop("ids").withColumn("bucket", store.bucket())
+    ranged = postings.repartitionByRange("bucket", "term", "shard").sortWithinPartitions("bucket", "term", "shard", "range")
     ranged.write.mode("append").partitionBy("bucket").option("parquet.block.size", 8 << 20).option("parquet.page.size", 64 << 10).parquet(f"{path}/postings")
-    documents.write.mode("append").parquet(f"{path}/documents")
+    documents = ranges.where("term IS NULL").select("shard", F.explode(F.arrays_zip("places", "ids", "lengths")).alias("d"))
+    documents.select("shard", F.col("d.places").alias("place"), F.col("d.ids").alias("unique_id"), F.col("d.lengths").alias("doc_len")).write.mode("append").parquet(f"{path}/documents")
+    discard(spark, docs_path)
+    discard(spark, ranges_path)
     new = store.table("postings").where(F.col("shard") >= base).groupBy("bucket", "term").agg(F.sum(F.size("places")).alias("df"))
     new.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket").parquet(f"{path}/terms")
     n = store.totals["n_docs"]
@@ -150,12 +188,13 @@ def _written(store: Store, docs: DataFrame, base: int) -> Store:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select("unique_id", F.coalesce("words", F.array().cast("array<string>")).alias("terms")).withColumn("doc_len", F.size("terms"))
+    counted = counted_rows(docs.select("unique_id", F.coalesce("words", F.array().cast("array<string>")).alias("words")))
+    return counted.select("unique_id", "terms", F.col("times").cast("array<double>").alias("values"), "doc_len")
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
-    own = rows.where("term IS NOT NULL AND weight IS NOT NULL").groupBy("unique_id").agg(F.collect_list(F.struct("term", F.col("weight").alias("value"))).alias("terms"))
-    return own.withColumn("doc_len", F.size("terms"))
+    own = rows.where("term IS NOT NULL AND weight IS NOT NULL").groupBy("unique_id").agg(F.collect_list(F.struct("term", F.col("weight").cast("double").alias("value"))).alias("t"))
+    return own.select("unique_id", F.col("t.term").alias("terms"), F.col("t.value").alias("values"), F.size("t").alias("doc_len"))
 
 
 def build_texts(docs: DataFrame, path: str) -> Store:
@@ -168,6 +207,12 @@ def build_vectors(rows: DataFrame, path: str) -> Store:
     return _written(Store(rows.sparkSession, path), _vectors(rows), 0)
 
 
+def build_vector_rows(vectors: DataFrame, path: str) -> Store:
+    """build_vectors() of vectors that come in a row each, (unique_id, terms, weights), without nulls in them: nothing is shuffled to make them."""
+    own = vectors.select("unique_id", "terms", F.col("weights").cast("array<double>").alias("values"), F.size("terms").alias("doc_len"))
+    return _written(Store(vectors.sparkSession, path), own, 0)
+
+
 def append_texts(store: Store, docs: DataFrame) -> Store:
     return _written(store, _texts(docs), store.totals["shards"])
 

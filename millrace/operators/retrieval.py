@@ -38,6 +38,35 @@ def term_counts(df: DataFrame, id_col: str, words: Column) -> DataFrame:
     return df.select(F.col(id_col), F.explode(words).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
+def counted_rows(docs: DataFrame, dims: int | None = None) -> DataFrame:
+    """(unique_id, doc_len, terms, times): the words of docs (unique_id, words), counted in their own row, so that no word is shuffled; null words are
+    no terms, but count in doc_len. dims: only so many terms a row, the most frequent ones, of equal counts those that sort first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in scoring.slices(b, b.num_rows):
+                words = part.column(1)
+                lengths = pc.list_value_length(words)
+                n = lengths.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                coded = words.flatten().dictionary_encode()
+                term = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                row, size, known = np.repeat(np.arange(len(n)), n), max(1, len(coded.dictionary)), term >= 0
+                key, times = np.unique(row[known] * size + term[known], return_counts=True)
+                row, term = key // size, key % size
+                if dims is not None:
+                    by_name = np.argsort(pc.sort_indices(coded.dictionary).to_numpy())
+                    order = np.lexsort((by_name[term], -times, row))
+                    row, term, times = row[order], term[order], times[order]
+                    use = np.arange(len(row)) - np.searchsorted(row, row, side="left") < dims
+                    row, term, times = row[use], term[use], times[use]
+                at = pa.array(np.searchsorted(row, np.arange(len(n) + 1)), pa.int32())
+                terms = pa.ListArray.from_arrays(at, coded.dictionary.take(pa.array(term)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lengths, terms, pa.ListArray.from_arrays(at, pa.array(times, pa.int64()))], ["unique_id", "doc_len", "terms", "times"])
+
+    kinds = T._parse_datatype_string("doc_len int, terms array<string>, times array<long>").fields
+    return docs.select("unique_id", "words").mapInArrow(run, T.StructType([docs.schema["unique_id"], *kinds]))
+
+
 @dataclass
 class LexicalIndex:
     """docs: (unique_id, words). Frequencies are combined map-side, in one pass with the totals, and staged."""
@@ -211,6 +240,11 @@ def sparse_vectors(df: DataFrame, id_col: str, words: Column, dims: int = 200) -
     return w.withColumn("place", F.row_number().over(order)).where(F.col("place") <= dims).drop("place")
 
 
+def sparse_rows(docs: DataFrame, dims: int = 200) -> DataFrame:
+    """sparse_vectors() of docs (unique_id, words), a row a text: (unique_id, terms, weights). What is in a text is decided in its own row."""
+    return counted_rows(docs, dims).select("unique_id", "terms", F.transform("times", F.log1p).alias("weights"))
+
+
 def sparse(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Inner product over (unique_id, term, weight) and (query_id, term, weight)."""
     asked = queries.select("query_id", "term", F.col("weight").alias("q_weight"))

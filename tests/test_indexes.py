@@ -145,3 +145,29 @@ def test_many_query_blocks(spark, monkeypatch):
     want = ranked(retrieval.dense(v, q, 3))
     monkeypatch.setattr(scoring, "BLOCK_QUERIES", 7)
     assert ranked(retrieval.dense(v, q, 3)) == want
+
+
+def test_lexical_build_reads_its_source_once(spark, tmp_path):
+    """Neither the words nor the lists are worked out again for the counts, the ranges' bounds or the table of documents."""
+    seen = spark.sparkContext.accumulator(0)
+    docs = corpus(spark, 200, 1)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    store = lexical_store.build_texts(docs.mapInArrow(counted, docs.schema), str(tmp_path / "texts"))
+    assert store.totals["n_docs"] == 200 and seen.value == 200
+
+
+def test_sparse_vectors_in_their_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical_store, "SHARD_DOCS", 50)
+    docs, queries = corpus(spark, 200, 3), asked(spark)
+    pairs = retrieval.sparse_rows(docs, 6).select("unique_id", F.explode(F.arrays_zip("terms", "weights")).alias("t"))
+    want = retrieval.sparse_vectors(docs, "unique_id", F.col("words"), 6)
+    of = lambda df: sorted((r[0], r[1], round(r[2], 12)) for r in df.collect())
+    assert of(pairs.select("unique_id", "t.terms", "t.weights")) == of(want.select("unique_id", "term", "weight"))
+    weights = retrieval.sparse_vectors(queries, "query_id", F.col("words"))
+    store = lexical_store.build_vector_rows(retrieval.sparse_rows(docs, 6), str(tmp_path))
+    assert ranked(lexical_store.search(store, weights, 5, lexical_store.InnerProduct())) == ranked(retrieval.sparse(want, weights, 5))
