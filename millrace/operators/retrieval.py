@@ -69,17 +69,28 @@ def counted_rows(docs: DataFrame, dims: int | None = None) -> DataFrame:
 
 @dataclass
 class LexicalIndex:
-    """docs: (unique_id, words). Frequencies are combined map-side, in one pass with the totals, and staged."""
+    """docs: (unique_id, words), a row a document. Frequencies are combined map-side, in one pass with the totals, and staged."""
 
     docs: DataFrame
+    _rows: DataFrame | None = None
     _counted: DataFrame | None = None
     _totals: Row | None = None
 
+    def rows(self) -> DataFrame:
+        """counted_rows() of docs, worked out once for the index and staged; what is asked for later comes from them."""
+        if self._rows is None:
+            own = counted_rows(self.docs)
+            path = scratch(self.docs.sparkSession, "counted")
+            own.write.parquet(path)
+            self._rows = self.docs.sparkSession.read.schema(own.schema).parquet(path)
+        return self._rows
+
     def counted(self) -> DataFrame:
         """(term, df, texts, len): a row a term, and one without a term for all documents: how many, how many with words, and their words together."""
         if self._counted is None:
-            every = F.concat(F.array_distinct(F.coalesce("words", F.array().cast("array<string>"))), F.array(F.lit(None).cast("string")))
-            rows = self.docs.select(F.explode(every).alias("term"), F.size("words").cast("long").alias("len"))
+            words, size = (F.array_distinct(F.coalesce("words", F.array().cast("array<string>"))), F.size("words")) if self._rows is None else (F.col("terms"), F.col("doc_len"))
+            every = F.concat(words, F.array(F.lit(None).cast("string")))
+            rows = (self.docs if self._rows is None else self._rows).select(F.explode(every).alias("term"), size.cast("long").alias("len"))
             whole = F.col("term").isNull()
             own = rows.groupBy("term").agg(F.count("*").alias("df"), F.count(F.when(whole, F.col("len"))).alias("texts"), F.sum(F.when(whole, F.col("len"))).alias("len"))
             path = scratch(self.docs.sparkSession, "terms")
@@ -95,18 +106,16 @@ class LexicalIndex:
         return self._totals
 
     def lengths(self) -> DataFrame:
-        return self.docs.select("unique_id", F.size("words").alias("doc_len"))
+        return self.rows().select("unique_id", "doc_len")
 
     def frequencies(self) -> DataFrame:
         """(term, df)"""
         return self.counted().where("term IS NOT NULL").select("term", "df")
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """(unique_id, doc_len, term, tf), of the given terms only if there are any: the filter comes before the shuffle."""
-        words = self.docs.select("unique_id", F.size("words").alias("doc_len"), F.explode("words").alias("term"))
-        if terms is not None:
-            words = words.join(terms.select("term").distinct(), "term", "left_semi")
-        return words.groupBy("unique_id", "doc_len", "term").agg(F.count("*").alias("tf"))
+        """(unique_id, doc_len, term, tf), of the given terms only if there are any."""
+        own = self.rows().select("unique_id", "doc_len", F.explode(F.arrays_zip("terms", "times")).alias("t")).select("unique_id", "doc_len", F.col("t.terms").alias("term"), F.col("t.times").alias("tf"))
+        return own if terms is None else own.join(terms.select("term").distinct(), "term", "left_semi").select(own.columns)
 
 
 def lexical_index(docs: DataFrame, id_col: str = "unique_id", text_col: str = "page_content", tokenizer=X.tokens) -> LexicalIndex:

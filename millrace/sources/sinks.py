@@ -50,8 +50,8 @@ def rewards(df: DataFrame, path: str) -> None:
 
 
 def lexical(index: LexicalIndex, path: str) -> None:
-    """postings, frequencies and lengths as tables under path, postings ranged by term for pruned reads."""
-    index.postings().repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    """postings, frequencies and lengths as tables under path, postings ranged by term for pruned reads (by id within a term, as a frequent one fills several files)."""
+    index.postings().repartitionByRange("term", "unique_id").sortWithinPartitions("term", "unique_id").write.mode("overwrite").parquet(f"{path}/postings")
     index.frequencies().write.mode("overwrite").parquet(f"{path}/frequencies")
     index.lengths().write.mode("overwrite").parquet(f"{path}/lengths")
 

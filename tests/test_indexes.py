@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import compressed_index, lexical_store, retrieval, scoring
+from millrace.sources import sinks
 
 SF = "/root/testdata/sf0.1"
 
@@ -171,3 +172,22 @@ def test_sparse_vectors_in_their_rows(spark, tmp_path, monkeypatch):
     weights = retrieval.sparse_vectors(queries, "query_id", F.col("words"))
     store = lexical_store.build_vector_rows(retrieval.sparse_rows(docs, 6), str(tmp_path))
     assert ranked(lexical_store.search(store, weights, 5, lexical_store.InnerProduct())) == ranked(retrieval.sparse(want, weights, 5))
+
+
+def test_lexical_tables_read_their_source_once(spark, tmp_path):
+    """The words are counted once for postings, frequencies and lengths."""
+    seen = spark.sparkContext.accumulator(0)
+    docs = corpus(spark, 300, 4)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    sinks.lexical(retrieval.LexicalIndex(docs.mapInArrow(counted, docs.schema)), str(tmp_path))
+    assert seen.value == 300
+    read = lambda name: spark.read.parquet(str(tmp_path / name))
+    want = docs.select("unique_id", F.explode("words").alias("term")).groupBy("unique_id", "term").agg(F.count("*").alias("tf"))
+    assert sorted(map(tuple, read("postings").select("unique_id", "term", "tf").collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, read("frequencies").collect())) == sorted(map(tuple, want.groupBy("term").count().collect()))
+    assert dict(map(tuple, read("lengths").collect())) == {r["unique_id"]: None if r["words"] is None else len(r["words"]) for r in docs.collect()}
