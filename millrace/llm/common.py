@@ -38,6 +38,7 @@ def held(key: str, make: Callable[[], object]) -> object:
         _held.clear()
         release()
         _held[key] = make()
+        release()  # what making it took besides
     return _held[key]
 
 

@@ -42,6 +42,8 @@ FIRST_BLOCKS = 4
 HEAVY = 30
 #: Bytes of text whose terms are counted at once, about.
 FLUSH_BYTES = 4 << 20
+#: The same for what this module counts: words and places of a slice take some fifteen times its bytes in a worker.
+SLICE_BYTES = 1 << 20
 #: Postings that are added up at once, about.
 CELLS = 1 << 19
 #: Terms of which the counts travel in one row.
@@ -81,11 +83,11 @@ def counted(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, n
     return key // max(1, len(terms)), key % max(1, len(terms)), times
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Batches of about FLUSH_BYTES of text, or of one longer text."""
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of about most bytes of text (FLUSH_BYTES by default), or of one longer text."""
     for b in batches:
         size = pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
-        group = np.cumsum(size) // FLUSH_BYTES
+        group = np.cumsum(size) // (most or FLUSH_BYTES)
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), b.num_rows]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             if hi > lo:
@@ -98,7 +100,7 @@ def document_frequencies(docs: DataFrame, terms: pa.Array, text_col: str) -> tup
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(len(sent.value) + 1, np.int64), 0
-        for b in slices(batches, 0):
+        for b in slices(batches, 0, SLICE_BYTES):
             _, term, _ = counted(b.column(0), sent.value)
             total += np.bincount(term, minlength=len(total))
             rows += b.num_rows
@@ -142,7 +144,7 @@ class BlockMaxIndex:
     def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int, n_terms: int, block: int = BLOCK) -> None:
         self.size, self.blocks, self.block = size, -(-size // block), block
         heavy = np.flatnonzero(np.bincount(term, minlength=n_terms) * HEAVY > size)
-        self.heavy = np.full(n_terms, -1)
+        self.heavy = np.full(n_terms, -1, np.int32)
         self.heavy[heavy] = np.arange(len(heavy))
         row = self.heavy[term]
         self.rows = np.zeros((len(heavy), size))
@@ -151,14 +153,14 @@ class BlockMaxIndex:
         example, term, weight = example[row < 0], term[row < 0], weight[row < 0]
         order = np.lexsort((example, term))
         example, term, self.weight = example[order], term[order], weight[order]
-        self.example = example
+        self.example = example.astype(np.int32)
         key = term * max(1, self.blocks) + example // block
         first = np.flatnonzero(np.diff(key, prepend=-1) != 0)
-        self.at = np.append(first, len(key))  # where a cell's postings begin
-        self.cell_block = key[first] % max(1, self.blocks)
+        self.at = np.append(first, len(key)).astype(np.int32)  # where a cell's postings begin
+        self.cell_block = (key[first] % max(1, self.blocks)).astype(np.int32)
         self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
-        self.cells = np.searchsorted(key[first] // max(1, self.blocks), np.arange(n_terms + 1))  # where a term's cells begin
-        self.postings = np.bincount(term, minlength=n_terms)
+        self.cells = np.searchsorted(key[first] // max(1, self.blocks), np.arange(n_terms + 1)).astype(np.int32)  # where a term's cells begin
+        self.postings = np.bincount(term, minlength=n_terms).astype(np.int32)
 
     def nearest(self, text: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each of n texts, from (text, term, weight) ordered by text: the numbers and cosines of the k nearest examples of
@@ -265,7 +267,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE_BYTES):
             unique, which, ends = words(b.column(1))
             own, lo = [], 0
             for hi in ends.tolist():
@@ -323,7 +325,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     def made() -> BlockMaxIndex:
         _, weight, text, term, w, ids, _, _ = sent.value
-        return BlockMaxIndex(text.astype(np.int64), term.astype(np.int64), w, len(ids), len(weight))
+        return BlockMaxIndex(text, term.astype(np.int64), w, len(ids), len(weight))
 
     def index() -> BlockMaxIndex:
         return held(key, made)
@@ -353,7 +355,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         kind = pa.list_(pa.struct([("id", pa.string()), ("label", pa.int32()), ("similarity", pa.float64())]))
         if model_ := sent.value:
             terms, weight, _, _, _, ids, ys, votes = model_
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE_BYTES):
             scores, proof = [blank] * b.num_rows, [[]] * b.num_rows
             if model_:
                 own = counted(b.column(1), terms)

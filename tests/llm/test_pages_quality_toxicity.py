@@ -4,10 +4,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from millrace.llm import html_extract, quality, toxicity
+from millrace.llm import common, html_extract, quality, toxicity
 
 
 def page(body):
@@ -293,3 +294,17 @@ def test_whole_resampling_against_plain_code(spark, docs_of, span):
     got = quality.resample(docs_of(rows), spark.createDataFrame(marks, "doc_id long, quality int"), keep=0.6, buckets=buckets, span=span).collect()
     key = lambda r: (str(r[0]), round(r[1], 6), round(r[2], 6), r[3])
     assert sorted(map(key, got)) == sorted(key((i, w, s, s >= edge)) for (i, _), w, s in zip(rows, weight, sums, strict=True))
+
+
+def test_what_a_worker_holds(monkeypatch):
+    """What making an index takes is given back before it is asked; its places are numbers of 4 bytes; texts are counted a megabyte at a time."""
+    done = []
+    monkeypatch.setattr(common, "release", lambda: done.append("released"))
+    monkeypatch.setattr(common, "_held", {})
+    assert common.held("index", lambda: done.append("made") or 7) == 7
+    assert done == ["released", "made", "released"]
+    index = toxicity.BlockMaxIndex(np.arange(90), np.arange(90) % 7, np.ones(90), 90, 7, block=16)
+    assert {x.dtype.itemsize for x in (index.example, index.at, index.cell_block, index.cells, index.postings, index.heavy)} == {4}
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(["word " * 2000] * 400)], ["id", "text"])
+    parts = list(toxicity.slices(iter([batch]), most=toxicity.SLICE_BYTES))
+    assert sum(p.num_rows for p in parts) == 400 and max(p.num_rows for p in parts) * 10_000 <= 1.1 * 2**20
