@@ -25,10 +25,11 @@ def sparse_weight(logit: Column) -> Column:
 
 
 def resized(width: Column, height: Column, max_pixels: int, min_pixels: int) -> tuple[Column, Column]:
-    """Width and height scaled into the pixel bounds, ratio kept."""
-    area = (width * height).cast("double")
-    factor = F.when(area > max_pixels, F.sqrt(F.lit(float(max_pixels)) / area)).when(area < min_pixels, F.sqrt(F.lit(float(min_pixels)) / area)).otherwise(F.lit(1.0))
-    return (width * factor).cast("int"), (height * factor).cast("int")
+    """Width and height scaled into the pixel bounds, ratio kept; null for a picture without area, which no factor brings into them."""
+    area = width.cast("double") * height.cast("double")
+    grown = F.when(area > 0, F.sqrt(F.lit(float(min_pixels)) / area))
+    factor = F.when(area > max_pixels, F.sqrt(F.lit(float(max_pixels)) / area)).when(area < min_pixels, grown).otherwise(F.lit(1.0))
+    return (width * factor).cast("long"), (height * factor).cast("long")
 
 
 def frame_indices(total: Column, duration_s: Column, fps: float, max_frames: int) -> Column:

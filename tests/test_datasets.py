@@ -17,6 +17,14 @@ def test_inferred_lengths(spark, args, want):
     assert tuple(row) == want
 
 
+def test_resized_without_area(spark):
+    """A picture without area has no size within the bounds, and doesn't end the job; a very narrow one is longer than an int holds."""
+    rows = [(0, 7), (7, 0), (0, 0), (None, 7), (4, 4), (3072, 768), (1, 10**16)]
+    df = spark.createDataFrame(rows, "w long, h long")
+    got = [tuple(r) for r in df.select(*N.resized(F.col("w"), F.col("h"), 768 * 768, 32 * 32)).collect()]
+    assert got == [(None, None)] * 3 + [(None, 7), (32, 32), (1536, 384), (0, 76800000000)]
+
+
 def test_alpaca_golden(spark):
     df = spark.createDataFrame([("Solve the math problem.", "3 + 4", "The answer is 7.")], "instruction string, input string, output string")
     r = align.align(df, align.Columns()).first()
