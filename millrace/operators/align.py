@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ class Columns:
     observation_tag: str = "observation"
     function_tag: str = "function_call"
     system_tag: str | None = "system"
+    #: Of instruction rows: an empty instruction or input stays a line of its own, and a null one gives a null text; otherwise either is left out.
+    keep_empty: bool = False
 
 
 def message(role: str | Column, content: Column) -> Column:
@@ -63,8 +66,12 @@ def _rest(df: DataFrame, c: Columns, system: Column | None = None) -> list[Colum
 def align_alpaca(df: DataFrame, c: Columns) -> DataFrame:
     """Instruction rows: history pairs, then instruction and input by a line feed; one answer, two for preference, none without."""
     has = lambda name: name and name in df.columns
-    filled = [F.when(F.col(n) != "", F.col(n)) for n in (c.prompt, c.query) if has(n)]
-    asked = F.array(message(USER, F.concat_ws("\n", *filled)))
+    parts = [F.col(n) for n in (c.prompt, c.query) if has(n)]
+    if c.keep_empty and parts:
+        text = reduce(lambda a, b: F.concat(a, F.lit("\n"), b), parts)
+    else:
+        text = F.concat_ws("\n", *[F.when(x != "", x) for x in parts])
+    asked = F.array(message(USER, text))
     if has(c.history):
         pairs = F.transform(c.history, lambda h: F.array(message(USER, h[0]), message(ASSISTANT, h[1])))
         asked = F.concat(F.coalesce(F.flatten(pairs), _none()), asked)

@@ -33,6 +33,14 @@ def test_alpaca_golden(spark):
     assert (r["_system"], r["_tools"], r["_images"]) == ("", "", None)
 
 
+def test_alpaca_empty_parts(spark):
+    """An empty instruction or input is left out, unless it is kept as a line."""
+    df = spark.createDataFrame([("", "b"), ("a", ""), ("a", None), (None, None)], "instruction string, input string")
+    asked = lambda c: [r["_prompt"][0]["content"] for r in align.align(df, c).collect()]
+    assert asked(align.Columns()) == ["b", "a", "a", ""]
+    assert asked(align.Columns(keep_empty=True)) == ["\nb", "a\n", None, None]
+
+
 def turns(spark, *messages):
     return spark.createDataFrame([(list(messages),)], "conversations array<struct<from:string,value:string>>")
 
