@@ -4,8 +4,8 @@ A run of letters of unspaced scripts is cut so that the sum of its words' log fr
 counts as seen once, and of equal paths the one with the longer first word is taken. Other runs of letters and digits are words
 as they are. The finer cut for searches gives, before each word, the shorter dictionary words of two and three letters inside it.
 
-A batch's runs are cut together: the lattice's edges are found by comparing all stretches of one length with the dictionary's words of that length,
-and the best paths are worked out for all runs in step, from their ends. Dictionaries are passed in (at most MOST_WORDS words go to the
+A batch's runs are cut together, the longest first: the lattice's edges are found by looking up the hashes of all stretches of one length among the
+dictionary's words of that length, and the best paths are worked out for all runs of a block in step, from their ends. Dictionaries are passed in (at most MOST_WORDS words go to the
 tasks), or learned from a corpus: letter groups that occur often, hold together and have free neighbours.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,9 @@ UNSPACED = "[㐀-䶿一-鿿豈-﫿\U00020000-\U000323af぀-ヿ฀-໿က-႟ក-
 MOST_WORDS = 1_000_000
 #: Of the hashes of letter groups.
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Letters that are cut at once, about.
-PIECE = 1 << 18
+#: Letters of a batch whose words are held at once, about, and those that are cut at once, so that the caches hold their lattice.
+PIECE = 1 << 19
+BLOCK = 1 << 17
 
 
 def _points(text: str) -> np.ndarray:
@@ -37,7 +39,7 @@ def _points(text: str) -> np.ndarray:
 
 
 class Dictionary:
-    """Words and how often they occur, by length, each length's words sorted."""
+    """Words and how often they occur, by length, each length's words sorted by hash and found by its leading bits."""
 
     def __init__(self, words: Iterable[tuple[str, float]]) -> None:
         by: dict[int, dict[str, float]] = {}
@@ -49,59 +51,102 @@ class Dictionary:
         self.words: dict[int, np.ndarray] = {}  # letters by word
         self.keys: dict[int, np.ndarray] = {}  # their hashes, in order
         self.scores: dict[int, np.ndarray] = {}
+        self.shift: dict[int, np.uint64] = {}  # leaves a hash's leading bits, one or two more than count the words
+        self.first: dict[int, np.ndarray] = {}  # by leading bits: the first word that has them or more
+        self.used: dict[int, np.ndarray] = {}  # whether any has them
         for size, own in by.items():
             letters = _points("".join(own)).reshape(-1, size)
             keys = np.zeros(len(letters), np.uint64)
             for j in range(size):
-                keys = keys * FACTOR + letters[:, j].astype(np.uint64) + np.uint64(1)
+                keys = (keys + letters[:, j].astype(np.uint64) + np.uint64(1)) * FACTOR
             order = np.argsort(keys, kind="stable")
             self.words[size], self.keys[size] = letters[order], keys[order]
             self.scores[size] = np.log(np.array(list(own.values())))[order] - self.total
             if (np.diff(self.keys[size]) == 0).any():
                 raise ValueError(f"two words of {size} letters have the same hash")
+            bits = len(keys).bit_length() + 1
+            self.shift[size] = np.uint64(64 - bits)
+            self.first[size] = np.searchsorted(self.keys[size] >> self.shift[size], np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+            self.used[size] = np.diff(self.first[size]) > 0
 
-    def edges(self, points: np.ndarray) -> np.ndarray:
-        """By place and length - 1: the log share of the word that begins there, -inf without one. points end with longest zeros."""
+    def found(self, points: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """By length: the places where a word begins, and its log share. points end with longest zeros."""
         n = len(points) - self.longest
-        out = np.full((n, self.longest), -np.inf)
-        own, rolled = points.astype(np.uint64), np.zeros(n, np.uint64)
+        letters, rolled = points.astype(np.uint64) + np.uint64(1), np.zeros(n, np.uint64)
         for size in range(1, self.longest + 1):
-            rolled = rolled * FACTOR + own[size - 1 : size - 1 + n] + np.uint64(1)
-            if size in self.keys:
-                keys = self.keys[size]
-                at = np.minimum(np.searchsorted(keys, rolled), len(keys) - 1)
-                hit = np.flatnonzero(keys[at] == rolled)
-                hit = hit[(self.words[size][at[hit]] == own[hit[:, None] + np.arange(size)]).all(1)]
-                out[hit, size - 1] = self.scores[size][at[hit]]
-        return out
+            rolled += letters[size - 1 : size - 1 + n]
+            rolled *= FACTOR
+            if size not in self.keys:
+                continue
+            keys, words, stretches = self.keys[size], self.words[size], np.lib.stride_tricks.sliding_window_view(points, size)
+            lead = (rolled >> self.shift[size]).view(np.int64)
+            place = np.flatnonzero(self.used[size][lead])
+            own, lead = rolled[place], lead[place]
+            at, stop = self.first[size][lead], self.first[size][lead + 1]
+            while len(place):
+                hit = np.flatnonzero(keys[at] == own)
+                where, which = place[hit], at[hit]
+                same = (words[which] == stretches[where]).all(1)
+                yield size, where[same], self.scores[size][which[same]]
+                at = at + 1
+                rest = np.flatnonzero(at < stop)
+                place, own, at, stop = place[rest], own[rest], at[rest], stop[rest]
 
     def cut(self, runs: list[str], finer: bool = False) -> list[list[str]]:
-        """The words of each run."""
+        """The words of each run. Runs of about one length are cut together, so that few steps have few of them."""
         sizes = np.array([len(r) for r in runs], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        ends, out, lo = np.cumsum(sizes[order]), [[] for _ in runs], 0
+        while lo < len(runs):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK, "right")))
+            some = order[lo:hi].tolist()
+            for i, words in zip(some, self._cut([runs[i] for i in some], sizes[order[lo:hi]], finer), strict=True):
+                out[i] = words
+            lo = hi
+        return out
+
+    def _cut(self, runs: list[str], sizes: np.ndarray, finer: bool) -> list[list[str]]:
+        """The words of runs, of which the longest is the first."""
         ends = np.cumsum(sizes)
         text = "".join(runs)
         n, longest = len(text), self.longest
         if not n:
             return [[] for _ in runs]
-        edges = self.edges(np.concatenate([_points(text), np.zeros(longest, np.uint32)]))
+        # a row for each letter: first the last letters of all runs, then those before them, and so on
         left = np.repeat(ends, sizes) - np.arange(n)  # letters to the run's end
-        edges[np.arange(longest)[None] >= left[:, None]] = -np.inf
-        known = np.isfinite(edges)
-        edges[:, 0] = np.where(known[:, 0], edges[:, 0], -self.total)
-        best, step = np.zeros(n + longest + 1), np.ones(n, np.int64)
-        open_, reach = np.argsort(-sizes, kind="stable"), np.arange(1, longest + 1)
-        ordered = sizes[open_]
-        for t in range(1, int(sizes.max()) + 1):
-            at = ends[open_[: np.searchsorted(-ordered, -t, "right")]] - t
-            after = np.where(reach[None] == t, 0.0, best[at[:, None] + reach])  # a run's end costs nothing
-            paths = np.round(edges[at] + after, 9)  # so that equal paths are equal
-            length = longest - paths[:, ::-1].argmax(1)
-            step[at], best[at] = length, paths[np.arange(len(at)), length - 1]
+        counts = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), "right")  # runs of so many letters
+        starts = np.cumsum(counts) - counts
+        row = starts[left - 1] + np.repeat(np.arange(len(runs)), sizes)
+        edges = np.full((n, longest), -np.inf)  # by row: log shares of the words that begin there, the longest first
+        edges[:, -1] = -self.total
+        flat, cell = edges.reshape(-1), (row + 1) * longest
+        known = np.zeros((n, longest) if finer else (0, 0), bool)
+        for size, at, scores in self.found(np.concatenate([_points(text), np.zeros(longest, np.uint32)])):
+            inside = np.flatnonzero(left[at] >= size)
+            at = at[inside]
+            flat[cell[at] - size] = scores[inside]
+            if finer:
+                known[at, size - 1] = True
+        # best paths of each run from its last letters, the last few kept in columns that slide to the left; a run's end costs nothing
+        best, base = np.zeros((int(counts[0]), 2 * longest + 1)), 0
+        steps, firsts = np.empty(n, np.int64), np.arange(int(counts[0])) * longest
+        for t, (lo, c) in enumerate(zip(starts.tolist(), counts.tolist(), strict=True), 1):
+            if t - base + longest == best.shape[1]:
+                best[:c, :longest] = best[:c, -longest:]
+                base = t
+            at = t - base
+            paths = edges[lo : lo + c]
+            paths += best[:c, at : at + longest]
+            np.round(paths, 9, out=paths)  # so that equal paths are equal
+            most = paths.argmax(1)
+            steps[lo : lo + c] = most
+            best[:c, at + longest] = flat[firsts[:c] + (most + lo * longest)]
+        step = (longest - steps)[row].tolist()
         out = []
         for lo, hi in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
             words, at = [], lo
             while at < hi:
-                size = int(step[at])
+                size = step[at]
                 if finer and size > 2:
                     words += [text[i : i + k] for k in (2, 3) if k < size and k <= longest for i in range(at, at + size - k + 1) if known[i, k - 1]]
                 words.append(text[at : at + size])
@@ -141,6 +186,8 @@ class Segmenter:
                     flush()
                     size = 0
         flush()
+        if self.min_chars <= 1 and not self.stop:
+            return [None if x is None else list(chain.from_iterable(x)) for x in out]
         keep = lambda w: len(w) >= self.min_chars and w not in self.stop
         return [None if x is None else [w for part in x for w in part if keep(w)] for x in out]
 

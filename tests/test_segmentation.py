@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,32 @@ def test_cuts_against_plain_code(finer):
     assert Dictionary([]).cut(["一二", "三"]) == [["一", "二"], ["三"]] and Dictionary(WORDS).cut([]) == []
 
 
+@pytest.mark.parametrize("finer", [False, True])
+def test_cuts_in_blocks(monkeypatch, finer):
+    """Runs of all lengths, empty ones and words longer than most runs, however many letters a block has."""
+    rng = random.Random(8)
+    letters = "一丁七万丈𠀀"
+    words = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 12))): rng.choice([1, 3, 50]) for _ in range(200)}
+    runs = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 9, 70]))) for _ in range(60)]
+    want = [plain(list(words.items()), r, finer) for r in runs]
+    for block in (1, 20, 1 << 17):
+        monkeypatch.setattr(segmentation, "BLOCK", block)
+        assert Dictionary(words.items()).cut(runs, finer) == want
+
+
+def test_a_place_is_not_compared_with_all_words():
+    """Looking words up takes about as long in a dictionary of 200,000 as in one of 2,000."""
+    rng = random.Random(2)
+    words = list({"".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(200_000)})
+    few, all_ = Dictionary((w, 1) for w in words[:2000]), Dictionary((w, 1) for w in words)
+    assert max(d.first[8].size / d.keys[8].size for d in (few, all_)) <= 5
+    assert max(int(np.diff(d.first[8]).max()) for d in (few, all_)) <= 12
+    points = np.concatenate([segmentation._points("".join(words[:50])), np.zeros(8, np.uint32)])
+    for d in (few, all_):
+        found = {int(i) for _, at, _ in d.found(points) for i in at}
+        assert set(range(0, 400, 8)) <= found and all("".join(words[:50])[i : i + 8] in set(words) for i in found)
+
+
 def test_texts_of_several_kinds(spark, monkeypatch):
     s = Segmenter(Dictionary(WORDS))
     texts = ["发动机油更换 every 5000KM，发动机。", None, "", "...", "No Han", "更换ABC机油"]
