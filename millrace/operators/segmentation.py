@@ -29,6 +29,8 @@ UNSPACED = "[㐀-䶿一-鿿豈-﫿\U00020000-\U000323af぀-ヿ฀-໿က-႟ក-
 MOST_WORDS = 1_000_000
 #: Of the hashes of letter groups.
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a hash that tell most places without a word, besides those that lead to a word.
+FINER = 2
 #: Letters of a batch whose words are held at once, about, and those that are cut at once, so that the caches hold their lattice.
 PIECE = 1 << 19
 BLOCK = 1 << 17
@@ -53,7 +55,7 @@ class Dictionary:
         self.scores: dict[int, np.ndarray] = {}
         self.shift: dict[int, np.uint64] = {}  # leaves a hash's leading bits, one or two more than count the words
         self.first: dict[int, np.ndarray] = {}  # by leading bits: the first word that has them or more
-        self.used: dict[int, np.ndarray] = {}  # whether any has them
+        self.used: dict[int, np.ndarray] = {}  # by FINER bits more: whether a word has them
         for size, own in by.items():
             letters = _points("".join(own)).reshape(-1, size)
             keys = np.zeros(len(letters), np.uint64)
@@ -67,7 +69,8 @@ class Dictionary:
             bits = len(keys).bit_length() + 1
             self.shift[size] = np.uint64(64 - bits)
             self.first[size] = np.searchsorted(self.keys[size] >> self.shift[size], np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
-            self.used[size] = np.diff(self.first[size]) > 0
+            self.used[size] = np.zeros(1 << (bits + FINER), bool)
+            self.used[size][self.keys[size] >> (self.shift[size] - np.uint64(FINER))] = True
 
     def found(self, points: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """By length: the places where a word begins, and its log share. points end with longest zeros."""
@@ -79,9 +82,9 @@ class Dictionary:
             if size not in self.keys:
                 continue
             keys, words, stretches = self.keys[size], self.words[size], np.lib.stride_tricks.sliding_window_view(points, size)
-            lead = (rolled >> self.shift[size]).view(np.int64)
+            lead = (rolled >> (self.shift[size] - np.uint64(FINER))).view(np.int64)
             place = np.flatnonzero(self.used[size][lead])
-            own, lead = rolled[place], lead[place]
+            own, lead = rolled[place], lead[place] >> FINER
             at, stop = self.first[size][lead], self.first[size][lead + 1]
             while len(place):
                 hit = np.flatnonzero(keys[at] == own)
